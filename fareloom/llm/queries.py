@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from fareloom.llm.packing import pack
+from fareloom.llm.quality_rules import judge
 from fareloom.llm.storage import scratch_path
 from fareloom.llm.token_counts import count_tokens
 from fareloom.llm.token_files import read_token_files, write_token_files
@@ -22,6 +23,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1, capacity=2048)
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged, _ = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     directory = scratch_path(spark, "op9")
     files = write_token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), directory, end_id=2)
@@ -35,6 +41,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op4_packing": op4_packing,
+        "op8_quality_rules": op8_quality_rules,
         "op9_token_files": op9_token_files,
         "op10_token_counts": op10_token_counts,
     }
