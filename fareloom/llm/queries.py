@@ -1,10 +1,12 @@
 """Registered queries: every operator of this subpackage over its whole table."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fareloom.llm.packing import pack
 from fareloom.llm.quality_rules import judge
 from fareloom.llm.storage import scratch_path
+from fareloom.llm.substring_dedup import remove_repeats
 from fareloom.llm.token_counts import count_tokens
 from fareloom.llm.token_files import read_token_files, write_token_files
 
@@ -23,6 +25,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1, capacity=2048)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept, (n_words, n_removed) = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), collapse=True)
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    return kept.select("doc_id", F.col(n_words).alias("n_words"), F.col(n_removed).alias("n_removed"), digest.alias("kept_sha256"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged, _ = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged
@@ -41,6 +49,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op4_packing": op4_packing,
+        "op7_substring_dedup": op7_substring_dedup,
         "op8_quality_rules": op8_quality_rules,
         "op9_token_files": op9_token_files,
         "op10_token_counts": op10_token_counts,
