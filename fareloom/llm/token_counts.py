@@ -88,7 +88,7 @@ def frequent_pieces(docs: DataFrame, text: str = "text") -> list[str]:
     while partitions > FAN_IN:
         summaries = summaries.groupBy((F.col("part") / FAN_IN).cast("long").alias("group")).applyInPandas(merge, "summary binary, part long")
         partitions = -(-partitions // FAN_IN)
-    counts = _merged(row.summary for row in summaries.select("summary").toLocalIterator())
+    counts = _merged(row.summary for row in summaries.select("summary").collect())
     return sorted(sorted((p for p in counts if p), key=lambda p: (-counts[p], p))[:TABLE_ENTRIES])
 
 
