@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fareloom.llm.minhash import Settings, near_duplicates
 from fareloom.llm.packing import pack
 from fareloom.llm.quality_rules import judge
 from fareloom.llm.storage import scratch_path
@@ -21,6 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), Settings(words=2, percent=80))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1, capacity=2048)
 
@@ -48,6 +53,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_minhash_dedup": op1_minhash_dedup,
         "op4_packing": op4_packing,
         "op7_substring_dedup": op7_substring_dedup,
         "op8_quality_rules": op8_quality_rules,
