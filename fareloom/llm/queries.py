@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fareloom.llm.html_extract import extract
 from fareloom.llm.minhash import Settings, near_duplicates
 from fareloom.llm.packing import pack
 from fareloom.llm.quality_rules import judge
@@ -32,6 +33,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1, capacity=2048)
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     directory = scratch_path(spark, "op6")
     archives = write_archives(table(spark, sf_dir, "pages"), directory, least_payload=1000)
@@ -63,6 +68,7 @@ def queries() -> dict:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
         "op4_packing": op4_packing,
+        "op5_html_extraction": op5_html_extraction,
         "op6_warc": op6_warc,
         "op7_substring_dedup": op7_substring_dedup,
         "op8_quality_rules": op8_quality_rules,
