@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fareloom.llm.decontamination import contaminated_pairs
 from fareloom.llm.html_extract import extract
 from fareloom.llm.minhash import Settings, near_duplicates
 from fareloom.llm.packing import pack
@@ -29,6 +30,11 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), Settings(words=2, percent=80))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return pairs.withColumn("contaminated", F.lit(True))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1, capacity=2048)
 
@@ -67,6 +73,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
+        "op2_decontamination": op2_decontamination,
         "op4_packing": op4_packing,
         "op5_html_extraction": op5_html_extraction,
         "op6_warc": op6_warc,
