@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from fareloom.llm.decontamination import contaminated_pairs
 from fareloom.llm.html_extract import extract
+from fareloom.llm.language_id import identify
 from fareloom.llm.minhash import Settings, near_duplicates
 from fareloom.llm.packing import pack
 from fareloom.llm.quality_rules import judge
@@ -35,6 +36,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumn("contaminated", F.lit(True))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1, capacity=2048)
 
@@ -74,6 +79,7 @@ def queries() -> dict:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
         "op2_decontamination": op2_decontamination,
+        "op3_language_id": op3_language_id,
         "op4_packing": op4_packing,
         "op5_html_extraction": op5_html_extraction,
         "op6_warc": op6_warc,
