@@ -13,8 +13,9 @@ From candidates to classes, without ever listing the pairs of a bucket:
   task links the members of a bucket to the least one it sees, and the few buckets that cross a boundary
   are linked through their edges;
 * links are confirmed on the full shingle sets and joined to components;
-* in buckets of three and more, members that are still in different components are then compared with one
-  another, until no bucket holds two documents that were never compared and are not connected.
+* in buckets of three and more, members that are still in different components are then compared where
+  prefixes of their shingles, rarest first, show that they may be similar enough; after that no bucket
+  holds two similar documents that are not connected.
 """
 
 from dataclasses import dataclass
@@ -165,10 +166,8 @@ def _bucket_links(entries: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "kind long, key long, a long, b long")
 
 
-def _confirmed(pairs: DataFrame, rows: DataFrame, settings: Settings) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
-    nodes = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = materialize(_full_sets(rows.join(nodes, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), settings), "shingle-sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a")
     common = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - common
@@ -181,6 +180,62 @@ def _comparable(left, right, settings: Settings):
     return left.isNull() | right.isNull() | possible
 
 
+def _mixed(crowd: DataFrame) -> DataFrame:
+    """The rows (key, node, component, ...) of buckets with more than one component."""
+    keys = crowd.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    return crowd.join(keys, "key", "left_semi")
+
+
+#: Sizes whose logarithms agree to one part in this many share a bin.
+_BINS = 24
+
+
+def _bin(size):
+    return F.floor(F.log(size.cast("double")) * _BINS)
+
+
+def _uncompared(crowd: DataFrame, components: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs (a, b) of members of mixed buckets, in different components, that may be similar enough.
+
+    Comparing all members of a bucket would take the square of its size. Instead the shingles of these
+    documents are ordered from the rarest to the most frequent. Two sets of sizes m and n that are similar
+    enough have at least t = percent / (100 + percent) * (m + n) shingles in common, so the first common
+    one is among the first m - t + 1 of the one and the first n - t + 1 of the other. Copies that are too
+    far from their original begin with changes of their own, which few others share: they meet few.
+    Keys hold the two sizes' bins besides the shingle, so that the prefixes are as short as the sizes allow,
+    and only keys with more than one component are joined.
+    """
+    placed = crowd.join(components, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    nodes = materialize(_mixed(placed).select("node", "component").distinct(), "mixed-nodes")
+    rows = nodes.join(sets.select(F.col("doc_id").alias("node"), "shingles"), "node").select("node", "component", F.size("shingles").alias("size"), F.xxhash64("node", "shingles").alias("record"), "shingles")
+    each = rows.select("record", "node", "component", "size", F.explode("shingles").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count("*").alias("often"), F.min("component").alias("low"), F.max("component").alias("high"))
+    often = often.select("shingle", F.when(F.col("low") < F.col("high"), F.col("often")).otherwise(0).alias("often"))
+    ranked = each.join(often, "shingle").groupBy("record", "node", "component", "size").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("ordered"))
+    share = settings.percent / (100 + settings.percent)
+    longest = F.floor(F.col("size") * (1 - settings.percent / 100) + 1e-9) + 1
+    firsts = ranked.select("record", "node", "component", "size", F.posexplode(F.slice("ordered", 1, longest.cast("int"))).alias("pos", "item"))
+    # shingles that no other component has can't be common to a pair
+    firsts = materialize(firsts.where("item.often > 0").select("node", "component", F.col("size").cast("long").alias("size"), "pos", F.col("item.shingle").alias("shingle")), "prefixes")
+
+    def reach(partner_size):
+        return F.col("pos") + share * (F.col("size") + partner_size) <= F.col("size") + 1e-6
+
+    low_of = lambda k: F.exp(k / _BINS)  # noqa: E731  the least size of a bin
+    top = F.col("size") * (100 / settings.percent)
+    smaller = firsts.select("*", F.explode(F.sequence(_bin(F.col("size")), _bin(top + 1e-6))).alias("other")).where(reach(F.greatest(low_of(F.col("other")), F.col("size"))))
+    smaller = smaller.select("shingle", _bin(F.col("size")).alias("bin_a"), F.col("other").alias("bin_b"), F.col("node").alias("x"), F.col("component").alias("cx"), F.col("size").alias("sx"), F.col("pos").alias("px"))
+    larger = firsts.select("*", F.explode(F.sequence(_bin(F.col("size") * (settings.percent / 100)), _bin(F.col("size")))).alias("other")).where(reach(low_of(F.col("other"))))
+    larger = larger.select("shingle", F.col("other").alias("bin_a"), _bin(F.col("size")).alias("bin_b"), F.col("node").alias("y"), F.col("component").alias("cy"), F.col("size").alias("sy"), F.col("pos").alias("py"))
+    keys = ["shingle", "bin_a", "bin_b"]
+    sides = smaller.groupBy(keys).agg(F.min("cx").alias("low_x"), F.max("cx").alias("high_x")).join(larger.groupBy(keys).agg(F.min("cy").alias("low_y"), F.max("cy").alias("high_y")), keys)
+    mixed = sides.where(F.least("low_x", "low_y") < F.greatest("high_x", "high_y")).select(keys)
+    met = smaller.join(mixed, keys, "left_semi").join(larger, keys)
+    least = share * (F.col("sx") + F.col("sy")) - 1e-6
+    met = met.where((F.col("cx") != F.col("cy")) & (F.col("sx") <= F.col("sy")) & (F.col("px") + least <= F.col("sx")) & (F.col("py") + least <= F.col("sy")))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles (distinct shingles), component_id and kept for every row of ``docs``.
 
@@ -206,20 +261,16 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     edge_links = edge.join(edge.groupBy("key").agg(F.min("a").alias("least")), "key").where("a != least").select(F.col("least").alias("a"), F.col("a").alias("b"))
     pairs = found.where(F.col("kind") == _LINK).select("a", "b").unionByName(edge_links).distinct()
     pairs = materialize(sized(pairs), "pairs")
-    links = materialize(_confirmed(pairs, rows, settings), "links")
+    involved = found.where(F.col("kind") != _LINK).select(F.col("a").alias("doc_id")).union(pairs.select("a")).union(pairs.select("b")).distinct()
+    sets = materialize(_full_sets(rows.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), settings), "shingle-sets")
+    links = materialize(_confirmed(pairs, sets, settings), "links")
     components = materialize(connected_components(links), "components")
 
-    # members of one bucket that are in different components and were not compared yet
-    of_node = components.select(F.col("node").alias("a"), "component")
-    crowd = found.where(F.col("kind") == _CROWD).select("key", "a").join(of_node, "a", "left").select("key", F.col("a").alias("node"), F.coalesce("component", "a").alias("component"))
-    mixed = crowd.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    crowd = materialize(crowd.join(mixed, "key", "left_semi").join(sizes, "node"), "mixed-buckets")
-    left = crowd.select("key", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("size").alias("sa"))
-    right = crowd.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("size").alias("sb"))
-    rest = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _comparable(F.col("sa"), F.col("sb"), settings)).select("a", "b").distinct()
+    crowd = found.where(F.col("kind") == _CROWD).select("key", F.col("a").alias("node"))
+    rest = _uncompared(crowd, components, sets, settings)
     rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        links = links.unionByName(_confirmed(rest, rows, settings))
+        links = links.unionByName(_confirmed(rest, sets, settings))
         components = materialize(connected_components(links), "components")
 
     by_class = classes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.col("digest_a").alias("da"), F.col("digest_b").alias("db"))
