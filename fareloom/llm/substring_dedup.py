@@ -77,7 +77,12 @@ def repeated_cells(docs: DataFrame, width: int, cells: int) -> np.ndarray:
                     first = np.ones(len(anchors), bool)  # one count for a run of windows with one anchor
                     first[1:] = anchors[1:] != anchors[:-1]
                     first[bounds[:-1][np.diff(bounds) > 0]] = True
-                    found.append(np.concatenate(_cells(anchors[first], cells)))
+                    row, anchors = np.searchsorted(bounds, np.flatnonzero(first), side="right"), anchors[first]
+                    order = np.lexsort((anchors, row))
+                    row, anchors = row[order], anchors[order]
+                    new = np.ones(len(anchors), bool)  # and one for a document, however often it repeats itself
+                    new[1:] = (anchors[1:] != anchors[:-1]) | (row[1:] != row[:-1])
+                    found.append(np.concatenate(_cells(anchors[new], cells)))
         if not found:
             return
         hit, times = np.unique(np.concatenate(found), return_counts=True)
