@@ -1,4 +1,171 @@
-"""Queries."""
+"""Queries on stored tables, weights, set operations and parsed payloads, each with its DuckDB twin."""
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from fareloom.functions.normalize import fingerprint
+from fareloom.operators import store
+from fareloom.operators.topk import page
+from fareloom.plans.fixtures import SEQUENCE, quotes, with_quotes
+from fareloom.sources import parsers, synthetic
 
 QUERIES: dict = {}
 SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+VOLUMES_SQL = """,
+volumes AS (SELECT period, route_code, count(*) AS pax FROM quotes GROUP BY ALL)"""
+
+
+def volumes(spark, sf_dir):
+    return quotes(spark, sf_dir).groupBy("period", "route_code").agg(F.count("*").alias("pax"))
+
+
+@query(with_quotes(VOLUMES_SQL + """,
+w AS (SELECT *, round(pax / sum(pax) OVER (PARTITION BY period), 6) AS w0, row_number() OVER (PARTITION BY period ORDER BY pax DESC, route_code) AS rank FROM volumes),
+r AS (SELECT *, 1 - sum(w0) OVER (PARTITION BY period) AS rest FROM w)
+SELECT strftime(period, '%Y-%m-%d') AS period, route_code, pax, rank, round(CASE WHEN rank = 1 THEN w0 + rest ELSE w0 END, 6) AS weight FROM r"""))
+def weights_normalized(spark, sf_dir):
+    w = store.normalized_weights(volumes(spark, sf_dir), "period", "route_code", "pax")
+    return w.select(F.date_format("period", "yyyy-MM-dd").alias("period"), "route_code", "pax", F.col("rank").cast("long").alias("rank"), "weight")
+
+
+@query(with_quotes(""",
+twoway AS (SELECT least(origin, destination) AS a, greatest(origin, destination) AS b, period, count(*) FILTER (origin < destination) AS outward, count(*) FILTER (origin > destination) AS inward FROM quotes GROUP BY ALL),
+flows AS (SELECT a AS origin, b AS destination, outward AS volume FROM twoway UNION ALL SELECT b, a, inward FROM twoway)
+SELECT origin, destination, CAST(sum(volume) AS BIGINT) AS volume FROM flows GROUP BY ALL"""))
+def directed_flows(spark, sf_dir):
+    q = quotes(spark, sf_dir).groupBy(F.least("origin", "destination").alias("a"), F.greatest("origin", "destination").alias("b"), "period")
+    both = q.agg(F.count_if(F.col("origin") < F.col("destination")).alias("outward"), F.count_if(F.col("origin") > F.col("destination")).alias("inward"))
+    return store.directed_flows(both, "a", "b", "outward", "inward")
+
+
+@query(with_quotes(VOLUMES_SQL + """
+SELECT a.route_code, strftime(a.period, '%Y-%m-%d') AS period, round((a.pax - b.pax) * 100.0::DOUBLE / b.pax, 4) AS growth_pct FROM volumes a JOIN volumes b ON a.route_code = b.route_code AND b.period = a.period - INTERVAL 12 MONTH"""))
+def corridor_growth(spark, sf_dir):
+    """Growth against the same quarter a year earlier."""
+    v = volumes(spark, sf_dir)
+    before = v.select("route_code", F.add_months("period", 12).alias("period"), F.col("pax").alias("before"))
+    return v.join(before, ["route_code", "period"]).select("route_code", F.date_format("period", "yyyy-MM-dd").alias("period"), F.round((F.col("pax") - F.col("before")) * 100.0 / F.col("before"), 4).alias("growth_pct"))
+
+
+@query(with_quotes(VOLUMES_SQL + """,
+latest AS (SELECT max(period) AS p FROM volumes WHERE period <= DATE '2030-01-01')
+SELECT strftime(period, '%Y-%m-%d') AS period, count(*) AS n_routes, CAST(sum(pax) AS BIGINT) AS total, arg_max(route_code, (pax, route_code)) AS busiest FROM volumes WHERE period = (SELECT p FROM latest) GROUP BY 1"""))
+def network_summary(spark, sf_dir):
+    """The latest period at or before the one asked for."""
+    v = volumes(spark, sf_dir)
+    latest = v.where("period <= date'2030-01-01'").agg(F.max("period").alias("period"))
+    return v.join(latest, "period").groupBy(F.date_format("period", "yyyy-MM-dd").alias("period")).agg(F.count("*").alias("n_routes"), F.sum("pax").alias("total"), F.max_by("route_code", F.struct("pax", "route_code")).alias("busiest"))
+
+
+@query(with_quotes(""",
+keyed AS (SELECT *, carrier || ':' || flight_no || ':' || route_code || ':' || booking_window || ':' || strftime(flight_date, '%Y-%m') AS key FROM quotes),
+target AS (SELECT * FROM (SELECT key, total_fare, seq2 % 2 = 0 AS synthetic, row_number() OVER (PARTITION BY key ORDER BY seq1, seq2, seq3, seq4, flight_date, total_fare) AS rn FROM keyed WHERE seq4 <= 3) WHERE rn = 1),
+source AS (SELECT * FROM (SELECT key, total_fare, false AS synthetic, row_number() OVER (PARTITION BY key ORDER BY seq1, seq2, seq3, seq4, flight_date, total_fare) AS rn FROM keyed WHERE seq4 >= 3) WHERE rn = 1),
+merged AS (SELECT coalesce(t.key, s.key) AS key, CASE WHEN t.key IS NULL OR (s.key IS NOT NULL AND t.synthetic) THEN s.total_fare ELSE t.total_fare END AS total_fare,
+  CASE WHEN t.key IS NULL OR (s.key IS NOT NULL AND t.synthetic) THEN s.synthetic ELSE t.synthetic END AS synthetic, t.key IS NULL AS is_new FROM target t FULL JOIN source s ON t.key = s.key)
+SELECT CAST(synthetic AS INT) AS synthetic, count(*) AS n, round(sum(total_fare) / 1000, 2) AS thousands FROM merged GROUP BY 1"""))
+def upsert_replay(spark, sf_dir):
+    """A batch into a stored table: new keys are added, known ones replaced only where the stored row is
+    synthetic; the result of replaying the batch is the same."""
+    key = F.concat_ws(":", "carrier", F.col("flight_no").cast("string"), "route_code", "booking_window", F.date_format("flight_date", "yyyy-MM"))
+    rows = quotes(spark, sf_dir).withColumn("key", key)
+    pick = lambda df, synthetic: store.first_per_key(df, ["key"], SEQUENCE).select("key", "total_fare", synthetic.alias("synthetic"))
+    target = pick(rows.where("seq4 <= 3"), F.col("seq2") % 2 == 0)
+    source = pick(rows.where("seq4 >= 3"), F.lit(False))
+    merged = store.upsert(target, source, ["key"], when=F.col("synthetic"))
+    merged = store.upsert(merged, source, ["key"], when=F.col("synthetic"))
+    return merged.groupBy(F.col("synthetic").cast("int").alias("synthetic")).agg(F.count("*").alias("n"), F.round(F.sum("total_fare") / 1000, 2).alias("thousands"))
+
+
+@query(with_quotes("""
+SELECT booking_window, count(*) AS n FROM quotes WHERE NOT (event_time < TIMESTAMP '1997-01-01' OR flight_date < DATE '1996-06-01') GROUP BY 1"""))
+def retention_filter(spark, sf_dir):
+    kept = store.retained(quotes(spark, sf_dir), F.col("event_time") < F.to_timestamp(F.lit("1997-01-01")), F.col("flight_date") < F.to_date(F.lit("1996-06-01")))
+    return kept.groupBy("booking_window").agg(F.count("*").alias("n"))
+
+
+@query(with_quotes("""
+SELECT route_code, CAST(max(monitored) AS INT) AS monitored, CAST(max(observed) AS INT) AS observed FROM (
+  SELECT route_code, 0 AS monitored, 1 AS observed FROM quotes WHERE flight_date < DATE '1996-01-01' UNION ALL SELECT route_code, 1, 0 FROM quotes WHERE origin = 'ASIA') GROUP BY 1"""))
+def corridor_union(spark, sf_dir):
+    """Monitored and observed corridors, each with where it is from."""
+    q = quotes(spark, sf_dir)
+    observed = q.where("flight_date < date'1996-01-01'").select("route_code", F.lit(0).alias("monitored"), F.lit(1).alias("observed")).distinct()
+    monitored = q.where("origin = 'ASIA'").select("route_code", F.lit(1).alias("monitored"), F.lit(0).alias("observed")).distinct()
+    return observed.union(monitored).groupBy("route_code").agg(F.max("monitored").alias("monitored"), F.max("observed").alias("observed"))
+
+
+@query(with_quotes(VOLUMES_SQL + """
+SELECT v.route_code, count(*) AS n_periods FROM volumes v WHERE NOT EXISTS (SELECT 1 FROM volumes b WHERE b.route_code = v.route_code AND b.period = v.period + INTERVAL 3 MONTH) GROUP BY 1"""))
+def missing_weights_anti(spark, sf_dir):
+    """Route periods without a weight in the quarter after."""
+    v = volumes(spark, sf_dir)
+    following = v.select("route_code", F.add_months("period", -3).alias("period"))
+    return v.join(following, ["route_code", "period"], "left_anti").groupBy("route_code").agg(F.count("*").alias("n_periods"))
+
+
+@query(with_quotes("""
+SELECT route_code, booking_window, total_fare, strftime(flight_date, '%Y-%m-%d') AS flight_date, seq1, seq2, seq4 FROM eligible WHERE origin = 'ASIA' AND booking_window = 'T+7' AND flight_date BETWEEN DATE '1997-01-01' AND DATE '1997-12-31'
+ORDER BY eligible.flight_date, total_fare, seq1, seq2, seq3, seq4 LIMIT 50 OFFSET 10"""))
+def quote_page(spark, sf_dir):
+    """A filtered page of quotes: the filter comes before the limit."""
+    q = quotes(spark, sf_dir).where("origin = 'ASIA' and booking_window = 'T+7' and flight_date between date'1997-01-01' and date'1997-12-31' and coalesce(flight_status, '') not in ('cancelled', 'sold_out')")
+    rows = page(q, ["flight_date", "total_fare", "seq1", "seq2", "seq3", "seq4"], 50, 10)
+    return rows.select("route_code", "booking_window", "total_fare", F.date_format("flight_date", "yyyy-MM-dd").alias("flight_date"), "seq1", "seq2", "seq4")
+
+
+@query(with_quotes(""",
+last AS (SELECT *, row_number() OVER (PARTITION BY route_code, period, carrier, flight_no, portal ORDER BY event_time DESC, seq1 DESC, seq2 DESC, seq3 DESC, seq4 DESC, flight_date DESC, total_fare DESC) AS rn FROM quotes),
+cheap AS (SELECT route_code, period, carrier, flight_no, min(total_fare) FILTER (coalesce(flight_status, '') NOT IN ('cancelled', 'sold_out')) AS fare, count(*) AS n_portals,
+  max(total_fare) FILTER (coalesce(flight_status, '') NOT IN ('cancelled', 'sold_out')) AS most FROM last WHERE rn = 1 GROUP BY ALL)
+SELECT route_code, strftime(period, '%Y-%m-%d') AS period, carrier, flight_no, n_portals, fare, round(most - fare, 4) AS spread FROM cheap"""))
+def portal_latest_min(spark, sf_dir):
+    """The batch twin of the stream: each portal's last quote of a flight, the least payable one, the spread."""
+    from fareloom.streaming.dedup import resolve_batch
+
+    r = resolve_batch(quotes(spark, sf_dir), ["route_code", "period", "carrier", "flight_no"], "portal", "total_fare", "flight_status", ["event_time", *SEQUENCE])
+    return r.select("route_code", F.date_format("period", "yyyy-MM-dd").alias("period"), "carrier", "flight_no", "n_portals", "fare", F.round("spread", 4).alias("spread"))
+
+
+@query(with_quotes("""
+SELECT portal, count(*) AS n, count(*) FILTER (seq2 % 7 != 0) AS n_priced, round(avg(CASE WHEN seq2 % 7 != 0 THEN total_fare END), 4) AS mean_fare, max(CASE WHEN seq2 % 3 = 2 THEN 'F' || flight_no END) AS last_number FROM quotes GROUP BY 1"""))
+def portal_payload_parse(spark, sf_dir):
+    """Quotes written as payloads of three shapes and parsed back; a fare that is missing stays missing."""
+    k, fare, number = F.col("seq2") % 3, F.when(F.col("seq2") % 7 != 0, F.col("total_fare")), F.concat(F.lit("F"), F.col("flight_no").cast("string"))
+    one = F.to_json(F.struct(F.array(F.struct(number.alias("flightNo"), fare.alias("totalFare"))).alias("flights")))
+    two = F.to_json(F.struct(F.struct(F.array(F.struct(number.alias("flight_number"), F.array(F.struct(fare.alias("amount"))).alias("fares"))).alias("flights")).alias("data")))
+    three = F.to_json(F.struct(F.array(F.struct(number.alias("flightNo"), F.struct(fare.alias("total")).alias("fareDetails"))).alias("results")))
+    raw = quotes(spark, sf_dir).select("portal", k.alias("k"), F.when(k == 0, one).when(k == 1, two).otherwise(three).alias("payload"))
+    f = parsers.flights(raw, "payload")
+    return f.groupBy("portal").agg(F.count("*").alias("n"), F.count("total_fare").alias("n_priced"), F.round(F.avg("total_fare"), 4).alias("mean_fare"), F.max(F.when(F.col("k") == 2, F.col("flight_number"))).alias("last_number"))
+
+
+@query(with_quotes("""
+SELECT carrier, strftime(min(flight_date), '%Y-%m-%d') AS first, count(DISTINCT sha256(carrier || ':' || flight_no || ':' || route_code)) AS n_flights FROM quotes GROUP BY 1"""))
+def distinct_flights(spark, sf_dir):
+    key = fingerprint(F.col("carrier"), F.col("flight_no"), F.col("route_code"))
+    return quotes(spark, sf_dir).groupBy("carrier").agg(F.date_format(F.min("flight_date"), "yyyy-MM-dd").alias("first"), F.countDistinct(key).alias("n_flights"))
+
+
+@query()
+def synthetic_slots(spark, sf_dir):
+    return synthetic.slots(spark)
+
+
+@query()
+def traffic_series(spark, sf_dir):
+    w = store.normalized_weights(synthetic.traffic_series(spark), "year_month", "route_code", "pax_volume")
+    growth = F.lag("pax_volume").over(Window.partitionBy("route_code").orderBy("year_month"))
+    return w.withColumn("previous", growth)
