@@ -94,7 +94,7 @@ class _Archive:
 
     def _start(self) -> None:
         dictionary = build_dictionary(self.waiting)
-        self.sink = self.filesystem.open_output_stream(self.path)
+        self.sink = self.filesystem.open_output_stream(self.path, compression=None)  # the records are compressed already
         self._put(DICTIONARY_MAGIC.to_bytes(4, "little") + len(dictionary).to_bytes(4, "little") + dictionary)
         self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary), write_checksum=True)
         for record in self.waiting:
@@ -198,7 +198,7 @@ def read_archives(archives: DataFrame, directory: str) -> DataFrame:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 rows, held = [], 0
-                with filesystem.open_input_stream(path) as source:
+                with filesystem.open_input_stream(path, compression=None) as source:
                     for headers, block in read_records(source):
                         http, _, payload = block.partition(b"\r\n\r\n")
                         fields = dict(line.split(b": ", 1) for line in http.split(b"\r\n")[1:])
