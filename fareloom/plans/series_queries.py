@@ -220,3 +220,36 @@ def history_span(spark, sf_dir):
 SELECT count(*) AS n_months, round(avg(ours), 4) AS mean, round(max(ours), 4) AS most, round(min(ours), 4) AS least FROM pairs"""))
 def index_comparison_summary(spark, sf_dir):
     return pairs(spark, sf_dir).agg(F.count("*").alias("n_months"), F.round(F.avg("ours"), 4).alias("mean"), F.round(F.max("ours"), 4).alias("most"), F.round(F.min("ours"), 4).alias("least"))
+
+
+@query(with_quotes(LEADS_SQL + """,
+base AS (SELECT route_code, max(price) FILTER (lead_days = 30) AS p30 FROM leads GROUP BY 1)
+SELECT route_code, CAST(lead_days AS BIGINT) AS lead_days, round((price - p30) / p30 * 100, 4) AS gradient_pct, round(-2.5 + (-0.3 + 2.5) / (1 + exp(0.25::DOUBLE * (lead_days - 14))), 4) AS horizon_elasticity FROM leads JOIN base USING (route_code)"""))
+def surge_gradient(spark, sf_dir):
+    """Each lead's price against the thirty-day price, null without one, and the logistic elasticity there."""
+    from fareloom.functions.scoring import horizon_elasticity
+
+    rows = leads(spark, sf_dir)
+    base = rows.groupBy("route_code").agg(F.max(F.when(F.col("lead_days") == 30, F.col("price"))).alias("p30"))
+    gradient = F.try_divide(F.col("price") - F.col("p30"), F.col("p30")) * 100
+    return rows.join(base, "route_code").select("route_code", F.col("lead_days").cast("long").alias("lead_days"), F.round(gradient, 4).alias("gradient_pct"), F.round(horizon_elasticity(F.col("lead_days")), 4).alias("horizon_elasticity"))
+
+
+@query(with_quotes(MONTHS_SQL + """
+SELECT strftime(month, '%Y-%m') AS month, round(ours - cpi, 4) AS points, round((ours - cpi) / cpi * 100, 4) AS percent FROM pairs"""))
+def transport_divergence(spark, sf_dir):
+    """Our index against the benchmark of the same month, in points and percent."""
+    gap = F.col("ours") - F.col("cpi")
+    return pairs(spark, sf_dir).select(F.date_format("month", "yyyy-MM").alias("month"), F.round(gap, 4).alias("points"), F.round(gap / F.col("cpi") * 100, 4).alias("percent"))
+
+
+@query(with_quotes(LEADS_SQL + """,
+steps AS (SELECT *, lag(price) OVER w AS p1, lag(quantity) OVER w AS q1 FROM leads WINDOW w AS (PARTITION BY route_code ORDER BY lead_days DESC)),
+moves AS (SELECT route_code, lead_days, ((quantity - q1) / ((quantity + q1) / 2.0::DOUBLE)) / ((price - p1) / ((price + p1) / 2)) AS arc FROM steps WHERE p1 IS NOT NULL)
+SELECT route_code, round(least(greatest(max(arc) FILTER (lead_days = 1), -0.45), -0.10), 4) AS short, round(least(greatest(max(arc) FILTER (lead_days = 7), -0.85), -0.50), 4) AS middle, round(least(greatest(max(arc) FILTER (lead_days = 15), -2.50), -1.05), 4) AS long FROM moves GROUP BY 1"""))
+def elasticity_clamped(spark, sf_dir):
+    """Arc elasticities held inside fixed bands (an option; the raw arcs are in arc_elasticity)."""
+    bands = {"short": (1, -0.45, -0.10), "middle": (7, -0.85, -0.50), "long": (15, -2.50, -1.05)}
+    arcs = series.arc_elasticity(leads(spark, sf_dir), ["route_code"], "lead_days", "price", "quantity")
+    at = lambda day, low, high: F.round(F.least(F.greatest(F.max(F.when(F.col("lead_days") == day, F.col("arc"))), F.lit(low)), F.lit(high)), 4)
+    return arcs.groupBy("route_code").agg(*(at(*band).alias(name) for name, band in bands.items()))

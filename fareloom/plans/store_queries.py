@@ -169,3 +169,55 @@ def traffic_series(spark, sf_dir):
     w = store.normalized_weights(synthetic.traffic_series(spark), "year_month", "route_code", "pax_volume")
     growth = F.lag("pax_volume").over(Window.partitionBy("route_code").orderBy("year_month"))
     return w.withColumn("previous", growth)
+
+
+@query(with_quotes(""",
+runs AS (SELECT seq4 AS batch, portal, min(event_time) AS started, max(event_time) AS completed, count(*) AS fares, count(DISTINCT route_code) AS routes, count(*) - count(DISTINCT carrier || ':' || flight_no || ':' || route_code || ':' || CAST(flight_date AS VARCHAR)) AS duplicates FROM quotes GROUP BY ALL)
+SELECT batch, portal, fares, routes, duplicates, greatest(epoch(completed) - epoch(started), 0)::BIGINT AS seconds, CASE WHEN routes = 20 THEN 'success' WHEN routes > 0 THEN 'partial' ELSE 'failed' END AS status FROM runs"""))
+def run_log(spark, sf_dir):
+    """Collection runs: what each took, gathered and repeated."""
+    flight = F.concat_ws(":", "carrier", F.col("flight_no").cast("string"), "route_code", F.col("flight_date").cast("string"))
+    runs = quotes(spark, sf_dir).groupBy(F.col("seq4").alias("batch"), "portal").agg(F.min("event_time").alias("started"), F.max("event_time").alias("completed"), F.count("*").alias("fares"), F.countDistinct("route_code").alias("routes"), F.countDistinct(flight).alias("flights"))
+    seconds = F.greatest(F.unix_timestamp("completed") - F.unix_timestamp("started"), F.lit(0))
+    status = F.when(F.col("routes") == 20, "success").when(F.col("routes") > 0, "partial").otherwise("failed")
+    return runs.select("batch", "portal", "fares", "routes", (F.col("fares") - F.col("flights")).alias("duplicates"), seconds.alias("seconds"), status.alias("status"))
+
+
+@query(with_quotes(VOLUMES_SQL + """,
+month AS (SELECT route_code, pax::DOUBLE / sum(pax) OVER () AS share FROM volumes WHERE period = DATE '1997-01-01' AND pax > 60),
+dims AS (SELECT DISTINCT route_code, origin, destination, 0.05::DOUBLE AS weight FROM quotes)
+SELECT d.route_code, d.origin, d.destination, round(coalesce(m.share, d.weight), 6) AS weight, CAST(m.share IS NOT NULL AS INT) AS updated FROM dims d LEFT JOIN month m ON d.route_code = m.route_code"""))
+def dimension_sync(spark, sf_dir):
+    """Route weights taken over from one period; routes without a new weight keep theirs."""
+    month = volumes(spark, sf_dir).where("period = date'1997-01-01' and pax > 60")
+    month = month.crossJoin(month.agg(F.sum("pax").alias("total"))).select("route_code", (F.col("pax").cast("double") / F.col("total")).alias("share"))
+    dims = quotes(spark, sf_dir).select("route_code", "origin", "destination").distinct().withColumn("weight", F.lit(0.05))
+    return dims.join(month, "route_code", "left").select("route_code", "origin", "destination", F.round(F.coalesce("share", "weight"), 6).alias("weight"), F.col("share").isNotNull().cast("int").alias("updated"))
+
+
+@query(with_quotes("""
+SELECT route_code, booking_window, count(*) AS n FROM quotes WHERE origin = 'EUROPE' AND flight_date >= DATE '1998-01-01' GROUP BY ALL HAVING count(*) > 5"""))
+def filtered_counts(spark, sf_dir):
+    q = quotes(spark, sf_dir).where("origin = 'EUROPE' and flight_date >= date'1998-01-01'")
+    return q.groupBy("route_code", "booking_window").agg(F.count("*").alias("n")).where("n > 5")
+
+
+@query("""
+WITH given AS (SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'official' WHEN 1 THEN 'estimated' END AS row_token, CASE o_orderkey % 3 WHEN 0 THEN 'official' END AS file_token, CASE o_orderkey % 5 WHEN 0 THEN true WHEN 1 THEN false END AS cell FROM orders)
+SELECT coalesce(row_token, file_token, CASE cell WHEN true THEN 'synthetic' WHEN false THEN 'official' END, 'synthetic') AS kind, count(*) AS n FROM given GROUP BY 1""")
+def provenance_counts(spark, sf_dir):
+    """Provenance of a row: its own token, else the file's, else its flag, else synthetic."""
+    k = F.col("o_orderkey")
+    row, file = F.when(k % 4 == 0, "official").when(k % 4 == 1, "estimated"), F.when(k % 3 == 0, "official")
+    cell = F.when(k % 5 == 0, "synthetic").when(k % 5 == 1, "official")
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.coalesce(row, file, cell, F.lit("synthetic")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query(with_quotes("""
+SELECT seq1, seq2, seq4, CASE WHEN total_fare <= 0 OR total_fare IS NULL THEN 'fare;' ELSE '' END || CASE WHEN carrier IN ('6E', 'AI', 'SG') THEN '' ELSE 'carrier;' END || CASE WHEN event_time < flight_date THEN '' ELSE 'chronology;' END AS reasons FROM quotes"""))
+def record_validation(spark, sf_dir):
+    """Every failed check of a record by name; an empty list is a valid record."""
+    from fareloom.functions.normalize import reasons
+
+    checks = reasons((F.col("total_fare") > 0, "fare;"), (F.col("carrier").isin("6E", "AI", "SG"), "carrier;"), (F.col("event_time") < F.col("flight_date"), "chronology;"))
+    return quotes(spark, sf_dir).select("seq1", "seq2", "seq4", F.array_join(checks, "").alias("reasons"))
