@@ -8,10 +8,13 @@ from fareloom.plans.fixtures import table, telemetry, with_quotes, with_telemetr
 
 QUERIES: dict = {}
 SQL: dict = {}
-OK = F.col("status") == "SUCCESS"
 ORDER = ["created_at", "event_id"]
 
 
+def _ok():
+    return F.col("status") == "SUCCESS"
+
+
 def query(sql: str | None = None):
     def register(f):
         QUERIES[f.__name__] = f
@@ -60,14 +63,14 @@ runs AS (SELECT *, sum(CASE WHEN status != 'SUCCESS' THEN 1 ELSE 0 END) OVER (PA
 
 @query(with_telemetry(RUNS_SQL + " SELECT proxy, CAST(run AS BIGINT) AS run, count(*) AS n FROM runs WHERE run > 0 GROUP BY ALL"))
 def failure_runs(spark, sf_dir):
-    return T.failure_runs(telemetry(spark, sf_dir), "proxy", ORDER, OK).where("run > 0").groupBy("proxy", F.col("run").cast("long").alias("run")).agg(F.count("*").alias("n"))
+    return T.failure_runs(telemetry(spark, sf_dir), "proxy", ORDER, _ok()).where("run > 0").groupBy("proxy", F.col("run").cast("long").alias("run")).agg(F.count("*").alias("n"))
 
 
 @query(with_telemetry(RUNS_SQL + """
 SELECT proxy, count(*) AS n, count(*) FILTER (status != 'SUCCESS') AS n_failed, CAST(max(run) AS BIGINT) AS longest_run, CAST(arg_max(run, (created_at, event_id)) AS BIGINT) AS run,
   CASE WHEN arg_max(run, (created_at, event_id)) >= 3 THEN 'DEGRADED' ELSE 'HEALTHY' END AS state FROM runs GROUP BY 1"""))
 def proxy_state(spark, sf_dir):
-    return T.health(telemetry(spark, sf_dir), "proxy", ORDER, OK)
+    return T.health(telemetry(spark, sf_dir), "proxy", ORDER, _ok())
 
 
 @query(with_telemetry(""",
@@ -75,7 +78,7 @@ lists AS (SELECT proxy, count(*) AS n, list({'v': response_time_ms, 'ok': status
 folded AS (SELECT proxy, n, list_reduce(list_transform(e, lambda x: x), lambda s, x: {'v': CASE WHEN x.ok THEN 0.3::DOUBLE * x.v + 0.7::DOUBLE * s.v ELSE s.v + 1000 END, 'ok': true}, {'v': e[1].v, 'ok': true}) AS s FROM lists)
 SELECT proxy, n, round(s.v, 4) AS score FROM folded"""))
 def ewma_score(spark, sf_dir):
-    return T.ewma(telemetry(spark, sf_dir), "proxy", ORDER, "response_time_ms", OK).withColumn("score", F.round("score", 4))
+    return T.ewma(telemetry(spark, sf_dir), "proxy", ORDER, "response_time_ms", _ok()).withColumn("score", F.round("score", 4))
 
 
 @query(with_telemetry("""
