@@ -7,6 +7,7 @@ from fareloom.llm.decontamination import contaminated_pairs
 from fareloom.llm.html_extract import extract
 from fareloom.llm.language_id import identify
 from fareloom.llm.minhash import Settings, near_duplicates
+from fareloom.llm.oracles import ORACLE_SQL
 from fareloom.llm.packing import pack
 from fareloom.llm.quality_rules import judge
 from fareloom.llm.storage import scratch_path
@@ -90,9 +91,5 @@ def queries() -> dict:
     }
 
 
-#: DuckDB has no SHA-1 of its own here, so the digests of op6 are checked in tests instead.
-ORACLE_SQL: dict = {}
-
-
 def oracle_sql() -> dict:
     return dict(ORACLE_SQL)
