@@ -150,8 +150,10 @@ def repeated_positions(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                     tags[k] = _row_tag(texts[at + int(k)].as_buffer().to_pybytes())
                 yield pa.RecordBatch.from_arrays([pa.array(windows[spots].view(np.int64)), pa.array(ids[at:end][row]), pa.array((tags[row] << 40) | (spots - bounds[row]))], ["window", "doc_id", "ref"])
 
-    windows = materialize(docs.where(F.col("doc_id").isNotNull()).mapInArrow(emit, "window long, doc_id long, ref long"), "windows")
+    # emitted twice rather than stored: the windows are the largest intermediate result by far
+    windows = docs.where(F.col("doc_id").isNotNull()).mapInArrow(emit, "window long, doc_id long, ref long")
     least = windows.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("window", "least")
+    least = materialize(least, "repeated-windows")
     later = windows.join(least, "window").where("doc_id > least")
     return later.groupBy("doc_id").agg(F.collect_list("ref").alias("refs"))
 
