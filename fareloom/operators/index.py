@@ -42,28 +42,25 @@ def tukey_inside(df: DataFrame, keys: list[str], value: str, k: float = 1.5) ->
 def leave_one_out_outliers(df: DataFrame, keys: list[str], value: str, order: list[str], k: float = 1.5, least_peers: int = 4) -> DataFrame:
     """``df`` with ``outlier``: outside the bounds of the other rows of its group, which must be four at least.
 
-    Quartiles of the others come from the sorted group with one element left out, by row numbers: the
-    element at 0-based place p of the others is place p, or p + 1 from the left-out one on. Group rows are sorted
-    once, not compared with one another.
+    The element at 0-based place p of the others is the group's element p, or p + 1 from the left-out one on,
+    so a quartile of the others needs three neighbouring order statistics of the whole group. They are taken
+    over the same window that numbers the rows: one shuffle, no list of a group's values.
     """
     at = Window.partitionBy(*keys)
-    ranked = df.select("*", (F.row_number().over(at.orderBy(value, *order)) - 1).alias("_r"), F.count("*").over(at).alias("_n"))
-    sorted_values = ranked.groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("_a"))
-    joined = ranked.join(sorted_values, keys)
-    others = F.col("_n") - 1
+    ranked = df.select("*", (F.row_number().over(at.orderBy(value, *order)) - 1).alias("_r"), (F.count("*").over(at) - 1).alias("_others"))
+    low = {p: F.floor(p * (F.col("_others") - 1)) for p in (0.25, 0.75)}
+    names = {(p, k): f"_a{int(p * 100)}_{k}" for p in low for k in range(3)}
+    picked = ranked.select("*", *(F.max(F.when(F.col("_r") == low[p] + k, F.col(value))).over(at).alias(name) for (p, k), name in names.items()))
 
     def quantile(p: float):
-        place = p * (others - 1)
-        low = F.floor(place)
-
-        def element(q):
-            return F.get("_a", F.when(q < F.col("_r"), q).otherwise(q + 1).cast("int"))
-
-        return element(low) + (place - low) * (element(F.least(low + 1, others - 1)) - element(low))
+        place, r = p * (F.col("_others") - 1), F.col("_r")
+        first = F.when(low[p] < r, F.col(names[p, 0])).otherwise(F.col(names[p, 1]))
+        second = F.when(low[p] + 1 < r, F.col(names[p, 1])).otherwise(F.col(names[p, 2]))
+        return first + (place - low[p]) * F.when(place > low[p], second - first).otherwise(0.0)
 
     q1, q3 = quantile(0.25), quantile(0.75)
     outside = (F.col(value) < q1 - k * (q3 - q1)) | (F.col(value) > q3 + k * (q3 - q1))
-    return joined.select(*df.columns, F.when(others >= least_peers, outside).otherwise(F.lit(False)).alias("outlier"))
+    return picked.select(*df.columns, F.when(F.col("_others") >= least_peers, outside).otherwise(F.lit(False)).alias("outlier"))
 
 
 def share_weighted_median(df: DataFrame, keys: list[str], value: str, carrier: str, order: list[str]) -> DataFrame:

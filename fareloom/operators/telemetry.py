@@ -11,11 +11,14 @@ def uptime(df: DataFrame, unit: str, ok) -> DataFrame:
     return by.select(name.alias(unit), "n", "n_failed", F.coalesce(F.try_divide((F.col("n") - F.col("n_failed")) * 100.0, F.col("n")), F.lit(100.0)).alias("uptime"))
 
 
-def ranked_percentile(values, share: float, ceiling: bool = False):
-    """Element of a sorted array at floor(share * (n - 1)), or at min(floor(share * n), n - 1)."""
-    n = F.size(values)
-    place = F.least(F.floor(n * share), (n - 1).cast("long")) if ceiling else F.floor((n - 1) * share)
-    return F.get(values, place.cast("int"))
+def ranked_percentiles(df: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
+    """lower and upper of each group: the values at places floor(share * (n - 1)) and min(floor(share * n), n - 1)
+    of its sorted values, not interpolated. Null values don't count."""
+    at = Window.partitionBy(*keys)
+    rows = df.where(F.col(value).isNotNull()).select(*keys, value, (F.row_number().over(at.orderBy(value)) - 1).alias("_r"), F.count("*").over(at).alias("_n"))
+    n, r = F.col("_n"), F.col("_r")
+    pick = lambda place: F.max(F.when(r == place, F.col(value)))
+    return rows.groupBy(*keys).agg(pick(F.floor((n - 1) * share)).alias("lower"), pick(F.least(F.floor(n * share), n - 1)).alias("upper"))
 
 
 def failure_runs(df: DataFrame, unit: str, order: list[str], ok) -> DataFrame:
@@ -30,12 +33,16 @@ def failure_runs(df: DataFrame, unit: str, order: list[str], ok) -> DataFrame:
 def ewma(df: DataFrame, unit: str, order: list[str], value: str, ok, alpha: float = 0.3, penalty: float = 1000.0) -> DataFrame:
     """``score`` of each unit: exponential mean of the values in order, plus a penalty for each failure.
 
-    The history of a unit is folded in order; a unit's history must fit in one row (a proxy's does).
+    A step is s -> alpha * v + (1 - alpha) * s after a success and s -> s + penalty after a failure, from the first
+    value on. Unrolled, each step's own part counts (1 - alpha) to the number of later successes, so the
+    score is a sum over events and no unit's history has to fit in one row.
     """
-    events = df.groupBy(unit).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("v"), ok.alias("ok")))).alias("e"))
-    first = F.get("e", F.lit(0))["v"]
-    fold = F.aggregate("e", first, lambda s, x: F.when(x["ok"], alpha * x["v"] + (1 - alpha) * s).otherwise(s + penalty))
-    return events.select(unit, F.size("e").cast("long").alias("n"), fold.alias("score"))
+    later = Window.partitionBy(unit).orderBy(*(F.desc(c) for c in order)).rowsBetween(Window.unboundedPreceding, -1)
+    v = F.col(value).cast("double")
+    part = F.when(ok, alpha * v).otherwise(penalty) * F.pow(F.lit(1 - alpha), F.coalesce(F.sum(ok.cast("int")).over(later), F.lit(0)))
+    rows = df.select(unit, *order, v.alias("_v"), ok.alias("_ok"), part.alias("_part"))
+    start = F.min_by("_v", F.struct(*order)) * F.pow(F.lit(1 - alpha), F.count_if("_ok"))
+    return rows.groupBy(unit).agg(F.count("*").alias("n"), (start + F.sum("_part")).alias("score"))
 
 
 def health(df: DataFrame, unit: str, order: list[str], ok, threshold: int = 3) -> DataFrame:

@@ -52,8 +52,10 @@ lists AS (SELECT proxy, count(*) AS n, avg(response_time_ms) AS mean, min(respon
 SELECT proxy, n, round(mean, 4) AS mean, least, most, a[CAST(floor(0.95::DOUBLE * (n - 1)) AS INT) + 1] AS p95, a[CAST(least(floor(0.95::DOUBLE * n), n - 1) AS INT) + 1] AS p95_upper FROM lists"""))
 def latency_p95(spark, sf_dir):
     """Latencies of each proxy, with both rank-based 95th percentiles."""
-    by = telemetry(spark, sf_dir).groupBy("proxy").agg(F.count("*").alias("n"), F.round(F.avg("response_time_ms"), 4).alias("mean"), F.min("response_time_ms").alias("least"), F.max("response_time_ms").alias("most"), F.array_sort(F.collect_list("response_time_ms")).alias("a"))
-    return by.select("proxy", "n", "mean", "least", "most", T.ranked_percentile(F.col("a"), 0.95).alias("p95"), T.ranked_percentile(F.col("a"), 0.95, ceiling=True).alias("p95_upper"))
+    rows = telemetry(spark, sf_dir)
+    by = rows.groupBy("proxy").agg(F.count("*").alias("n"), F.round(F.avg("response_time_ms"), 4).alias("mean"), F.min("response_time_ms").alias("least"), F.max("response_time_ms").alias("most"))
+    ranks = T.ranked_percentiles(rows, ["proxy"], "response_time_ms", 0.95)
+    return by.join(ranks, "proxy").select("proxy", "n", "mean", "least", "most", F.col("lower").alias("p95"), F.col("upper").alias("p95_upper"))
 
 
 RUNS_SQL = """,

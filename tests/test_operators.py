@@ -93,9 +93,9 @@ def test_interpolation_is_level_beyond_the_anchors(spark):
 
 
 def test_ranked_percentile_is_not_interpolated(spark):
-    values = F.array(*(F.lit(float(k)) for k in range(1, 21)))
-    row = spark.range(1).select(telemetry.ranked_percentile(values, 0.95).alias("a"), telemetry.ranked_percentile(values, 0.95, True).alias("b")).first()
-    assert tuple(row) == (19.0, 20.0)
+    df = spark.createDataFrame([("g", float(k)) for k in range(1, 21)] + [("g", None), ("one", 7.0)], "g string, v double")
+    got = {r.g: (r.lower, r.upper) for r in telemetry.ranked_percentiles(df, ["g"], "v", 0.95).collect()}
+    assert got == {"g": (19.0, 20.0), "one": (7.0, 7.0)}
 
 
 def test_upsert_is_idempotent(spark):
