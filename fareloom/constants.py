@@ -31,3 +31,6 @@ SURGE_NORMS = {"z": 3.5, "multiple": 1.5, "dod": 0.50, "volatility": 0.50, "conc
 SURGE_LEVELS = {"critical": 0.65, "warning": 0.35}
 Z_WARNING, Z_CRITICAL, DOD_CRITICAL, MULTIPLE_LIMIT, HHI_LIMIT, HHI_Z = 2.0, 3.0, 0.40, 2.50, 0.40, 2.5
 EPSILON = 1e-9
+
+#: Cities as traffic tables spell them, and their airports.
+CITY_CODES = {"DELHI": "DEL", "BENGALURU": "BLR", "BANGALORE": "BLR", "KOLKATA": "CCU", "CHENNAI": "MAA", "HYDERABAD": "HYD", "GOA": "GOI", "PUNE": "PNQ", "AHMEDABAD": "AMD", "KOCHI": "COK"}

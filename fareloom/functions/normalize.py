@@ -3,7 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fareloom.constants import STATUS_ALIASES
+from fareloom.constants import CITY_CODES, STATUS_ALIASES
 
 
 def code(value: Column) -> Column:
@@ -96,3 +96,20 @@ def reasons(*checks: tuple[Column, str]) -> Column:
 def cites_source(value: Column) -> Column:
     """True for a text that holds a link."""
     return F.coalesce(value.contains("http://") | value.contains("https://"), F.lit(False))
+
+
+def city_code(value: Column) -> Column:
+    """Airport of a city name; every spelling of Mumbai and Navi Mumbai is one place, unknown cities are null."""
+    name = code(value)
+    known = F.create_map(*(F.lit(x) for pair in CITY_CODES.items() for x in pair))
+    return F.when(name.rlike("^(NAVI )?MUMBAI"), "BOM").otherwise(F.try_element_at(known, F.regexp_extract(name, "^([A-Z]+)", 1)))
+
+
+def iata(value: Column) -> Column:
+    """Three letters in upper case, null for anything else."""
+    return F.when(code(value).rlike("^[A-Z]{3}$"), code(value))
+
+
+def carrier_code(value: Column) -> Column:
+    """Two letters or digits in upper case, null for anything else."""
+    return F.when(code(value).rlike("^[A-Z0-9]{2}$"), code(value))

@@ -1,7 +1,8 @@
 """Quotes of a flight from several portals, resolved to the least payable fare: as a stream and in batch.
 
 The stream keeps, for each flight, the last quote of each portal. A portal that raises its fare can raise the
-flight's least fare. State that was not touched for the retention time goes.
+flight's least fare. State goes once the watermark is the retention time past
+the flight's newest quote.
 """
 
 from collections.abc import Iterator
@@ -61,11 +62,11 @@ def resolve_stream(stream: DataFrame, window: str = "300 seconds", retention_ms:
             same = known is not None and abs(known[0] - float(q.fare)) < EPSILON
             rows.append((key[0], q.portal, q.event_time, q.seq, float(q.fare), least, max(now) - least if now else None, len(portals), lower, same, late))
         state.update((json.dumps(portals), newest.to_pydatetime()))
-        state.setTimeoutDuration(retention_ms)
+        state.setTimeoutTimestamp(max(int(newest.timestamp() * 1000), state.getCurrentWatermarkMs() + 1) + retention_ms)
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in OUTPUT.split(", ")])
 
     marked = stream.withWatermark("event_time", window)
-    return marked.groupBy("flight").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return marked.groupBy("flight").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def resolved_flights(stream: DataFrame, window: str = "300 seconds") -> DataFrame:

@@ -40,3 +40,17 @@ def test_updating_table(spark, tmp_path):
     for flight, portal, at, seq, fare, _ in rows:
         expected[flight, portal] = max(expected.get((flight, portal), (at, seq, fare)), (at, seq, fare))
     assert {(r.flight, r.portal): r.fare for r in table.collect()} == {k: v[2] for k, v in expected.items()}
+
+
+def test_scores_equal_the_batch_window(spark, tmp_path):
+    from fareloom.operators.anomaly import rolling_rows
+    from fareloom.streaming.anomaly import append_alerts, evaluate_stream
+
+    rows, _ = feed(spark, tmp_path)
+    stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")).selectExpr("flight AS key", "event_time", "seq", "fare")
+    scored = evaluate_stream(stream, 5, "1 hour")
+    got = {r.seq: (r.n_base, r.mean and round(r.mean, 6)) for r in run(scored, tmp_path, "append", "scores").collect()}
+    twin = rolling_rows(spark.createDataFrame(rows, SCHEMA), ["flight"], "seq", "fare", 5)
+    assert got == {r.seq: (r.n_base, r.mean and round(r.mean, 6)) for r in twin.collect()}
+    append_alerts(scored, str(tmp_path / "alerts"), str(tmp_path / "alerts-checkpoint"), 1.0).awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "alerts")).where("abs(z) < 1").count() == 0
