@@ -14,7 +14,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Links every neighbour (large: those above the node; small: those below) to the node's least one."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = both if large else both.where("b < a")
-    least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
+    # read from files rather than from the same shuffle: the join can then split a node with very many edges
+    least = materialize(near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least")), "least")
     if large:
         links = both.where("b > a").join(least, "a").select(F.col("b").alias("x"), "least")
     else:

@@ -167,11 +167,14 @@ def _bucket_links(entries: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
+    """The pairs (a, b) whose full shingle sets are similar enough; an id with several rows may repeat a pair.
+
+    Nothing that needs a document's pairs together stands on these joins: Spark may split a document with many.
+    """
     both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a")
     common = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - common
-    return both.where(100 * common >= settings.percent * union).select("a", "b").distinct()
+    return both.where(100 * common >= settings.percent * union).select("a", "b")
 
 
 def _comparable(left, right, settings: Settings):
@@ -252,6 +255,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     classes = materialize(filled.groupBy("n_shingles", "digest_a", "digest_b").agg(F.min("doc_id").alias("doc_id"), F.first("signatures").alias("signatures")), "classes")
     found = materialize(_bucket_links(_entries(classes, settings)), "buckets")
     sizes = classes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("size")).groupBy("node").agg(F.when(F.min("size") == F.max("size"), F.max("size")).alias("size"))
+    sizes = materialize(sizes, "sizes")
 
     def sized(pairs: DataFrame) -> DataFrame:
         a, b = sizes.select(F.col("node").alias("a"), F.col("size").alias("size_a")), sizes.select(F.col("node").alias("b"), F.col("size").alias("size_b"))

@@ -290,3 +290,23 @@ def test_no_labels_keep_what_the_base_rule_keeps(spark):
     judged, rules = judge(rows, labels)
     assert not rules.rules and all(r.kept != r.base_failed for r in judged.collect())
     assert keep_good(rows, labels).columns == rows.columns and keep_good(rows, labels).count() == 1
+
+
+# -- very long texts --------------------------------------------------------------------------------
+
+
+def test_a_very_long_text_and_its_copy(spark):
+    rng = random.Random(9)
+    long = " ".join(f"w{rng.randrange(50_000)}" for _ in range(120_000))
+    docs = spark.createDataFrame([(1, long), (2, "short text of six words here"), (3, long + " end")], "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert {r.doc_id: r.component_id for r in near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 1}
+    kept, (n_words, n_removed) = remove_repeats(docs)
+    assert {r.doc_id: (r[n_words], r[n_removed]) for r in kept.collect()} == {1: (120_000, 0), 2: (6, 0), 3: (120_001, 120_000)}
+    judged, _ = judge(docs, labels)
+    assert {r.doc_id: r.n_words for r in judged.collect()} == {1: 120_000, 2: 6, 3: 120_001}
+    path = Q.vocabulary("word_bpe_49k.json")
+    pieces = pack(docs, path, 1).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("all")).collect()
+    assert all(r.n == r["all"] for r in pieces) and len(pieces) == 3
+    counts = {r.doc_id: r for r in count_tokens(docs, Q.vocabulary("byte_bpe_50k.json")).collect()}
+    assert counts[1].n_bytes == len(long) and counts[1].over_limit and not counts[2].over_limit
