@@ -10,7 +10,7 @@ import numpy as np
 import zstandard
 
 import corpus_pipeline
-from fareloom.llm import decontamination, queries as Q
+from fareloom.llm import decontamination, html_extract, queries as Q
 from fareloom.llm.decontamination import contaminated_pairs, drop_contaminated, greedy_tiles
 from fareloom.llm.html_blocks import page_blocks
 from fareloom.llm.html_extract import extract, repeated_tokens, suffix_ranks
@@ -90,6 +90,40 @@ def test_boilerplate_of_a_host_goes_and_unique_runs_stay(spark):
     assert extract(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_boilerplate_counts_over_all_pages_of_a_large_host(spark, monkeypatch):
+    rng = random.Random(4)
+    words = lambda n: " ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    some = [words(30) for _ in range(6)]
+    rows = []
+    for host, n, length in (("few.example", 3, 400), ("long.example", 20, 500), ("skew.example", 40, 60), ("small.example", 5, 20)):
+        for k in range(n):
+            length_here = 4000 if (host, k) == ("skew.example", 0) else length
+            used = [t for j, t in enumerate(some) if (k + j) % (j + 1) == 0]
+            rows.append((len(rows), f"http://{host}/{k}", f"<p>{words(length_here)}</p>" + "".join(f"<div>{t} {words(9)}</div>" for t in used)))
+
+    def brute_force(of_host, depth=8):
+        tokens = {r[0]: re.sub("<[^>]*>", " ", r[2]).split() for r in of_host}
+        runs = {}
+        for p, t in tokens.items():
+            for k in range(len(t) - depth + 1):
+                runs.setdefault(tuple(t[k : k + depth]), set()).add(p)
+        needed = max(3, -(-len(tokens) // 5))
+        out = {}
+        for p, t in tokens.items():
+            gone = {k + j for k in range(len(t) - depth + 1) if len(runs[tuple(t[k : k + depth])]) >= needed for j in range(depth)}
+            out[p] = " ".join(w for k, w in enumerate(t) if k not in gone)
+        return out
+
+    expected = {}
+    for host in {r[1].split("/")[2] for r in rows}:
+        expected |= brute_force([r for r in rows if r[1].split("/")[2] == host])
+    table = spark.createDataFrame(rows, PAGES)
+    monkeypatch.setattr(html_extract, "GROUP_BYTES", 2000)
+    for name, value in (("PART_BYTES", 1500), ("PART_PAGES", 4)):
+        monkeypatch.setattr(html_extract, name, value, raising=False)
+        assert {r.page_id: r.text for r in extract(table).collect()} == expected
+
+
 def test_archives_round_trip(spark, tables, tmp_path):
     big = "<p>" + "long payload é " * 100
     rows = odd_pages(spark, [(7, "u7", big), (8, "u8\r\nX: y", big), (9, "u9", big), (None, "n", big), (10, "a", "short"), (11, "b", "short")])
