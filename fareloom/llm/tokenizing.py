@@ -76,7 +76,7 @@ def _fewer_pieces(texts: pa.Array) -> pa.Array:
     letter of one case only, or with the opening of a special string are left as they are.
     """
     plain = pc.invert(pc.match_substring_regex(texts, pattern=r"\pM|<\|"))
-    cut = pc.replace_substring_regex(texts, pattern=r"([A-Za-zÀ-ÿ])([.,!?;:*$%&#\"()])", replacement=r"\1 \2")
+    cut = pc.replace_substring_regex(texts, pattern=r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,!?;:*$%&#\"()])", replacement=r"\1 \2")
     return pc.if_else(plain, pc.ascii_lower(cut), texts)
 
 

@@ -71,6 +71,15 @@ def test_ids_equal_the_library():
         assert ids[a:b].tolist() == [*load_tokenizer(path).encode(t, add_special_tokens=False).ids, 2], repr(t)
 
 
+def test_ids_of_letters_and_signs_before_punctuation():
+    path = Q.vocabulary("word_bpe_49k.json")
+    firsts = [*map(chr, range(0xC0, 0x100)), "a", "Z"]  # with the signs of multiplication and division
+    texts = ["3\u00d7(4+5)", "6\u00f7(2)"] + [f"x {c}{p}(y {c}{p} 3{c}{p}z" for c in firsts for p in '.,!?;:*$%&#"()']
+    ids, bounds, _ = encode_texts(as_text(pa.array(texts)), path, 2)
+    for t, a, b in zip(texts, bounds, bounds[1:]):
+        assert ids[a:b].tolist() == [*load_tokenizer(path).encode(t, add_special_tokens=False).ids, 2], repr(t)
+
+
 def test_token_counts(spark, tables):
     path = Q.vocabulary("byte_bpe_50k.json")
     rng = random.Random(4)
