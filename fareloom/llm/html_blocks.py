@@ -15,6 +15,10 @@ DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search fo
 DROPPED_WORDS = frozenset(
     "ad ads advert advertisement advertising adbox banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notification pagination popup promo promoted recommended related respond sharing share sidebar signup skip social sponsor sponsored subscribe tagcloud toolbar widget".split()
 )
+#: Elements that don't swallow an article or main inside them even if they are closed; and those that always do.
+WRAPPING_TAGS, SWALLOWING_TAGS = frozenset(("form",)), frozenset("aside template noscript".split())
+#: First words of class names that say something about an article or main other than what it is ("has-sidebar", "tag-cookie").
+QUALIFYING_WORDS = frozenset("category has hide no not show tag with without".split())
 _SPLIT_WORDS = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 _ATTRIBUTE_WORDS = {}
 
@@ -31,11 +35,16 @@ def _is_marked(value: str) -> bool:
     return known
 
 
+def _unqualified(value: str) -> str:
+    return " ".join(name for name in value.split() if _SPLIT_WORDS.split(name, maxsplit=1)[0].lower() not in QUALIFYING_WORDS)
+
+
 class _Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool]] = []  # tag, dropped inside, content inside
-        self.dropped = self.content = False
+        # tag, dropped inside, content inside, dropped for good inside, blocks in front of an element dropped by its tag
+        self.stack: list[tuple[str, bool, bool, bool, int | None]] = []
+        self.dropped = self.content = self.marked = False
         self.blocks: list[tuple[str, int]] = []
         self.parts: list[str] = []
         self.language = ""
@@ -48,7 +57,7 @@ class _Blocks(HTMLParser):
             self.parts = []
 
     def _restore(self):
-        _, self.dropped, self.content = self.stack[-1] if self.stack else ("", False, False)
+        _, self.dropped, self.content, self.marked, _ = self.stack[-1] if self.stack else ("", False, False, False, None)
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK_TAGS:
@@ -60,22 +69,22 @@ class _Blocks(HTMLParser):
             self.language = given.get("lang") or given.get("xml:lang") or ""
         if tag in VOID_TAGS:
             return
-        content, dropped = self.content or tag in CONTENT_TAGS, self.dropped
-        if tag in CONTENT_TAGS and not self._inside_marked():
-            dropped = False  # an unclosed menu or head in front of the article doesn't swallow it
+        content, dropped, marked, before = self.content or tag in CONTENT_TAGS, self.dropped, self.marked, None
+        if tag in CONTENT_TAGS and not marked:
+            dropped = False  # an unclosed menu or head in front of the article doesn't swallow it; see handle_endtag
         if tag == "body":
-            dropped = False
-        if tag in DROPPED_TAGS or (tag == "header" and not self.content) or (given.get("role") or "").lower() in DROPPED_ROLES:
-            dropped = True
-        elif tag not in ("html", "body") and tag not in CONTENT_TAGS and any(_is_marked(given[k]) for k in ("class", "id") if given.get(k)):
-            dropped = True
-        elif "hidden" in given or (given.get("aria-hidden") or "").lower() == "true":
-            dropped = True
-        self.stack.append((tag, dropped, content))
-        self.dropped, self.content = dropped, content
-
-    def _inside_marked(self):
-        return any(tag in ("aside", "template", "noscript") for tag, _, _ in self.stack)
+            dropped = marked = False
+            self.stack = [(*entry[:4], None) for entry in self.stack]
+        if tag in DROPPED_TAGS or (tag == "header" and not self.content):
+            dropped, marked = True, marked or tag in SWALLOWING_TAGS
+            before = None if tag in WRAPPING_TAGS else len(self.blocks)
+        names = [given[k] for k in ("class", "id") if given.get(k)] if tag not in ("html", "body") else []
+        if tag in CONTENT_TAGS:
+            names = map(_unqualified, names)
+        if (given.get("role") or "").lower() in DROPPED_ROLES or any(map(_is_marked, names)) or "hidden" in given or (given.get("aria-hidden") or "").lower() == "true":
+            dropped = marked = True
+        self.stack.append((tag, dropped, content, marked, before))
+        self.dropped, self.content, self.marked = dropped, content, marked
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID_TAGS or tag not in BLOCK_TAGS:
@@ -88,6 +97,8 @@ class _Blocks(HTMLParser):
             self._end_block()
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == tag:
+                if self.stack[k][4] is not None:  # it was closed after all, with what articles it has
+                    del self.blocks[self.stack[k][4] :]
                 del self.stack[k:]
                 self._restore()
                 return
@@ -101,14 +112,15 @@ def page_blocks(html: str | None) -> tuple[list[tuple[str, int]], str]:
     """Blocks (text with single spaces, CONTENT inside article or main, else PLAIN) and the declared language.
 
     Left out: head, scripts, styles, menus, headers, footers, sidebars, forms, and elements whose class, id
-    or role says that they are one of these, a notice, an advert or comments. Where a page has text in
-    an article or main element, only that is returned.
+    or role says that they are one of these, a notice, an advert or comments; articles inside these as well,
+    but for those in forms and behind an unclosed tag. Where articles and main hold less than half of the
+    text, they are teasers and not the content: all blocks are PLAIN.
     """
     parser = _Blocks()
     parser.feed(html or "")
     parser.close()
     parser._end_block()
     blocks = parser.blocks
-    if any(zone == CONTENT for _, zone in blocks):
-        blocks = [b for b in blocks if b[1] == CONTENT]
+    if 2 * sum(len(text) for text, zone in blocks if zone == CONTENT) < sum(len(text) for text, _ in blocks):
+        blocks = [(text, PLAIN) for text, _ in blocks]
     return blocks, parser.language

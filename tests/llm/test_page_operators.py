@@ -63,6 +63,21 @@ def test_blocks_leave_out_what_is_not_text():
     assert page_blocks("<nav>unclosed <article>text</article>")[0] == [("text", 1)]
 
 
+def test_text_outside_articles_stays_and_dropped_articles_go():
+    texts = lambda html: [t for t, _ in page_blocks(html)[0]]
+    post = "<div class='post-content'><p>the post itself, a long text</p></div>"
+    assert texts(post + "<section class='related'><article>teaser</article></section>") == ["the post itself, a long text"]
+    assert texts(post + "<div id='comments'><article class='comment-body'>nice</article></div>") == ["the post itself, a long text"]
+    assert texts(post + "<div><article class='comment'>nice</article><article id='user-comment-2'>so</article></div>") == ["the post itself, a long text"]
+    assert texts(post + "<footer><article>teaser</article></footer><nav><main>menu</main></nav><div role='search'><main>x</main></div>") == ["the post itself, a long text"]
+    assert page_blocks(post + "<article>teaser</article>")[0] == [("the post itself, a long text", 0), ("teaser", 0)]
+    assert page_blocks("<p>lead</p><article>the article itself</article><p>end</p>")[0] == [("lead", 0), ("the article itself", 1), ("end", 0)]
+    assert texts("<main class='has-sidebar'><article class='post tag-cookie'>text</article></main>") == ["text"]
+    assert texts("<form><main>whole page</main></form>") == ["whole page"]
+    assert texts("<head><title>t</title><nav>menu<article>one</article><nav>x</nav>") == ["one"]
+    assert texts("<head><body><main>text</main></body></head>") == ["text"]
+
+
 def test_extraction_of_the_table(spark, tables):
     got = {r.page_id: r for r in Q.op5_html_extraction(spark, tables).collect()}
     for p in pages(spark, tables).collect():
