@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fareloom.llm.storage import materialize
+from fareloom.llm.storage import fresh, materialize
 
 #: Characters that end a word; fixed by the definition of words.
 WHITE_SPACE = " \t\n\x0b\x0c\r"
@@ -28,12 +28,6 @@ BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 FEATURES = ["n_words", "mean_word_chars", "symbols_per_word", "dup_lines_per_word", "repeat_share", "upper_share", "marks_per_word"]
 
 
-def _fresh(df: DataFrame, name: str) -> str:
-    while name in df.columns:
-        name = f"_{name}"
-    return name
-
-
 def with_statistics(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
     """``docs`` and a struct column of statistics, with that column's name.
 
@@ -41,7 +35,7 @@ def with_statistics(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str
     as a long). A null or empty text has all counts 0 and all ratios 0. No row is shuffled; the cost of
     a text is that of sorting its word windows.
     """
-    body, words, grams, spots, places, stats = (_fresh(docs, f"_quality_{k}") for k in ("text", "words", "grams", "spots", "places", "stats"))
+    body, words, grams, spots, places, stats = (fresh(f"_quality_{k}", docs) for k in ("text", "words", "grams", "spots", "places", "stats"))
     keep = [F.col(f"`{c}`") for c in docs.columns]
     step = docs.withColumn(body, F.coalesce(F.col(text).cast("string"), F.lit("")))
     step = step.withColumn(words, F.filter(F.split(body, f"{_SPACE_CLASS}+"), lambda w: w != ""))
@@ -72,7 +66,7 @@ def with_statistics(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str
                     (F.length(body) - without("!|")).cast("long").alias("_n_marks"),
                 ).alias("s")
             )
-        ).alias(*(names := [_fresh(docs, f"_quality_s{k}") for k in range(7)])),
+        ).alias(*(names := [fresh(f"_quality_s{k}", docs) for k in range(7)])),
     )
     n_words, word_chars, n_symbols, n_dup, n_repeat, n_upper, n_marks = (F.col(c) for c in names)
     per = lambda x, y: F.coalesce(F.try_divide(x.cast("double"), y.cast("double")), F.lit(0.0))
@@ -229,7 +223,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
 
     ``labels`` has doc_id and quality (1 good, 0 low; of repeated labels the lowest counts; null ids and
     labels don't). ``kept`` is false where the base rule fails, else the list's verdict. With ``carry``
-    the columns of ``docs`` come along in front of a struct column ``_judged``, else ``id_col`` and the
+    the columns of ``docs`` come along in front of a struct column ``_judged`` (with more underscores where ``docs`` has that name), else ``id_col`` and the
     statistics are returned. Every row of ``docs`` is returned, repeated ids and null ids included; an
     empty table gives an empty result.
     """
@@ -240,11 +234,11 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     s = F.col(stats)
     verdict = ~base_failed(stats) & rules.verdict(stats)
     if carry:
-        return rows.select(*(F.col(f"`{c}`") for c in docs.columns), F.struct(*(s[c] for c in BASE), base_failed(stats).alias("base_failed"), verdict.alias("kept")).alias("_judged")), rules
+        return rows.select(*(F.col(f"`{c}`") for c in docs.columns), F.struct(*(s[c] for c in BASE), base_failed(stats).alias("base_failed"), verdict.alias("kept")).alias(fresh("_judged", docs))), rules
     return rows.select(F.col(id_col), *(s[c].alias(c) for c in BASE), base_failed(stats).alias("base_failed"), verdict.alias("kept")), rules
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the base rule and the learned list keep, with their own columns."""
     judged, _ = judge(docs, labels, id_col, text, carry=True)
-    return judged.where(F.col("_judged.kept")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return judged.where(F.col(fresh("_judged", docs))["kept"]).select(*(F.col(f"`{c}`") for c in docs.columns))

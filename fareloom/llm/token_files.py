@@ -26,6 +26,8 @@ from fareloom.llm.tokenizing import encode_texts, load_tokenizer
 
 SEQUENCE = 1024
 ROWS_PER_BATCH = 512
+#: Text of one file.
+FILE_BYTES = 32 << 20
 
 _FILES = "part int, path string, n_docs long, n_tokens long"
 _INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -101,7 +103,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, directory: str, end_id: i
             yield pa.RecordBatch.from_pydict({"part": pa.array([context.partitionId()], pa.int32()), "path": [stem], "n_docs": [n_docs], "n_tokens": [n_tokens]})
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    ordered = narrow.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    size = narrow.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 8), F.lit(0))).first()[0]
+    n_files = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-size // FILE_BYTES))
+    ordered = narrow.repartitionByRange(n_files, "doc_id").sortWithinPartitions("doc_id", "text")
     return materialize(ordered.mapInArrow(write, _FILES), "token-files")
 
 
@@ -124,7 +128,8 @@ def read_token_files(files: DataFrame, directory: str) -> DataFrame:
                 with filesystem.open_input_file(f"{stem}.arrow") as source, filesystem.open_input_file(f"{stem}.index.arrow") as index_source:
                     yield from _digests(pa.ipc.open_file(source), pa.ipc.open_file(index_source), base)
 
-    tasks = placed.select("path", "base", "part").repartition("part").select("path", "base")
+    # a count of its own: without one Spark puts the short list of paths, and with it all files, into one task
+    tasks = placed.select("path", "base").repartition(max(1, len(bases)), "path")
     return tasks.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

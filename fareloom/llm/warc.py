@@ -215,4 +215,5 @@ def read_archives(archives: DataFrame, directory: str) -> DataFrame:
                 if rows:
                     yield out(rows)
 
-    return archives.repartition("part", "path").select("path").mapInArrow(read, _READ)
+    # a count of its own: without one Spark puts the short list of paths, and with it all archives, into one task
+    return archives.select("path").repartition(max(1, archives.count()), "path").mapInArrow(read, _READ)

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fareloom.llm import queries as Q
+from fareloom.llm import queries as Q, substring_dedup
 from fareloom.llm.minhash import Settings, keep_one, near_duplicates
 from fareloom.llm.packing import pack, window_cuts
 from fareloom.llm.quality_rules import judge, keep_good
@@ -319,3 +319,18 @@ def test_a_very_long_text_and_its_copy(spark):
     assert all(r.n == r["all"] for r in pieces) and len(pieces) == 3
     counts = {r.doc_id: r for r in count_tokens(docs, Q.vocabulary("byte_bpe_50k.json")).collect()}
     assert counts[1].n_bytes == len(long) and counts[1].over_limit and not counts[2].over_limit
+
+
+@pytest.mark.parametrize("width", [1, 7, 50])
+def test_remove_repeats_with_a_distributed_sketch(spark, width, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "MOST_CELLS", 0)
+    monkeypatch.setattr(substring_dedup, "CHUNK", 4)
+    rng = random.Random(width)
+    shared = [" ".join(rng.choices("abcdefg", k=60)) for _ in range(3)]
+    extra = [" ".join([*rng.choices("hijklm", k=rng.randrange(40)), rng.choice(shared), *rng.choices("nop", k=rng.randrange(20)), rng.choice(shared)]) for _ in range(25)] + ["und " * 200] * 2
+    rows = odd_docs(spark, extra)
+    rows = rows.union(rows.where("doc_id % 5 = 3"))  # rows with equal ids and texts
+    kept, (n_words, n_removed) = remove_repeats(rows, width, collapse=True)
+    got = Counter((r.doc_id, r.text, r[n_words], r[n_removed]) for r in kept.collect())
+    assert got == brute_repeats([(r.doc_id, r.text) for r in rows.collect()], width)
+    assert remove_repeats(empty_docs(spark))[0].count() == 0
