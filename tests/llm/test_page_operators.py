@@ -4,10 +4,12 @@ import hashlib
 import html as html_lib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
 import zstandard
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fareloom.llm import decontamination, html_extract, queries as Q
@@ -26,7 +28,7 @@ def pages(spark, tables):
 
 def odd_pages(spark, extra=()):
     rows = [(1, "http://a.b/c", None), (2, None, ""), (3, "not a url", "plain < text & more"), (None, "http://a.b/", "<p>x"), (3, "http://a.b/2", "<p>x"), (4, "http://a.b/3", "<div>" * 3000 + "deep"), *extra]
-    return spark.createDataFrame(rows, PAGES).withColumn("digest", spark.range(1).selectExpr("1").first()[0] * __import__("pyspark").sql.functions.lit(1))
+    return spark.createDataFrame(rows, PAGES).withColumn("digest", F.lit(1))
 
 
 def test_suffix_array_against_sorting():
@@ -188,15 +190,28 @@ def plain_tiles(pattern, text, least):
 
 def test_tiles_cover_what_plain_search_covers():
     rng = random.Random(5)
-    for _ in range(150):
-        pattern = [rng.randrange(6) for _ in range(rng.randrange(2, 30))]
+    for n in range(200):
+        letters = 2 + n % 5
+        pattern = [1 + rng.randrange(letters) for _ in range(rng.randrange(2, 30))]
         parts = [pattern[a : a + rng.randrange(2, 12)] for a in rng.choices(range(len(pattern)), k=3)]
-        text = [x for p in parts for x in [rng.randrange(6), *p]]
+        text = [x for p in parts for x in [rng.randrange(letters + 1), *p]]  # 0 matches nothing
         tiles = greedy_tiles(pattern, text, 3)
         for i, j, n in tiles:
             assert pattern[i : i + n] == text[j : j + n] and n >= 3
         assert len({k for i, _, n in tiles for k in range(i, i + n)}) == sum(n for _, _, n in tiles)
-        assert abs(sum(n for _, _, n in tiles) - plain_tiles(pattern, text, 3)) <= 3
+        assert sum(t[2] for t in tiles) == plain_tiles(pattern, text, 3)
+
+
+def test_tiling_of_repetitive_and_long_texts_is_quick():
+    began = time.time()
+    assert greedy_tiles([1] * 400, [1] * 1600, 4) == [(0, 0, 400)]
+    assert time.time() - began < 1
+    rng = random.Random(6)
+    pattern = [rng.choice((1, 2)) for _ in range(300)]
+    text = [rng.choice((1, 2)) for _ in range(60_000)]
+    assert sum(t[2] for t in greedy_tiles(pattern, text, 4)) > 250
+    assert greedy_tiles([1] * 100, [1] * 200_000, 4)[0] == (0, 0, 100)
+    assert time.time() - began < 30
 
 
 def test_contamination(spark, tables, monkeypatch):
@@ -216,9 +231,44 @@ def test_contamination(spark, tables, monkeypatch):
     kept = Counter(map(tuple, drop_contaminated(small, bench).collect()))
     assert kept == Counter(rows) - Counter([rows[0], rows[4]])
     assert contaminated_pairs(small.limit(0), bench).count() == 0 and drop_contaminated(small, bench.limit(0)).count() == len(rows)
-    monkeypatch.setattr(decontamination, "MOST_BROADCAST_BYTES", 0)
-    joined = [tuple(r) for r in contaminated_pairs(small.where("doc_id is not null"), bench).collect()]
-    assert joined == [(1, 9, 16, 16, 2, 8)]
+    bench = spark.createDataFrame([(9, item), (10, "a b"), (11, None), (None, item), (9, item), (12, ""), (13, "x " * 50), (14, " ".join(w[:9]))], "item_id long, text string")
+    many = spark.createDataFrame([*rows, rows[0], (1, "x " * 40 + "y"), (None, None)], "doc_id long, text string").withColumn("digest", F.lit("clash")).withColumn("_gone_id", F.lit(1))
+    both = []
+    for bound in (decontamination.MOST_BROADCAST_BYTES, 0):
+        monkeypatch.setattr(decontamination, "MOST_BROADCAST_BYTES", bound)
+        kept = drop_contaminated(many, bench)
+        assert kept.columns == many.columns
+        assert contaminated_pairs(small.limit(0), bench).count() == 0 and drop_contaminated(small, bench.limit(0)).count() == len(rows)
+        both.append((Counter(map(tuple, contaminated_pairs(many, bench).collect())), Counter(map(tuple, kept.collect()))))
+    assert both[0] == both[1] and both[0][0][1, 9, 16, 16, 2, 8] == 4 and both[0][0][None, None, 16, 16, 1, 16] == 1
+    on_table = Counter(map(tuple, contaminated_pairs(docs, items).collect()))  # by the join
+    assert on_table == Counter(tuple(r)[:6] for r in Q.op2_decontamination(spark, tables).collect()) and {(r[0], r[1]) for r in on_table} == verbatim
+
+
+def test_pairs_against_plain_tiling(spark):
+    """Reordered, cut and mixed passages: every pair's coverage by plain greedy tiling."""
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(40)]
+    opening = rng.choices(vocabulary, k=6)
+    items = [[*opening, *rng.choices(vocabulary, k=rng.randrange(3, 30))] for _ in range(12)]
+    texts = []
+    for _ in range(60):
+        out = rng.choices(vocabulary, k=rng.randrange(20))
+        for _ in range(rng.randrange(4)):
+            item = rng.choice(items)
+            a = rng.randrange(len(item))
+            out += item[a : a + rng.randrange(2, 25)] + rng.choices(vocabulary, k=rng.randrange(4))
+        texts.append(out)
+    code = {w: k + 1 for k, w in enumerate(vocabulary)}
+    expected = {}
+    for d, t in enumerate(texts):
+        for k, i in enumerate(items):
+            covered = plain_tiles([code[x] for x in i], [code[x] for x in t], 4)
+            if covered >= 0.5 * len(i) and covered:
+                expected[d, k] = covered
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string")
+    assert expected and {(r.doc_id, r.item_id): r.covered_tokens for r in contaminated_pairs(docs, bench).collect()} == expected
 
 
 # -- language ---------------------------------------------------------------------------------------
