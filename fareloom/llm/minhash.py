@@ -4,7 +4,7 @@ Two collections of ``bands`` short signatures (``rows`` minhashes each) are comp
 (i, j) is keyed by signature i of the first collection together with signature j of the second, so
 ``bands`` squared tables of 2 * ``rows`` minhashes come from 2 * ``bands`` * ``rows`` minhashes, about the
 square root of what separate tables would take. A pair of similarity s meets in some table with probability
-(1 - (1 - s^rows)^bands)^2; with 12 bands of 3 that is 0.9996 at 0.8 and above 0.9999 from 0.83 on.
+(1 - (1 - s^rows)^bands)^2; with 14 bands of 3 that is 0.9999 at 0.8 and above 0.99998 from 0.83 on.
 
 From candidates to classes, without ever listing the pairs of a bucket:
 
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fareloom.llm.components import connected_components
-from fareloom.llm.storage import materialize
+from fareloom.llm.storage import fresh, materialize
 from fareloom.llm.textwords import as_text, byte_slices, mix, split_words, window_hashes, word_hashes
 
 
@@ -36,7 +36,7 @@ class Settings:
 
     words: int = 5
     percent: int = 80
-    bands: int = 12
+    bands: int = 14
     rows: int = 3
 
 
@@ -121,47 +121,60 @@ def _entries(sketches: DataFrame, settings: Settings) -> DataFrame:
     return sketches.select(F.col("doc_id").alias("node"), F.explode(pairs).alias("key")).select("key", "node")
 
 
-def _bucket_links(entries: DataFrame) -> DataFrame:
+#: Rows of (key, node) that a task sorts.
+_TASK_ENTRIES = 2_000_000
+
+
+def _bucket_links(entries: DataFrame, n_entries: int) -> DataFrame:
     """kind, key, a, b: links (a the least member seen, b another), members of buckets of three and more,
     and the first member of the buckets at the edges of a partition."""
-    ordered = entries.repartitionByRange("key", "node").sortWithinPartitions("key", "node")
+    spark = entries.sparkSession
+    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-n_entries // _TASK_ENTRIES))
+    ordered = entries.repartitionByRange(tasks, "key", "node").sortWithinPartitions("key", "node")
 
     def batch_of(kind, key, a, b):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int64)), pa.array(key), pa.array(a), pa.array(b)], ["kind", "key", "a", "b"])
 
-    def rows_of(key, node, edge_first, edge_last):
-        start = np.ones(len(key), bool)
-        start[1:] = key[1:] != key[:-1]
-        first = np.flatnonzero(start)
-        size = np.diff(np.append(first, len(key)))
-        run = np.cumsum(start) - 1
-        pivot = node[first][run]
-        link = ~start & (node != pivot)
-        crowded = size >= 3
-        edges = ([0] if edge_first else []) + ([len(first) - 1] if edge_last else [])
-        crowded[edges] = True
-        if link.any():
-            yield batch_of(_LINK, key[link], pivot[link], node[link])
-        member = crowded[run]
-        if member.any():
-            yield batch_of(_CROWD, key[member], node[member], node[member])
-        if edges:
-            at = first[np.array(sorted(set(edges)))]
-            yield batch_of(_EDGE, key[at], node[at], node[at])
-
     def run(batches):
-        key = node = np.zeros(0, np.int64)
-        opened = False
+        # of the bucket that is open at the end of a batch: key, least member, members so far, and the
+        # members that are not reported yet (two at most)
+        open_key, pivot, size, held, first_bucket = None, 0, 0, np.zeros(0, np.int64), True
         for batch in batches:
-            key = np.concatenate([key, np.asarray(batch.column(0))])
-            node = np.concatenate([node, np.asarray(batch.column(1))])
-            if not len(key) or key[0] == key[-1]:
+            key, node = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            if not len(key):
                 continue
-            last = int(np.searchsorted(key, key[-1]))  # the last bucket may go on in the next batch
-            yield from rows_of(key[:last], node[:last], not opened, False)
-            key, node, opened = key[last:], node[last:], True
-        if len(key):
-            yield from rows_of(key, node, not opened, True)
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            sizes = np.diff(np.append(starts, len(key)))
+            pivots = node[starts]
+            goes_on = open_key is not None and key[0] == open_key
+            if goes_on:
+                pivots[0] = pivot
+                sizes = sizes.copy()
+                sizes[0] += size
+            elif first_bucket and open_key is not None:  # the partition's first bucket ends with the last batch
+                yield batch_of(_CROWD, np.full(len(held), open_key), held, held)
+                first_bucket, held = False, held[:0]
+            if open_key is None:
+                yield batch_of(_EDGE, key[:1], node[:1], node[:1])
+            index = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(key))))
+            link = node != pivots[index]
+            if link.any():
+                yield batch_of(_LINK, key[link], pivots[index][link], node[link])
+            crowded = sizes >= 3
+            if first_bucket and len(starts) > 1:
+                crowded[0], first_bucket = True, False
+            if goes_on and crowded[0] and len(held):
+                yield batch_of(_CROWD, np.full(len(held), open_key), held, held)
+            kept = held if goes_on and not crowded[0] and len(starts) == 1 else held[:0]
+            member = crowded[index]
+            if member.any():
+                yield batch_of(_CROWD, key[member], node[member], node[member])
+            held = np.concatenate([kept, node[starts[-1] :]]) if not crowded[-1] else held[:0]
+            open_key, pivot, size = key[-1], pivots[-1], int(sizes[-1])
+        if open_key is not None:
+            yield batch_of(_EDGE, np.array([open_key]), np.array([pivot]), np.array([pivot]))
+            if len(held):
+                yield batch_of(_CROWD, np.full(len(held), open_key), held, held)
 
     return ordered.mapInArrow(run, "kind long, key long, a long, b long")
 
@@ -253,7 +266,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     sketches = materialize(_sketches(rows, settings), "sketches")
     filled = sketches.where("n_shingles > 0 and doc_id is not null")
     classes = materialize(filled.groupBy("n_shingles", "digest_a", "digest_b").agg(F.min("doc_id").alias("doc_id"), F.first("signatures").alias("signatures")), "classes")
-    found = materialize(_bucket_links(_entries(classes, settings)), "buckets")
+    found = materialize(_bucket_links(_entries(classes, settings), classes.count() * settings.bands**2), "buckets")
     sizes = classes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("size")).groupBy("node").agg(F.when(F.min("size") == F.max("size"), F.max("size")).alias("size"))
     sizes = materialize(sizes, "sizes")
 
@@ -267,7 +280,12 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     pairs = materialize(sized(pairs), "pairs")
     involved = found.where(F.col("kind") != _LINK).select(F.col("a").alias("doc_id")).union(pairs.select("a")).union(pairs.select("b")).distinct()
     sets = materialize(_full_sets(rows.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), settings), "shingle-sets")
-    links = materialize(_confirmed(pairs, sets, settings), "links")
+    # an id whose rows have different sets is one document: its classes are linked
+    of_class = ["n_shingles", "digest_a", "digest_b"]
+    several = sketches.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    shared = filled.join(several, "doc_id", "left_semi").select("doc_id", *of_class).join(classes.select(*of_class, F.col("doc_id").alias("node")), of_class)
+    same_id = materialize(shared.select(F.least("doc_id", "node").alias("a"), F.greatest("doc_id", "node").alias("b")).where("a < b").distinct(), "links-of-ids")
+    links = materialize(_confirmed(pairs, sets, settings).unionByName(same_id), "links")
     components = materialize(connected_components(links), "components")
 
     crowd = found.where(F.col("kind") == _CROWD).select("key", F.col("a").alias("node"))
@@ -279,13 +297,24 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
 
     by_class = classes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.col("digest_a").alias("da"), F.col("digest_b").alias("db"))
     placed = by_class.join(components, "node", "left").select("n", "da", "db", F.coalesce("component", "node").alias("component"))
-    # an id whose rows have different sets joins their components
-    out = sketches.join(placed, (sketches.n_shingles == placed.n) & (sketches.digest_a == placed.da) & (sketches.digest_b == placed.db), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.coalesce(component == F.col("doc_id"), F.lit(True))).alias("kept"))
+    of_row = (filled.n_shingles == placed.n) & (filled.digest_a == placed.da) & (filled.digest_b == placed.db)
+    judged = filled.join(placed, of_row).select("doc_id", "n_shingles", "component")
+    empty = sketches.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles")
+    empty = empty.join(components.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
+    out = judged.unionByName(empty)
+    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` keeps, with their own columns."""
-    gone = near_duplicates(docs, settings, id_col, text).where(~F.col("kept")).select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone_id"), "left_anti")
+    """The rows of ``docs`` that ``near_duplicates`` keeps, with their own columns.
+
+    Rows that share an id are one document, kept or not as a whole; of those of them with equal texts one stays.
+    """
+    key = fresh("gone_id", docs)
+    gone = near_duplicates(docs, settings, id_col, text).where(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct()
+    left = docs.join(gone, F.col(id_col).cast("long") == F.col(key), "left_anti")
+    several = materialize(docs.groupBy(F.col(id_col).cast("long").alias(key)).agg(F.count("*").alias("rows")).where(f"rows > 1 and `{key}` is not null").select(key), "repeated-ids")
+    if several.isEmpty():
+        return left
+    same = F.col(id_col).cast("long") == F.col(key)
+    return left.join(several, same, "left_anti").unionByName(left.join(several, same, "left_semi").dropDuplicates([id_col, text]))

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fareloom.llm import queries as Q, substring_dedup
+from fareloom.llm import minhash, queries as Q, substring_dedup
 from fareloom.llm.minhash import Settings, keep_one, near_duplicates
 from fareloom.llm.packing import pack, window_cuts
 from fareloom.llm.quality_rules import judge, keep_good
@@ -200,6 +200,47 @@ def copies(seed):
     return out
 
 
+@pytest.mark.parametrize("batch_rows", [1, 3, 10_000])
+def test_bucket_links_by_batches(spark, batch_rows):
+    """Links, members of crowded buckets and edges, whatever batches a partition comes in."""
+    rng = random.Random(batch_rows)
+    rows = sorted((key, node) for key in range(30) for node in rng.sample(range(100), rng.choice((1, 1, 2, 2, 3, 4, 9))))
+    given = spark.createDataFrame(rows, "key long, node long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch_rows)
+    try:
+        found = minhash._bucket_links(given, len(rows)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+    buckets = defaultdict(list)
+    for key, node in rows:
+        buckets[key].append(node)
+    edges = defaultdict(set)
+    for r in found:
+        if r.kind == minhash._EDGE:
+            edges[r.key].add(r.a)
+    links = {(r.key, r.a, r.b) for r in found if r.kind == minhash._LINK}
+    crowd = Counter((r.key, r.a) for r in found if r.kind == minhash._CROWD)
+    assert set(crowd.values()) == {1}
+    for key, nodes in buckets.items():
+        joined = {min(nodes)}  # by links, and by the least members of the parts of a bucket over partitions
+        for _ in nodes:
+            joined |= {b for k, a, b in links if k == key and a in joined} | (edges[key] if edges[key] & joined else set())
+        assert joined == set(nodes)
+        if len(nodes) >= 3:
+            assert {n for k, n in crowd if k == key} == set(nodes)
+
+
+def test_rows_that_share_an_id_are_one_document(spark):
+    t, u, v = (" ".join(f"{c}{k}" for k in range(30)) for c in "tuv")
+    rows = [(1, t), (5, t), (5, u), (7, u), (7, v), (9, v), (9, v), (9, None), (None, t), (11, "x y z"), (11, "x y z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("gone_id", F.lit("clash")).withColumn("rows", F.lit(2))
+    got = near_duplicates(docs).collect()
+    assert Counter((r.doc_id, r.component_id) for r in got) == Counter((d, None if d is None else 11 if d == 11 else 1) for d, _ in rows)
+    kept = keep_one(docs)
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(1, t), (None, t), (11, "x y z")])
+
+
 @pytest.mark.parametrize("width, seed", [(2, 1), (5, 2)])
 def test_near_duplicates(spark, width, seed):
     rows = odd_docs(spark, copies(seed))
