@@ -9,7 +9,8 @@
 * The prior of a host is smoothed towards its domain, the domain towards its suffix and the suffix towards
   the whole corpus; all counts come from grouped aggregation and a page's own vote is taken out.
 
-Counts cover all pages. Only per-language totals and the trigram model, both of fixed size, reach the driver.
+Counts cover all pages. Only per-language totals and the trigram model reach the driver: their size is that of
+the number of languages, not of the pages or texts. Every language of the labelled texts is fitted.
 """
 
 import numpy as np
@@ -21,10 +22,11 @@ from fareloom.llm.html_blocks import page_blocks
 from fareloom.llm.storage import materialize
 from fareloom.llm.textwords import as_text, byte_slices
 
-#: Trigram buckets, texts a language that the model is fitted on (in expectation), most languages.
+#: Trigram buckets, and distinct texts a language that the model is fitted on (in expectation).
 BUCKETS = 1 << 15
 TRAINING_TEXTS = 2_000
-MOST_LANGUAGES = 64
+#: Bytes of a model that is broadcast at most (128 kB a language): more languages than that are an error.
+MOST_MODEL_BYTES = 512 << 20
 #: Trigrams that count in full; a longer text counts as if it had so many.
 FULL_TRIGRAMS = 60
 
@@ -53,18 +55,21 @@ def _trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit_text_model(labelled: DataFrame, language: str = "lang", text: str = "text", texts: int = TRAINING_TEXTS) -> tuple[list[str], np.ndarray]:
-    """Languages and their log probabilities of trigrams, from about ``texts`` texts of each language.
+    """Languages and their log probabilities of trigrams, from about ``texts`` distinct texts of each language.
 
-    The sample is by the hash of the text; of a language with fewer texts all are taken. Rows with a null
-    language or text don't count. The most frequent ``MOST_LANGUAGES`` languages are fitted.
+    The sample is by the hash of the text, each text once; of a language with fewer texts all are taken. Rows with
+    a null language or text don't count.
     """
     rows = labelled.select(F.lower(F.trim(F.col(language))).alias("lang"), F.col(text).cast("string").alias("text")).where("lang != '' and text is not null")
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    hashed = rows.select("lang", "text", F.xxhash64("text").alias("hash"))
+    sizes = {r.lang: r.n for r in hashed.groupBy("lang").agg(F.approx_count_distinct("hash", 0.02).alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
         return [], np.zeros((0, BUCKETS))
-    share = F.element_at(F.create_map(*(F.lit(x) for k in languages for x in (k, min(1.0, texts / sizes[k])))), F.col("lang"))
-    sample = rows.where(F.col("lang").isin(languages)).where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000)
+    if len(languages) * BUCKETS * 4 > MOST_MODEL_BYTES:
+        raise ValueError(f"{len(languages)} languages make a model of more than {MOST_MODEL_BYTES} bytes")
+    share = F.element_at(F.create_map(*(F.lit(x) for k in languages for x in (k, min(1.0, 1.05 * texts / sizes[k])))), F.col("lang"))
+    sample = hashed.where(F.pmod("hash", F.lit(1_000_000)) < share * 1_000_000).groupBy("lang", "hash").agg(F.first("text").alias("text")).select("lang", "text")
 
     def count(batches):
         table = np.zeros((len(languages), BUCKETS), np.int64)
@@ -114,7 +119,7 @@ def identify(pages: DataFrame, labelled: DataFrame, strength: float = 4.0) -> Da
     """
     languages, logs = fit_text_model(labelled)
     spark = pages.sparkSession
-    model = spark.sparkContext.broadcast(logs.T.astype(np.float32))
+    model = spark.sparkContext.broadcast(logs.astype(np.float32))
     n = len(languages)
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)", 1))
     given = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.col("html").cast("string").alias("html"))
@@ -129,9 +134,11 @@ def identify(pages: DataFrame, labelled: DataFrame, strength: float = 4.0) -> Da
             column, rows = as_text(pa.array(texts, pa.large_string())), []
             for at, end in byte_slices(column):
                 buckets, bounds = _trigrams(column.slice(at, end - at))
-                sums = np.concatenate([np.zeros((1, n)), np.cumsum(model.value[buckets], axis=0, dtype=np.float64)])[bounds]
-                counts = np.diff(bounds)[:, None]
-                rows.append(np.diff(sums, axis=0) * np.minimum(1.0, FULL_TRIGRAMS / np.maximum(counts, 1)))
+                counts = np.diff(bounds)
+                row = np.repeat(np.arange(end - at), counts)
+                # a language at a time: memory doesn't grow with their number
+                sums = np.stack([np.bincount(row, weights=of_language[buckets], minlength=end - at) for of_language in model.value], axis=1) if n else np.zeros((end - at, 0))
+                rows.append(sums * np.minimum(1.0, FULL_TRIGRAMS / np.maximum(counts, 1))[:, None])
             logs = np.round(np.concatenate(rows), 6) if rows else np.zeros((0, n))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * n), pa.array(logs.ravel(), pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(declared, pa.string()), lists], ["page_id", "url", "host", "declared", "text_log"])
@@ -162,9 +169,11 @@ def identify(pages: DataFrame, labelled: DataFrame, strength: float = 4.0) -> Da
 
     # from the corpus down to the host: each level leans on the one above by `strength` pages
     hosts = rows.select("host", "domain", "suffix").distinct().join(counted("suffix"), "suffix").join(counted("domain"), "domain").join(counted("host"), "host")
-    hosts = hosts.select("host", "suffix_n", "domain_n", "host_n")
+    # in files: the join with the pages, of which one host may have very many, stands on nothing that Spark couldn't split
+    hosts = materialize(hosts.select("host", "suffix_n", "domain_n", "host_n"), "hosts")
     own = F.array(*((F.col("vote") == k).cast("double") for k in languages))
-    fused = rows.join(hosts, "host").join(_table_evidence(rows, "markup", languages, strength * n), "markup").join(_table_evidence(rows, "suffix", languages, strength * n), "suffix")
+    of_markup, of_suffix = (materialize(_table_evidence(rows, key, languages, strength * n), key) for key in ("markup", "suffix"))
+    fused = rows.join(hosts, "host").join(of_markup, "markup").join(of_suffix, "suffix")
     prior = F.array(*map(F.lit, corpus))
     for level in ("suffix", "domain", "host"):
         fused = fused.withColumn(f"{level}_rest", F.zip_with(f"{level}_n", own, lambda a, b: a - b)).withColumn(f"{level}_sum", F.aggregate(f"{level}_rest", F.lit(0.0), lambda a, b: a + b))
