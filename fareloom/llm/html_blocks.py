@@ -2,6 +2,7 @@
 
 import re
 from html.parser import HTMLParser
+from itertools import groupby
 
 #: Elements by what they mean for the text around and inside them.
 BLOCK_TAGS = frozenset(
@@ -11,59 +12,87 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 CONTENT_TAGS = frozenset(("article", "main"))
 DROPPED_TAGS = frozenset("head script style noscript template svg iframe object canvas nav footer aside form button select textarea menu dialog video".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
-#: Words of a class or id that mark menus, headers, footers, sidebars, notices, adverts, forms and comments.
+#: Nouns of a class name or id that mark menus, headers, footers, sidebars, notices, adverts, forms and comments.
 DROPPED_WORDS = frozenset(
-    "ad ads advert advertisement advertising adbox banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notification pagination popup promo promoted recommended related respond sharing share sidebar signup skip social sponsor sponsored subscribe tagcloud toolbar widget".split()
+    "ad ads advert advertisement advertising adbox banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notification pagination popup promo promoted recommended related respond search sharing share sidebar signup social sponsor sponsored subscribe tagcloud toolbar widget".split()
 )
+#: Words that may follow such a noun without changing what it says ("comment-body", "ad-slot"), and words in front
+#: that turn it round ("has-sidebar", "tag-cookie").
+GENERIC_WORDS = frozenset(
+    "area article articles bar block body bottom box button buttons container content desktop feed footer form icon icons inline inner item items left link links list main mobile outer panel post posts primary right row secondary section slot stories story top trail unit wrap wrapper zone".split()
+)
+QUALIFYING_WORDS = frozenset("category has hide is no non not show skip tag with without".split())
+#: Nouns that name a part of an article as well; they say nothing about headings and inside articles.
+HEADING_WORDS = frozenset("header masthead banner".split())
 #: Elements that don't swallow an article or main inside them even if they are closed; and those that always do.
 WRAPPING_TAGS, SWALLOWING_TAGS = frozenset(("form",)), frozenset("aside template noscript".split())
-#: First words of class names that say something about an article or main other than what it is ("has-sidebar", "tag-cookie").
-QUALIFYING_WORDS = frozenset("category has hide no not show tag with without".split())
+HEADING_TAGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Share of a block's text in links, and blocks in a row, from which on they are a menu.
+LINK_SHARE, LINK_BLOCKS = 0.9, 3
+#: Words that marked elements must hold to be read where nothing else is left of the page.
+LEAST_WORDS = 60
 _SPLIT_WORDS = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
-_ATTRIBUTE_WORDS = {}
+_ATTRIBUTE_NOUNS: dict[str, frozenset] = {}
 
 PLAIN, CONTENT = 0, 1
 
 
-def _is_marked(value: str) -> bool:
-    known = _ATTRIBUTE_WORDS.get(value)
+def _nouns(value: str) -> frozenset:
+    """The noun of each class name of an attribute that marks something; whole names count, not words inside them."""
+    known = _ATTRIBUTE_NOUNS.get(value)
     if known is None:
-        known = any(w.lower() in DROPPED_WORDS for w in _SPLIT_WORDS.split(value) if w)
-        if len(_ATTRIBUTE_WORDS) > 10_000:
-            _ATTRIBUTE_WORDS.clear()
-        _ATTRIBUTE_WORDS[value] = known
+        found = []
+        for name in value.split():
+            words = [w.lower() for w in _SPLIT_WORDS.split(name) if len(w) > 1]
+            if not words or words[0] in QUALIFYING_WORDS:
+                continue
+            while len(words) > 1 and words[-1] in GENERIC_WORDS and words[-1] not in DROPPED_WORDS:
+                words.pop()
+            if words[-1] in DROPPED_WORDS:
+                found.append(words[-1])
+        if len(_ATTRIBUTE_NOUNS) > 10_000:
+            _ATTRIBUTE_NOUNS.clear()
+        known = _ATTRIBUTE_NOUNS[value] = frozenset(found)
     return known
 
 
-def _unqualified(value: str) -> str:
-    return " ".join(name for name in value.split() if _SPLIT_WORDS.split(name, maxsplit=1)[0].lower() not in QUALIFYING_WORDS)
+#: Why text is left out: not at all, by a class name or id, or by its element or role.
+_READ, _BY_NAME, _BY_ELEMENT = 0, 1, 2
 
 
 class _Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        # tag, dropped inside, content inside, dropped for good inside, blocks in front of an element dropped by its tag
-        self.stack: list[tuple[str, bool, bool, bool, int | None]] = []
-        self.dropped = self.content = self.marked = False
-        self.blocks: list[tuple[str, int]] = []
+        # tag, why dropped inside, content inside, dropped for good inside, blocks in front of an element dropped by its tag
+        self.stack: list[tuple[str, int, bool, bool, int | None]] = []
+        self.dropped, self.content, self.marked = _READ, False, False
+        self.blocks: list[tuple[str, int, bool]] = []  # text, zone, whether it is all links
+        self.named: list[str] = []  # blocks left out by a class name or id
         self.parts: list[str] = []
+        self.in_link, self.length, self.linked = False, 0, 0
         self.language = ""
 
     def _end_block(self):
         if self.parts:
             text = " ".join("".join(self.parts).split())
-            if text:
-                self.blocks.append((text, CONTENT if self.content else PLAIN))
-            self.parts = []
+            if text and self.dropped == _BY_NAME:
+                self.named.append(text)
+            elif text:
+                self.blocks.append((text, CONTENT if self.content else PLAIN, self.linked >= LINK_SHARE * self.length))
+            self.parts, self.length, self.linked = [], 0, 0
 
     def _restore(self):
-        _, self.dropped, self.content, self.marked, _ = self.stack[-1] if self.stack else ("", False, False, False, None)
+        _, self.dropped, self.content, self.marked, _ = self.stack[-1] if self.stack else ("", _READ, False, False, None)
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK_TAGS:
             self._end_block()
+            if tag in HEADING_TAGS or tag in CONTENT_TAGS or tag == "p":
+                self.in_link = False
         elif tag == "br":
             self.parts.append(" ")
+        elif tag == "a":
+            self.in_link = True
         given = dict(attrs)
         if tag == "html" and not self.language:
             self.language = given.get("lang") or given.get("xml:lang") or ""
@@ -71,18 +100,21 @@ class _Blocks(HTMLParser):
             return
         content, dropped, marked, before = self.content or tag in CONTENT_TAGS, self.dropped, self.marked, None
         if tag in CONTENT_TAGS and not marked:
-            dropped = False  # an unclosed menu or head in front of the article doesn't swallow it; see handle_endtag
+            dropped = _READ  # an unclosed menu or head in front of the article doesn't swallow it; see handle_endtag
         if tag == "body":
-            dropped = marked = False
+            dropped, marked = _READ, False
             self.stack = [(*entry[:4], None) for entry in self.stack]
         if tag in DROPPED_TAGS or (tag == "header" and not self.content):
-            dropped, marked = True, marked or tag in SWALLOWING_TAGS
+            dropped, marked = _BY_ELEMENT, marked or tag in SWALLOWING_TAGS
             before = None if tag in WRAPPING_TAGS else len(self.blocks)
-        names = [given[k] for k in ("class", "id") if given.get(k)] if tag not in ("html", "body") else []
-        if tag in CONTENT_TAGS:
-            names = map(_unqualified, names)
-        if (given.get("role") or "").lower() in DROPPED_ROLES or any(map(_is_marked, names)) or "hidden" in given or (given.get("aria-hidden") or "").lower() == "true":
-            dropped = marked = True
+        if (given.get("role") or "").lower() in DROPPED_ROLES or "hidden" in given or (given.get("aria-hidden") or "").lower() == "true":
+            dropped, marked = _BY_ELEMENT, True
+        elif tag not in ("html", "body"):
+            nouns = frozenset().union(*(_nouns(given[k]) for k in ("class", "id") if given.get(k)))
+            if nouns - (HEADING_WORDS if self.content or tag in HEADING_TAGS else frozenset()):
+                dropped, marked = max(dropped, _BY_NAME), True
+        if dropped != self.dropped:  # text of an element that is no block
+            self._end_block()
         self.stack.append((tag, dropped, content, marked, before))
         self.dropped, self.content, self.marked = dropped, content, marked
 
@@ -95,8 +127,12 @@ class _Blocks(HTMLParser):
     def handle_endtag(self, tag):
         if tag in BLOCK_TAGS:
             self._end_block()
+        elif tag == "a":
+            self.in_link = False
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == tag:
+                if self.stack[k][1] != (self.stack[k - 1][1] if k else _READ):
+                    self._end_block()
                 if self.stack[k][4] is not None:  # it was closed after all, with what articles it has
                     del self.blocks[self.stack[k][4] :]
                 del self.stack[k:]
@@ -104,8 +140,21 @@ class _Blocks(HTMLParser):
                 return
 
     def handle_data(self, data):
-        if not self.dropped:
+        if self.dropped != _BY_ELEMENT:
             self.parts.append(data)
+            n = len(data.strip())
+            self.length += n
+            self.linked += n if self.in_link else 0
+
+
+def _without_menus(blocks: list[tuple[str, int, bool]]) -> list[tuple[str, int]]:
+    """Runs of blocks that are all links are menus, whatever their elements; those inside articles stay."""
+    out: list[tuple[str, int]] = []
+    for links, run in groupby(blocks, lambda b: b[2] and b[1] == PLAIN):
+        given = [(text, zone) for text, zone, _ in run]
+        if not links or len(given) < LINK_BLOCKS:
+            out += given
+    return out
 
 
 def page_blocks(html: str | None) -> tuple[list[tuple[str, int]], str]:
@@ -113,14 +162,18 @@ def page_blocks(html: str | None) -> tuple[list[tuple[str, int]], str]:
 
     Left out: head, scripts, styles, menus, headers, footers, sidebars, forms, and elements whose class, id
     or role says that they are one of these, a notice, an advert or comments; articles inside these as well,
-    but for those in forms and behind an unclosed tag. Where articles and main hold less than half of the
-    text, they are teasers and not the content: all blocks are PLAIN.
+    but for those in forms and behind an unclosed tag; outside articles also three and more blocks in a row that are
+    all links. A class name counts as a whole, by its noun. Where articles and main hold less than half of the
+    text, they are teasers and not the content: all blocks are PLAIN. Where nothing else is left of a page,
+    what its class names alone had left out is read, if that is a text of some length.
     """
     parser = _Blocks()
     parser.feed(html or "")
     parser.close()
     parser._end_block()
-    blocks = parser.blocks
+    blocks = _without_menus(parser.blocks)
+    if not blocks and sum(len(text.split()) for text in parser.named) >= LEAST_WORDS:
+        blocks = [(text, PLAIN) for text in parser.named]
     if 2 * sum(len(text) for text, zone in blocks if zone == CONTENT) < sum(len(text) for text, _ in blocks):
         blocks = [(text, PLAIN) for text, _ in blocks]
     return blocks, parser.language

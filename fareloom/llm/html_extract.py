@@ -2,9 +2,9 @@
 
 The blocks of a host's pages are joined to one token stream. A suffix array of that stream, sorted to the
 depth that counts as long, puts equal token runs side by side; a run of ``least_tokens`` tokens or more that
-stands on enough distinct pages is repeated. Outside article and main elements every token that repeated
-runs cover goes and the unique runs stay. Inside them only whole blocks go, and only where the whole
-repeated stretch is short: there a long one is an article that was published twice, not boilerplate.
+stands on enough distinct pages is repeated: every token that such runs cover goes and the unique runs stay. What
+stands inside article and main elements is the text itself: it is in the stream, so that repeats of it elsewhere
+are found, but nothing of it goes.
 
 Hosts are bundled into groups of about ``GROUP_BYTES``; a larger host is dealt out over several groups by
 page, so no group grows with the largest host. Its repeated runs are still those of the whole host: a run on
@@ -165,7 +165,7 @@ def marked_runs(group: Group, slots: np.ndarray, bits: np.ndarray, depth: int) -
     return keys[found], page[found], pages[found]
 
 
-def clean_group(group: Group, repeated: np.ndarray, least_tokens: int, least_pages: int, page_share: float, longest_inside: int) -> list[str]:
+def clean_group(group: Group, repeated: np.ndarray, least_tokens: int, least_pages: int, page_share: float) -> list[str]:
     """The main text of each page of a group; see ``extract``. ``repeated``: keys of the large hosts' repeated runs."""
     out: list[list[str]] = [[] for _ in group.hosts]
     flat, words, page, n = group.flat, group.words, group.page, len(group.tokens)
@@ -180,15 +180,7 @@ def clean_group(group: Group, repeated: np.ndarray, least_tokens: int, least_pag
         starts, keys = group.keys(least_tokens)
         starts = starts[group.of_pages[page[starts]] > 0]
         covered |= covered_tokens(n, starts[np.isin(keys[starts], repeated)], least_tokens)
-    keep = ~covered
-    # inside article or main: whole blocks, in short stretches
-    edge = np.ones(len(covered), bool)
-    edge[1:] = (covered[1:] != covered[:-1]) | (page[1:] != page[:-1])
-    stretch = np.cumsum(edge) - 1
-    long = (np.bincount(stretch) > longest_inside)[stretch]
-    whole = np.bincount(block, weights=covered & ~long, minlength=len(flat)) == sizes
-    content = zone == CONTENT
-    keep[content] = ~whole[block[content]]
+    keep = ~covered | (zone == CONTENT)
     kept = np.bincount(block, weights=keep, minlength=len(flat)).astype(np.int64)
     for k, (p, text, _) in enumerate(flat):
         if kept[k] == sizes[k]:
@@ -199,11 +191,11 @@ def clean_group(group: Group, repeated: np.ndarray, least_tokens: int, least_pag
     return [" ".join(parts) for parts in out]
 
 
-def extract(pages: DataFrame, least_tokens: int = 8, least_pages: int = 3, page_share: float = 0.2, longest_inside: int = 40) -> DataFrame:
+def extract(pages: DataFrame, least_tokens: int = 8, least_pages: int = 3, page_share: float = 0.2) -> DataFrame:
     """page_id, url and text (the main text, empty if there is none) for every row of ``pages``.
 
     ``least_tokens``: length of a repeated run; it must stand on ``least_pages`` pages and on ``page_share``
-    of the host's pages; ``longest_inside``: the longest stretch that may go inside an article.
+    of the host's pages. Text inside article and main elements stays whole.
     Character references are decoded, white space inside a block becomes one space, blocks are joined in
     page order by one space. A null or empty html gives an empty text. Rows with null or repeated ids are
     pages of their own; a url without a host belongs to the host "". Other columns are not read; an empty
@@ -239,7 +231,7 @@ def extract(pages: DataFrame, least_tokens: int = 8, least_pages: int = 3, page_
 
     def clean(table: pa.Table, repeated: pa.Table) -> pa.Table:
         keys = repeated["key"].to_numpy() if repeated.num_rows else np.zeros(0, np.int64)
-        text = clean_group(read_group(table), keys, least_tokens, least_pages, page_share, longest_inside)
+        text = clean_group(read_group(table), keys, least_tokens, least_pages, page_share)
         return pa.table({"page_id": table["page_id"], "url": table["url"], "text": pa.array(text, pa.string())})
 
     by_part = parsed.groupBy("part")  # one shuffle, read up to three times

@@ -8,15 +8,17 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fareloom.llm import decontamination, html_extract, queries as Q
+from fareloom.llm import decontamination, html_extract, language_id, queries as Q
 from fareloom.llm.decontamination import contaminated_pairs, drop_contaminated, greedy_tiles
 from fareloom.llm.html_blocks import page_blocks
 from fareloom.llm.html_extract import extract, repeated_tokens, suffix_ranks
 from fareloom.llm.language_id import identify
+from fareloom.llm.textwords import as_text
 from fareloom.llm.warc import read_archives, read_records, write_archives
 
 PAGES = "page_id long, url string, html string"
@@ -80,6 +82,33 @@ def test_text_outside_articles_stays_and_dropped_articles_go():
     assert texts("<head><body><main>text</main></body></head>") == ["text"]
 
 
+def test_class_names_count_by_their_nouns():
+    texts = lambda html: [t for t, _ in page_blocks(html)[0]]
+    for name in ("layout has-sidebar", "skip-intro", "promo-free", "no-comments", "loading", "header-image-caption", "navy"):
+        assert texts(f"<div class='{name}'>text</div>") == ["text"], name
+    for name in ("ad", "ad-slot", "top ad_300x250", "comment-body", "related-posts", "siteFooter", "main-nav", "cookie-notice", "sponsored-content", "search-form"):
+        assert texts(f"<div class='{name}'>text</div><p>rest") == ["rest"], name
+    assert texts("<article><h1 class='entry-header'>title</h1><div class='entry-header'>by</div><p>text</article>") == ["title", "by", "text"]
+    assert texts("<h1 class='page-header'>title</h1><div class='page-header'>top</div>text <span class='ad'>buy</span> more") == ["title", "text", "more"]
+
+
+def test_menus_without_marks_and_pages_that_would_be_empty():
+    texts = lambda html: [t for t, _ in page_blocks(html)[0]]
+    links = "".join(f"<li><a href='/{k}'>entry {k}</a>" for k in range(4))
+    assert texts(f"<ul>{links}</ul><p>a <a>link</a> in a text</p><p><a>one link</a></p>") == ["a link in a text", "one link"]
+    assert texts(f"<article><p>text of some length, more than the links in it, by far</p><ul>{links}</ul></article>")[1:] == [f"entry {k}" for k in range(4)]
+    long = " ".join(f"w{k}" for k in range(80))
+    assert texts(f"<div class='page-banner'><p>{long}</p></div>") == [long]
+    assert texts("<div class='ad'>buy</div>") == [] and texts(f"<div class='ad'>{long}</div><p>text") == ["text"]
+
+
+def test_repeated_lines_of_articles_stay(spark):
+    """Lines that several articles of a host have in common are text of each."""
+    line = "the and attion to the other line of eight words"
+    rows = [(k, f"http://h.example/{k}", f"<nav>menu</nav><article><h1>t{k}</h1><p>{line}</p><p>own {k}</p><p>{line}</p></article>") for k in range(8)]
+    assert {r.page_id: r.text for r in extract(spark.createDataFrame(rows, PAGES)).collect()} == {k: f"t{k} {line} own {k} {line}" for k in range(8)}
+
+
 def test_extraction_of_the_table(spark, tables):
     got = {r.page_id: r for r in Q.op5_html_extraction(spark, tables).collect()}
     for p in pages(spark, tables).collect():
@@ -100,7 +129,7 @@ def test_boilerplate_of_a_host_goes_and_unique_runs_stay(spark):
     for r in extract(rows).collect():
         got[r.page_id, r.text] += 1
         if r.page_id and 10 <= r.page_id < 30:
-            assert share not in r.text and len(r.text.split()) >= 15
+            assert (share in r.text) == (r.page_id >= 20) and len(r.text.split()) >= 15
         if r.page_id and r.page_id >= 30:
             assert r.text == twice
     assert got[1, ""] == got[2, ""] == 1 and got[3, "plain < text & more"] == 1 and got[None, "x"] == 1 and got[3, "x"] == 1 and got[4, "deep"] == 1
@@ -299,6 +328,57 @@ def test_language_falls_back_on_the_other_evidence(spark):
     assert identify(rows.limit(0), train).count() == 0
 
 
+def test_posterior_against_plain_counting(spark):
+    """The whole rule by dictionaries, from the scores of the texts on."""
+    rng = random.Random(2)
+    alphabets = {"aa": "abcdefgh", "bb": "efghijkl", "cc": "ijklmnop"}
+    text = lambda k, n: " ".join("".join(rng.choices(alphabets[k], k=4)) for _ in range(n))
+    labelled = [(text(k, 20), k) for k in alphabets for _ in range(15)] * 3
+    hosts = ["a.x", "b.x", "w.a.x", "v.a.x", "c.y", "d.y", ""]
+    rows = []
+    for k in range(90):
+        lang, host = rng.choice(list(alphabets)), rng.choice(hosts)
+        mark = rng.choice([f" lang='{lang}'", " lang='aa-US'", ""])
+        rows.append((k, f"http://{host}/{k}" if host else None, f"<html{mark}><p>{text(lang, rng.choice((0, 1, 2)))}"))
+    train = spark.createDataFrame(labelled, "text string, lang string")
+    languages, logs = language_id.fit_text_model(train)
+    got = {r.page_id: r for r in identify(spark.createDataFrame(rows, PAGES), train).collect()}
+    votes, scores = {}, {}
+    for k, _, html in rows:
+        body = re.sub("<[^>]*>", "", html)
+        buckets, _ = language_id._trigrams(as_text(pa.array([body])))
+        total = sum(logs.astype(np.float32)[:, b].astype(float) for b in buckets) if len(buckets) else np.zeros(3)
+        scores[k] = np.round(total * min(1, language_id.FULL_TRIGRAMS / max(1, len(buckets))), 6)
+        votes[k] = languages[int(np.argmax(scores[k]))]
+    keys = {}
+    for k, url, html in rows:
+        host = (url or "").split("/")[2] if url else ""
+        parts = host.split(".")
+        keys[k] = {"host": host, "domain": ".".join(parts[-2:]), "suffix": parts[-1], "markup": (re.findall("lang='(..)", html) or [""])[0]}
+    for k, _, _ in rows:
+        prior = np.array([(sum(v == lang for v in votes.values()) + 4 / 3) / (len(rows) + 4) for lang in languages])
+        for level in ("suffix", "domain", "host"):
+            n = np.array([sum(votes[j] == lang and keys[j][level] == keys[k][level] for j in votes if j != k) for lang in languages])
+            prior = (n + 4 * prior) / (n.sum() + 4)
+        total = scores[k] + np.log(prior)
+        for level in ("markup", "suffix"):
+            n_keys = len({keys[j][level] for j in votes})
+            n = np.array([sum(votes[j] == lang and keys[j][level] == keys[k][level] for j in votes) for lang in languages])
+            total = total + np.log((n + 12 / n_keys) / (np.array([sum(v == lang for v in votes.values()) for lang in languages]) + 12))
+        posterior = np.exp(total - total.max())
+        assert got[k].text_lang == votes[k] and got[k].lang == languages[int(np.argmax(total))]
+        assert abs(got[k].confidence - posterior.max() / posterior.sum()) < 2e-4
+
+
+def test_every_language_is_fitted_and_copies_count_once(spark):
+    rng = random.Random(7)
+    names = [f"l{k:03d}" for k in range(70)]
+    rows = [("".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=80)), k) for k in names for _ in range(3)]
+    languages, logs = language_id.fit_text_model(spark.createDataFrame(rows + [rows[0]] * 500, "text string, lang string"))
+    _, plain = language_id.fit_text_model(spark.createDataFrame(rows, "text string, lang string"))
+    assert languages == names and np.allclose(logs, plain)
+
+
 # -- pipeline ---------------------------------------------------------------------------------------
 
 
