@@ -402,3 +402,60 @@ def test_pipeline_stages(spark, tables):
             assert cut[doc_id].text == (text if n_removed else texts[doc_id]) and cut[doc_id].n_chars == len(cut[doc_id].text)
     out = corpus_pipeline.run(spark, tables)
     assert out.count() > 0 and {r.doc_id for r in out.select("doc_id").distinct().collect()} <= set(cut)
+
+
+def test_pipeline_stages_on_odd_rows(spark, tables, monkeypatch, tmp_path):
+    """Nulls, repeated rows and ids, clashing columns, a very long text and empty tables, stage by stage."""
+    from tests.llm.test_text_operators import odd_docs
+
+    rng = random.Random(12)
+    good = [" ".join(rng.choices([f"w{k}" for k in range(3000)], k=120)) for _ in range(3)]
+    long = " ".join(f"v{rng.randrange(30_000)}" for _ in range(60_000))
+    docs = odd_docs(spark, [*good, good[0], good[1] + " tail", long, long])
+    docs = docs.union(docs.where("doc_id = 12"))
+    for name in ("_judged", "gone_id", "digest", "rows", "tag", "component"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{tables}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+        kept[name] = Counter((r.doc_id, r.text) for r in out.collect())
+    all_rows = Counter((r.doc_id, r.text) for r in docs.collect())
+    assert all(not rows - all_rows for name, rows in kept.items() if name != "substring_dedup")
+    assert {d for d, _ in kept["quality"]} == {11, 12, 13, 14, 15, 16, 17}
+    assert sorted(d for d, _ in kept["near_dedup"].elements() if (d or 0) > 10) == [11, 12, 13, 16]  # the repeated row once
+    texts = {d: t for d, t in kept["substring_dedup"] if (d or 0) > 10}
+    assert texts[15] == "tail" and 17 not in texts and 14 not in texts and len(texts[16].split()) == 60_000
+    assert kept["decontaminate"] == all_rows
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r.doc_id for r in pieces} == {d for d, _ in all_rows}
+
+
+def test_very_long_pages(spark, tmp_path):
+    rng = random.Random(13)
+    body = " ".join(f"w{rng.randrange(40_000)}" for _ in range(150_000))
+    rows = [(1, "http://h.example/1", f"<nav>menu</nav><article><p>{body}</p></article>"), (2, "http://h.example/2", "<p>short"), (3, "http://h.example/3", f"<article><p>{body}</p></article>")]
+    given = spark.createDataFrame(rows, PAGES)
+    assert {r.page_id: r.text for r in extract(given).collect()} == {1: body, 2: "short", 3: body}
+    train = spark.createDataFrame([(body[:5000], "ww"), ("zażółć gęślą jaźń " * 20, "pl")], "text string, lang string")
+    assert {r.page_id: r.lang for r in identify(given, train).collect()}[1] == "ww"
+    archives = write_archives(given, str(tmp_path / "w"))
+    assert {r.page_id: bytes(r.payload).decode() for r in read_archives(archives, str(tmp_path / "w")).collect()} == {k: h for k, _, h in rows}
+    bench = spark.createDataFrame([(5, " ".join(body.split()[1000:1200]))], "item_id long, text string")
+    assert [tuple(r)[:4] for r in contaminated_pairs(spark.createDataFrame([(1, body), (2, "short")], "doc_id long, text string"), bench).collect()] == [(1, 5, 200, 200)]
+
+
+def test_archives_and_token_files_are_read_back_in_parallel(spark, tmp_path):
+    from fareloom.llm.token_files import read_token_files, write_token_files
+
+    rows = spark.range(400).selectExpr("id AS page_id", "concat('http://h/', id) AS url", "repeat(concat('text ', id, ' '), 50) AS html").repartition(6)
+    archives = write_archives(rows, str(tmp_path / "w"))
+    read = read_archives(archives, str(tmp_path / "w"))
+    assert archives.count() >= 4 and read.select(F.spark_partition_id()).distinct().count() > 1
+    path = Q.vocabulary("word_bpe_49k.json")
+    files = write_token_files(rows.selectExpr("page_id AS doc_id", "html AS text"), path, str(tmp_path / "t"), 2)
+    tokens = read_token_files(files, str(tmp_path / "t"))
+    assert files.count() >= 4 and tokens.select(F.spark_partition_id()).distinct().count() > 1 and tokens.count() == 400

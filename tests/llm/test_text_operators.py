@@ -18,7 +18,7 @@ from fareloom.llm.quality_rules import judge, keep_good
 from fareloom.llm.substring_dedup import remove_repeats
 from fareloom.llm.token_counts import count_tokens
 from fareloom.llm.token_files import read_token_files, write_token_files
-from fareloom.llm.tokenizing import encode_texts, load_tokenizer
+from fareloom.llm.tokenizing import PieceCache, drops_white_space, encode_texts, load_tokenizer
 from fareloom.llm.textwords import as_text, split_words, window_hashes, word_hashes
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -80,6 +80,37 @@ def test_ids_of_letters_and_signs_before_punctuation():
         assert ids[a:b].tolist() == [*load_tokenizer(path).encode(t, add_special_tokens=False).ids, 2], repr(t)
 
 
+def test_ids_of_random_texts_of_all_scripts():
+    path = Q.vocabulary("word_bpe_49k.json")
+    rng = random.Random(31)
+    scripts = [(0x20, 0x7F), (0xA0, 0x250), (0x300, 0x370), (0x370, 0x590), (0x590, 0x700), (0x900, 0xE80), (0x1E00, 0x2070), (0x2070, 0x2300), (0x3000, 0x3100), (0x4E00, 0x4F00), (0xAC00, 0xAD00), (0x1F600, 0x1F640)]
+    texts = []
+    for _ in range(20_000):
+        ranges = rng.choices(scripts, k=2)
+        texts.append("".join(rng.choice("aA .,!?;:*$%&#\"()\u00d7\u00f7 \n") if rng.random() < 0.5 else chr(rng.randrange(*rng.choice(ranges))) for _ in range(rng.randrange(30))))
+    ids, bounds, _ = encode_texts(as_text(pa.array(texts)), path, 2)
+    for t, e, a, b in zip(texts, load_tokenizer(path).encode_batch(texts, add_special_tokens=False), bounds, bounds[1:]):
+        assert ids[a:b].tolist() == [*e.ids, 2], repr(t)
+
+
+def test_ids_by_a_tokenizer_of_another_kind():
+    path = Q.vocabulary("byte_bpe_50k.json")
+    assert not drops_white_space(path) and drops_white_space(Q.vocabulary("word_bpe_49k.json"))
+    texts = ["One  Two.\n Three!", "", " x", "3\u00d7(4)"]
+    ids, bounds, ends = encode_texts(as_text(pa.array(texts)), path, 7)
+    for t, a, b in zip(texts, bounds, bounds[1:]):
+        assert ids[a:b].tolist() == [*load_tokenizer(path).encode(t, add_special_tokens=False).ids, 7]
+    assert load_tokenizer(path).decode(ids[: ends[0]].tolist()) == "One  Two."
+
+
+def test_cache_is_bounded_by_characters():
+    cache = PieceCache(lambda pieces: [p.encode() for p in pieces], limit=1000, characters=5000)
+    for k in range(200):
+        given = [f"{k}-{j}" * 10 for j in range(20)] + ["long" * 200]
+        assert cache.look_up(given) == [g.encode() for g in given]
+        assert sum(map(len, [*cache.young, *cache.old])) < 3 * 5000 and not any(len(p) > 256 for p in cache.young)
+
+
 def test_token_counts(spark, tables):
     path = Q.vocabulary("byte_bpe_50k.json")
     rng = random.Random(4)
