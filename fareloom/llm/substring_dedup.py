@@ -8,8 +8,9 @@ Counting every window of the corpus exactly would shuffle a row a word. A count-
    below the number of documents with a window that it stands for.
 2. The partition sketches are merged: a cell that reaches two stays set. An anchor whose cells are all set is
    estimated repeated. Estimates err upwards only, so no repeated window is lost.
-3. A second pass emits only windows whose anchor is estimated repeated and groups them exactly by two
-   independent 64-bit hashes of their words: partial aggregation finds the least document of a window before
+3. A second pass emits only windows whose anchor is estimated repeated and groups them by two independent
+   hashes of their words, of 64 and 32 bits (among the 2e13 windows of 100 TB less than 0.01 pairs are expected to
+   agree in both by chance): partial aggregation finds the least document of a window before
    any shuffle, and the windows of other documents are found by a join that Spark may split where a key is hot.
 
 The sketch grows with the corpus, so that about one anchor in twenty passes it by chance at any size. Up to
@@ -37,6 +38,8 @@ BLOCK = 1 << 16
 MOST_CELLS = 1 << 28
 #: Cells for each expected anchor: in each row of the broadcast sketch, and in the one row of the distributed one.
 CELLS, DISTRIBUTED_CELLS = 4, 16
+#: Bytes of text that are in work at a time, and rows of windows that a task hands on at a time.
+SLICE, WINDOW_ROWS = 1 << 20, 1 << 17
 #: Positions of a document that meet in one task while ranges are put together.
 CHUNK = 1 << 16
 
@@ -68,7 +71,7 @@ def _cells(anchors: np.ndarray, cells: int) -> list[np.ndarray]:
 
 
 def _anchor_batches(texts: pa.Array, width: int):
-    for at, end in byte_slices(texts):
+    for at, end in byte_slices(texts, SLICE):
         words = split_words(texts.slice(at, end - at))
         hashes = word_hashes(words)
         yield at, end, words, hashes, *_window_anchors(hashes, words.offsets, width)
@@ -139,16 +142,18 @@ def _is_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return bits[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _window_rows(spots: np.ndarray, words, hashes: np.ndarray, bounds: np.ndarray, width: int, columns: list[pa.Array]) -> pa.RecordBatch:
-    """The windows at ``spots`` with two hashes, the columns of their rows, and their first word."""
+def _window_rows(spots: np.ndarray, words, hashes: np.ndarray, bounds: np.ndarray, width: int, columns: list[pa.Array]):
+    """Batches of the windows at ``spots`` with two hashes, the columns of their rows, and their first word."""
     one, _ = window_hashes(hashes, words.offsets, width)
-    two, _ = window_hashes(mix(hashes ^ _SECOND_HASH), words.offsets, width)
-    row = np.searchsorted(bounds, spots, side="right") - 1
-    taken = [c.take(pa.array(row)) for c in columns]
-    return pa.RecordBatch.from_arrays([pa.array(one[spots].view(np.int64)), pa.array(two[spots].view(np.int64)), *taken, pa.array(spots - bounds[row])], ["window", "check", "doc_id", "tag", "first"])
+    two = (window_hashes(mix(hashes ^ _SECOND_HASH), words.offsets, width)[0] >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(spots), WINDOW_ROWS):
+        some = spots[at : at + WINDOW_ROWS]
+        row = np.searchsorted(bounds, some, side="right") - 1
+        taken = [c.take(pa.array(row)) for c in columns]
+        yield pa.RecordBatch.from_arrays([pa.array(one[some].view(np.int64)), pa.array(two[some].view(np.int32)), *taken, pa.array(some - bounds[row])], ["window", "check", "doc_id", "tag", "first"])
 
 
-_WINDOWS = f"window long, check long, {_ROWS}, first long"
+_WINDOWS = f"window long, check int, {_ROWS}, first long"
 
 
 def _windows_by_broadcast(docs: DataFrame, width: int, cells: int) -> DataFrame:
@@ -164,7 +169,7 @@ def _windows_by_broadcast(docs: DataFrame, width: int, cells: int) -> DataFrame:
                 for cell in _cells(anchors, cells):
                     hit &= _is_set(bits.value, cell)
                 if hit.any():
-                    yield _window_rows(np.flatnonzero(hit), words, hashes, bounds, width, [batch.column(k).slice(at, end - at) for k in (0, 1)])
+                    yield from _window_rows(np.flatnonzero(hit), words, hashes, bounds, width, [batch.column(k).slice(at, end - at) for k in (0, 1)])
 
     return docs.mapInArrow(emit, _WINDOWS)
 
@@ -191,7 +196,7 @@ def _windows_by_join(docs: DataFrame, width: int, cells: int) -> DataFrame:
     def emit(batches):
         for batch in batches:
             texts = as_text(batch.column(2))
-            for at, end in byte_slices(texts):
+            for at, end in byte_slices(texts, SLICE):
                 words = split_words(texts.slice(at, end - at))
                 hashes = word_hashes(words)
                 bounds = np.concatenate([[0], np.cumsum(np.maximum(np.diff(words.offsets) - width + 1, 0))])
@@ -201,7 +206,7 @@ def _windows_by_join(docs: DataFrame, width: int, cells: int) -> DataFrame:
                 first = first + np.repeat(bounds[:-1], pc.list_value_length(lists).to_numpy(zero_copy_only=False))
                 spots = np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
                 if len(spots):
-                    yield _window_rows(spots, words, hashes, bounds, width, [batch.column(k).slice(at, end - at) for k in (0, 1)])
+                    yield from _window_rows(spots, words, hashes, bounds, width, [batch.column(k).slice(at, end - at) for k in (0, 1)])
 
     reached = docs.select("text").mapInArrow(sketch, "cell long, times long").groupBy("cell").agg(F.sum("times").alias("times"))
     again = materialize(reached.where("times > 1").select("cell"), "repeated-cells")
