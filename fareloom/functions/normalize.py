@@ -3,7 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fareloom.constants import CITY_CODES, STATUS_ALIASES
+from fareloom.constants import BARE_SOURCES, CITY_CODES, STATUS_ALIASES
 
 
 def code(value: Column) -> Column:
@@ -61,7 +61,7 @@ def fare(value: Column) -> Column:
 
 def status(value: Column) -> Column:
     """Canonical flight status; unknown ones stay in lower case, empty becomes null."""
-    token = F.lower(F.trim(value))
+    token = F.translate(F.lower(F.trim(value)), "- ", "__")
     known = F.create_map(*(F.lit(x) for pair in STATUS_ALIASES.items() for x in pair))
     return F.when(token != "", F.coalesce(F.try_element_at(known, token), token))
 
@@ -94,15 +94,18 @@ def reasons(*checks: tuple[Column, str]) -> Column:
 
 
 def cites_source(value: Column) -> Column:
-    """True for a text that holds a link."""
-    return F.coalesce(value.contains("http://") | value.contains("https://"), F.lit(False))
+    """True for a text that holds a link and is more than a bare label."""
+    link = value.contains("http://") | value.contains("https://")
+    return F.coalesce(link & ~F.lower(F.trim(value)).isin(*BARE_SOURCES), F.lit(False))
 
 
 def city_code(value: Column) -> Column:
-    """Airport of a city name; every spelling of Mumbai and Navi Mumbai is one place, unknown cities are null."""
+    """Airport of a city name: Mumbai's second airport by its name in the text, a known city without what stands in
+    brackets behind it, and any other name as it is, in upper case."""
     name = code(value)
+    base = F.trim(F.substring_index(name, "(", 1))
     known = F.create_map(*(F.lit(x) for pair in CITY_CODES.items() for x in pair))
-    return F.when(name.rlike("^(NAVI )?MUMBAI"), "BOM").otherwise(F.try_element_at(known, F.regexp_extract(name, "^([A-Z]+)", 1)))
+    return F.when(name.startswith("MUMBAI"), F.when(name.contains("NAVI"), "NMI").otherwise("BOM")).otherwise(F.coalesce(F.try_element_at(known, base), base))
 
 
 def iata(value: Column) -> Column:
@@ -113,3 +116,33 @@ def iata(value: Column) -> Column:
 def carrier_code(value: Column) -> Column:
     """Two letters or digits in upper case, null for anything else."""
     return F.when(code(value).rlike("^[A-Z0-9]{2}$"), code(value))
+
+
+def minutes(value: Column) -> Column:
+    """A positive whole number of minutes from text or number; null for anything else, truth values included."""
+    number = value.try_cast("double")
+    return F.when((number > 0) & (F.floor(number) == number), number.cast("long"))
+
+
+def amount(value: Column) -> Column:
+    """A supplied amount: blank is null, zero stays."""
+    return F.nullif(F.trim(value), F.lit("")).try_cast("double")
+
+
+def stored_window(value: Column) -> Column:
+    """The window tag of a stored record: T+n of a bare number or Tn, null is T+1, anything else in upper case."""
+    tag = F.upper(F.trim(value))
+    days = F.regexp_extract(tag, "^(?:T[+]?)?([0-9]+)$", 1)
+    known = tag.rlike("^[0-9]+$") | tag.isin(*(f"T{n}" for n in (1, 7, 15, 30, 45)))
+    return F.when(value.isNull(), F.lit("T+1")).when(known, F.concat(F.lit("T+"), days)).otherwise(tag)
+
+
+def record_key(carrier: Column, number: Column, origin: Column, destination: Column, departure: Column, window: Column) -> Column:
+    """Fingerprint of a stored observation."""
+    return fingerprint(F.upper(carrier), F.upper(number), F.upper(origin), F.upper(destination), departure, window)
+
+
+def flight_key(carrier: Column, number: Column, origin: Column, destination: Column, day: Column, clock: Column, cabin: Column) -> Column:
+    """Fingerprint of a flight in a quote stream; the cabin is economy if it isn't given."""
+    seat = F.coalesce(F.nullif(F.lower(F.trim(cabin)), F.lit("")), F.lit("economy"))
+    return fingerprint(code(carrier), flight_number(number, carrier), code(origin), code(destination), date_text(day), departure_time(clock), seat)

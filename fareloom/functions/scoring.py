@@ -16,20 +16,34 @@ def eligible(flight_status: Column, exclusion: Column | None = None) -> Column:
     return ok if exclusion is None else ok & (F.coalesce(exclusion, F.lit("")) == "")
 
 
-def base_ratio(carrier: Column) -> Column:
-    known = F.create_map(*(F.lit(x) for pair in C.CARRIER_BASE_RATIO.items() for x in pair))
-    ratio = F.coalesce(F.try_element_at(known, carrier), F.lit(C.DEFAULT_BASE_RATIO))
-    return F.round(F.least(F.greatest(ratio, F.lit(C.BASE_RATIO_CLAMP[0])), F.lit(C.BASE_RATIO_CLAMP[1])), 4)
+def _known(values: dict, key: Column) -> Column:
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in values.items() for x in pair)), key)
 
 
-def fare_split(total: Column, base: Column, taxes: Column, carrier: Column) -> Column:
-    """Struct of base, taxes and basis: measured (both given), residual (one given) or estimated (none)."""
-    ratio = base_ratio(carrier)
+def rounded(value: Column, places: int) -> Column:
+    """Half away from zero on the scaled double, which other engines do alike."""
+    return F.round(value * 10**places) / float(10**places)
+
+
+def base_ratio(carrier: Column, route: Column | None = None) -> Column:
+    """Share of the base fare: of the route plus the carrier's offset, else of the carrier; null if neither is known."""
+    carrier = F.upper(F.trim(carrier))
+    of_route = F.lit(None).cast("double") if route is None else _known(C.ROUTE_BASE_RATIO, route) + F.coalesce(_known(C.CARRIER_BASE_OFFSET, carrier), F.lit(0.0))
+    ratio = rounded(F.coalesce(of_route, _known(C.CARRIER_BASE_RATIO, carrier)), 4)
+    return F.when(ratio.isNotNull(), F.least(F.greatest(ratio, F.lit(C.BASE_RATIO_CLAMP[0])), F.lit(C.BASE_RATIO_CLAMP[1])))
+
+
+def fare_split(total: Column, base: Column, taxes: Column, carrier: Column, route: Column | None = None) -> Column:
+    """Struct of base, taxes and basis: measured (both given), residual (one given), calibrated (by the ratio of the
+    route or carrier) or estimated (by the default ratio). Computed parts have two places."""
+    ratio = base_ratio(carrier, route)
+    computed = rounded(total * F.coalesce(ratio, F.lit(C.DEFAULT_BASE_RATIO)), 2)
+    basis = F.when(ratio.isNull(), "estimated").otherwise("calibrated")
     return (
         F.when(base.isNotNull() & taxes.isNotNull(), F.struct(base.alias("base"), taxes.alias("taxes"), F.lit("measured").alias("basis")))
-        .when(base.isNotNull(), F.struct(base.alias("base"), (total - base).alias("taxes"), F.lit("residual").alias("basis")))
-        .when(taxes.isNotNull(), F.struct((total - taxes).alias("base"), taxes.alias("taxes"), F.lit("residual").alias("basis")))
-        .otherwise(F.struct((total * ratio).alias("base"), (total * (1 - ratio)).alias("taxes"), F.lit("estimated").alias("basis")))
+        .when(base.isNotNull(), F.struct(base.alias("base"), rounded(total - base, 2).alias("taxes"), F.lit("residual").alias("basis")))
+        .when(taxes.isNotNull(), F.struct(rounded(total - taxes, 2).alias("base"), taxes.alias("taxes"), F.lit("residual").alias("basis")))
+        .otherwise(F.struct(computed.alias("base"), rounded(total - computed, 2).alias("taxes"), basis.alias("basis")))
     )
 
 
@@ -70,29 +84,72 @@ def dynamic_z(value: Column, mean: Column, deviation: Column, lead_days: Column)
     return z_score(value, mean, deviation * (1 + 0.35 * F.exp(-lead / 10)))
 
 
-def surge_score(z: Column, multiple: Column, dod: Column, volatility: Column, hhi: Column) -> Column:
-    """Weighted sum of five features, each scaled to the unit interval."""
+def fence_outlier(value: Column, mean: Column, deviation: Column, n: Column, q1: Column, q3: Column, k: float = 1.5) -> Column:
+    """Outside the fences of at least four peers, else of mean and deviation; a lower fence of zero excludes nothing."""
+    spread = F.greatest(q3 - q1, F.lit(0.0))
+    enough = n >= 4
+    lower = F.when(enough, rounded(F.greatest(q1 - k * spread, F.lit(0.0)), 2)).otherwise(rounded(F.greatest(mean - 2.5 * deviation, F.lit(0.0)), 2))
+    upper = F.when(enough, rounded(q3 + k * spread, 2)).otherwise(rounded(mean + 2.5 * deviation, 2))
+    return (value > upper) | ((lower > 0) & (value < lower))
+
+
+def surge_score(z: Column, multiple: Column, dod: Column, outlier: Column, hhi: Column) -> Column:
+    """Weighted sum of five features, each scaled to the unit interval; an outlier counts in full."""
     unit = lambda x: F.least(F.greatest(F.coalesce(x, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
     w, n = C.SURGE_WEIGHTS, C.SURGE_NORMS
-    return (
+    total = (
         w["z"] * unit(z / n["z"])
         + w["multiple"] * unit((multiple - 1) / n["multiple"])
         + w["dod"] * unit(dod / n["dod"])
-        + w["volatility"] * unit(volatility / n["volatility"])
+        + w["outlier"] * F.when(outlier, 1.0).otherwise(0.0)
         + w["concentration"] * unit((hhi - 0.25) / n["concentration"])
     )
+    return rounded(unit(total), 4)
+
+
+def violation(multiple: Column, z: Column, dod: Column, hhi: Column) -> Column:
+    """Code of the rule that is broken: the multiple of the median outranks the others, of which the first counts."""
+    return (
+        F.when(multiple >= C.MULTIPLE_LIMIT, C.VIOLATION_CODES["multiple"])
+        .when(z >= C.Z_CRITICAL, C.VIOLATION_CODES["sigma"])
+        .when(dod >= C.DOD_CRITICAL, C.VIOLATION_CODES["dod"])
+        .when((hhi >= C.HHI_LIMIT) & (z >= C.HHI_Z), C.VIOLATION_CODES["concentration"])
+    )
 
 
-def violation(fare: Column, ceiling: Column, multiple: Column, z: Column, dod: Column, hhi: Column) -> Column:
-    """Code of the rule that is broken: the ceiling outranks the others, of which the first counts."""
+def surge_level(score: Column, broken: Column, z: Column, dod: Column) -> Column:
+    """CRITICAL for any violation or a high score, WARNING, or NORMAL."""
     return (
-        F.when(fare > ceiling, "CEILING_BREACH")
-        .when(multiple >= C.MULTIPLE_LIMIT, "EXCESSIVE_MULTIPLE")
-        .when((hhi >= C.HHI_LIMIT) & (z >= C.HHI_Z), "CONCENTRATION_SURGE")
-        .when(dod >= C.DOD_CRITICAL, "DAILY_SPIKE")
+        F.when(broken.isNotNull() | (score >= C.SURGE_LEVELS["critical"]), "CRITICAL")
+        .when((z >= C.Z_WARNING) | (dod >= C.DOD_WARNING) | (score >= C.SURGE_LEVELS["warning"]), "WARNING")
+        .otherwise("NORMAL")
     )
 
 
+def surge(fare: Column, mean: Column, deviation: Column, lead_days: Column, previous: Column, median: Column, n: Column, q1: Column, q3: Column, hhi: Column) -> Column:
+    """Struct of dz, dod, multiple, outlier, score, violation and level of a fare against its baseline.
+
+    Figures are rounded before the rules look at them: dz and dod to four places, the multiple to three. Without
+    a positive previous fare dod is null; without a positive median the mean takes its place.
+    """
+    dz = rounded(dynamic_z(fare, mean, deviation, lead_days), 4)
+    dod = F.when(previous > 0, rounded((fare - previous) / previous, 4))
+    middle = F.when(median > 0, median).when(mean > 0, mean).otherwise(C.DEFAULT_BASELINE[2])
+    multiple = rounded(fare / middle, 3)
+    outlier = fence_outlier(fare, mean, deviation, n, q1, q3)
+    score = surge_score(dz, multiple, dod, outlier, hhi)
+    broken = violation(multiple, dz, dod, hhi)
+    return F.struct(dz.alias("dz"), dod.alias("dod"), multiple.alias("multiple"), outlier.alias("outlier"), score.alias("score"), broken.alias("violation"), surge_level(score, broken, dz, dod).alias("level"))
+
+
+def alert(z: Column, dod: Column, surged: Column) -> tuple[Column, Column]:
+    """Severity and kind of an alert, both null without one: raised by Z, by the daily change, or by ``surge``."""
+    broken, spike = surged["violation"].isNotNull(), F.coalesce(dod >= C.DOD_CRITICAL, F.lit(False))
+    raised = (z >= C.Z_WARNING) | spike | (surged["level"] != "NORMAL")
+    critical = broken | (z >= C.Z_CRITICAL) | spike
+    return F.when(raised, F.when(critical, "CRITICAL").otherwise("HIGH")), F.when(raised, F.when(broken, "DGCA_STATUTORY_VIOLATION").when(spike, "SURGE_PRICING").otherwise("SPIKE"))
+
+
 def rubric(z: Column, multiple: Column, dod: Column) -> Column:
     """Four tiers of a violation."""
     return (
@@ -103,9 +160,9 @@ def rubric(z: Column, multiple: Column, dod: Column) -> Column:
     )
 
 
-def horizon_elasticity(lead_days: Column, low: float = -2.5, high: float = -0.3, middle: float = 14.0, slope: float = 0.25) -> Column:
-    """Logistic path of elasticity over the days before departure."""
-    return low + (high - low) / (1 + F.exp(slope * (lead_days - middle)))
+def horizon_elasticity(lead_days: Column, near: float = -0.25, far: float = -1.65, middle: float = 14.5, slope: float = 0.18) -> Column:
+    """Logistic path of elasticity from ``near`` departure to ``far`` from it."""
+    return near + (far - near) / (1 + F.exp(-slope * (lead_days - middle)))
 
 
 def fisher(laspeyres: Column, paasche: Column) -> Column:
@@ -114,12 +171,6 @@ def fisher(laspeyres: Column, paasche: Column) -> Column:
     return F.when(product >= 0, F.sqrt(product))
 
 
-def spread(direct: Column, agency: Column) -> Column:
-    """Struct of the agency's difference, its percentage of the direct fare and the direction."""
-    gap = agency - direct
-    direction = F.when(gap > 1e-4, "agency_premium").when(gap < -1e-4, "agency_discount").otherwise("parity")
-    return F.struct(F.round(gap, 2).alias("amount"), F.round(F.try_divide(gap, direct) * 100, 4).alias("percent"), direction.alias("direction"))
-
-
 def succeeded(status: Column) -> Column:
-    return F.upper(status).isin("SUCCESS", "COMPLETED", "OK") | F.upper(status).startswith("FALLBACK_")
+    """Whether a run's status is no failure; partial and unknown ones count as successes."""
+    return ~F.upper(F.trim(F.coalesce(status, F.lit("")))).isin(*C.FAILED_STATUSES)

@@ -40,7 +40,8 @@ baseline AS (SELECT *, count(*) OVER w AS n_base, avg(fare) OVER w AS mean, CASE
 Z_SQL = """CASE WHEN {d} <= 1e-9 THEN CASE WHEN abs(fare - mean) <= 1e-9 THEN 0.0::DOUBLE WHEN fare > mean THEN 999.0 ELSE -999.0 END ELSE (fare - mean) / {d} END"""
 DOD_SQL = "CASE WHEN previous <= 0 THEN CASE WHEN fare > 0 THEN 1.0::DOUBLE ELSE 0.0 END ELSE (fare - previous) / previous END"
 SCORED_SQL = BASELINE_SQL + f""",
-scored AS (SELECT *, {Z_SQL.format(d='deviation')} AS z, {DOD_SQL} AS dod, {Z_SQL.format(d='(deviation * (1 + 0.35 * exp(-greatest(lead_days, 1) / 10.0::DOUBLE)))')} AS dz FROM baseline WHERE n_base > 0)"""
+scored AS (SELECT *, {Z_SQL.format(d='deviation')} AS z, {DOD_SQL} AS dod, {Z_SQL.format(d='(deviation * (1 + 0.35 * exp(-greatest(lead_days, 1) / 10.0::DOUBLE)))')} AS dz
+  FROM (SELECT * REPLACE (coalesce(mean, fare) AS mean, coalesce(deviation, 0) AS deviation) FROM baseline))"""
 
 
 def baselines(spark, sf_dir):
@@ -49,7 +50,8 @@ def baselines(spark, sf_dir):
 
 def scored(spark, sf_dir):
     fare, mean, deviation = F.col("fare"), F.col("mean"), F.col("deviation")
-    known = baselines(spark, sf_dir).where("n_base > 0")
+    """Days without a history are their own baseline: their Z is 0."""
+    known = baselines(spark, sf_dir).withColumns({"mean": F.coalesce("mean", "fare"), "deviation": F.coalesce("deviation", F.lit(0.0))})
     return known.withColumns({"z": scoring.z_score(fare, mean, deviation), "dod": scoring.change(fare, F.col("previous")), "dz": scoring.dynamic_z(fare, mean, deviation, F.col("lead_days"))})
 
 
@@ -86,34 +88,83 @@ def dynamic_z(spark, sf_dir):
 HHI_SQL = """,
 carriers AS (SELECT route_code, carrier, count(*) AS n FROM eligible GROUP BY ALL),
 hhis AS (SELECT route_code, sum(n * n)::DOUBLE / (sum(n) * sum(n))::DOUBLE AS hhi, count(*) AS n_carriers FROM carriers GROUP BY 1),
-routes AS (SELECT route_code, median(total_fare) AS route_median, quantile_cont(total_fare, 0.75) + 1.5 * (quantile_cont(total_fare, 0.75) - quantile_cont(total_fare, 0.25)) AS ceiling,
-  stddev_samp(total_fare) / avg(total_fare) AS volatility FROM eligible GROUP BY 1)"""
+routes AS (SELECT route_code, count(*) AS n_peers, median(total_fare) AS route_median, quantile_cont(total_fare, 0.25) AS q1, quantile_cont(total_fare, 0.75) AS q3 FROM eligible GROUP BY 1)"""
+
+
+def judgement_sql(source: str) -> str:
+    """DuckDB twin of ``scoring.surge`` over ``source``: fare, mean, deviation, raw_dz, previous, route_median, n_peers, q1, q3, hhi."""
+    return f""",
+figures AS (SELECT *, round(raw_dz * 10000) / 10000.0::DOUBLE AS r_dz, CASE WHEN previous > 0 THEN round((fare - previous) / previous * 10000) / 10000.0::DOUBLE END AS r_dod,
+  round(fare / CASE WHEN route_median > 0 THEN route_median WHEN mean > 0 THEN mean ELSE 5000.0 END * 1000) / 1000.0::DOUBLE AS multiple,
+  CASE WHEN n_peers >= 4 THEN round(greatest(q1 - 1.5 * greatest(q3 - q1, 0), 0) * 100) / 100.0::DOUBLE ELSE round(greatest(mean - 2.5 * deviation, 0) * 100) / 100.0::DOUBLE END AS lower_fence,
+  CASE WHEN n_peers >= 4 THEN round((q3 + 1.5 * greatest(q3 - q1, 0)) * 100) / 100.0::DOUBLE ELSE round((mean + 2.5 * deviation) * 100) / 100.0::DOUBLE END AS upper_fence FROM {source}),
+rated AS (SELECT *, round(least(greatest(0.35 * least(greatest(r_dz / 3.5, 0), 1) + 0.25 * least(greatest((multiple - 1) / 1.5, 0), 1) + 0.20 * least(greatest(coalesce(r_dod, 0) / 0.5, 0), 1)
+  + 0.10 * CASE WHEN fare > upper_fence OR (lower_fence > 0 AND fare < lower_fence) THEN 1.0 ELSE 0.0 END + 0.10 * least(greatest((hhi - 0.25) / 0.5, 0), 1), 0), 1) * 10000) / 10000.0::DOUBLE AS score,
+  CASE WHEN multiple >= 2.5 THEN 'DGCA_CAR_TARIFF_CEILING_BREACH' WHEN r_dz >= 3 THEN 'DGCA_CAR_SECTION_3_SERIES_M_3SIGMA' WHEN r_dod >= 0.40 THEN 'DGCA_CAR_SERIES_M_EXCESSIVE_DOD'
+    WHEN hhi >= 0.40 AND r_dz >= 2.5 THEN 'DGCA_ANTI_COMPETITIVE_SURGE' END AS violation FROM figures),
+judged AS (SELECT *, CASE WHEN violation IS NOT NULL OR score >= 0.65 THEN 'CRITICAL' WHEN r_dz >= 2 OR r_dod >= 0.25 OR score >= 0.35 THEN 'WARNING' ELSE 'NORMAL' END AS level,
+  CASE WHEN r_dz >= 4 OR multiple > 3.5 OR r_dod >= 0.75 THEN 'SEVERE' WHEN r_dz >= 3 OR multiple >= 2.5 OR r_dod >= 0.40 THEN 'CRITICAL' WHEN r_dz >= 2 THEN 'WARNING' ELSE 'NONE' END AS tier FROM rated)"""
+
+
 RATED_SQL = SCORED_SQL + HHI_SQL + """,
-rated AS (SELECT s.*, hhi, route_median, ceiling, volatility, fare / route_median AS multiple,
-  0.35 * least(greatest(dz / 3.5, 0), 1) + 0.25 * least(greatest((fare / route_median - 1) / 1.5, 0), 1) + 0.20 * least(greatest(coalesce(dod, 0) / 0.5, 0), 1)
-  + 0.10 * least(greatest(volatility / 0.5, 0), 1) + 0.10 * least(greatest((hhi - 0.25) / 0.5, 0), 1) AS score FROM scored s JOIN hhis USING (route_code) JOIN routes USING (route_code)),
-judged AS (SELECT *, CASE WHEN fare > ceiling THEN 'CEILING_BREACH' WHEN multiple >= 2.5 THEN 'EXCESSIVE_MULTIPLE' WHEN hhi >= 0.40 AND dz >= 2.5 THEN 'CONCENTRATION_SURGE' WHEN dod >= 0.40 THEN 'DAILY_SPIKE' END AS violation,
-  CASE WHEN score >= 0.65 THEN 'CRITICAL' WHEN score >= 0.35 OR dod >= 0.25 OR dz >= 2 THEN 'WARNING' ELSE 'NORMAL' END AS level,
-  CASE WHEN dz >= 4 OR multiple > 3.5 OR dod >= 0.75 THEN 'SEVERE' WHEN dz >= 3 OR multiple >= 2.5 OR dod >= 0.40 THEN 'CRITICAL' WHEN dz >= 2 THEN 'WARNING' ELSE 'NONE' END AS tier FROM rated)"""
+given AS (SELECT s.* EXCLUDE (dz), dz AS raw_dz, round(hhi * 10000) / 10000.0::DOUBLE AS hhi, route_median, n_peers, q1, q3 FROM scored s JOIN hhis USING (route_code) JOIN routes USING (route_code))""" + judgement_sql("given")
+
+
+def with_routes(rows, e):
+    """``rows`` with their route's concentration, median and quartiles."""
+    p = F.percentile("total_fare", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    routes = e.groupBy("route_code").agg(F.count("*").alias("n_peers"), p.alias("p")).select("route_code", "n_peers", *(F.get("p", F.lit(k)).alias(n) for k, n in enumerate(("q1", "route_median", "q3"))))
+    hhis = index.concentration(e, ["route_code"], "carrier").select("route_code", scoring.rounded(F.col("hhi"), 4).alias("hhi"))
+    return rows.join(routes.join(hhis, "route_code"), "route_code")
 
 
 def judged(spark, sf_dir):
-    """Scored days with their route's concentration, median and fences, and the rules they break."""
-    e = eligible(spark, sf_dir)
-    spread = F.percentile("total_fare", F.lit(0.75)) - F.percentile("total_fare", F.lit(0.25))
-    routes = e.groupBy("route_code").agg(F.median("total_fare").alias("route_median"), (F.percentile("total_fare", F.lit(0.75)) + 1.5 * spread).alias("ceiling"), (F.stddev_samp("total_fare") / F.avg("total_fare")).alias("volatility"))
-    rows = scored(spark, sf_dir).join(routes.join(index.concentration(e, ["route_code"], "carrier"), "route_code"), "route_code")
-    dz, dod, hhi = F.col("dz"), F.col("dod"), F.col("hhi")
-    multiple = F.col("fare") / F.col("route_median")
-    rows = rows.withColumn("multiple", multiple).withColumn("score", scoring.surge_score(dz, multiple, dod, F.col("volatility"), hhi))
-    level = F.when(F.col("score") >= C.SURGE_LEVELS["critical"], "CRITICAL").when((F.col("score") >= C.SURGE_LEVELS["warning"]) | (dod >= 0.25) | (dz >= C.Z_WARNING), "WARNING").otherwise("NORMAL")
-    return rows.withColumns({"violation": scoring.violation(F.col("fare"), F.col("ceiling"), F.col("multiple"), dz, dod, hhi), "level": level, "tier": scoring.rubric(dz, F.col("multiple"), dod)})
+    """Scored days with their route's concentration, median and quartiles, and the rules they break."""
+    rows = with_routes(scored(spark, sf_dir).drop("dod", "dz"), eligible(spark, sf_dir))
+    c = {k: F.col(k) for k in ("fare", "mean", "deviation", "lead_days", "previous", "n_peers", "q1", "q3", "hhi")}
+    s = scoring.surge(c["fare"], c["mean"], c["deviation"], c["lead_days"], c["previous"], F.col("route_median"), c["n_peers"], c["q1"], c["q3"], c["hhi"])
+    rows = rows.withColumn("surge", s).select("*", "surge.*")
+    return rows.withColumn("tier", scoring.rubric(F.col("dz"), F.col("multiple"), F.col("dod")))
 
 
 @query(with_quotes(RATED_SQL + """
-SELECT route_code, booking_window, strftime(flight_date, '%Y-%m-%d') AS flight_date, round(score, 4) AS score, level, tier, coalesce(violation, 'NONE') AS violation FROM judged"""))
+SELECT route_code, booking_window, strftime(flight_date, '%Y-%m-%d') AS flight_date, score, level, tier, coalesce(violation, 'NONE') AS violation FROM judged"""))
 def surge_score(spark, sf_dir):
-    return judged(spark, sf_dir).select(*KEYS, F.date_format("flight_date", "yyyy-MM-dd").alias("flight_date"), F.round("score", 4).alias("score"), "level", "tier", F.coalesce("violation", F.lit("NONE")).alias("violation"))
+    return judged(spark, sf_dir).select(*KEYS, F.date_format("flight_date", "yyyy-MM-dd").alias("flight_date"), "score", "level", "tier", F.coalesce("violation", F.lit("NONE")).alias("violation"))
+
+
+ALERT_SQL = RATED_SQL + """,
+alerts AS (SELECT *, CASE WHEN z >= 2 OR coalesce(dod, 0) >= 0.40 OR level != 'NORMAL' THEN CASE WHEN violation IS NOT NULL OR z >= 3 OR coalesce(dod, 0) >= 0.40 THEN 'CRITICAL' ELSE 'HIGH' END END AS severity,
+  CASE WHEN violation IS NOT NULL THEN 'DGCA_STATUTORY_VIOLATION' WHEN dod >= 0.40 THEN 'SURGE_PRICING' ELSE 'SPIKE' END AS kind FROM judged)"""
+
+
+def alerts(spark, sf_dir):
+    rows = judged(spark, sf_dir).withColumn("daily_change", scoring.change(F.col("fare"), F.col("previous")))
+    severity, kind = scoring.alert(F.col("z"), F.col("daily_change"), F.col("surge"))
+    return rows.withColumns({"severity": severity, "kind": kind}).where("severity is not null")
+
+
+@query(with_quotes(ALERT_SQL + """
+SELECT route_code, booking_window, strftime(flight_date, '%Y-%m-%d') AS flight_date, severity, kind FROM alerts WHERE severity IS NOT NULL"""))
+def alert_gate(spark, sf_dir):
+    """Alerts by Z, daily change or surge, as CRITICAL or HIGH."""
+    return alerts(spark, sf_dir).select(*KEYS, F.date_format("flight_date", "yyyy-MM-dd").alias("flight_date"), "severity", "kind")
+
+
+@query(with_quotes(HHI_SQL + """,
+base AS (SELECT route_code, avg(total_fare) AS mean, stddev_samp(total_fare) AS deviation, median(total_fare) AS median FROM eligible WHERE flight_date < DATE '1999-01-01' AND origin != 'ASIA' GROUP BY 1),
+late AS (SELECT e.route_code, carrier, seq1, seq2, seq4, flight_date, total_fare AS fare, lead_days, coalesce(b.mean, 5000.0) AS mean, coalesce(b.deviation, 500.0) AS deviation, coalesce(b.median, 5000.0) AS route_median, CAST(NULL AS DOUBLE) AS previous,
+  n_peers, q1, q3, round(hhi * 10000) / 10000.0::DOUBLE AS hhi FROM eligible e LEFT JOIN base b ON e.route_code = b.route_code JOIN hhis h ON e.route_code = h.route_code JOIN routes r ON e.route_code = r.route_code WHERE flight_date >= DATE '2001-01-01'),
+scored AS (SELECT *, """ + Z_SQL.format(d="(deviation * (1 + 0.35 * exp(-greatest(lead_days, 1) / 10.0::DOUBLE)))") + """ AS raw_dz FROM late)""" + judgement_sql("scored") + """
+SELECT route_code, level, coalesce(violation, 'NONE') AS violation, count(*) AS n, CAST(sum(round(score * 10000)) AS BIGINT) AS score_points FROM judged GROUP BY ALL"""))
+def surge_batch(spark, sf_dir):
+    """Late quotes against baselines of earlier years; a route without one has the default baseline."""
+    e = eligible(spark, sf_dir)
+    base = e.where("flight_date < date'1999-01-01' and origin != 'ASIA'").groupBy("route_code").agg(F.avg("total_fare").alias("mean"), F.stddev_samp("total_fare").alias("deviation"), F.median("total_fare").alias("median"))
+    late = with_routes(e.where("flight_date >= date'2001-01-01'").join(base, "route_code", "left"), e)
+    mean, deviation, median = (F.coalesce(c, F.lit(v)) for c, v in zip(("mean", "deviation", "median"), C.DEFAULT_BASELINE, strict=True))
+    s = scoring.surge(F.col("total_fare"), mean, deviation, F.col("lead_days"), F.lit(None).cast("double"), median, F.col("n_peers"), F.col("q1"), F.col("q3"), F.col("hhi"))
+    return late.select("route_code", s.alias("s")).groupBy("route_code", F.col("s.level").alias("level"), F.coalesce("s.violation", F.lit("NONE")).alias("violation")).agg(F.count("*").alias("n"), F.sum(F.round(F.col("s.score") * 10000).cast("long")).alias("score_points"))
 
 
 @query(with_quotes(HHI_SQL + " SELECT route_code, round(hhi, 4) AS hhi, n_carriers FROM hhis"))

@@ -190,13 +190,33 @@ def route_distribution(spark, sf_dir):
     )
 
 
-@query(with_quotes(""",
-split AS (SELECT *, CASE carrier WHEN '6E' THEN 0.78 WHEN 'AI' THEN 0.75 WHEN 'IX' THEN 0.79 WHEN 'QP' THEN 0.77 WHEN 'SG' THEN 0.76 ELSE 0.78 END::DOUBLE AS ratio FROM quotes)
-SELECT carrier, CASE WHEN base_fare IS NOT NULL AND taxes IS NOT NULL THEN 'measured' WHEN base_fare IS NOT NULL OR taxes IS NOT NULL THEN 'residual' ELSE 'estimated' END AS basis, count(*) AS n,
-  round(avg(coalesce(base_fare, total_fare - taxes, total_fare * ratio)), 4) AS mean_base, round(avg(coalesce(taxes, total_fare - base_fare, total_fare * (1 - ratio))), 4) AS mean_taxes FROM split GROUP BY ALL"""))
+AIRPORTS = {"AFRICA": "DEL", "AMERICA": "BOM", "ASIA": "BLR", "EUROPE": "HYD", "MIDDLE EAST": "XXX"}
+AIRPORT_SQL = "CASE {c} WHEN 'AFRICA' THEN 'DEL' WHEN 'AMERICA' THEN 'BOM' WHEN 'ASIA' THEN 'BLR' WHEN 'EUROPE' THEN 'HYD' ELSE 'XXX' END"
+RATIO_SQL = """CASE WHEN route_ratio IS NOT NULL THEN round((route_ratio + CASE carrier WHEN 'AI' THEN 0.03 WHEN 'IX' THEN -0.02 WHEN 'QP' THEN -0.02 ELSE 0.0 END::DOUBLE) * 10000) / 10000.0::DOUBLE
+  ELSE CASE carrier WHEN '6E' THEN 0.78 WHEN 'AI' THEN 0.81 WHEN 'IX' THEN 0.76 WHEN 'QP' THEN 0.76 END::DOUBLE END"""
+
+
+def airports(df: DataFrame) -> DataFrame:
+    """Quotes with ``airports``, an airport pair in place of the regions, and one carrier that is not listed."""
+    known = F.create_map(*(F.lit(x) for pair in AIRPORTS.items() for x in pair))
+    return df.withColumns({"airports": F.concat_ws("-", known[F.col("origin")], known[F.col("destination")]), "carrier": F.when(F.col("carrier") == "SG", "ZZ").otherwise(F.col("carrier"))})
+
+
+@query(with_quotes(f""",
+placed AS (SELECT * REPLACE (CASE carrier WHEN 'SG' THEN 'ZZ' ELSE carrier END AS carrier), {AIRPORT_SQL.format(c='origin')} || '-' || {AIRPORT_SQL.format(c='destination')} AS airports FROM quotes),
+routed AS (SELECT *, CASE airports WHEN 'DEL-BOM' THEN 0.78 WHEN 'BOM-DEL' THEN 0.78 WHEN 'DEL-BLR' THEN 0.81 WHEN 'BLR-DEL' THEN 0.81 WHEN 'BOM-BLR' THEN 0.74 WHEN 'BLR-BOM' THEN 0.74
+  WHEN 'DEL-HYD' THEN 0.77 WHEN 'HYD-DEL' THEN 0.77 WHEN 'BLR-HYD' THEN 0.72 WHEN 'HYD-BLR' THEN 0.72 END::DOUBLE AS route_ratio FROM placed),
+rated AS (SELECT *, {RATIO_SQL} AS ratio FROM routed),
+priced AS (SELECT *, round(total_fare * coalesce(ratio, 0.78) * 100) / 100.0::DOUBLE AS computed FROM rated),
+split AS (SELECT *, CASE WHEN base_fare IS NOT NULL AND taxes IS NOT NULL THEN 'measured' WHEN base_fare IS NOT NULL OR taxes IS NOT NULL THEN 'residual' WHEN ratio IS NULL THEN 'estimated' ELSE 'calibrated' END AS basis,
+  CASE WHEN base_fare IS NOT NULL THEN base_fare WHEN taxes IS NOT NULL THEN round((total_fare - taxes) * 100) / 100.0::DOUBLE ELSE computed END AS base,
+  CASE WHEN taxes IS NOT NULL THEN taxes WHEN base_fare IS NOT NULL THEN round((total_fare - base_fare) * 100) / 100.0::DOUBLE ELSE round((total_fare - computed) * 100) / 100.0::DOUBLE END AS tax FROM priced)
+SELECT airports, carrier, basis, count(*) AS n, CAST(sum(round(base * 100)) AS BIGINT) AS base_cents, CAST(sum(round(tax * 100)) AS BIGINT) AS tax_cents FROM split GROUP BY ALL"""))
 def fare_split(spark, sf_dir):
-    parts = quotes(spark, sf_dir).select("carrier", scoring.fare_split(F.col("total_fare"), F.col("base_fare"), F.col("taxes"), F.col("carrier")).alias("s"))
-    return parts.groupBy("carrier", F.col("s.basis").alias("basis")).agg(F.count("*").alias("n"), F.round(F.avg("s.base"), 4).alias("mean_base"), F.round(F.avg("s.taxes"), 4).alias("mean_taxes"))
+    """Base and taxes by what is known: both, one, the ratio of route and carrier, or the default."""
+    q = airports(quotes(spark, sf_dir))
+    parts = q.select("airports", "carrier", scoring.fare_split(F.col("total_fare"), F.col("base_fare"), F.col("taxes"), F.col("carrier"), F.col("airports")).alias("s"))
+    return parts.groupBy("airports", "carrier", F.col("s.basis").alias("basis")).agg(F.count("*").alias("n"), *(F.sum(F.round(F.col(f"s.{c}") * 100).cast("long")).alias(n) for c, n in (("base", "base_cents"), ("taxes", "tax_cents"))))
 
 
 RECOMPOSED_SQL = "((base_fare IS NULL AND taxes IS NULL) OR abs(total_fare - coalesce(base_fare, 0) - coalesce(taxes, 0)) <= greatest(1.0, 0.005 * total_fare))"
@@ -222,11 +242,11 @@ def exclusion_reason(spark, sf_dir):
 
 
 @query(with_quotes(""",
-raw AS (SELECT CASE seq2 % 6 WHEN 0 THEN ' Canceled ' WHEN 1 THEN 'SOLD OUT' WHEN 2 THEN 'On Time' WHEN 3 THEN 'diverted' WHEN 4 THEN '' END AS given FROM quotes)
-SELECT coalesce(CASE lower(trim(given)) WHEN 'canceled' THEN 'cancelled' WHEN 'sold out' THEN 'sold_out' WHEN 'on time' THEN 'scheduled' WHEN '' THEN NULL ELSE lower(trim(given)) END, 'unknown') AS status, count(*) AS n FROM raw GROUP BY 1"""))
+raw AS (SELECT CASE seq2 % 6 WHEN 0 THEN ' Canceled ' WHEN 1 THEN 'SOLD-OUT' WHEN 2 THEN 'On Time' WHEN 3 THEN 'diverted' WHEN 4 THEN '' END AS given FROM quotes)
+SELECT coalesce(CASE lower(trim(given)) WHEN 'canceled' THEN 'cancelled' WHEN 'sold-out' THEN 'sold_out' WHEN 'on time' THEN 'on_time' WHEN '' THEN NULL ELSE lower(trim(given)) END, 'unknown') AS status, count(*) AS n FROM raw GROUP BY 1"""))
 def flight_status_canonical(spark, sf_dir):
     k = F.col("seq2") % 6
-    given = F.when(k == 0, " Canceled ").when(k == 1, "SOLD OUT").when(k == 2, "On Time").when(k == 3, "diverted").when(k == 4, "")
+    given = F.when(k == 0, " Canceled ").when(k == 1, "SOLD-OUT").when(k == 2, "On Time").when(k == 3, "diverted").when(k == 4, "")
     return quotes(spark, sf_dir).groupBy(F.coalesce(normalize.status(given), F.lit("unknown")).alias("status")).agg(F.count("*").alias("n"))
 
 

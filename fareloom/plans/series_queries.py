@@ -224,7 +224,7 @@ def index_comparison_summary(spark, sf_dir):
 
 @query(with_quotes(LEADS_SQL + """,
 base AS (SELECT route_code, max(price) FILTER (lead_days = 30) AS p30 FROM leads GROUP BY 1)
-SELECT route_code, CAST(lead_days AS BIGINT) AS lead_days, round((price - p30) / p30 * 100, 4) AS gradient_pct, round(-2.5 + (-0.3 + 2.5) / (1 + exp(0.25::DOUBLE * (lead_days - 14))), 4) AS horizon_elasticity FROM leads JOIN base USING (route_code)"""))
+SELECT route_code, CAST(lead_days AS BIGINT) AS lead_days, round((price - p30) / p30 * 100, 4) AS gradient_pct, round(-0.25 + (-1.65 + 0.25) / (1 + exp(-0.18::DOUBLE * (lead_days - 14.5))), 4) AS horizon_elasticity FROM leads JOIN base USING (route_code)"""))
 def surge_gradient(spark, sf_dir):
     """Each lead's price against the thirty-day price, null without one, and the logistic elasticity there."""
     from fareloom.functions.scoring import horizon_elasticity

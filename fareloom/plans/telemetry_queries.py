@@ -112,10 +112,11 @@ def json_props_extract(spark, sf_dir):
 
 
 @query("""
-SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS slot, event_type, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY ALL""")
+SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS slot, event_type, count(*) AS n, round(sum(CAST(round(value * 100) AS BIGINT))::DOUBLE / count(*)) / 100 AS mean FROM events GROUP BY ALL""")
 def event_windows(spark, sf_dir):
     """Tumbling windows of six hours over the event stream (an extra)."""
-    by = table(spark, sf_dir, "events").groupBy(F.window("ts", "6 hours").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"))
+    by = table(spark, sf_dir, "events").groupBy(F.window("ts", "6 hours").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("hundredths"))
+    by = by.withColumn("mean", F.round(F.col("hundredths").cast("double") / F.col("n")) / 100)  # whole numbers are summed: no order of addition can matter
     return by.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("slot"), "event_type", "n", "mean")
 
 

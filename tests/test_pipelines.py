@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from fareloom.functions import normalize
+from fareloom.functions import normalize, scoring
 from fareloom.operators import checks
 from fareloom.plans import pipelines
 from fareloom.plans.fixtures import SEQUENCE, quotes
@@ -36,6 +36,47 @@ def test_checks(spark):
 
 
 def test_places(spark):
-    df = spark.createDataFrame([("Navi Mumbai (NMIA)", "del", "6e"), ("Goa (Mopa)", "delhi", "6E1"), ("Atlantis", None, None)], "city string, i string, c string")
-    rows = df.select(normalize.city_code(F.col("city")), normalize.iata(F.col("i")), normalize.carrier_code(F.col("c"))).collect()
-    assert [tuple(r) for r in rows] == [("BOM", "DEL", "6E"), ("GOI", None, None), (None, None, None)]
+    cities = ["Mumbai (Navi Mumbai)", "Mumbai (Mumbai)", "mumbai", "Navi Mumbai", " Calcutta ", "MADRAS", "New Delhi", "Delhi (T3)", "Atlantis", None]
+    rows = spark.createDataFrame([(c,) for c in cities], "city string").select(normalize.city_code(F.col("city"))).collect()
+    assert [r[0] for r in rows] == ["NMI", "BOM", "BOM", "NAVI MUMBAI", "CCU", "MAA", "NEW DELHI", "DEL", "ATLANTIS", ""]
+    df = spark.createDataFrame([("del", "6e"), ("delhi", "6E1"), (None, None)], "i string, c string")
+    assert [tuple(r) for r in df.select(normalize.iata(F.col("i")), normalize.carrier_code(F.col("c"))).collect()] == [("DEL", "6E"), (None, None), (None, None)]
+
+
+def judge(spark, fare, mean=5000.0, deviation=500.0, lead=7, previous=None, median=None, hhi=0.42, peers=(0, None, None)):
+    lit = lambda v, t="double": F.lit(v).cast(t)
+    s = scoring.surge(lit(fare), lit(mean), lit(deviation), lit(lead, "int"), lit(previous), lit(median), lit(peers[0], "int"), lit(peers[1]), lit(peers[2]), lit(hhi))
+    return spark.range(1).select(s.alias("s")).first().s
+
+
+def test_surge_rules_by_their_published_definition(spark):
+    """Expected values worked out by hand from the rules: five weighted features, four violations, three levels."""
+    codes = scoring.C.VIOLATION_CODES
+    calm = judge(spark, 5100.0)
+    assert (calm.violation, calm.level, calm.outlier) == (None, "NORMAL", False)
+    # Z = 2000 / (500 * (1 + 0.35 e^-0.7)) = 3.4077: the sigma rule; multiple 1.4, above 5000 + 2.5 * 500: an outlier
+    sigma = judge(spark, 7000.0)
+    assert (sigma.dz, sigma.multiple, sigma.violation, sigma.level, sigma.outlier) == (3.4077, 1.4, codes["sigma"], "CRITICAL", True)
+    assert abs(sigma.score - round(0.35 * 3.4077 / 3.5 + 0.25 * 0.4 / 1.5 + 0.10 + 0.10 * 0.17 / 0.5, 4)) < 1e-9
+    # the multiple overrides the sigma rule, the daily change does not
+    assert judge(spark, 12500.0, previous=5000.0).violation == codes["multiple"]
+    assert judge(spark, 7000.0, previous=5000.0).violation == codes["sigma"]
+    day = judge(spark, 6000.0, deviation=2000.0, previous=4200.0)
+    assert (day.dod, day.violation, day.level) == (0.4286, codes["dod"], "CRITICAL")
+    market = judge(spark, 6500.0)  # Z 2.5558 in a concentrated market
+    assert (market.dz, market.violation) == (2.5558, codes["concentration"]) and judge(spark, 6500.0, hhi=0.39).violation is None
+    assert judge(spark, 6500.0, hhi=0.39).level == "WARNING" and judge(spark, 5300.0, deviation=2000.0, previous=4200.0).level == "WARNING"
+    # fences of four peers and more; a lower fence of zero excludes nothing
+    assert judge(spark, 5100.0, peers=(4, 4900.0, 5000.0)).outlier is False and judge(spark, 5200.0, peers=(4, 4900.0, 5000.0)).outlier is True
+    assert judge(spark, 10.0, peers=(9, 1000.0, 5000.0)).outlier is False
+    assert judge(spark, 5000.0, deviation=0.0).dz == 0 and judge(spark, 5001.0, deviation=0.0).dz == 999
+
+
+def test_statuses_and_base_ratios(spark):
+    given = ["SUCCESS", " partial ", "fallback_other", "who knows", None, "failed", " Rate_Limited", "CAPTCHA", "BANNED"]
+    rows = spark.createDataFrame([(s,) for s in given], "s string").select(scoring.succeeded(F.col("s"))).collect()
+    assert [r[0] for r in rows] == [True] * 5 + [False] * 4
+    split = lambda c, r: scoring.fare_split(F.lit(1000.0), F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(c), F.lit(r))
+    pairs = [("AI", "DEL-BOM"), ("SG", "BLR-HYD"), ("zz", "DEL-BOM"), ("SG", "X-Y"), ("ZZ", "X-Y"), ("AI", "DEL-BLR")]
+    row = spark.range(1).select(*(split(c, r).alias(f"c{k}") for k, (c, r) in enumerate(pairs))).first()
+    assert [(s.base, s.taxes, s.basis) for s in row] == [(810.0, 190.0, "calibrated"), (680.0, 320.0, "calibrated"), (780.0, 220.0, "calibrated"), (740.0, 260.0, "calibrated"), (780.0, 220.0, "estimated"), (840.0, 160.0, "calibrated")]
