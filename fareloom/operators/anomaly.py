@@ -18,3 +18,15 @@ def rolling_rows(df: DataFrame, keys: list[str], order: str, value: str, rows: i
     """``df`` with n_base and mean of the last ``rows`` observations, this one left out."""
     at = Window.partitionBy(*keys).orderBy(order).rowsBetween(-rows, -1)
     return df.select("*", F.count(value).over(at).alias("n_base"), F.avg(value).over(at).alias("mean"))
+
+
+def running_max_before(df: DataFrame, bucket: str, order: list[str], value: str, name: str) -> DataFrame:
+    """``df`` with the greatest ``value`` of all rows before, by ``bucket`` and ``order`` inside it.
+
+    Two levels: the maxima of whole buckets (one row each) run over all buckets, a window inside each bucket does
+    the rest. So no task gets all rows.
+    """
+    of_bucket = df.groupBy(bucket).agg(F.max(value).alias("_most"))
+    earlier = of_bucket.select(bucket, F.max("_most").over(Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"))
+    inside = F.max(value).over(Window.partitionBy(bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return df.withColumn("_inside", inside).join(earlier, bucket).withColumn(name, F.greatest("_inside", "_earlier")).drop("_inside", "_earlier")

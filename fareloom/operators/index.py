@@ -10,8 +10,14 @@ from fareloom.functions.scoring import fisher
 
 def least_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key in ``order``, with all its columns; give an order without ties."""
-    at = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rank", F.row_number().over(at)).where("_rank = 1").drop("_rank")
+    plain = all(isinstance(c, str) for c in order)
+    if not plain:
+        at = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumn("_rank", F.row_number().over(at)).where("_rank = 1").drop("_rank")
+    # the least struct: partial aggregation leaves one row a key and task before the shuffle
+    rest = [c for c in df.columns if c not in (*keys, *order)]
+    first = df.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("_first"))
+    return first.select(*(F.col(c) if c in keys else F.col("_first")[c].alias(c) for c in df.columns))
 
 
 def tukey_bounds(df: DataFrame, keys: list[str], value: str, k: float = 1.5) -> DataFrame:
@@ -77,15 +83,25 @@ def share_weighted_median(df: DataFrame, keys: list[str], value: str, carrier: s
 
 
 def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str, order: list[str]) -> DataFrame:
-    """``fare``: the weighted median of ``value`` in each group; weights add up to one."""
-    up = Window.partitionBy(*keys).orderBy(value, *order)
-    cumulative = F.sum(weight).over(up.rowsBetween(Window.unboundedPreceding, 0))
+    """``fare``: the weighted median of ``value`` in each group, the plain one where the weights add up to nothing."""
+    at = Window.partitionBy(*keys)
+    up = at.orderBy(value, *order)
+    total = F.sum(weight).over(at)
+    share = F.when(total > 0, F.col(weight) / F.nullif(total, F.lit(0.0))).otherwise(1 / F.count("*").over(at))
+    df = df.withColumn("_w", share)
+    cumulative = F.sum("_w").over(up.rowsBetween(Window.unboundedPreceding, 0))
     rows = df.select(*keys, value, cumulative.alias("_cum"), F.lead(value).over(up).alias("_next"), F.row_number().over(up).alias("_at"))
     reached = rows.where(F.col("_cum") >= 0.5 - C.EPSILON).groupBy(*keys).agg(F.min(F.struct("_at", value, "_cum", "_next")).alias("m"))
     middle = F.when((F.abs(F.col("m._cum") - 0.5) <= C.EPSILON) & F.col("m._next").isNotNull(), (F.col(f"m.{value}") + F.col("m._next")) / 2)
     return reached.select(*keys, F.coalesce(middle, F.col(f"m.{value}")).alias("fare"))
 
 
+def weighted_mean(df: DataFrame, keys: list[str], value: str, weight: str, default: float) -> DataFrame:
+    """``mean`` under weights of which missing ones count as ``default``; null where they add up to nothing."""
+    w = F.coalesce(F.col(weight), F.lit(default))
+    return df.groupBy(*keys).agg(F.try_divide(F.sum(F.col(value) * w), F.nullif(F.sum(w), F.lit(0.0))).alias("mean"))
+
+
 def composite(df: DataFrame, keys: list[str], window: str, value: str) -> DataFrame:
     """``composite``: mean over the windows present, weighted by their fixed weights; an even mix without any."""
     known = F.create_map(*(F.lit(x) for pair in C.WINDOW_WEIGHTS.items() for x in pair))

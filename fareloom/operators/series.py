@@ -48,6 +48,23 @@ def lagged_correlation(df: DataFrame, order: str, ours: str, theirs: str, most:
     return found.withColumn("correlation", F.when(F.col("n") >= least_pairs, F.col("correlation")))
 
 
+def cross_correlation(df: DataFrame, order: str, ours: str, theirs: str, most: int) -> DataFrame:
+    """lag and correlation normalised by the whole series' means and deviations; 0 where one of them doesn't vary."""
+    numbered = df.select(F.row_number().over(Window.orderBy(order)).alias("i"), F.col(ours).alias("x"), F.col(theirs).alias("y"))
+    whole = numbered.agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.sqrt(F.count("*") * F.var_pop("x") * F.count("*") * F.var_pop("y")).alias("scale"))
+    left = numbered.select(F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("lag"), "i", "x").withColumn("j", F.col("i") + F.col("lag"))
+    joined = left.join(numbered.select(F.col("i").alias("j"), "y"), "j").crossJoin(whole)  # one row
+    total = F.sum((F.col("x") - F.col("mx")) * (F.col("y") - F.col("my")))
+    return joined.groupBy("lag").agg(F.when(F.max("scale") <= 1e-12, 0.0).otherwise(total / F.max("scale")).alias("correlation"))
+
+
+def pearson(ours: Column, theirs: Column, least_pairs: int = 2, degenerate: float | None = None) -> Column:
+    """Aggregate: correlation of at least ``least_pairs`` pairs; ``degenerate`` (null) where it has no value."""
+    n = F.count_if(ours.isNotNull() & theirs.isNotNull())
+    scale = F.stddev_pop(ours) * F.stddev_pop(theirs)
+    return F.coalesce(F.when(n >= least_pairs, F.try_divide(F.covar_pop(ours, theirs), scale)), F.lit(degenerate).cast("double"))
+
+
 def best_lag(lags: DataFrame) -> DataFrame:
     """The row of the greatest correlation; ties go to the lag nearest to 0, then to the smaller one."""
     order = F.struct(F.col("correlation"), -F.abs("lag"), -F.col("lag"))

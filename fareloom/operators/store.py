@@ -32,6 +32,19 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], updates: list[
     return both.select(*(F.col(c) if c in keys else value(c).alias(c) for c in target.columns))
 
 
+def upsert_where(target: DataFrame, source: DataFrame, keys: list[str], condition: Column) -> DataFrame:
+    """``upsert`` among the rows of ``target`` for which ``condition`` holds; the others stay and match nothing."""
+    holds = F.coalesce(condition, F.lit(False))
+    return upsert(target.where(holds), source, keys).unionByName(target.where(~holds))
+
+
+def of_day(df: DataFrame, day: str, flight_date: str, captured: str, newest: list, most: int = 5000) -> DataFrame:
+    """Rows whose flight or capture is on ``day``; where there are none, the ``most`` newest ones in the order ``newest``."""
+    on = F.to_date(F.lit(day))
+    rows = df.where((F.col(flight_date) == on) | (F.to_date(captured) == on))
+    return df.orderBy(*newest).limit(most) if rows.isEmpty() else rows
+
+
 def replace_by_key(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``target`` whose key is not in ``source``, and all rows of ``source``."""
     return target.join(source.select(*keys).distinct(), keys, "left_anti").unionByName(source)

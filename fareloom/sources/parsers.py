@@ -75,27 +75,29 @@ def aligned(df: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
 
 
 TRAFFIC = {"year_month": ["period", "month"], "route_code": ["route", "corridor"], "pax_volume": ["pax", "passengers"], "share_weight": ["weight", "share"], "provenance": ["origin_of_data"]}
-CPI = {"year_month": ["period", "month"], "transport": ["cpi_transport", "cpi_transport_index"], "airfare": ["airfare_sub_index"], "headline": ["headline_cpi", "cpi"], "source": ["citation"]}
+CPI = {"year_month": ["period", "month"], "transport": ["cpi_transport", "cpi_transport_index"], "airfare": ["airfare_sub_index"], "headline": ["headline_cpi", "cpi"], "source": ["citation"], "published": ["published_at", "release_date"], "mom_pct": ["mom"], "yoy_pct": ["yoy"]}
 
 
-def _declared(spark: SparkSession, path: str) -> Column:
-    """The provenance that a first line ``# provenance: x`` declares for a file, as a column."""
-    line = spark.read.text(path).where(F.col("value").rlike("(?i)^# *provenance:")).agg(F.first(F.trim(F.regexp_extract("value", "(?i)provenance: *(.*)$", 1)))).first()[0]
-    return F.lit(line).cast("string")
+def _declared(spark: SparkSession, path: str) -> DataFrame:
+    """_file and _declared: the provenance that a line ``# provenance: x`` declares for each file."""
+    lines = spark.read.text(path).where(F.col("value").rlike("(?i)^# *provenance:"))
+    token = F.trim(F.regexp_extract("value", "(?i)provenance: *(.*)$", 1))
+    return lines.select(F.input_file_name().alias("_file"), token.alias("_token")).groupBy("_file").agg(F.first("_token").alias("_declared"))
 
 
 def read_traffic(spark: SparkSession, path: str, kind: str = "csv") -> DataFrame:
     """Monthly volumes from CSV or JSON: year_month, route_code, pax_volume, share_weight (normalised within the
-    month), provenance (of the row, else of the file)."""
+    month), provenance (of the row, else of its file)."""
     from fareloom.operators.store import normalized_weights
 
     if kind == "csv":
-        raw, declared = spark.read.csv(path, header=True, comment="#"), _declared(spark, path)
+        raw = spark.read.csv(path, header=True, comment="#").withColumn("_file", F.input_file_name())
+        raw = raw.join(F.broadcast(_declared(spark, path)), "_file", "left")  # a row a file
     else:
-        raw, declared = _records(spark, path), F.lit(None).cast("string")
-    rows = aligned(raw, TRAFFIC).withColumns({"pax_volume": F.col("pax_volume").try_cast("long"), "provenance": F.coalesce("provenance", declared)}).where("pax_volume > 0")
+        raw = _records(spark, path).withColumn("_declared", F.lit(None).cast("string"))
+    rows = aligned(raw, {**TRAFFIC, "_declared": []}).withColumns({"pax_volume": F.col("pax_volume").try_cast("long"), "provenance": F.coalesce("provenance", "_declared")}).where("pax_volume > 0")
     weights = normalized_weights(rows, "year_month", "route_code", "pax_volume").select("year_month", "route_code", "rank", F.col("weight").alias("share_weight"))
-    return rows.drop("share_weight").join(weights, ["year_month", "route_code"])
+    return rows.drop("share_weight", "_declared").join(weights, ["year_month", "route_code"])
 
 
 def _records(spark: SparkSession, path: str) -> DataFrame:
@@ -108,12 +110,16 @@ def _records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_cpi(spark: SparkSession, path: str, kind: str = "csv") -> DataFrame:
-    """Monthly index with changes against the calendar month and year before; missing indices stay null."""
+    """Monthly index with its publication (the twelfth of the next month, if not given) and its changes: those of the
+    file where it has them, else against the calendar month and year before. Missing indices stay null."""
     raw = spark.read.csv(path, header=True, comment="#") if kind == "csv" else _records(spark, path)
-    rows = aligned(raw, CPI).withColumns({c: F.col(c).try_cast("double") for c in ("transport", "airfare", "headline")}).withColumn("month", F.to_date(F.concat("year_month", F.lit("-01"))))
+    numbers = ("transport", "airfare", "headline", "mom_pct", "yoy_pct")
+    rows = aligned(raw, CPI).withColumns({c: F.col(c).try_cast("double") for c in numbers}).withColumn("month", F.to_date(F.concat("year_month", F.lit("-01"))))
+    rows = rows.withColumn("published", F.coalesce(F.col("published").try_cast("date"), F.date_add(F.add_months("month", 1), 11)))
     for name, back in (("mom_pct", 1), ("yoy_pct", 12)):
         before = rows.select(F.add_months("month", back).alias("month"), F.col("transport").alias("_before"))
-        rows = rows.join(before, "month", "left").withColumn(name, F.try_divide(F.col("transport") - F.col("_before"), F.col("_before")) * 100).drop("_before")
+        change = F.try_divide(F.col("transport") - F.col("_before"), F.col("_before")) * 100
+        rows = rows.join(before, "month", "left").withColumn(name, F.coalesce(name, change)).drop("_before")
     return rows
 
 
