@@ -36,13 +36,13 @@ def tukey_bounds(df: DataFrame, keys: list[str], value: str, k: float = 1.5) ->
 
 
 def tukey_inside(df: DataFrame, keys: list[str], value: str, k: float = 1.5) -> DataFrame:
-    """The rows inside their group's bounds. One shuffle: the percentiles are taken over the partition."""
-    at = Window.partitionBy(*keys)
-    q1, q3 = F.percentile(value, F.lit(0.25)).over(at), F.percentile(value, F.lit(0.75)).over(at)
-    marked = df.select("*", F.count(value).over(at).alias("_n"), q1.alias("_q1"), q3.alias("_q3"))
-    slack = k * (F.col("_q3") - F.col("_q1"))
-    inside = (F.col("_n") < 4) | F.col(value).between(F.col("_q1") - slack, F.col("_q3") + slack)
-    return marked.where(inside).drop("_n", "_q1", "_q3")
+    """The rows inside their group's bounds.
+
+    The percentiles come from counts of distinct values, which are added up before the shuffle; rows only meet a row
+    a group, so a group may have any number of them.
+    """
+    bounds = tukey_bounds(df, keys, value, k).select(*keys, F.col("lower").alias("_lower"), F.col("upper").alias("_upper"))
+    return df.join(bounds, keys).where(F.col(value).between(F.col("_lower"), F.col("_upper"))).drop("_lower", "_upper")
 
 
 def leave_one_out_outliers(df: DataFrame, keys: list[str], value: str, order: list[str], k: float = 1.5, least_peers: int = 4) -> DataFrame:
@@ -69,31 +69,35 @@ def leave_one_out_outliers(df: DataFrame, keys: list[str], value: str, order: li
     return picked.select(*df.columns, F.when(F.col("_others") >= least_peers, outside).otherwise(F.lit(False)).alias("outlier"))
 
 
-def share_weighted_median(df: DataFrame, keys: list[str], value: str, carrier: str, order: list[str]) -> DataFrame:
-    """``fare`` of each group: the median under carrier shares, renormalised over the carriers present and
+def share_weighted_median(df: DataFrame, keys: list[str], value: str, carrier: str) -> DataFrame:
+    """``fare`` and n of each group: the median under carrier shares, renormalised over the carriers present and
     split evenly over a carrier's rows. A cumulative weight of one half takes the middle to the next value.
+
+    Rows are counted by carrier and value first, on both sides of the shuffle: what is ranked is distinct values.
     """
     known = F.create_map(*(F.lit(x) for pair in C.CARRIER_SHARES.items() for x in pair))
     share = F.coalesce(F.try_element_at(known, F.col(carrier)), F.lit(C.UNKNOWN_SHARE))
-    at, of_carrier = Window.partitionBy(*keys), Window.partitionBy(*keys, carrier)
-    rows = df.select(*keys, value, carrier, *[c for c in order if c not in (value, carrier, *keys)], share.alias("_share"))
-    rows = rows.withColumn("_own", F.count("*").over(of_carrier)).withColumn("_part", F.col("_share") / F.col("_own"))
-    rows = rows.withColumn("_total", F.sum("_part").over(at))
-    return weighted_median(rows.withColumn("_weight", F.col("_part") / F.col("_total")), keys, value, "_weight", order)
+    counts = df.groupBy(*keys, carrier, value).agg(F.count("*").alias("n"))
+    rows = counts.withColumn("_own", F.sum("n").over(Window.partitionBy(*keys, carrier))).withColumn("_weight", share * F.col("n") / F.col("_own"))
+    return _weighted_median(rows, keys, value, F.col("_weight"), F.col("n"))
+
+
+def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
+    """``fare`` and n of each group: the weighted median of ``value``, the plain one where the weights add up to nothing."""
+    return _weighted_median(df, keys, value, F.col(weight), F.lit(1))
 
 
-def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str, order: list[str]) -> DataFrame:
-    """``fare``: the weighted median of ``value`` in each group, the plain one where the weights add up to nothing."""
+def _weighted_median(df: DataFrame, keys: list[str], value: str, weight, n) -> DataFrame:
+    values = df.groupBy(*keys, value).agg(F.sum(weight).alias("_w"), F.sum(n).alias("_n"))
     at = Window.partitionBy(*keys)
-    up = at.orderBy(value, *order)
-    total = F.sum(weight).over(at)
-    share = F.when(total > 0, F.col(weight) / F.nullif(total, F.lit(0.0))).otherwise(1 / F.count("*").over(at))
-    df = df.withColumn("_w", share)
-    cumulative = F.sum("_w").over(up.rowsBetween(Window.unboundedPreceding, 0))
-    rows = df.select(*keys, value, cumulative.alias("_cum"), F.lead(value).over(up).alias("_next"), F.row_number().over(up).alias("_at"))
-    reached = rows.where(F.col("_cum") >= 0.5 - C.EPSILON).groupBy(*keys).agg(F.min(F.struct("_at", value, "_cum", "_next")).alias("m"))
+    up = at.orderBy(value)
+    so_far = up.rowsBetween(Window.unboundedPreceding, 0)
+    total = F.sum("_w").over(at)
+    cumulative = F.when(total > 0, F.sum("_w").over(so_far) / F.nullif(total, F.lit(0.0))).otherwise(F.sum("_n").over(so_far) / F.sum("_n").over(at))
+    rows = values.select(*keys, value, "_n", cumulative.alias("_cum"), F.lead(value).over(up).alias("_next"))
+    reached = rows.groupBy(*keys).agg(F.min(F.when(F.col("_cum") >= 0.5 - C.EPSILON, F.struct(value, "_cum", "_next"))).alias("m"), F.sum("_n").alias("n"))
     middle = F.when((F.abs(F.col("m._cum") - 0.5) <= C.EPSILON) & F.col("m._next").isNotNull(), (F.col(f"m.{value}") + F.col("m._next")) / 2)
-    return reached.select(*keys, F.coalesce(middle, F.col(f"m.{value}")).alias("fare"))
+    return reached.select(*keys, F.coalesce(middle, F.col(f"m.{value}")).alias("fare"), "n")
 
 
 def weighted_mean(df: DataFrame, keys: list[str], value: str, weight: str, default: float) -> DataFrame:
@@ -102,12 +106,13 @@ def weighted_mean(df: DataFrame, keys: list[str], value: str, weight: str, defau
     return df.groupBy(*keys).agg(F.try_divide(F.sum(F.col(value) * w), F.nullif(F.sum(w), F.lit(0.0))).alias("mean"))
 
 
-def composite(df: DataFrame, keys: list[str], window: str, value: str) -> DataFrame:
-    """``composite``: mean over the windows present, weighted by their fixed weights; an even mix without any."""
+def composite(df: DataFrame, keys: list[str], window: str, value: str, n: str = "n") -> DataFrame:
+    """``composite``: mean over the windows present, weighted by their fixed weights, an even mix without any; and the
+    number of windows and of the rows behind them."""
     known = F.create_map(*(F.lit(x) for pair in C.WINDOW_WEIGHTS.items() for x in pair))
     weight = F.coalesce(F.try_element_at(known, F.col(window)), F.lit(0.0))
-    sums = df.groupBy(*keys).agg(F.sum(weight * F.col(value)).alias("_wp"), F.sum(weight).alias("_w"), F.avg(value).alias("_even"), F.count("*").alias("n_windows"))
-    return sums.select(*keys, F.when(F.col("_w") > 0, F.try_divide("_wp", "_w")).otherwise(F.col("_even")).alias("composite"), "n_windows")
+    sums = df.groupBy(*keys).agg(F.sum(weight * F.col(value)).alias("_wp"), F.sum(weight).alias("_w"), F.avg(value).alias("_even"), F.count("*").alias("n_windows"), F.sum(n).alias("quantity"))
+    return sums.select(*keys, F.when(F.col("_w") > 0, F.try_divide("_wp", "_w")).otherwise(F.col("_even")).alias("composite"), "n_windows", "quantity")
 
 
 def with_base(df: DataFrame, unit: str, period: str, *columns: str) -> DataFrame:

@@ -69,7 +69,7 @@ def inside(spark, sf_dir):
 
 
 def medians(spark, sf_dir):
-    return index.share_weighted_median(inside(spark, sf_dir), GROUP, "total_fare", "carrier", SEQUENCE[:5])
+    return index.share_weighted_median(inside(spark, sf_dir), GROUP, "total_fare", "carrier")
 
 
 def composites(spark, sf_dir):
@@ -78,9 +78,7 @@ def composites(spark, sf_dir):
 
 def units(spark, sf_dir):
     """Composite fare and number of quotes of each route and quarter beside those of its first quarter."""
-    counts = inside(spark, sf_dir).groupBy("route_code", "period").agg(F.count("*").alias("quantity"))
-    joined = composites(spark, sf_dir).join(counts, ["route_code", "period"])
-    return index.with_base(joined, "route_code", "period", "composite", "quantity")
+    return index.with_base(composites(spark, sf_dir), "route_code", "period", "composite", "quantity")
 
 
 def numbers(spark, sf_dir):

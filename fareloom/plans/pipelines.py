@@ -18,7 +18,7 @@ def daily_run(quotes: DataFrame, order: list[str], base: DataFrame | None = None
     eligible = quotes.where(scoring.eligible(F.col("flight_status")))
     cheapest = index.least_by(eligible, [*keys, "carrier", "flight_no"], ["total_fare", *order])
     clean = index.tukey_inside(cheapest, keys, "total_fare")
-    windows = index.share_weighted_median(clean, keys, "total_fare", "carrier", order)
+    windows = index.share_weighted_median(clean, keys, "total_fare", "carrier")
     routes = index.composite(windows, ["route_code", "flight_date"], "booking_window", "fare")
     history = anomaly.rolling_days(windows, ["route_code", "booking_window"], "flight_date", "fare", 30)
     z = scoring.z_score(F.col("fare"), F.col("mean"), F.col("deviation"))

@@ -38,7 +38,7 @@ def test_fisher_bounds_and_factor_reversal(spark):
 def test_weighted_median_halves(spark, weights, expected):
     for rows in ([(4000.0, weights[0]), (6000.0, weights[1])], [(6000.0, weights[1]), (4000.0, weights[0])]):
         df = spark.createDataFrame([("g", v, w, k) for k, (v, w) in enumerate(rows)], "g string, v double, w double, k int")
-        assert index.weighted_median(df, ["g"], "v", "w", ["k"]).first().fare == expected
+        assert index.weighted_median(df, ["g"], "v", "w").first().fare == expected
 
 
 def test_tukey_needs_four_values(spark):
@@ -98,6 +98,30 @@ def test_ranked_percentile_is_not_interpolated(spark):
     assert got == {"g": (19.0, 20.0), "one": (7.0, 7.0)}
 
 
+def test_runs_and_scores_over_many_days(spark):
+    """Runs that go over days with and without a success, and the score step by step, against plain loops."""
+    import random
+
+    rng = random.Random(4)
+    rows = []
+    for unit in ("a", "b", "c"):
+        for k in range(60):
+            day, hour = rng.randrange(1, 10), rng.randrange(24)
+            rows.append((unit, f"2024-01-{day:02d} {hour:02d}:00:00", len(rows), float(rng.randrange(100)), rng.random() < (0.15 if unit == "a" else 0.5)))
+    df = spark.createDataFrame(rows, "unit string, t string, k int, v double, ok boolean").withColumn("t", F.to_timestamp("t"))
+    runs, scores = {}, {}
+    for unit, _, k, v, ok in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        runs[k] = 0 if ok else runs.get((unit, "last"), 0) + 1
+        runs[unit, "last"] = runs[k]
+        s = scores.get(unit, v)
+        scores[unit] = 0.3 * v + 0.7 * s if ok else s + 1000
+    got = telemetry.failure_runs(df, "unit", ["t", "k"], F.col("ok"))
+    assert {r.k: r.run for r in got.collect()} == {k: n for k, n in runs.items() if isinstance(k, int)}
+    assert set(got.columns) == {*df.columns, "run"}
+    for r in telemetry.ewma(df, "unit", ["t", "k"], "v", F.col("ok")).collect():
+        assert math.isclose(r.score, scores[r.unit])
+
+
 def test_upsert_is_idempotent(spark):
     target = spark.createDataFrame([("a", 1, True), ("b", 2, False)], "k string, v int, s boolean")
     source = spark.createDataFrame([("a", 10, False), ("b", 20, False), ("c", 30, False)], "k string, v int, s boolean")
@@ -125,7 +149,7 @@ def test_normalizers(spark):
 def test_empty_input_gives_empty_output(spark):
     none = spark.createDataFrame([], "g string, v double, w double, k int, d date")
     assert index.tukey_bounds(none, ["g"], "v").count() == 0
-    assert index.weighted_median(none, ["g"], "v", "w", ["k"]).count() == 0
+    assert index.weighted_median(none, ["g"], "v", "w").count() == 0
     assert index.leave_one_out_outliers(none, ["g"], "v", ["k"]).count() == 0
     assert anomaly.rolling_days(none, ["g"], "d", "v", 30).count() == 0
     assert series.best_lag(series.lagged_correlation(none, "d", "v", "w", 2)).count() == 0
