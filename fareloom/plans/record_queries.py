@@ -472,14 +472,14 @@ SHARES = {"T+1": 0.12, "T+15": 0.25, "T+30": 0.20}
 @query(with_quotes("""
 , leads AS (SELECT route_code, lead_days, avg(total_fare) AS price, coalesce(CASE booking_window WHEN 'T+1' THEN 0.12 WHEN 'T+15' THEN 0.25 WHEN 'T+30' THEN 0.20 END, 0.20)::DOUBLE AS share FROM eligible GROUP BY route_code, lead_days, booking_window),
 steps AS (SELECT *, lag(price) OVER w AS p1, lag(share) OVER w AS q1 FROM leads WINDOW w AS (PARTITION BY route_code ORDER BY lead_days DESC))
-SELECT route_code, CAST(lead_days AS BIGINT) AS lead_days, round(((share - q1) / ((share + q1) / 2)) / ((price - p1) / ((price + p1) / 2)), 4) AS arc FROM steps WHERE p1 IS NOT NULL"""))
+SELECT route_code, CAST(lead_days AS BIGINT) AS lead_days, round(((share - q1) / ((share + q1) / 2)) / ((price - p1) / ((price + p1) / 2)), 4) + 0.0 AS arc FROM steps WHERE p1 IS NOT NULL"""))
 def share_elasticity(spark, sf_dir):
     """Elasticity of passenger shares by window; a window without a share has the default 0.20."""
     e = quotes(spark, sf_dir).where(scoring.eligible(F.col("flight_status"))).groupBy("route_code", "lead_days", "booking_window").agg(F.avg("total_fare").alias("price"))
     shares = spark.createDataFrame(list(SHARES.items()), "booking_window string, share double")
     rows = e.join(shares, "booking_window", "left").withColumn("share", F.coalesce("share", F.lit(0.20)))
     a = series.arc_elasticity(rows, ["route_code"], "lead_days", "price", "share").where("arc is not null")
-    return a.select("route_code", F.col("lead_days").cast("long").alias("lead_days"), F.round("arc", 4).alias("arc"))
+    return a.select("route_code", F.col("lead_days").cast("long").alias("lead_days"), (F.round("arc", 4) + 0.0).alias("arc"))
 
 
 @query(with_quotes(MONTHS_SQL + """,
