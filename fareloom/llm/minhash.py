@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fareloom.llm.components import connected_components
-from fareloom.llm.storage import fresh, materialize
+from fareloom.llm.storage import fresh, materialize, task_count
 from fareloom.llm.textwords import as_text, byte_slices, mix, split_words, window_hashes, word_hashes
 
 
@@ -121,15 +121,14 @@ def _entries(sketches: DataFrame, settings: Settings) -> DataFrame:
     return sketches.select(F.col("doc_id").alias("node"), F.explode(pairs).alias("key")).select("key", "node")
 
 
-#: Rows of (key, node) that a task sorts; more, up to the second bound, where the tasks would be over 20,000.
-_TASK_ENTRIES, _MOST_TASK_ENTRIES, _TASKS = 1_000_000, 64_000_000, 20_000
+#: Rows of (key, node) that a task sorts; more, up to the second bound, where the tasks would be too many.
+_TASK_ENTRIES, _MOST_TASK_ENTRIES = 1_000_000, 64_000_000
 
 
 def _bucket_links(entries: DataFrame, n_entries: int) -> DataFrame:
     """kind, key, a, b: links (a the least member seen, b another), members of buckets of three and more,
     and the first member of the buckets at the edges of a partition."""
-    spark = entries.sparkSession
-    tasks = max(spark.sparkContext.defaultParallelism, min(_TASKS, -(-n_entries // _TASK_ENTRIES)), -(-n_entries // _MOST_TASK_ENTRIES))
+    tasks = task_count(entries.sparkSession, n_entries, _TASK_ENTRIES, _MOST_TASK_ENTRIES)
     ordered = entries.repartitionByRange(tasks, "key", "node").sortWithinPartitions("key", "node")
 
     def batch_of(kind, key, a, b):

@@ -52,3 +52,8 @@ def fresh(name: str, *frames: DataFrame) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def task_count(spark: SparkSession, size: int, each: int, most_each: int, most_tasks: int = 20_000) -> int:
+    """Tasks for ``size`` units at ``each`` a task; more a task, up to ``most_each``, where they would be too many."""
+    return max(1, min(spark.sparkContext.defaultParallelism, size), min(most_tasks, -(-size // each)), -(-size // most_each))

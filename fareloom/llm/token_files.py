@@ -20,14 +20,14 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fareloom.llm.storage import materialize
+from fareloom.llm.storage import materialize, task_count
 from fareloom.llm.textwords import as_text, byte_slices
 from fareloom.llm.tokenizing import encode_texts, load_tokenizer
 
 SEQUENCE = 1024
 ROWS_PER_BATCH = 512
-#: Text of one file.
-FILE_BYTES = 32 << 20
+#: Text of one file; more, up to the second bound, where the files would be too many.
+FILE_BYTES, MOST_FILE_BYTES = 12 << 20, 1 << 30
 
 _FILES = "part int, path string, n_docs long, n_tokens long"
 _INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -104,7 +104,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, directory: str, end_id: i
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     size = narrow.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 8), F.lit(0))).first()[0]
-    n_files = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-size // FILE_BYTES))
+    n_files = task_count(docs.sparkSession, size, FILE_BYTES, MOST_FILE_BYTES)
     ordered = narrow.repartitionByRange(n_files, "doc_id").sortWithinPartitions("doc_id", "text")
     return materialize(ordered.mapInArrow(write, _FILES), "token-files")
 
