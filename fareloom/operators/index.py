@@ -9,15 +9,12 @@ from fareloom.functions.scoring import fisher
 
 
 def least_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """The first row of each key in ``order``, with all its columns; give an order without ties."""
-    plain = all(isinstance(c, str) for c in order)
-    if not plain:
-        at = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn("_rank", F.row_number().over(at)).where("_rank = 1").drop("_rank")
-    # the least struct: partial aggregation leaves one row a key and task before the shuffle
-    rest = [c for c in df.columns if c not in (*keys, *order)]
-    first = df.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("_first"))
-    return first.select(*(F.col(c) if c in keys else F.col("_first")[c].alias(c) for c in df.columns))
+    """The first row of each key in ``order``, with all its columns; give an order without ties.
+
+    For a filter on the first row number Spark keeps one row a key and task before it shuffles (WindowGroupLimit).
+    """
+    at = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_rank", F.row_number().over(at)).where("_rank = 1").drop("_rank")
 
 
 def tukey_bounds(df: DataFrame, keys: list[str], value: str, k: float = 1.5) -> DataFrame:

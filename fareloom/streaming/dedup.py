@@ -1,8 +1,8 @@
 """Quotes of a flight from several portals, resolved to the least payable fare: as a stream and in batch.
 
 The stream keeps, for each flight, the last quote of each portal. A portal that raises its fare can raise the
-flight's least fare. State goes once the watermark is the retention time past
-the flight's newest quote.
+flight's least fare. State goes when a flight had no quote for the retention time: by arrival, or, where late quotes
+are dropped, once the watermark is that far past the flight's newest quote.
 """
 
 from collections.abc import Iterator
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fareloom.constants import NOT_PAYABLE
+from fareloom.functions.normalize import timestamp
 from fareloom.functions.scoring import payable
 
 EPSILON = 1e-6
@@ -26,19 +27,26 @@ def resolve_batch(df: DataFrame, flight: list[str], portal: str, fare: str, stat
     return last.groupBy(*flight).agg(F.count("*").alias("n_portals"), F.min(price).alias("fare"), (F.max(price) - F.min(price)).alias("spread"))
 
 
+def with_event_time(df: DataFrame, booking: str, departure: str, arrival: str) -> DataFrame:
+    """``df`` with event_time: the booking time, else the departure, else the arrival of the quote; texts are parsed."""
+    return df.withColumn("event_time", F.coalesce(*(timestamp(F.col(c).cast("string")) for c in (booking, departure, arrival))))
+
+
 OUTPUT = "flight string, portal string, event_time timestamp, seq long, fare double, least double, spread double, n_portals int, new_minimum boolean, duplicate_price boolean, out_of_order boolean"
 STATE = "portals string, newest timestamp"
 
 
-def resolve_stream(stream: DataFrame, window: str = "300 seconds", retention_ms: int = 3_600_000) -> DataFrame:
+def resolve_stream(stream: DataFrame, drop_later_than: str | None = None, retention_ms: int = 3_600_000) -> DataFrame:
     """Every quote of ``stream`` with the state of its flight after it.
 
-    ``stream``: flight, portal, event_time (booking time, else departure, else arrival), seq (order within equal
-    times), fare, status. Quotes later than ``window`` behind the watermark are dropped by Spark. Inside a
-    micro-batch a flight's quotes are taken in order of time and seq; ``out_of_order`` compares with the newest
-    quote of the flight, since the watermark of all flights only advances between micro-batches. Without a
-    payable portal ``least`` is null and no minimum is new.
+    ``stream``: flight, portal, event_time (see ``with_event_time``), seq (order within equal times), fare, status.
+    All quotes count unless ``drop_later_than`` is given: then Spark drops those that are later than that behind the
+    newest quote of all flights, as of the batch before the last one. Inside a micro-batch a flight's quotes are taken in order of time and seq;
+    ``out_of_order`` compares with the newest quote of the flight and, where late ones are dropped, with the newest
+    one of all flights in the batches before, since Spark's watermark only advances between micro-batches. Without
+    a payable portal ``least`` is null and no minimum is new.
     """
+    window_ms = int(pd.Timedelta(drop_later_than).total_seconds() * 1000) if drop_later_than else None
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         import json
@@ -48,12 +56,14 @@ def resolve_stream(stream: DataFrame, window: str = "300 seconds", retention_ms:
             return
         portals, newest = (json.loads(state.get[0]), pd.Timestamp(state.get[1])) if state.exists else ({}, None)
         rows = []
+        seen_ms = state.getCurrentWatermarkMs() + window_ms if window_ms is not None else None
         quotes = pd.concat(list(frames)).sort_values(["event_time", "seq"], kind="stable")
         for q in quotes.itertuples(index=False):
             before = [f for f, s in portals.values() if s not in NOT_PAYABLE]
             known = portals.get(q.portal)
-            late = newest is not None and q.event_time < newest
-            if not late or known is None:
+            behind = newest is not None and q.event_time < newest
+            late = behind or (seen_ms is not None and q.event_time.timestamp() * 1000 < seen_ms)
+            if not behind or known is None:
                 portals[q.portal] = (float(q.fare), q.status)
             newest = q.event_time if newest is None else max(newest, q.event_time)
             now = [f for f, s in portals.values() if s not in NOT_PAYABLE]
@@ -62,10 +72,14 @@ def resolve_stream(stream: DataFrame, window: str = "300 seconds", retention_ms:
             same = known is not None and abs(known[0] - float(q.fare)) < EPSILON
             rows.append((key[0], q.portal, q.event_time, q.seq, float(q.fare), least, max(now) - least if now else None, len(portals), lower, same, late))
         state.update((json.dumps(portals), newest.to_pydatetime()))
-        state.setTimeoutTimestamp(max(int(newest.timestamp() * 1000), state.getCurrentWatermarkMs() + 1) + retention_ms)
+        last = newest if window_ms is not None else quotes["_arrival"].max()
+        state.setTimeoutTimestamp(max(int(last.timestamp() * 1000), state.getCurrentWatermarkMs() + 1) + retention_ms)
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in OUTPUT.split(", ")])
 
-    marked = stream.withWatermark("event_time", window)
+    if window_ms is None:  # time of arrival never goes back: nothing is late, and state goes by arrival
+        marked = stream.withColumn("_arrival", F.current_timestamp()).withWatermark("_arrival", "1 second")
+    else:
+        marked = stream.withWatermark("event_time", drop_later_than)
     return marked.groupBy("flight").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 

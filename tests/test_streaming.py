@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from fareloom.streaming.dedup import resolve_batch, resolve_stream, resolved_flights
+from fareloom.streaming.dedup import resolve_batch, resolve_stream, resolved_flights, with_event_time
 
 SCHEMA = "flight string, portal string, event_time timestamp, seq long, fare double, status string"
 
@@ -27,12 +27,33 @@ def run(df, tmp_path, mode, name):
 def test_stream_equals_batch(spark, tmp_path):
     rows, stream = feed(spark, tmp_path)
     batch = {r.flight: (r.fare, r.n_portals) for r in resolve_batch(spark.createDataFrame(rows, SCHEMA), ["flight"], "portal", "fare", "status", ["event_time", "seq"]).collect()}
-    out = run(resolve_stream(stream, "1 hour"), tmp_path, "append", "resolved")
+    out = run(resolve_stream(stream), tmp_path, "append", "resolved")
     last = out.groupBy("flight").agg(F.max_by(F.struct("least", "n_portals"), "seq").alias("x")).collect()
     assert {r.flight: (r.x.least, r.x.n_portals) for r in last} == batch
     assert out.count() == len(rows) and out.where("new_minimum").count() >= len(batch)
 
 
+def test_late_quotes_are_dropped_only_if_asked_for(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    batches = [[("A", "p", start + dt.timedelta(hours=5), 1, 10.0, None)], [("A", "q", start + dt.timedelta(hours=4, minutes=55), 2, 8.0, None), ("B", "p", start + dt.timedelta(hours=1), 3, 9.0, None)], [("B", "p", start + dt.timedelta(minutes=50), 4, 7.0, None)]]
+    for rows in batches:
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        import time
+
+        time.sleep(1.1)  # files are taken in order of their time
+    stream = lambda: spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    everything = {r.seq: (r.out_of_order, r.least) for r in run(resolve_stream(stream()), tmp_path, "append", "kept").collect()}
+    assert everything == {1: (False, 10.0), 2: (True, 8.0), 3: (False, 9.0), 4: (True, 9.0)}
+    some = {r.seq: (r.out_of_order, r.least) for r in run(resolve_stream(stream(), "1 hour"), tmp_path, "append", "dropped").collect()}
+    assert some == {1: (False, 10.0), 2: (True, 8.0), 3: (True, 9.0)}
+
+
+def test_event_time_is_the_first_known_one(spark):
+    rows = [("2024-01-01T10:00:00", "2024-02-01", None), (None, "2024-02-01T08:00:00", "2024-02-01T10:00:00"), ("", None, "1700000000")]
+    df = with_event_time(spark.createDataFrame(rows, "b string, d string, a string"), "b", "d", "a")
+    assert [r.x for r in df.select(F.date_format("event_time", "yyyy-MM-dd HH:mm").alias("x")).collect()] == ["2024-01-01 10:00", "2024-02-01 08:00", "2023-11-14 22:13"]
+
+
 def test_updating_table(spark, tmp_path):
     rows, stream = feed(spark, tmp_path)
     table = run(resolved_flights(stream), tmp_path, "complete", "latest")
