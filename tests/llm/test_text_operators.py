@@ -279,6 +279,19 @@ def test_near_duplicates(spark, width, seed):
     assert Counter(map(tuple, near_duplicates(rows, Settings(words=width)).collect())) == expected
 
 
+def test_pairs_at_the_threshold(spark):
+    """Pairs of similarity 80/100 are linked, pairs of 79/101 are not."""
+    rows, expected = [], {}
+    for k in range(400):
+        common, own = (80, 10) if k % 2 else (79, 11)
+        shared = [f"s{k}_{j}" for j in range(common)]
+        for side in (0, 1):
+            rows.append((2 * k + side, " ".join(shared + [f"o{k}_{side}_{j}" for j in range(own)])))
+            expected[2 * k + side] = 2 * k if k % 2 else 2 * k + side
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), Settings(words=1))
+    assert {r.doc_id: r.component_id for r in got.collect()} == expected
+
+
 def test_near_duplicates_of_the_table(spark, tables):
     rows = [(r.doc_id, r.text) for r in documents(spark, tables).collect()]
     assert Counter(map(tuple, Q.op1_minhash_dedup(spark, tables).collect())) == brute_components(rows, 2)
