@@ -16,6 +16,7 @@ def pick(values: list[str], index) -> "F.Column":
     return F.element_at(F.array(*map(F.lit, values)), (index + 1).cast("int"))
 
 
+#: Carriers, booking windows and portals of the domain.
 CARRIERS = ["6E", "AI", "IX", "QP", "SG"]
 WINDOWS = ["T+1", "T+7", "T+15", "T+30", "T+45"]
 PORTALS = ["indigo", "spicejet", "airindia", "makemytrip", "easemytrip", "yatra", "ixigo"]
