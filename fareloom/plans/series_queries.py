@@ -106,10 +106,10 @@ def leads(spark, sf_dir):
 @query(with_quotes(LEADS_SQL + """,
 steps AS (SELECT *, lag(price) OVER w AS p1, lag(quantity) OVER w AS q1 FROM leads WINDOW w AS (PARTITION BY route_code ORDER BY lead_days DESC)),
 moves AS (SELECT *, (price - p1) / ((price + p1) / 2) AS dp, (quantity - q1) / ((quantity + q1) / 2.0::DOUBLE) AS dq FROM steps WHERE p1 IS NOT NULL)
-SELECT route_code, CAST(lead_days AS BIGINT) AS lead_days, round(CASE WHEN abs(dp) <= 1e-6 THEN 0 ELSE dq / dp END, 4) AS arc FROM moves"""))
+SELECT route_code, CAST(lead_days AS BIGINT) AS lead_days, round(CASE WHEN abs(dp) <= 1e-6 THEN 0 ELSE dq / dp END, 4) + 0.0 AS arc FROM moves"""))
 def arc_elasticity(spark, sf_dir):
     a = series.arc_elasticity(leads(spark, sf_dir), ["route_code"], "lead_days", "price", "quantity").where("arc is not null")
-    return a.select("route_code", F.col("lead_days").cast("long").alias("lead_days"), F.round("arc", 4).alias("arc"))
+    return a.select("route_code", F.col("lead_days").cast("long").alias("lead_days"), (F.round("arc", 4) + 0.0).alias("arc"))
 
 
 @query(with_quotes(LEADS_SQL + " SELECT route_code, count(*) AS n, round(regr_slope(ln(quantity), ln(price)), 4) AS elasticity FROM leads GROUP BY 1"))
