@@ -10,7 +10,9 @@ BLOCK_TAGS = frozenset(
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTENT_TAGS = frozenset(("article", "main"))
-DROPPED_TAGS = frozenset("head script style noscript template svg iframe object canvas nav footer aside form button select textarea menu dialog video".split())
+RAW_TAGS = frozenset(("script", "style"))
+TEXTLESS_TAGS = frozenset("head noscript template svg iframe object canvas button select textarea video".split())
+DROPPED_TAGS = TEXTLESS_TAGS | frozenset("nav footer aside form menu dialog".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 #: Nouns of a class name or id that mark menus, headers, footers, sidebars, notices, adverts, forms and comments.
 DROPPED_WORDS = frozenset(
@@ -34,7 +36,7 @@ LEAST_WORDS = 60
 _SPLIT_WORDS = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 _ATTRIBUTE_NOUNS: dict[str, frozenset] = {}
 
-PLAIN, CONTENT = 0, 1
+PLAIN, CONTENT, MARKED = 0, 1, 2
 
 
 def _nouns(value: str) -> frozenset:
@@ -56,35 +58,38 @@ def _nouns(value: str) -> frozenset:
     return known
 
 
-#: Why text is left out: not at all, by a class name or id, or by its element or role.
-_READ, _BY_NAME, _BY_ELEMENT = 0, 1, 2
+#: Why text is left out: not at all, by a class name or id, by its element or role, or because its element has no text.
+_READ, _BY_NAME, _BY_ELEMENT, _TEXTLESS = 0, 1, 2, 3
+#: Zone of blocks left out by a class name or id alone, until the page is complete.
+_NAMED = 3
 
 
 class _Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        # tag, why dropped inside, content inside, dropped for good inside, blocks in front of an element dropped by its tag
+        # tag, why dropped inside, content inside, dropped for good inside, number of blocks in front of an element dropped by its tag
         self.stack: list[tuple[str, int, bool, bool, int | None]] = []
         self.dropped, self.content, self.marked = _READ, False, False
         self.blocks: list[tuple[str, int, bool]] = []  # text, zone, whether it is all links
-        self.named: list[str] = []  # blocks left out by a class name or id
         self.parts: list[str] = []
         self.in_link, self.length, self.linked = False, 0, 0
-        self.language = ""
+        self.language, self.raw = "", False
 
     def _end_block(self):
         if self.parts:
             text = " ".join("".join(self.parts).split())
-            if text and self.dropped == _BY_NAME:
-                self.named.append(text)
-            elif text:
-                self.blocks.append((text, CONTENT if self.content else PLAIN, self.linked >= LINK_SHARE * self.length))
+            if text:
+                zone = {_READ: CONTENT if self.content else PLAIN, _BY_NAME: _NAMED}.get(self.dropped, MARKED)
+                self.blocks.append((text, zone, self.linked >= LINK_SHARE * self.length))
             self.parts, self.length, self.linked = [], 0, 0
 
     def _restore(self):
         _, self.dropped, self.content, self.marked, _ = self.stack[-1] if self.stack else ("", _READ, False, False, None)
 
     def handle_starttag(self, tag, attrs):
+        if tag in RAW_TAGS:  # no text, and no end of the block that they stand in
+            self.raw = True
+            return
         if tag in BLOCK_TAGS:
             self._end_block()
             if tag in HEADING_TAGS or tag in CONTENT_TAGS or tag == "p":
@@ -105,10 +110,10 @@ class _Blocks(HTMLParser):
             dropped, marked = _READ, False
             self.stack = [(*entry[:4], None) for entry in self.stack]
         if tag in DROPPED_TAGS or (tag == "header" and not self.content):
-            dropped, marked = _BY_ELEMENT, marked or tag in SWALLOWING_TAGS
+            dropped, marked = _TEXTLESS if tag in TEXTLESS_TAGS else max(dropped, _BY_ELEMENT), marked or tag in SWALLOWING_TAGS
             before = None if tag in WRAPPING_TAGS else len(self.blocks)
         if (given.get("role") or "").lower() in DROPPED_ROLES or "hidden" in given or (given.get("aria-hidden") or "").lower() == "true":
-            dropped, marked = _BY_ELEMENT, True
+            dropped, marked = max(dropped, _BY_ELEMENT), True
         elif tag not in ("html", "body"):
             nouns = frozenset().union(*(_nouns(given[k]) for k in ("class", "id") if given.get(k)))
             if nouns - (HEADING_WORDS if self.content or tag in HEADING_TAGS else frozenset()):
@@ -125,6 +130,9 @@ class _Blocks(HTMLParser):
             self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
+        if tag in RAW_TAGS:
+            self.raw = False
+            return
         if tag in BLOCK_TAGS:
             self._end_block()
         elif tag == "a":
@@ -134,30 +142,33 @@ class _Blocks(HTMLParser):
                 if self.stack[k][1] != (self.stack[k - 1][1] if k else _READ):
                     self._end_block()
                 if self.stack[k][4] is not None:  # it was closed after all, with what articles it has
-                    del self.blocks[self.stack[k][4] :]
+                    inside = self.blocks[self.stack[k][4] :]
+                    self.blocks[self.stack[k][4] :] = [] if tag in TEXTLESS_TAGS else [(text, MARKED, links) for text, _, links in inside]
                 del self.stack[k:]
                 self._restore()
                 return
 
     def handle_data(self, data):
-        if self.dropped != _BY_ELEMENT:
+        if self.dropped != _TEXTLESS and not self.raw:
             self.parts.append(data)
             n = len(data.strip())
             self.length += n
             self.linked += n if self.in_link else 0
 
 
-def _without_menus(blocks: list[tuple[str, int, bool]]) -> list[tuple[str, int]]:
-    """Runs of blocks that are all links are menus, whatever their elements; those inside articles stay."""
-    out: list[tuple[str, int]] = []
-    for links, run in groupby(blocks, lambda b: b[2] and b[1] == PLAIN):
-        given = [(text, zone) for text, zone, _ in run]
-        if not links or len(given) < LINK_BLOCKS:
-            out += given
-    return out
+def _with_menus_marked(blocks: list[tuple[str, int, bool]]) -> list[tuple[str, int]]:
+    """Runs of blocks that are all links are menus, whatever their elements; those inside articles aren't."""
+    zones = [zone for _, zone, _ in blocks]
+    read = [k for k, zone in enumerate(zones) if zone in (PLAIN, CONTENT)]
+    for links, run in groupby(read, lambda k: blocks[k][2] and zones[k] == PLAIN):
+        menu = list(run)
+        if links and len(menu) >= LINK_BLOCKS:
+            for k in menu:
+                zones[k] = MARKED
+    return [(text, zone) for (text, _, _), zone in zip(blocks, zones, strict=True)]
 
 
-def page_blocks(html: str | None) -> tuple[list[tuple[str, int]], str]:
+def page_blocks(html: str | None, marked: bool = False) -> tuple[list[tuple[str, int]], str]:
     """Blocks (text with single spaces, CONTENT inside article or main, else PLAIN) and the declared language.
 
     Left out: head, scripts, styles, menus, headers, footers, sidebars, forms, and elements whose class, id
@@ -165,15 +176,18 @@ def page_blocks(html: str | None) -> tuple[list[tuple[str, int]], str]:
     but for those in forms and behind an unclosed tag; outside articles also three and more blocks in a row that are
     all links. A class name counts as a whole, by its noun. Where articles and main hold less than half of the
     text, they are teasers and not the content: all blocks are PLAIN. Where nothing else is left of a page,
-    what its class names alone had left out is read, if that is a text of some length.
+    what its class names alone had left out is read, if that is a text of some length. With ``marked`` the text
+    that is left out comes along as MARKED, but not what elements without text, like head and script, hold.
     """
     parser = _Blocks()
     parser.feed(html or "")
     parser.close()
     parser._end_block()
-    blocks = _without_menus(parser.blocks)
-    if not blocks and sum(len(text.split()) for text in parser.named) >= LEAST_WORDS:
-        blocks = [(text, PLAIN) for text in parser.named]
-    if 2 * sum(len(text) for text, zone in blocks if zone == CONTENT) < sum(len(text) for text, _ in blocks):
-        blocks = [(text, PLAIN) for text, _ in blocks]
-    return blocks, parser.language
+    blocks = _with_menus_marked(parser.blocks)
+    if not any(zone in (PLAIN, CONTENT) for _, zone in blocks) and sum(len(text.split()) for text, zone in blocks if zone == _NAMED) >= LEAST_WORDS:
+        blocks = [(text, PLAIN if zone == _NAMED else zone) for text, zone in blocks]
+    size = lambda *zones: sum(len(text) for text, zone in blocks if zone in zones)
+    if 2 * size(CONTENT) < size(PLAIN, CONTENT):
+        blocks = [(text, PLAIN if zone == CONTENT else zone) for text, zone in blocks]
+    blocks = [(text, min(zone, MARKED)) for text, zone in blocks]
+    return blocks if marked else [b for b in blocks if b[1] != MARKED], parser.language

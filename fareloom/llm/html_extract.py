@@ -4,7 +4,8 @@ The blocks of a host's pages are joined to one token stream. A suffix array of t
 depth that counts as long, puts equal token runs side by side; a run of ``least_tokens`` tokens or more that
 stands on enough distinct pages is repeated: every token that such runs cover goes and the unique runs stay. What
 stands inside article and main elements is the text itself: it is in the stream, so that repeats of it elsewhere
-are found, but nothing of it goes.
+are found, but nothing of it goes. What the markup says to be a menu, footer, advert and the like goes in any case;
+it is in the stream as well, so that the same text is found on pages whose markup doesn't say so.
 
 Hosts are bundled into groups of about ``GROUP_BYTES``; a larger host is dealt out over several groups by
 page, so no group grows with the largest host. Its repeated runs are still those of the whole host: a run on
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fareloom.llm.html_blocks import CONTENT, page_blocks
+from fareloom.llm.html_blocks import CONTENT, MARKED, page_blocks
 from fareloom.llm.storage import materialize
 from fareloom.llm.textwords import WordBatch, as_text, mix, split_words, window_hashes, word_hashes
 
@@ -56,12 +57,12 @@ def suffix_ranks(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray
     return order, rank
 
 
-def page_runs(tokens: np.ndarray, page: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of ``depth`` tokens inside one page: their places by run, the run of each place, and each run's number of pages."""
+def page_runs(tokens: np.ndarray, page: np.ndarray, section: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of ``depth`` tokens inside one section: their places by run, the run of each place, and each run's number of pages."""
     n = len(tokens)
-    inside = np.zeros(n, bool)  # runs that don't cross into the next page
+    inside = np.zeros(n, bool)  # runs that don't cross into the next section
     if n >= depth:
-        inside[: n - depth + 1] = page[: n - depth + 1] == page[depth - 1 :]
+        inside[: n - depth + 1] = section[: n - depth + 1] == section[depth - 1 :]
     if not inside.any():
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     order, rank = suffix_ranks(tokens, depth)
@@ -83,12 +84,13 @@ def covered_tokens(n: int, starts: np.ndarray, depth: int) -> np.ndarray:
     return np.cumsum(covered[:n]) > 0
 
 
-def repeated_tokens(tokens: np.ndarray, page: np.ndarray, pages_needed: np.ndarray, depth: int) -> np.ndarray:
+def repeated_tokens(tokens: np.ndarray, page: np.ndarray, section: np.ndarray, pages_needed: np.ndarray, depth: int) -> np.ndarray:
     """True for tokens that a run of ``depth`` tokens covers which stands on enough distinct pages.
 
-    ``page``: the page of each token; ``pages_needed``: for each token's page, how many pages are enough.
+    ``page``, ``section``: the page and the section of a page of each token; ``pages_needed``: for each token's
+    page, how many pages are enough.
     """
-    order, index, pages = page_runs(tokens, page, depth)
+    order, index, pages = page_runs(tokens, page, section, depth)
     return covered_tokens(len(tokens), order[pages[index] >= pages_needed[order]], depth)
 
 
@@ -103,7 +105,8 @@ class Group:
 
     ``names``, ``hosts``: distinct hosts and the host of each page; ``of_pages``: pages of the page's host in
     all groups, 0 where they are all in this one; ``flat``: page, text and zone of each block; ``words``: by
-    block; ``page``, ``tokens``: page and code of each token, different for different hosts.
+    block; ``page``, ``section``, ``tokens``: page, section and code of each token, codes different for
+    different hosts. A section is a stretch of a page that the markup leaves out as a whole or not at all.
     """
 
     names: list[str]
@@ -112,12 +115,12 @@ class Group:
     flat: list[tuple[int, str, int]]
     words: WordBatch
     page: np.ndarray
+    section: np.ndarray
     tokens: np.ndarray
 
     def keys(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """Starts of the runs of ``depth`` tokens inside a page, and for each place of the stream the 64-bit key of the run there, the same in every group."""
-        blocks = np.bincount([p for p, _, _ in self.flat], minlength=len(self.hosts))
-        offsets = self.words.offsets[np.concatenate([[0], np.cumsum(blocks)])]
+        offsets = np.searchsorted(self.section, np.arange(self.section.max(initial=-1) + 2))
         hashes, bounds = window_hashes(word_hashes(self.words), offsets, depth)
         starts = np.repeat(offsets[:-1] - bounds[:-1], np.diff(bounds)) + np.arange(len(hashes))
         salts = np.array([xxhash.xxh3_64_intdigest(n) for n in self.names], np.uint64)
@@ -131,14 +134,16 @@ def read_group(table: pa.Table) -> Group:
     hosts = encoded.indices.to_numpy().astype(np.int64)
     flat = [(p, text, zone) for p, (texts, zones) in enumerate(zip(table["texts"].to_pylist(), table["zones"].to_pylist(), strict=True)) for text, zone in zip(texts, zones, strict=True)]
     words = split_words(as_text(pa.array([text for _, text, _ in flat], pa.large_string())))
-    page = np.repeat(np.array([p for p, _, _ in flat], np.int64), np.diff(words.offsets))
+    page_of, marked = np.array([p for p, _, _ in flat], np.int64), np.array([zone == MARKED for _, _, zone in flat], bool)
+    sections = np.cumsum((np.diff(page_of, prepend=-1) != 0) | (np.diff(marked, prepend=False) != 0)) - 1 if len(flat) else page_of
+    page, section = np.repeat(page_of, np.diff(words.offsets)), np.repeat(sections, np.diff(words.offsets))
     tokens = words.codes.astype(np.int64) * (int(hosts.max(initial=0)) + 1) + hosts[page]  # only pages of one host can agree
-    return Group(encoded.dictionary.to_pylist(), hosts, table["of_pages"].to_numpy(), flat, words, page, tokens)
+    return Group(encoded.dictionary.to_pylist(), hosts, table["of_pages"].to_numpy(), flat, words, page, section, tokens)
 
 
 def part_runs(group: Group, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the runs in a part of a large host: key, a page that has it, number of the part's pages that have it."""
-    order, index, pages = page_runs(group.tokens, group.page, depth)
+    order, index, pages = page_runs(group.tokens, group.page, group.section, depth)
     first = order[np.flatnonzero(np.diff(index, prepend=-1))]
     return group.keys(depth)[1][first], group.page[first], pages
 
@@ -175,15 +180,15 @@ def clean_group(group: Group, repeated: np.ndarray, least_tokens: int, least_pag
     covered = np.zeros(n, bool)
     if (group.of_pages == 0).any():
         needed = pages_needed(np.bincount(group.hosts)[group.hosts], least_pages, page_share)
-        covered |= repeated_tokens(group.tokens, page, np.where(group.of_pages == 0, needed, n + 1)[page], least_tokens)
+        covered |= repeated_tokens(group.tokens, page, group.section, np.where(group.of_pages == 0, needed, n + 1)[page], least_tokens)
     if len(repeated):
         starts, keys = group.keys(least_tokens)
         starts = starts[group.of_pages[page[starts]] > 0]
         covered |= covered_tokens(n, starts[np.isin(keys[starts], repeated)], least_tokens)
-    keep = ~covered | (zone == CONTENT)
+    keep = (~covered | (zone == CONTENT)) & (zone != MARKED)
     kept = np.bincount(block, weights=keep, minlength=len(flat)).astype(np.int64)
     for k, (p, text, _) in enumerate(flat):
-        if kept[k] == sizes[k]:
+        if kept[k] == sizes[k] and kept[k]:
             out[p].append(text)
         elif kept[k]:
             a, b = words.offsets[k], words.offsets[k + 1]
@@ -195,7 +200,8 @@ def extract(pages: DataFrame, least_tokens: int = 8, least_pages: int = 3, page_
     """page_id, url and text (the main text, empty if there is none) for every row of ``pages``.
 
     ``least_tokens``: length of a repeated run; it must stand on ``least_pages`` pages and on ``page_share``
-    of the host's pages. Text inside article and main elements stays whole.
+    of the host's pages, in parts that the markup leaves out or not. Text inside article and main elements
+    stays whole; what the markup leaves out (``page_blocks``) goes.
     Character references are decoded, white space inside a block becomes one space, blocks are joined in
     page order by one space. A null or empty html gives an empty text. Rows with null or repeated ids are
     pages of their own; a url without a host belongs to the host "". Other columns are not read; an empty
@@ -221,7 +227,7 @@ def extract(pages: DataFrame, least_tokens: int = 8, least_pages: int = 3, page_
         for batch in batches:
             texts, zones = [], []
             for html in batch.column(3).to_pylist():
-                blocks, _ = page_blocks(html)
+                blocks, _ = page_blocks(html, marked=True)
                 texts.append([t for t, _ in blocks])
                 zones.append([z for _, z in blocks])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(4), batch.column(5), pa.array(texts, pa.list_(pa.string())), pa.array(zones, pa.list_(pa.int64()))], ["page_id", "url", "host", "part", "of_pages", "texts", "zones"])

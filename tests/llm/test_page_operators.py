@@ -55,7 +55,7 @@ def test_repeated_tokens_against_counting():
         for k in range(300 - depth + 1):
             if page[k] == page[k + depth - 1] and len(runs[tuple(tokens[k : k + depth])]) >= needed:
                 expected[k : k + depth] = True
-        assert (repeated_tokens(tokens, page, np.full(300, needed), depth) == expected).all()
+        assert (repeated_tokens(tokens, page, page, np.full(300, needed), depth) == expected).all()
 
 
 def test_blocks_leave_out_what_is_not_text():
@@ -64,6 +64,7 @@ def test_blocks_leave_out_what_is_not_text():
     three<br>four<p>five<div id="comments"><p>nice!</div><form>mail</form><aside>side</aside><script>if (a < b) "</p>"</script></main><footer>foot</footer>"""
     blocks, language = page_blocks(page)
     assert [t for t, _ in blocks] == ["Headär", "One two & three four", "five"] and language == "de"
+    assert page_blocks("<p>one <script>x</script>two<style>y</style></p>three <script>z")[0] == [("one two", 0), ("three", 0)]
     assert page_blocks("<nav>unclosed <article>text</article>")[0] == [("text", 1)]
 
 
@@ -117,6 +118,26 @@ def test_extraction_of_the_table(spark, tables):
         assert (got[p.page_id].text, got[p.page_id].n_chars, got[p.page_id].url) == (expected, len(expected), p.url)
 
 
+def test_marked_text_stays_apart():
+    page = "<head><title>t</title></head><nav>menu <a>x</a></nav><p>one</p><footer>end<script>s</script></footer><div class='ad'>buy</div><aside><article>teaser</article></aside><p>two"
+    assert page_blocks(page, marked=True)[0] == [("menu x", 2), ("one", 0), ("end", 2), ("buy", 2), ("teaser", 2), ("two", 0)]
+    assert page_blocks(page)[0] == [("one", 0), ("two", 0)]
+
+
+def test_what_other_pages_mark_goes_without_marks(spark, monkeypatch):
+    """A footer that most pages mark is found where it isn't marked; text in front of it stays, however often it stands there."""
+    foot = "all rights reserved by the owners of this fine site"
+    marked = [(k, f"http://h.example/{k}", f"<p>text {k} of page {k} the end</p><footer>{foot}</footer>") for k in range(8)]
+    plain = [(k, f"http://h.example/{k}", f"<p>text {k} of page {k} the end</p><p>{foot}</p>") for k in range(8, 10)]
+    other = [(10, "http://i.example/", f"<p>{foot}</p>")]
+    expected = {k: f"text {k} of page {k} the end" for k in range(10)} | {10: foot}
+    table = spark.createDataFrame(marked + plain + other, PAGES)
+    assert {r.page_id: r.text for r in extract(table).collect()} == expected
+    for name, value in (("GROUP_BYTES", 300), ("PART_PAGES", 3)):
+        monkeypatch.setattr(html_extract, name, value)
+    assert {r.page_id: r.text for r in extract(table).collect()} == expected
+
+
 def test_boilerplate_of_a_host_goes_and_unique_runs_stay(spark):
     rng = random.Random(3)
     share = "read more about our partners and their many great offers"
