@@ -1,6 +1,7 @@
 """Text blocks of HTML pages, each with the part of the page that it stands in."""
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 from itertools import groupby
 
@@ -28,6 +29,16 @@ QUALIFYING_WORDS = frozenset("category has hide is no non not show skip tag with
 HEADING_WORDS = frozenset("header masthead banner".split())
 #: Elements that don't swallow an article or main inside them even if they are closed; and those that always do.
 WRAPPING_TAGS, SWALLOWING_TAGS = frozenset(("form",)), frozenset("aside template noscript".split())
+#: Elements whose end tag may be left out: by the start tag that ends them, and how far up the search for them goes.
+_ITEM_END, _CELL_END = frozenset("ul ol menu dl table".split()), frozenset("tr table".split())
+IMPLIED_ENDS = {
+    "li": (frozenset(("li",)), _ITEM_END),
+    "dd": (frozenset(("dd", "dt")), _ITEM_END),
+    "dt": (frozenset(("dd", "dt")), _ITEM_END),
+    "td": (frozenset(("td", "th")), _CELL_END),
+    "th": (frozenset(("td", "th")), _CELL_END),
+    "tr": (frozenset(("tr",)), frozenset(("table",))),
+}
 HEADING_TAGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Share of a block's text in links, and blocks in a row, from which on they are a menu.
 LINK_SHARE, LINK_BLOCKS = 0.9, 3
@@ -69,6 +80,7 @@ class _Blocks(HTMLParser):
         super().__init__(convert_charrefs=True)
         # tag, why dropped inside, content inside, dropped for good inside, number of blocks in front of an element dropped by its tag
         self.stack: list[tuple[str, int, bool, bool, int | None]] = []
+        self.open: Counter[str] = Counter()  # of the stack's tags
         self.dropped, self.content, self.marked = _READ, False, False
         self.blocks: list[tuple[str, int, bool]] = []  # text, zone, whether it is all links
         self.parts: list[str] = []
@@ -83,15 +95,32 @@ class _Blocks(HTMLParser):
                 self.blocks.append((text, zone, self.linked >= LINK_SHARE * self.length))
             self.parts, self.length, self.linked = [], 0, 0
 
-    def _restore(self):
+    def _cut(self, k):
+        self.open.subtract(tag for tag, *_ in self.stack[k:])
+        del self.stack[k:]
         _, self.dropped, self.content, self.marked, _ = self.stack[-1] if self.stack else ("", _READ, False, False, None)
 
+    def _end_implied(self, tag):
+        """Ends what a block's start tag ends without an end tag: a paragraph always, an item, cell or row by the next one."""
+        kinds, bounds = IMPLIED_ENDS.get(tag, (frozenset(), BLOCK_TAGS))
+        if not any(self.open[kind] for kind in kinds):
+            bounds = BLOCK_TAGS
+        for k in range(len(self.stack) - 1, -1, -1):
+            open_tag = self.stack[k][0]
+            if open_tag == "p" or open_tag in kinds:
+                self._cut(k)
+                if open_tag != "p":
+                    return
+            elif open_tag in bounds or open_tag in DROPPED_TAGS or open_tag in CONTENT_TAGS:
+                return
+
     def handle_starttag(self, tag, attrs):
         if tag in RAW_TAGS:  # no text, and no end of the block that they stand in
             self.raw = True
             return
         if tag in BLOCK_TAGS:
             self._end_block()
+            self._end_implied(tag)
             if tag in HEADING_TAGS or tag in CONTENT_TAGS or tag == "p":
                 self.in_link = False
         elif tag == "br":
@@ -121,12 +150,15 @@ class _Blocks(HTMLParser):
         if dropped != self.dropped:  # text of an element that is no block
             self._end_block()
         self.stack.append((tag, dropped, content, marked, before))
+        self.open[tag] += 1
         self.dropped, self.content, self.marked = dropped, content, marked
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID_TAGS or tag not in BLOCK_TAGS:
             self.handle_starttag(tag, attrs) if tag in VOID_TAGS else None
-        else:  # a slash at the end of a start tag means nothing in HTML
+        elif tag == "svg":
+            self._end_block()
+        else:  # a slash at the end of a start tag means nothing in HTML, but in SVG
             self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
@@ -137,15 +169,14 @@ class _Blocks(HTMLParser):
             self._end_block()
         elif tag == "a":
             self.in_link = False
-        for k in range(len(self.stack) - 1, -1, -1):
+        for k in range(len(self.stack) - 1 if self.open[tag] else -1, -1, -1):
             if self.stack[k][0] == tag:
                 if self.stack[k][1] != (self.stack[k - 1][1] if k else _READ):
                     self._end_block()
                 if self.stack[k][4] is not None:  # it was closed after all, with what articles it has
                     inside = self.blocks[self.stack[k][4] :]
                     self.blocks[self.stack[k][4] :] = [] if tag in TEXTLESS_TAGS else [(text, MARKED, links) for text, _, links in inside]
-                del self.stack[k:]
-                self._restore()
+                self._cut(k)
                 return
 
     def handle_data(self, data):
@@ -174,7 +205,8 @@ def page_blocks(html: str | None, marked: bool = False) -> tuple[list[tuple[str,
     Left out: head, scripts, styles, menus, headers, footers, sidebars, forms, and elements whose class, id
     or role says that they are one of these, a notice, an advert or comments; articles inside these as well,
     but for those in forms and behind an unclosed tag; outside articles also three and more blocks in a row that are
-    all links. A class name counts as a whole, by its noun. Where articles and main hold less than half of the
+    all links. A class name counts as a whole, by its noun. Paragraphs, items, cells and rows end where HTML says,
+    with or without an end tag. Where articles and main hold less than half of the
     text, they are teasers and not the content: all blocks are PLAIN. Where nothing else is left of a page,
     what its class names alone had left out is read, if that is a text of some length. With ``marked`` the text
     that is left out comes along as MARKED, but not what elements without text, like head and script, hold.

@@ -93,6 +93,22 @@ def test_class_names_count_by_their_nouns():
     assert texts("<h1 class='page-header'>title</h1><div class='page-header'>top</div>text <span class='ad'>buy</span> more") == ["title", "text", "more"]
 
 
+def test_end_tags_that_are_left_out():
+    texts = lambda html: [t for t, _ in page_blocks(html)[0]]
+    assert texts("<p class='ad'>buy<p>one<p class='ad'><b>buy<div>two</div>") == ["one", "two"]
+    assert texts("<p class='ad'>buy<article><p>text</article>") == ["text"]
+    assert texts("<ul><li class='ad'>buy<li>one<ul><li class='ad'>x</ul>two<li class='ad'>y<p>z<li>three</ul>four") == ["one", "two", "three", "four"]
+    assert texts("<dl><dt class='ad'>buy<dd>one<dd class='ad'>x</dl>two") == ["one", "two"]
+    assert texts("<table><tr class='ad'><td>buy<td>x<tr><td class='ad'>y<td>one<th>two</table>three") == ["one", "two", "three"]
+    assert texts("<div class='ad'><p>buy<p>more</div><p>one<svg/>two") == ["one", "two"]
+
+
+def test_deep_pages_with_stray_tags_are_quick():
+    started = time.monotonic()
+    assert page_blocks("<div>" * 30_000 + "<li>x</b>" * 30_000)[0] == [("x", 0)] * 30_000
+    assert time.monotonic() - started < 10
+
+
 def test_menus_without_marks_and_pages_that_would_be_empty():
     texts = lambda html: [t for t, _ in page_blocks(html)[0]]
     links = "".join(f"<li><a href='/{k}'>entry {k}</a>" for k in range(4))
