@@ -28,4 +28,35 @@ gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM dup),
 each AS (SELECT doc_id, p, words[p] AS word FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS p FROM w)),
 kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n FROM each ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)""",
+    "op12_conversation_repair": """
+WITH RECURSIVE k AS (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key, coalesce(role, ' ') AS r, coalesce("text", ' ') AS t FROM conversations),
+c AS (SELECT conv_id, turn, r, t, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(key, ''), lambda x: CAST(ord(x) AS BIGINT))),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, bit: xor(x >> 1, CAST(3988292384 AS BIGINT) * (x & 1))))) % 20 AS damage FROM k),
+d AS (SELECT conv_id, turn, CASE WHEN damage = 4 THEN 'user' ELSE r END AS role, CASE damage WHEN 1 THEN '' WHEN 2 THEN regexp_replace(t, '[.!?]', '', 'g') ELSE t END AS txt,
+  unnest(range(CASE WHEN damage = 3 THEN 2 ELSE 1 END)) AS copy FROM c WHERE damage != 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, txt, copy) AS i FROM d),
+f AS (SELECT conv_id, turn, role, txt, i, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+  CASE WHEN NOT regexp_matches(txt, '[^\\x20\\x09-\\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, txt ORDER BY i) > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(txt, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 'truncated' ELSE '' END AS fault FROM o),
+stats AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+  count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE before || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM f GROUP BY 1),
+follows(state, initial, behind) AS (VALUES ('^', 's', 's'), ('^', 'u', 'u'), ('s', 'u', 'u'), ('u', 'a', 'a'), ('a', 'u', 'u')),
+inserts(state, behind, extra, more, lines) AS (VALUES ('^', '^', 0, '', ''), ('^', 'u', 3, 'I', 'user:\n'), ('^', 'a', 6, 'II', 'user:\nassistant:\n'), ('s', 's', 0, '', ''), ('s', 'u', 3, 'I', 'user:\n'), ('s', 'a', 6, 'II', 'user:\nassistant:\n'),
+  ('u', 'u', 0, '', ''), ('u', 'a', 3, 'I', 'assistant:\n'), ('a', 'a', 0, '', ''), ('a', 'u', 3, 'I', 'user:\n')),
+paths AS (SELECT conv_id, '^' AS state, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS cost, '' AS audit, '' AS body FROM stats
+  UNION ALL
+  SELECT conv_id, state, i, best.cost, best.audit, best.body FROM (
+    SELECT p.conv_id, e.behind AS state, p.i + 1 AS i, min({'cost': p.cost + s.extra + e.price, 'audit': p.audit || s.more || e.letter, 'body': p.body || replace(s.lines, '\n', chr(10)) || e.line}) AS best
+    FROM paths p JOIN inserts s ON s.state = p.state JOIN f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i + 1,
+    LATERAL (SELECT s.behind AS behind, 4 AS price, 'D' AS letter, '' AS line
+      UNION ALL SELECT w.behind, CASE WHEN f.fault = 'truncated' THEN 3 ELSE 0 END, 'K', f.role || ':' || f.txt || chr(10) FROM follows w WHERE w.state = s.behind AND w.initial = f.initial AND f.fault NOT IN ('blank', 'duplicate')
+      UNION ALL SELECT w.behind, CASE WHEN f.fault = 'truncated' THEN 6 ELSE 3 END, 'R', CASE w.initial WHEN 'u' THEN 'user' ELSE 'assistant' END || ':' || f.txt || chr(10)
+        FROM follows w WHERE w.state = s.behind AND w.initial != 's' AND f.fault NOT IN ('blank', 'duplicate')) e
+    GROUP BY 1, 2, 3)),
+ends AS (SELECT p.conv_id, min({'cost': p.cost + s.extra, 'audit': p.audit || s.more, 'body': p.body || replace(s.lines, '\n', chr(10))}) AS best
+  FROM paths p JOIN stats t ON t.conv_id IS NOT DISTINCT FROM p.conv_id AND t.n = p.i JOIN inserts s ON s.state = p.state
+  WHERE CASE WHEN p.state = '^' THEN s.behind = '^' ELSE s.behind = 'a' END GROUP BY 1)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(left(best.body, length(best.body) - 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) ids LEFT JOIN stats ON stats.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN ends ON ends.conv_id IS NOT DISTINCT FROM ids.conv_id""",
 }

@@ -3,9 +3,11 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fareloom.llm.conversations import damaged, repair, reports
 from fareloom.llm.decontamination import contaminated_pairs
 from fareloom.llm.html_extract import extract
 from fareloom.llm.language_id import identify
+from fareloom.llm.license_scan import scan
 from fareloom.llm.minhash import Settings, near_duplicates
 from fareloom.llm.oracles import ORACLE_SQL
 from fareloom.llm.packing import pack
@@ -16,6 +18,7 @@ from fareloom.llm.token_counts import count_tokens
 from fareloom.llm.token_files import read_token_files, write_token_files
 
 from fareloom.llm.warc import read_archives, write_archives
+from fareloom.llm.whitening import whiten
 
 
 def vocabulary(name: str) -> str:
@@ -76,6 +79,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=512)
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), components=4, scale=256)
+    return found.select("vec_id", "component", "n", F.col("deviation").try_cast("long").alias("deviation"), "whitened", "explained", "identity_error")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return reports(repair(damaged(turns), turns))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    return scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select(*columns)
+
+
 def queries() -> dict:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
@@ -88,6 +106,9 @@ def queries() -> dict:
         "op8_quality_rules": op8_quality_rules,
         "op9_token_files": op9_token_files,
         "op10_token_counts": op10_token_counts,
+        "op11_embedding_whitening": op11_embedding_whitening,
+        "op12_conversation_repair": op12_conversation_repair,
+        "op13_license_scan": op13_license_scan,
     }
 
 
