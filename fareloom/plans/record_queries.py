@@ -516,70 +516,6 @@ def backtest_run(spark, sf_dir):
     return both.select("n", *(F.round(c, 4).alias(c) for c in ("correlation", "rmse", "agreement_pct")))
 
 
-# -- batch twins of the stream ----------------------------------------------------------------------
-
-ARRIVAL = ["flight_date", "seq1", "seq2", "seq3", "seq4", "total_fare"]
-EVENT_TIME_SQL = "coalesce(CASE WHEN seq2 % 3 = 0 THEN event_time END, CASE WHEN seq2 % 3 < 2 THEN CAST(flight_date AS TIMESTAMP) END, CAST(flight_date AS TIMESTAMP) + INTERVAL 1 DAY)"
-
-
-def arrived(spark, sf_dir):
-    """Quotes with the event time of the stream: booking, else departure, else arrival."""
-    departure = F.col("flight_date").cast("timestamp")
-    booking = F.when(F.col("seq2") % 3 == 0, F.col("event_time"))
-    known = F.coalesce(booking, F.when(F.col("seq2") % 3 < 2, departure), departure + F.expr("INTERVAL 1 DAY"))
-    return quotes(spark, sf_dir).withColumn("at", known)
-
-
-@query(with_quotes(f"""
-, timed AS (SELECT *, {EVENT_TIME_SQL} AS event_at FROM quotes),
-marked AS (SELECT *, max(event_at) OVER (ORDER BY flight_date, seq1, seq2, seq3, seq4, total_fare ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS watermark FROM timed)
-SELECT route_code, count(*) AS n, count(*) FILTER (event_at < watermark) AS n_out_of_order, count(*) FILTER (event_at < watermark AND epoch(watermark) - epoch(event_at) > 864000) AS n_stale FROM marked GROUP BY 1"""))
-def stream_order(spark, sf_dir):
-    """Quotes behind the newest event time of the whole stream, and those that an opt-in drop of late ones loses."""
-    q = anomaly.running_max_before(arrived(spark, sf_dir), "flight_date", ARRIVAL[1:], "at", "watermark")
-    late = F.col("at") < F.col("watermark")
-    stale = late & (F.unix_timestamp("watermark") - F.unix_timestamp("at") > 864_000)
-    return q.groupBy("route_code").agg(F.count("*").alias("n"), F.count_if(late).alias("n_out_of_order"), F.count_if(stale).alias("n_stale"))
-
-
-PORTALS = ("indigo", "spicejet", "airindia", "makemytrip", "easemytrip", "yatra", "ixigo")
-FLIGHT_KEYS = ["route_code", "carrier", "flight_no"]
-
-
-@query(with_quotes(f"""
-, seen AS (SELECT route_code, carrier, flight_no, portal, total_fare, {", ".join(f"last_value(CASE WHEN portal = '{p}' THEN total_fare END IGNORE NULLS) OVER w AS {p}" for p in PORTALS)} FROM quotes
-  WINDOW w AS (PARTITION BY route_code, carrier, flight_no ORDER BY flight_date, seq1, seq2, seq3, seq4, total_fare ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-flags AS (SELECT *, least({", ".join(PORTALS)}) AS least_before, CASE portal {" ".join(f"WHEN '{p}' THEN {p}" for p in PORTALS)} END AS own FROM seen)
-SELECT portal, count(*) AS n, count(*) FILTER (least_before IS NULL OR total_fare < least_before - 1e-6) AS n_new_minimum, count(*) FILTER (abs(own - total_fare) < 1e-6) AS n_duplicate FROM flags GROUP BY 1"""))
-def stream_flags(spark, sf_dir):
-    """New minima and repeated prices, as the stream marks them: against the last quote of each portal of the flight."""
-    from pyspark.sql import Window
-
-    at = Window.partitionBy(*FLIGHT_KEYS).orderBy(*ARRIVAL).rowsBetween(Window.unboundedPreceding, -1)
-    last = {p: F.last(F.when(F.col("portal") == p, F.col("total_fare")), ignorenulls=True).over(at) for p in PORTALS}
-    q = quotes(spark, sf_dir).withColumns({f"last_{p}": c for p, c in last.items()})
-    least = F.least(*(F.col(f"last_{p}") for p in PORTALS))
-    own = F.coalesce(*(F.when(F.col("portal") == p, F.col(f"last_{p}")) for p in PORTALS))
-    new = least.isNull() | (F.col("total_fare") < least - 1e-6)
-    return q.groupBy("portal").agg(F.count("*").alias("n"), F.count_if(new).alias("n_new_minimum"), F.count_if(F.abs(own - F.col("total_fare")) < 1e-6).alias("n_duplicate"))
-
-
-@query(with_quotes("""
-, last AS (SELECT *, row_number() OVER (PARTITION BY route_code, carrier, flight_no, portal ORDER BY event_time DESC, seq1 DESC, seq2 DESC, seq3 DESC, seq4 DESC, flight_date DESC, total_fare DESC) AS rn FROM quotes),
-flights AS (SELECT route_code, carrier, flight_no, min(total_fare) AS least, max(total_fare) AS most, max(event_time) AS newest FROM last WHERE rn = 1 GROUP BY ALL)
-SELECT sha256(carrier || ':' || flight_no || ':' || route_code) AS hash_id, route_code, carrier, flight_no, round(most - least, 4) AS spread, round((most - least) / least * 100, 4) AS spread_pct FROM flights WHERE newest >= (SELECT max(newest) FROM flights) - INTERVAL 30 DAY"""))
-def resolved_snapshot(spark, sf_dir):
-    """Flights that are still held (updated in the last thirty days) with their hash and the spread over all portals."""
-    q = quotes(spark, sf_dir)
-    last = q.groupBy(*FLIGHT_KEYS, "portal").agg(F.max_by("total_fare", F.struct("event_time", *SEQUENCE)).alias("fare"), F.max("event_time").alias("newest"))
-    f = last.groupBy(*FLIGHT_KEYS).agg(F.min("fare").alias("least"), F.max("fare").alias("most"), F.max("newest").alias("newest"))
-    end = q.agg(F.max("event_time").alias("end"))  # one row
-    held = f.crossJoin(end).where(F.col("newest") >= F.col("end") - F.expr("INTERVAL 30 DAY"))
-    gap = F.col("most") - F.col("least")
-    key = normalize.fingerprint(F.col("carrier"), F.col("flight_no"), F.col("route_code"))
-    return held.select(key.alias("hash_id"), *FLIGHT_KEYS, F.round(gap, 4).alias("spread"), F.round(gap / F.col("least") * 100, 4).alias("spread_pct"))
-
-
 @query(with_quotes(ALERT_SQL + " SELECT severity, kind, count(*) AS n FROM alerts WHERE severity IS NOT NULL GROUP BY ALL"))
 def alert_summary(spark, sf_dir):
     """Alerts by severity and kind."""

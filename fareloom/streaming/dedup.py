@@ -1,30 +1,49 @@
-"""Quotes of a flight from several portals, resolved to the least payable fare: as a stream and in batch.
+"""Quotes of a flight from several portals, resolved to the least payable fare: as a stream, as a replay and in batch.
 
-The stream keeps, for each flight, the last quote of each portal. A portal that raises its fare can raise the
-flight's least fare. State goes when a flight had no quote for the retention time: by arrival, or, where late quotes
-are dropped, once the watermark is that far past the flight's newest quote.
+The stream keeps the last quote of each portal in a map of the state store, an entry a portal: a micro-batch reads the portals of the flights
+that it has quotes of and writes those that changed. A portal that raises its fare can raise the flight's least fare.
 """
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
-from fareloom.constants import NOT_PAYABLE
 from fareloom.functions.normalize import timestamp
 from fareloom.functions.scoring import payable
+from fareloom.operators.asof import as_of
+from fareloom.operators.layout import fresh, in_blocks, written
+from fareloom.streaming.flight_state import RESULTS, Flight
 
-EPSILON = 1e-6
+#: Where the stream's state must be kept; set it before the query starts.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+INPUT = ["flight", "portal", "event_time", "seq", "fare", "status"]
+OUTPUT = f"flight string, portal string, event_time timestamp, seq long, fare double, status string, {RESULTS}"
 
 
 def resolve_batch(df: DataFrame, flight: list[str], portal: str, fare: str, status: str, order: list[str]) -> DataFrame:
-    """n_portals, fare and spread of each flight: of each portal the last quote in ``order`` counts, fare and
-    spread are over payable ones and null without any."""
+    """n_portals, fare (the least payable one), most (of all portals) and spread of each flight.
+
+    Of each portal the last quote in ``order`` counts; see ``spread_of`` for the spread.
+    """
     last = df.groupBy(*flight, portal).agg(F.max_by(F.struct(F.col(fare).alias("f"), F.col(status).alias("s")), F.struct(*order)).alias("q"))
-    price = F.when(payable(F.col("q.s")), F.col("q.f"))
-    return last.groupBy(*flight).agg(F.count("*").alias("n_portals"), F.min(price).alias("fare"), (F.max(price) - F.min(price)).alias("spread"))
+    least = F.min(F.when(payable(F.col("q.s")), F.col("q.f")))
+    ends = last.groupBy(*flight).agg(F.count("*").alias("n_portals"), least.alias("fare"), F.max("q.f").alias("most"))
+    return ends.withColumn("spread", spread_of(F.col("fare"), F.col("most"), F.col("n_portals")))
+
+
+def spread_of(least: Column, most: Column, n_portals: Column) -> Column:
+    """The greatest fare of all portals less the least payable one, to whole hundredths; null for one portal and without a positive least fare."""
+    return F.when((n_portals > 1) & (least > 0), F.round(most - least, 2))
+
+
+def with_spread(df: DataFrame) -> DataFrame:
+    """``df`` (least, most, n_portals) with spread and spread_pct (of the least fare)."""
+    spread = spread_of(F.col("least"), F.col("most"), F.col("n_portals"))
+    return df.withColumn("spread", spread).withColumn("spread_pct", F.round(F.col("spread") / F.col("least") * 100, 4))
 
 
 def with_event_time(df: DataFrame, booking: str, departure: str, arrival: str) -> DataFrame:
@@ -32,55 +51,125 @@ def with_event_time(df: DataFrame, booking: str, departure: str, arrival: str) -
     return df.withColumn("event_time", F.coalesce(*(timestamp(F.col(c).cast("string")) for c in (booking, departure, arrival))))
 
 
-OUTPUT = "flight string, portal string, event_time timestamp, seq long, fare double, least double, spread double, n_portals int, new_minimum boolean, duplicate_price boolean, out_of_order boolean"
-STATE = "portals string, newest timestamp"
+class FlightQuotes(StatefulProcessor):
+    """Every quote of a flight with the flight's state after it; a flight without quotes for ``retention_ms`` is forgotten."""
+
+    def __init__(self, retention_ms: int, by_event_time: bool, zone: str):
+        self.retention_ms, self.by_event_time, self.zone = retention_ms, by_event_time, zone
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.portals = handle.getMapState("portals", "portal string", "fare double, status string, place int")
+        self.newest = handle.getValueState("newest", "at timestamp")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        flight = Flight(pd.Timestamp(self.newest.get()[0]) if self.newest.exists() else None)
+        for (portal,), (fare, status, place) in self.portals.iterator() if self.portals.exists() else ():
+            flight.hold(portal, fare, status, place)
+        watermark = timerValues.getCurrentWatermarkInMs()
+        seen = pd.Timestamp(watermark, unit="ms", tz="UTC").tz_convert(self.zone).tz_localize(None) if self.by_event_time and watermark > 0 else None
+        quotes = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        out, changed = [], {}
+        for q in quotes.itertuples(index=False):
+            fare, status = None if pd.isna(q.fare) else float(q.fare), None if pd.isna(q.status) else q.status
+            portal, at = "unknown" if pd.isna(q.portal) else q.portal, None if pd.isna(q.event_time) else q.event_time
+            out.append((key[0], portal, at, q.seq, fare, status, *flight.quote(portal, fare, status, at, seen)))
+            changed[portal] = flight.portals[portal]
+        for portal, value in changed.items():
+            self.portals.updateValue((portal,), value)
+        if flight.newest is not None:
+            self.newest.update((flight.newest.to_pydatetime(),))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        last = flight.newest if self.by_event_time else quotes["arrival"].max()
+        known = last is not None and int(last.tz_localize(self.zone, ambiguous=True, nonexistent="shift_forward").timestamp() * 1000)
+        self.handle.registerTimer(max(known or 0, watermark + 1) + self.retention_ms)
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")]).astype({"least": float, "previous_least": float, "most": float, "n_portals": "int32"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.portals.clear()
+        self.newest.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
 
 def resolve_stream(stream: DataFrame, drop_later_than: str | None = None, retention_ms: int = 3_600_000) -> DataFrame:
-    """Every quote of ``stream`` with the state of its flight after it.
-
-    ``stream``: flight, portal, event_time (see ``with_event_time``), seq (order within equal times), fare, status.
-    All quotes count unless ``drop_later_than`` is given: then Spark drops those that are later than that behind the
-    newest quote of all flights, as of the batch before the last one. Inside a micro-batch a flight's quotes are taken in order of time and seq;
-    ``out_of_order`` compares with the newest quote of the flight and, where late ones are dropped, with the newest
-    one of all flights in the batches before, since Spark's watermark only advances between micro-batches. Without
-    a payable portal ``least`` is null and no minimum is new.
+    """Every quote of ``stream`` with the state of its flight after it, in order of arrival.
+
+    ``stream``: flight, portal, event_time (see ``with_event_time``), seq (ascending with arrival), fare, status; the session must use ``STATE_STORE``.
+    Added: ``RESULTS``, spread and spread_pct. The last quote of a portal to arrive counts, also when its event time is older.
+    ``out_of_order``: its event time is behind that of an earlier quote of the flight. All quotes count, and a flight is
+    forgotten ``retention_ms`` after its last arrival. With ``drop_later_than`` Spark drops quotes that are later than that behind
+    the newest quote of all flights, as of the batch before the last one; then ``out_of_order`` also compares with that watermark and
+    retention goes by event time. Without a payable portal least is null and the next quote counts as a new minimum, as a first one does. A
+    null portal is "unknown"; a null fare counts as a portal without a price.
     """
-    window_ms = int(pd.Timedelta(drop_later_than).total_seconds() * 1000) if drop_later_than else None
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        import json
-
-        if state.hasTimedOut:
-            state.remove()
-            return
-        portals, newest = (json.loads(state.get[0]), pd.Timestamp(state.get[1])) if state.exists else ({}, None)
-        rows = []
-        seen_ms = state.getCurrentWatermarkMs() + window_ms if window_ms is not None else None
-        quotes = pd.concat(list(frames)).sort_values(["event_time", "seq"], kind="stable")
-        for q in quotes.itertuples(index=False):
-            before = [f for f, s in portals.values() if s not in NOT_PAYABLE]
-            known = portals.get(q.portal)
-            behind = newest is not None and q.event_time < newest
-            late = behind or (seen_ms is not None and q.event_time.timestamp() * 1000 < seen_ms)
-            if not behind or known is None:
-                portals[q.portal] = (float(q.fare), q.status)
-            newest = q.event_time if newest is None else max(newest, q.event_time)
-            now = [f for f, s in portals.values() if s not in NOT_PAYABLE]
-            least = min(now) if now else None
-            lower = least is not None and (not before or least < min(before) - EPSILON)
-            same = known is not None and abs(known[0] - float(q.fare)) < EPSILON
-            rows.append((key[0], q.portal, q.event_time, q.seq, float(q.fare), least, max(now) - least if now else None, len(portals), lower, same, late))
-        state.update((json.dumps(portals), newest.to_pydatetime()))
-        last = newest if window_ms is not None else quotes["_arrival"].max()
-        state.setTimeoutTimestamp(max(int(last.timestamp() * 1000), state.getCurrentWatermarkMs() + 1) + retention_ms)
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in OUTPUT.split(", ")])
-
-    if window_ms is None:  # time of arrival never goes back: nothing is late, and state goes by arrival
-        marked = stream.withColumn("_arrival", F.current_timestamp()).withWatermark("_arrival", "1 second")
-    else:
-        marked = stream.withWatermark("event_time", drop_later_than)
-    return marked.groupBy("flight").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    by_event_time, arrival = drop_later_than is not None, F.current_timestamp().alias("arrival")
+    given = stream.select(*INPUT, arrival)
+    # time of arrival never goes back: nothing is late by it, and its watermark lets timers run out
+    marked = given.withWatermark("event_time", drop_later_than) if by_event_time else given.withWatermark("arrival", "0 seconds")
+    processor = FlightQuotes(retention_ms, by_event_time, stream.sparkSession.conf.get("spark.sql.session.timeZone"))
+    return with_spread(marked.groupBy("flight").transformWithStateInPandas(processor, OUTPUT, "Append", "EventTime"))
+
+
+def replay(df: DataFrame, flight: list[str], portal: str, event_time: str, fare: str, status: str, arrival: list[str], seen: str | None = None, rows: int | None = None) -> DataFrame:
+    """``df`` with ``RESULTS``, spread and spread_pct of each quote, as the stream gives them for the order ``arrival`` (without ties).
+
+    ``seen``: a column with the newest event time of all quotes before (for ``out_of_order`` against the whole feed, not the flight only).
+
+    Quotes are laid out in blocks of flight and arrival. A block starts from the last quote of each portal in the flight's blocks before it,
+    which an as-of join brings: a flight of any size is spread over tasks, and a block holds ``rows`` quotes and one row a portal.
+    """
+    laid, place, block = in_blocks(df, [*flight, *arrival], "replay", rows)
+    fresh_ = lambda name: fresh(name, laid)
+    who, newest, start, last, first = (fresh_(c) for c in ("_portal", "_newest", "_start", "_last", "_first"))
+    named = laid.withColumn(who, F.coalesce(F.col(portal), F.lit("unknown")))
+    price = F.struct(F.col(fare).cast("double").alias("fare"), F.col(status).alias("status"))
+    ends = written(named.groupBy(*flight, block, who).agg(F.max_by(price, F.col(place)).alias(last), F.min(place).alias(first), F.max(event_time).alias(newest)), "replay-ends")
+    # only blocks that continue a flight need what was before them
+    begun = Window.partitionBy(*flight).orderBy(block)
+    starts = ends.groupBy(*flight, block).agg(F.max(newest).alias(newest))
+    later = starts.select(*flight, block, F.max(newest).over(begun.rowsBetween(Window.unboundedPreceding, -1)).alias(newest), F.lag(block).over(begun).alias(start)).where(F.col(start).isNotNull()).drop(start)
+    portals = ends.groupBy(*flight, who).agg(F.min(first).alias(first))
+    wanted = later.join(portals, flight)
+    carried = as_of(wanted, ends.select(*flight, who, block, last), [*flight, who], block, block, [last], before=True).where(F.col(last).isNotNull())
+
+    given = [f.name for f in df.schema]
+    kind, extra = fresh_("_kind"), fresh_("_extra")
+    quotes = named.select(*flight, block, F.lit(1).alias(kind), place, who, price.alias(last), F.col(event_time).cast("timestamp").alias(newest), (F.col(seen).cast("timestamp") if seen else F.lit(None).cast("timestamp")).alias(start), F.struct(*(F.col(f"`{c}`") for c in given)).alias(extra))
+    heads = carried.select(*flight, block, F.lit(0).alias(kind), F.col(first).alias(place), who, last, F.col(newest).cast("timestamp").alias(newest), F.lit(None).cast("timestamp").alias(start), F.lit(None).cast(quotes.schema[extra].dataType).alias(extra))
+    added = [c.split() for c in RESULTS.split(", ")]
+    names = {c: fresh(c, df) for c, _ in added}
+    ordered = quotes.unionByName(heads).repartition(*flight, block).sortWithinPartitions(*flight, block, kind, place)
+    key_width = len(flight) + 1
+
+    def run(batches):
+        now, state = None, None
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns[: key_width + 6]]
+            kept, out = [], []
+            for k in range(len(batch)):
+                key = tuple(c[k] for c in columns[:key_width])
+                a_quote, at_place, portal_, price_, at, before = (c[k] for c in columns[key_width:])
+                if key != now:
+                    now, state = key, Flight()
+                if not a_quote:
+                    state.hold(portal_, price_["fare"], price_["status"], at_place)
+                    state.newest = at
+                else:
+                    kept.append(k)
+                    out.append(state.quote(portal_, price_["fare"], price_["status"], at, before, at_place))
+            rest = batch.column(key_width + 6).take(pa.array(kept, pa.int64()))
+            values = [pa.array(v, t) for v, t in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], t) for t in types]
+            yield pa.RecordBatch.from_arrays([rest, *values], names=[extra, *(c for c, _ in added)])
+
+    types = [{"boolean": pa.bool_(), "double": pa.float64(), "string": pa.string(), "int": pa.int32()}[t] for _, t in added]
+    schema = f"`{extra}` {quotes.schema[extra].dataType.simpleString()}, {RESULTS}"
+    found = with_spread(ordered.mapInArrow(run, schema))
+    both = [*names.items(), *((c, fresh(c, df)) for c in ("spread", "spread_pct"))]
+    return found.select(*(F.col(extra).getField(c).alias(c) for c in given), *(F.col(c).alias(n) for c, n in both))
 
 
 def resolved_flights(stream: DataFrame, window: str = "300 seconds") -> DataFrame:
