@@ -44,6 +44,11 @@ STATUS_ALIASES = {
 FAILED_STATUSES = ("FAILED", "ERROR", "TIMEOUT", "BLOCKED", "BANNED", "RATE_LIMITED", "CAPTCHA")
 #: Labels that cite nothing.
 BARE_SOURCES = ("mospi", "mospi_official", "nso", "official")
+#: Values of the reference series that were withdrawn, by column and month.
+WITHDRAWN = {
+    "headline_cpi": {"2024-01": 185.2, "2025-12": 195.8, "2026-01": 196.4},
+    "cpi_transport_index": {"2024-01": 174.5},
+}
 NOT_PAYABLE = ("cancelled", "sold_out")
 #: Weights and normalisers of the surge score, its levels, the thresholds of its rules and their codes.
 SURGE_WEIGHTS = {"z": 0.35, "multiple": 0.25, "dod": 0.20, "outlier": 0.10, "concentration": 0.10}
@@ -56,8 +61,11 @@ VIOLATION_CODES = {
     "multiple": "DGCA_CAR_TARIFF_CEILING_BREACH",
     "concentration": "DGCA_ANTI_COMPETITIVE_SURGE",
 }
-#: Baseline of a route without one: mean, deviation and median.
+#: Baseline of a route and window without one: mean, deviation and previous fare.
 DEFAULT_BASELINE = (5000.0, 500.0, 5000.0)
+#: Concentration where none is measured: of the daily run, and of the carriers' shares (the sum of their squares, four places).
+DAILY_HHI = 0.42
+SHARES_HHI = round(sum(share**2 for share in CARRIER_SHARES.values()), 4)
 Z_WARNING, Z_CRITICAL, DOD_CRITICAL, MULTIPLE_LIMIT, HHI_LIMIT, HHI_Z = 2.0, 3.0, 0.40, 2.50, 0.40, 2.5
 EPSILON = 1e-9
 

@@ -1,8 +1,12 @@
 """Baselines over calendar days and over observations, and bounded histories."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fareloom import constants as C
+from fareloom.functions import scoring
+from fareloom.operators.layout import fresh
+
 
 def rolling_days(df: DataFrame, keys: list[str], day: str, value: str, days: int) -> DataFrame:
     """``df`` with n_base, mean, deviation and previous of the last ``days`` calendar days, today left out.
@@ -30,3 +34,44 @@ def running_max_before(df: DataFrame, bucket: str, order: list[str], value: str,
     earlier = of_bucket.select(bucket, F.max("_most").over(Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"))
     inside = F.max(value).over(Window.partitionBy(bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     return df.withColumn("_inside", inside).join(earlier, bucket).withColumn(name, F.greatest("_inside", "_earlier")).drop("_inside", "_earlier")
+
+
+def batch_lead_days(window: Column) -> Column:
+    """Lead days as the batch evaluation takes them from a window's digits: any 1 gives 1 (T+15 too), then 7, 15 and 30; 7 for all others."""
+    found = F.lit(7)
+    for digits in ("30", "15", "7", "1"):
+        found = F.when(F.contains(window, F.lit(digits)), int(digits)).otherwise(found)
+    return F.coalesce(found, F.lit(7))
+
+
+def _surge_alone(fare: Column, mean: Column, deviation: Column, lead_days: Column, previous: Column, hhi: float) -> Column:
+    """``scoring.surge`` without peers: fences from mean and deviation, the mean as the route's median."""
+    none = F.lit(None).cast("double")
+    return scoring.surge(fare, mean, deviation, lead_days, previous, mean, F.lit(0), none, none, F.lit(hhi))
+
+
+def judged_quotes(quotes: DataFrame, baselines: DataFrame, keys: list[str], window: str, fare: str, hhi: float = C.SHARES_HHI) -> DataFrame:
+    """``quotes`` with ``surge``, the struct of ``scoring.surge``, against mean, deviation and previous of their key in ``baselines`` (one row a key).
+
+    A key without a baseline has the default one, previous fare included.
+    """
+    names = {c: fresh(f"_{c}", quotes) for c in ("mean", "deviation", "previous")}
+    known = quotes.join(baselines.select(*keys, *(F.col(c).alias(n) for c, n in names.items())), keys, "left")
+    mean, deviation, previous = (F.coalesce(F.col(n), F.lit(v)) for n, v in zip(names.values(), C.DEFAULT_BASELINE, strict=True))
+    return known.withColumn("surge", _surge_alone(F.col(fare).cast("double"), mean, deviation, batch_lead_days(F.col(window)), previous, hhi)).drop(*names.values())
+
+
+def alerts(baselined: DataFrame, fare: str, lead_days: str, hhi: float = C.DAILY_HHI) -> DataFrame:
+    """The rows of ``baselined`` (mean, deviation and previous beside each fare) that raise an alert, with z, dod, surge, severity and kind.
+
+    Without a positive mean only a daily change of 40 % and more from a positive previous fare does (CRITICAL, SURGE_PRICING). The daily
+    change is unknown where the previous fare is not positive. Peers are not looked at.
+    """
+    f, mean, deviation, previous = F.col(fare), F.col("mean"), F.coalesce("deviation", F.lit(0.0)), F.col("previous")
+    based = F.coalesce(mean > 0, F.lit(False))
+    dod = F.when(previous > 0, (f - previous) / previous)
+    rows = baselined.withColumns({"z": F.when(based, scoring.z_score(f, mean, deviation)), "dod": dod, "surge": F.when(based, _surge_alone(f, mean, deviation, F.col(lead_days), previous, hhi))})
+    severity, kind = scoring.alert(F.col("z"), F.col("dod"), F.col("surge"))
+    jump = ~based & (F.col("dod") >= C.DOD_CRITICAL)
+    raised = {"severity": F.when(based, severity).when(jump, "CRITICAL"), "kind": F.when(based, kind).when(jump, "SURGE_PRICING")}
+    return rows.withColumns(raised).where("severity is not null")

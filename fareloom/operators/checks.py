@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fareloom import constants as C
 from fareloom.functions.normalize import cites_source
 
 
@@ -18,9 +19,18 @@ def missing_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
     return grid.join(df.select(a, b).distinct(), [a, b], "left_anti")
 
 
-def unsound_references(df: DataFrame, source: str, value: str, refused: list[float] = ()) -> DataFrame:
-    """Reference rows without a citation, without a value, or with a value known to be a placeholder."""
-    reason = F.when(~cites_source(F.col(source)), "no citation").when(F.col(value).isNull(), "no value").when(F.col(value).isin(*refused) if refused else F.lit(False), "placeholder")
+def unsound_references(df: DataFrame, month: str, source: str, withdrawn: dict[str, dict[str, float]] = C.WITHDRAWN) -> DataFrame:
+    """Reference rows that make a table unfit: a bare official label as source, or a withdrawn value in its month.
+
+    ``withdrawn``: for each column the refused value of some months; columns that ``df`` lacks are left out. A source in other words
+    needs no link here, and the same value in another month is sound. ``reason`` names the label first, as the table's own order does.
+    """
+    label = F.lower(F.trim(F.col(source).cast("string"))).isin(*C.BARE_SOURCES) if source in df.columns else F.lit(False)
+    reason = F.when(label, "bare label")
+    for column, values in withdrawn.items():
+        if column in df.columns:
+            for when, value in values.items():
+                reason = reason.when((F.col(month) == when) & (F.col(column) == value), F.lit(f"withdrawn {column} of {when}"))
     return df.withColumn("reason", reason).where("reason is not null")
 
 

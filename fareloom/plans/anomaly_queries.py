@@ -49,8 +49,8 @@ def baselines(spark, sf_dir):
 
 
 def scored(spark, sf_dir):
-    fare, mean, deviation = F.col("fare"), F.col("mean"), F.col("deviation")
     """Days without a history are their own baseline: their Z is 0."""
+    fare, mean, deviation = F.col("fare"), F.col("mean"), F.col("deviation")
     known = baselines(spark, sf_dir).withColumns({"mean": F.coalesce("mean", "fare"), "deviation": F.coalesce("deviation", F.lit(0.0))})
     return known.withColumns({"z": scoring.z_score(fare, mean, deviation), "dod": scoring.change(fare, F.col("previous")), "dz": scoring.dynamic_z(fare, mean, deviation, F.col("lead_days"))})
 
@@ -133,15 +133,16 @@ def surge_score(spark, sf_dir):
     return judged(spark, sf_dir).select(*KEYS, F.date_format("flight_date", "yyyy-MM-dd").alias("flight_date"), "score", "level", "tier", F.coalesce("violation", F.lit("NONE")).alias("violation"))
 
 
-ALERT_SQL = RATED_SQL + """,
+ALERT_SQL = BASELINE_SQL + f""",
+known AS (SELECT *, mean AS route_median, 0 AS n_peers, NULL::DOUBLE AS q1, NULL::DOUBLE AS q3, 0.42::DOUBLE AS hhi, {Z_SQL.format(d='deviation')} AS z, CASE WHEN previous > 0 THEN (fare - previous) / previous END AS dod,
+  {Z_SQL.format(d='(deviation * (1 + 0.35 * exp(-greatest(lead_days, 1) / 10.0::DOUBLE)))')} AS raw_dz FROM baseline WHERE mean > 0)""" + judgement_sql("known") + """,
 alerts AS (SELECT *, CASE WHEN z >= 2 OR coalesce(dod, 0) >= 0.40 OR level != 'NORMAL' THEN CASE WHEN violation IS NOT NULL OR z >= 3 OR coalesce(dod, 0) >= 0.40 THEN 'CRITICAL' ELSE 'HIGH' END END AS severity,
   CASE WHEN violation IS NOT NULL THEN 'DGCA_STATUTORY_VIOLATION' WHEN dod >= 0.40 THEN 'SURGE_PRICING' ELSE 'SPIKE' END AS kind FROM judged)"""
 
 
 def alerts(spark, sf_dir):
-    rows = judged(spark, sf_dir).withColumn("daily_change", scoring.change(F.col("fare"), F.col("previous")))
-    severity, kind = scoring.alert(F.col("z"), F.col("daily_change"), F.col("surge"))
-    return rows.withColumns({"severity": severity, "kind": kind}).where("severity is not null")
+    """Alerts of each route, window and day against the thirty days before."""
+    return anomaly.alerts(baselines(spark, sf_dir), "fare", "lead_days")
 
 
 @query(with_quotes(ALERT_SQL + """
@@ -151,20 +152,21 @@ def alert_gate(spark, sf_dir):
     return alerts(spark, sf_dir).select(*KEYS, F.date_format("flight_date", "yyyy-MM-dd").alias("flight_date"), "severity", "kind")
 
 
-@query(with_quotes(HHI_SQL + """,
-base AS (SELECT route_code, avg(total_fare) AS mean, stddev_samp(total_fare) AS deviation, median(total_fare) AS median FROM eligible WHERE flight_date < DATE '1999-01-01' AND origin != 'ASIA' GROUP BY 1),
-late AS (SELECT e.route_code, carrier, seq1, seq2, seq4, flight_date, total_fare AS fare, lead_days, coalesce(b.mean, 5000.0) AS mean, coalesce(b.deviation, 500.0) AS deviation, coalesce(b.median, 5000.0) AS route_median, CAST(NULL AS DOUBLE) AS previous,
-  n_peers, q1, q3, round(hhi * 10000) / 10000.0::DOUBLE AS hhi FROM eligible e LEFT JOIN base b ON e.route_code = b.route_code JOIN hhis h ON e.route_code = h.route_code JOIN routes r ON e.route_code = r.route_code WHERE flight_date >= DATE '2001-01-01'),
+@query(with_quotes("""
+, early AS (SELECT route_code, booking_window, avg(total_fare) AS mean, stddev_samp(total_fare) AS deviation, arg_max(total_fare, (flight_date, seq1, seq2, seq3, seq4, total_fare)) AS previous
+  FROM eligible WHERE flight_date < DATE '1999-01-01' AND origin != 'ASIA' GROUP BY ALL),
+late AS (SELECT e.route_code, e.booking_window, total_fare AS fare, coalesce(b.mean, 5000.0) AS mean, coalesce(b.deviation, 500.0) AS deviation, coalesce(b.mean, 5000.0) AS route_median, coalesce(b.previous, 5000.0) AS previous,
+  0 AS n_peers, NULL::DOUBLE AS q1, NULL::DOUBLE AS q3, 0.405::DOUBLE AS hhi, CASE e.booking_window WHEN 'T+7' THEN 7 WHEN 'T+1' THEN 1 WHEN 'T+15' THEN 1 WHEN 'T+30' THEN 30 ELSE 7 END AS lead_days
+  FROM eligible e LEFT JOIN early b ON e.route_code = b.route_code AND e.booking_window = b.booking_window WHERE flight_date >= DATE '2001-01-01'),
 scored AS (SELECT *, """ + Z_SQL.format(d="(deviation * (1 + 0.35 * exp(-greatest(lead_days, 1) / 10.0::DOUBLE)))") + """ AS raw_dz FROM late)""" + judgement_sql("scored") + """
-SELECT route_code, level, coalesce(violation, 'NONE') AS violation, count(*) AS n, CAST(sum(round(score * 10000)) AS BIGINT) AS score_points FROM judged GROUP BY ALL"""))
+SELECT route_code, booking_window, level, coalesce(violation, 'NONE') AS violation, count(*) AS n, CAST(sum(round(score * 10000)) AS BIGINT) AS score_points FROM judged GROUP BY ALL"""))
 def surge_batch(spark, sf_dir):
-    """Late quotes against baselines of earlier years; a route without one has the default baseline."""
+    """Late quotes against the mean, deviation and last fare of their route and window in earlier years; without one against the default baseline."""
     e = eligible(spark, sf_dir)
-    base = e.where("flight_date < date'1999-01-01' and origin != 'ASIA'").groupBy("route_code").agg(F.avg("total_fare").alias("mean"), F.stddev_samp("total_fare").alias("deviation"), F.median("total_fare").alias("median"))
-    late = with_routes(e.where("flight_date >= date'2001-01-01'").join(base, "route_code", "left"), e)
-    mean, deviation, median = (F.coalesce(c, F.lit(v)) for c, v in zip(("mean", "deviation", "median"), C.DEFAULT_BASELINE, strict=True))
-    s = scoring.surge(F.col("total_fare"), mean, deviation, F.col("lead_days"), F.lit(None).cast("double"), median, F.col("n_peers"), F.col("q1"), F.col("q3"), F.col("hhi"))
-    return late.select("route_code", s.alias("s")).groupBy("route_code", F.col("s.level").alias("level"), F.coalesce("s.violation", F.lit("NONE")).alias("violation")).agg(F.count("*").alias("n"), F.sum(F.round(F.col("s.score") * 10000).cast("long")).alias("score_points"))
+    last = F.max_by("total_fare", F.struct("flight_date", *SEQUENCE[:4], "total_fare"))
+    early = e.where("flight_date < date'1999-01-01' and origin != 'ASIA'").groupBy(*KEYS).agg(F.avg("total_fare").alias("mean"), F.stddev_samp("total_fare").alias("deviation"), last.alias("previous"))
+    late = anomaly.judged_quotes(e.where("flight_date >= date'2001-01-01'"), early, KEYS, "booking_window", "total_fare")
+    return late.groupBy(*KEYS, F.col("surge.level").alias("level"), F.coalesce("surge.violation", F.lit("NONE")).alias("violation")).agg(F.count("*").alias("n"), F.sum(F.round(F.col("surge.score") * 10000).cast("long")).alias("score_points"))
 
 
 @query(with_quotes(HHI_SQL + " SELECT route_code, round(hhi, 4) AS hhi, n_carriers FROM hhis"))

@@ -15,7 +15,7 @@ from fareloom.plans.fixtures import BENCHMARK_SQL, SEQUENCE, benchmark_months, p
 from fareloom.plans.index_queries import ALL_SQL, AIRPORT_SQL, composites, numbers
 from fareloom.plans.series_queries import LAGS_SQL, MONTHS_SQL, pairs
 from fareloom.plans.store_queries import VOLUMES_SQL, volumes
-from fareloom.sources import parsers, scratch, synthetic
+from fareloom.sources import parsers, scratch
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -348,41 +348,17 @@ SOURCES = ["https://example.org/note", "MOSPI", " official ", None, "press note"
 @query(f"""
 WITH given AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, {variant_sql(SOURCES)} AS source, CASE o_orderkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 100.0 ELSE o_orderkey END::DOUBLE AS value FROM orders),
 cited AS (SELECT *, coalesce((contains(source, 'http://') OR contains(source, 'https://')) AND lower(trim(source)) NOT IN ('mospi', 'mospi_official', 'nso', 'official'), false) AS ok FROM given),
-reasoned AS (SELECT CASE WHEN NOT ok THEN 'no citation' WHEN value IS NULL THEN 'no value' WHEN value = 100.0 THEN 'placeholder' END AS reason FROM cited)
+reasoned AS (SELECT CASE WHEN lower(trim(source)) IN ('mospi', 'mospi_official', 'nso', 'official') THEN 'bare label' WHEN month = '1995-03' AND value = 100.0 THEN 'withdrawn value of 1995-03' WHEN month = '1996-07' AND value = 100.0 THEN 'withdrawn value of 1996-07' END AS reason FROM cited)
 SELECT reason, count(*) AS n FROM reasoned WHERE reason IS NOT NULL GROUP BY 1
 UNION ALL SELECT 'latest cited', count(*) FROM cited WHERE month = (SELECT max(month) FROM cited) AND ok""")
 def citation_gate(spark, sf_dir):
     """Reference rows that can't be relied on, by reason, and how many of the latest month are cited."""
     value = F.when(F.col("o_orderkey") % 7 == 0, F.lit(None)).when(F.col("o_orderkey") % 7 == 1, 100.0).otherwise(F.col("o_orderkey").cast("double"))
     rows = orders(spark, sf_dir).select(F.date_format("o_orderdate", "yyyy-MM").alias("month"), variant(SOURCES).alias("source"), value.alias("value"))
-    unsound = checks.unsound_references(rows, "source", "value", [100.0]).groupBy("reason").agg(F.count("*").alias("n"))
+    unsound = checks.unsound_references(rows, "month", "source", {"value": {"1995-03": 100.0, "1996-07": 100.0}}).groupBy("reason").agg(F.count("*").alias("n"))
     return unsound.unionByName(checks.latest_cited(rows, "month", "source").agg(F.count("*").alias("n")).withColumn("reason", F.lit("latest cited")))
 
 
-def _values(rows) -> str:
-    return ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in row) + ")" for row in rows)
-
-
-@query(f"""
-WITH routes AS (SELECT * FROM (VALUES {_values((k, p) for k, (_, p) in synthetic.CORRIDORS.items())}) r(route_code, pax)),
-months AS (SELECT t, CAST(DATE '2024-01-01' + t * INTERVAL 1 MONTH AS DATE) AS month FROM (SELECT unnest(range(27)) AS t)),
-series AS (SELECT route_code, strftime(month, '%Y-%m') AS year_month, CAST(round(pax * pow({synthetic.GROWTH}::DOUBLE, t / 12.0::DOUBLE) * list_extract([{", ".join(f"{x}::DOUBLE" for x in synthetic.SEASON)}], CAST(month(month) AS INT))
-  * CASE WHEN contains(route_code, 'CCU') AND month(month) IN (9, 10) THEN 1.08 WHEN contains(route_code, 'BLR') AND month(month) IN (2, 3, 11) THEN 1.04 ELSE 1.0 END::DOUBLE) AS BIGINT) AS pax_volume FROM routes CROSS JOIN months),
-w AS (SELECT *, round(pax_volume / sum(pax_volume) OVER (PARTITION BY year_month), 6) AS w0, row_number() OVER (PARTITION BY year_month ORDER BY pax_volume DESC, route_code) AS rank FROM series),
-r AS (SELECT *, 1 - sum(w0) OVER (PARTITION BY year_month) AS rest FROM w)
-SELECT year_month, route_code, pax_volume, rank, round(CASE WHEN rank = 1 THEN w0 + rest ELSE w0 END, 6) AS weight FROM r""")
-def traffic_model(spark, sf_dir):
-    """The modelled traffic of every corridor and month with normalised weights."""
-    w = store.normalized_weights(synthetic.traffic_series(spark), "year_month", "route_code", "pax_volume")
-    return w.withColumn("rank", F.col("rank").cast("long"))
-
-
-@query()
-def synthetic_samples(spark, sf_dir):
-    """The first flight of each synthetic slot."""
-    return synthetic.first_of_slots(spark)
-
-
 # -- writes -----------------------------------------------------------------------------------------
 
 

@@ -1,13 +1,20 @@
 """Queries on stored tables, weights, set operations and parsed payloads, each with its DuckDB twin."""
 
+import datetime as dt
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fareloom.functions.normalize import fingerprint
 from fareloom.operators import store
+from fareloom.operators.layout import written
 from fareloom.operators.topk import page
+from fareloom.plans import daily
 from fareloom.plans.fixtures import SEQUENCE, quotes, with_quotes
-from fareloom.sources import parsers, synthetic
+from fareloom.plans.index_queries import BOUNDS_SQL, COMPOSITE_SQL, INSIDE_SQL, MEDIAN_SQL
+from fareloom.sources import parsers
+from fareloom.sources.scratch import new_path
+from fareloom.sources.stored import Store
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -159,18 +166,6 @@ def distinct_flights(spark, sf_dir):
     return quotes(spark, sf_dir).groupBy("carrier").agg(F.date_format(F.min("flight_date"), "yyyy-MM-dd").alias("first"), F.countDistinct(key).alias("n_flights"))
 
 
-@query()
-def synthetic_slots(spark, sf_dir):
-    return synthetic.slots(spark)
-
-
-@query()
-def traffic_series(spark, sf_dir):
-    w = store.normalized_weights(synthetic.traffic_series(spark), "year_month", "route_code", "pax_volume")
-    growth = F.lag("pax_volume").over(Window.partitionBy("route_code").orderBy("year_month"))
-    return w.withColumn("previous", growth)
-
-
 @query(with_quotes(""",
 runs AS (SELECT seq4 AS batch, portal, min(event_time) AS started, max(event_time) AS completed, count(*) AS fares, count(DISTINCT route_code) AS routes, count(*) - count(DISTINCT carrier || ':' || flight_no || ':' || route_code || ':' || CAST(flight_date AS VARCHAR)) AS duplicates FROM quotes GROUP BY ALL)
 SELECT batch, portal, fares, routes, duplicates, greatest(epoch(completed) - epoch(started), 0)::BIGINT AS seconds, CASE WHEN routes = 20 THEN 'success' WHEN routes > 0 THEN 'partial' ELSE 'failed' END AS status FROM runs"""))
@@ -221,3 +216,28 @@ def record_validation(spark, sf_dir):
 
     checks = reasons((F.col("total_fare") > 0, "fare;"), (F.col("carrier").isin("6E", "AI", "SG"), "carrier;"), (F.col("event_time") < F.col("flight_date"), "chronology;"))
     return quotes(spark, sf_dir).select("seq1", "seq2", "seq4", F.array_join(checks, "").alias("reasons"))
+
+
+#: Days that run.
+DAYS = ["1995-06-14", "1995-06-15"]
+DAILY_RUN_SQL = with_quotes("""
+, chosen AS (SELECT *, flight_date AS period FROM (SELECT * EXCLUDE (period) FROM eligible) WHERE flight_date IN (DATE '1995-06-14', DATE '1995-06-15')),
+dedup AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY route_code, period, booking_window, carrier, flight_no ORDER BY total_fare, seq1, seq2, seq3, seq4) AS rn FROM chosen) WHERE rn = 1)""" + BOUNDS_SQL + INSIDE_SQL + MEDIAN_SQL + COMPOSITE_SQL + """,
+bases AS (SELECT route_code, avg(total_fare) AS base_fare, count(*) AS weight FROM quotes GROUP BY 1)""")
+
+
+@query(DAILY_RUN_SQL + """
+SELECT strftime(period, '%Y-%m-%d') AS day, count(*) AS n_routes, round(sum(weight * composite / base_fare) / sum(weight) * 100, 4) AS index, CAST(sum(n_windows) AS BIGINT) AS n_windows,
+  (SELECT count(*) FROM medians m WHERE m.period = c.period) AS stored_windows FROM composites c JOIN bases USING (route_code) GROUP BY period""")
+def daily_runs(spark, sf_dir):
+    """The national index of two days as it is read back from the stored tables; the second day runs again at the end."""
+    target = Store(spark, new_path(spark, "daily"))
+    q = written(quotes(spark, sf_dir).withColumn("captured_at", F.col("flight_date").cast("timestamp")), "daily-quotes")
+    base = q.groupBy("route_code").agg(F.avg("total_fare").alias("base_fare"), F.count("*").alias("weight"))
+    base = written(base, "daily-base")
+    for day in [*DAYS, DAYS[1]]:
+        daily.run_day(target, q, dt.date.fromisoformat(day), SEQUENCE[:4], base)
+    routes = target.read("routes", daily.ROUTES).groupBy("day").agg(F.sum("n_windows").alias("n_windows"))
+    windows = target.read("windows", daily.WINDOWS).groupBy("day").agg(F.count("*").alias("stored_windows"))
+    found = target.read("national", daily.NATIONAL).join(routes, "day").join(windows, "day").join(daily.done(target).select("day"), "day")
+    return found.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "n_routes", F.round("index", 4).alias("index"), "n_windows", "stored_windows")

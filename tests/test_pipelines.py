@@ -30,9 +30,12 @@ def test_checks(spark):
     w = spark.createDataFrame([("a", "x", 0.5), ("a", "y", 0.5), ("b", "x", 0.9)], "m string, r string, w double")
     assert [r.m for r in checks.weights_off(w, "m", "w").collect()] == ["b"]
     assert [tuple(r) for r in checks.missing_pairs(w, "m", "r").collect()] == [("b", "y")]
-    ref = spark.createDataFrame([("2024-01", "see https://x", 1.0), ("2024-02", "label", 2.0), ("2024-03", "http://y", 7.5), ("2024-04", "http://y", None)], "m string, s string, v double")
-    assert {r.m: r.reason for r in checks.unsound_references(ref, "s", "v", [7.5]).collect()} == {"2024-02": "no citation", "2024-03": "placeholder", "2024-04": "no value"}
-    assert checks.latest_cited(ref, "m", "s").count() == 1 and checks.latest_cited(ref.limit(2), "m", "s").count() == 0
+    refs = [("2024-01", "see https://x", 185.2), ("2024-02", " MoSPI ", 2.0), ("2024-03", "press note", 185.2), ("2024-04", "http://y", None), ("2025-12", None, 195.8), ("2026-01", "official", 196.4), ("2026-02", "press note", 100.0)]
+    ref = spark.createDataFrame(refs, "m string, s string, headline_cpi double")
+    assert {r.m: r.reason for r in checks.unsound_references(ref, "m", "s").collect()} == {"2024-01": "withdrawn headline_cpi of 2024-01", "2024-02": "bare label", "2025-12": "withdrawn headline_cpi of 2025-12", "2026-01": "bare label"}
+    assert checks.unsound_references(ref.where("m in ('2024-03', '2024-04', '2026-02')"), "m", "s").count() == 0
+    cited = ref.where("m <= '2024-04'")
+    assert checks.latest_cited(cited, "m", "s").count() == 1 and checks.latest_cited(cited.where("m < '2024-03'"), "m", "s").count() == 0
 
 
 def test_places(spark):
@@ -80,3 +83,23 @@ def test_statuses_and_base_ratios(spark):
     pairs = [("AI", "DEL-BOM"), ("SG", "BLR-HYD"), ("zz", "DEL-BOM"), ("SG", "X-Y"), ("ZZ", "X-Y"), ("AI", "DEL-BLR")]
     row = spark.range(1).select(*(split(c, r).alias(f"c{k}") for k, (c, r) in enumerate(pairs))).first()
     assert [(s.base, s.taxes, s.basis) for s in row] == [(810.0, 190.0, "calibrated"), (680.0, 320.0, "calibrated"), (780.0, 220.0, "calibrated"), (740.0, 260.0, "calibrated"), (780.0, 220.0, "estimated"), (840.0, 160.0, "calibrated")]
+
+
+def test_batch_evaluation_by_its_published_definition(spark):
+    """Worked out by hand: a fare 40 % above the previous one, defaults for a key without a baseline, lead days by digits."""
+    from fareloom.operators.anomaly import alerts, batch_lead_days, judged_quotes
+
+    lead = spark.createDataFrame([("T+1",), ("T+7",), ("T+15",), ("T+30",), ("T+45",), (None,)], "w string").select(batch_lead_days(F.col("w")))
+    assert [r[0] for r in lead.collect()] == [1, 7, 1, 30, 7, 7]
+    base = spark.createDataFrame([("R", "T+7", 6000.0, 2000.0, 5000.0)], "r string, w string, mean double, deviation double, previous double")
+    quotes = spark.createDataFrame([("R", "T+7", 7000.0), ("R", "T+7", 6990.0), ("X", "T+7", 7000.0), ("X", "T+7", 5100.0), ("R", "T+1", 12500.0)], "r string, w string, f double")
+    codes = scoring.C.VIOLATION_CODES
+    got = {(r.r, r.w, r.f): (r.surge.dod, r.surge.violation, r.surge.level) for r in judged_quotes(quotes, base, ["r", "w"], "w", "f").collect()}
+    # R: Z = 1000 / (2000 * 1.1738) is small, the change to 7000 is 0.4 exactly, to 6990 0.398; X: default baseline, 0.4 again and Z = 3.4077
+    assert got[("R", "T+7", 7000.0)] == (0.4, codes["dod"], "CRITICAL") and got[("R", "T+7", 6990.0)] == (0.398, None, "WARNING")
+    assert got[("X", "T+7", 7000.0)] == (0.4, codes["sigma"], "CRITICAL") and got[("X", "T+7", 5100.0)] == (0.02, None, "NORMAL")
+    assert got[("R", "T+1", 12500.0)] == (1.5, codes["multiple"], "CRITICAL")
+    days = spark.createDataFrame([(1, 100.0, None, None, 50.0), (2, 100.0, None, None, None), (3, 100.0, 100.0, 0.0, 0.0), (4, 100.0, 60.0, 10.0, 90.0), (5, 100.0, 88.0, 5.0, 95.0)], "id int, fare double, mean double, deviation double, previous double")
+    raised = {r.id: (r.severity, r.kind) for r in alerts(days.withColumn("lead", F.lit(7)), "fare", "lead").collect()}
+    # 5: Z is 2.4, dynamic Z 2.0447
+    assert raised == {1: ("CRITICAL", "SURGE_PRICING"), 4: ("CRITICAL", "DGCA_STATUTORY_VIOLATION"), 5: ("HIGH", "SPIKE")}

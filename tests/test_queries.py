@@ -36,10 +36,14 @@ def test_same_rows(spark, tables, duck, name):
     assert ours == theirs
 
 
-def test_every_query_has_a_schema(spark, tables):
-    for name in ("synthetic_slots", "traffic_series"):
-        first, second = registry.queries()[name](spark, tables), registry.queries()[name](spark, tables)
-        assert sorted(first.collect()) == sorted(second.collect())
+def test_seeded_sources_repeat(spark):
+    from fareloom.operators import store
+    from fareloom.sources import synthetic
+
+    for make in (synthetic.slots, synthetic.first_of_slots, synthetic.traffic_series):
+        assert sorted(make(spark).collect()) == sorted(make(spark).collect())
+    weights = store.normalized_weights(synthetic.traffic_series(spark), "year_month", "route_code", "pax_volume")
+    assert {round(r[1], 6) for r in weights.groupBy("year_month").agg({"weight": "sum"}).collect()} == {1.0}
 
 
 def test_entry(spark):
