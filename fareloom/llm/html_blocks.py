@@ -15,10 +15,15 @@ RAW_TAGS = frozenset(("script", "style"))
 TEXTLESS_TAGS = frozenset("head noscript template svg iframe object canvas button select textarea video".split())
 DROPPED_TAGS = TEXTLESS_TAGS | frozenset("nav footer aside form menu dialog".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
-#: Nouns of a class name or id that mark menus, headers, footers, sidebars, notices, adverts, forms and comments.
-DROPPED_WORDS = frozenset(
-    "ad ads advert advertisement advertising adbox banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notification pagination popup promo promoted recommended related respond search sharing share sidebar signup social sponsor sponsored subscribe tagcloud toolbar widget".split()
+#: Nouns of a class name or id that mark adverts, comments, footers and forms, and those that mark menus, headers, sidebars and notices. The
+#: latter also name the layout that holds the text; see ``_named``.
+STRONG_WORDS = frozenset(
+    "ad ads advert advertisement advertising adbox breadcrumb breadcrumbs comment comments commentlist consent cookie cookies discussion disqus footer gdpr login pagination recommended related replies reply respond responses signup sponsor sponsored subscribe tagcloud trackbacks".split()
 )
+LAYOUT_WORDS = frozenset("banner header masthead menu modal nav navbar navigation newsletter notice notification popup promo promoted search share sharing sidebar social toolbar widget".split())
+DROPPED_WORDS = STRONG_WORDS | LAYOUT_WORDS
+#: Roles and properties that say that an element is a comment, whatever its name.
+COMMENT_ROLES, COMMENT_TYPES = frozenset(("comment",)), ("schema.org/comment", "schema.org/usercomments")
 #: Words that may follow such a noun without changing what it says ("comment-body", "ad-slot"), and words in front
 #: that turn it round ("has-sidebar", "tag-cookie").
 GENERIC_WORDS = frozenset(
@@ -42,8 +47,8 @@ IMPLIED_ENDS = {
 HEADING_TAGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Share of a block's text in links, and blocks in a row, from which on they are a menu.
 LINK_SHARE, LINK_BLOCKS = 0.9, 3
-#: Words that marked elements must hold to be read where nothing else is left of the page.
-LEAST_WORDS = 60
+#: Words that marked elements must hold to be read where nothing else is left of the page, and to be taken for the page's layout.
+LEAST_WORDS, LEAST_LAYOUT_WORDS = 60, 20
 _SPLIT_WORDS = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 _ATTRIBUTE_NOUNS: dict[str, frozenset] = {}
 
@@ -69,8 +74,8 @@ def _nouns(value: str) -> frozenset:
     return known
 
 
-#: Why text is left out: not at all, by a class name or id, by its element or role, or because its element has no text.
-_READ, _BY_NAME, _BY_ELEMENT, _TEXTLESS = 0, 1, 2, 3
+#: Why text is left out, but for names: not at all, by its element or role, or because its element has no text.
+_READ, _BY_ELEMENT, _TEXTLESS = 0, 1, 2
 #: Zone of blocks left out by a class name or id alone, until the page is complete.
 _NAMED = 3
 
@@ -78,11 +83,13 @@ _NAMED = 3
 class _Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        # tag, why dropped inside, content inside, dropped for good inside, number of blocks in front of an element dropped by its tag
-        self.stack: list[tuple[str, int, bool, bool, int | None]] = []
+        # tag, why dropped inside, content inside, dropped for good inside, named elements around, number of blocks in front of an element dropped by its tag
+        self.stack: list[tuple[str, int, bool, bool, tuple[int, ...], int | None]] = []
         self.open: Counter[str] = Counter()  # of the stack's tags
         self.dropped, self.content, self.marked = _READ, False, False
-        self.blocks: list[tuple[str, int, bool]] = []  # text, zone, whether it is all links
+        self.names: tuple[int, ...] = ()  # numbers of the elements around that their names mark; a name inside one of its kind adds nothing
+        self.strong: list[bool] = []  # of each such element
+        self.blocks: list[tuple[str, int, bool, tuple[int, ...]]] = []  # text, zone, whether it is all links, names
         self.parts: list[str] = []
         self.in_link, self.length, self.linked = False, 0, 0
         self.language, self.raw = "", False
@@ -91,14 +98,14 @@ class _Blocks(HTMLParser):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                zone = {_READ: CONTENT if self.content else PLAIN, _BY_NAME: _NAMED}.get(self.dropped, MARKED)
-                self.blocks.append((text, zone, self.linked >= LINK_SHARE * self.length))
+                zone = MARKED if self.dropped else CONTENT if self.content else PLAIN
+                self.blocks.append((text, zone, self.linked >= LINK_SHARE * self.length, self.names))
             self.parts, self.length, self.linked = [], 0, 0
 
     def _cut(self, k):
         self.open.subtract(tag for tag, *_ in self.stack[k:])
         del self.stack[k:]
-        _, self.dropped, self.content, self.marked, _ = self.stack[-1] if self.stack else ("", _READ, False, False, None)
+        _, self.dropped, self.content, self.marked, self.names, _ = self.stack[-1] if self.stack else ("", _READ, False, False, (), None)
 
     def _end_implied(self, tag):
         """Ends what a block's start tag ends without an end tag: a paragraph always, an item, cell or row by the next one."""
@@ -132,26 +139,31 @@ class _Blocks(HTMLParser):
             self.language = given.get("lang") or given.get("xml:lang") or ""
         if tag in VOID_TAGS:
             return
-        content, dropped, marked, before = self.content or tag in CONTENT_TAGS, self.dropped, self.marked, None
+        content, dropped, marked, names, before = self.content or tag in CONTENT_TAGS, self.dropped, self.marked, self.names, None
         if tag in CONTENT_TAGS and not marked:
             dropped = _READ  # an unclosed menu or head in front of the article doesn't swallow it; see handle_endtag
         if tag == "body":
-            dropped, marked = _READ, False
-            self.stack = [(*entry[:4], None) for entry in self.stack]
+            dropped, marked, names = _READ, False, ()
+            self.stack = [(*entry[:5], None) for entry in self.stack]
         if tag in DROPPED_TAGS or (tag == "header" and not self.content):
             dropped, marked = _TEXTLESS if tag in TEXTLESS_TAGS else max(dropped, _BY_ELEMENT), marked or tag in SWALLOWING_TAGS
             before = None if tag in WRAPPING_TAGS else len(self.blocks)
-        if (given.get("role") or "").lower() in DROPPED_ROLES or "hidden" in given or (given.get("aria-hidden") or "").lower() == "true":
+        role = (given.get("role") or "").lower()
+        if role in DROPPED_ROLES or "hidden" in given or (given.get("aria-hidden") or "").lower() == "true":
             dropped, marked = max(dropped, _BY_ELEMENT), True
         elif tag not in ("html", "body"):
             nouns = frozenset().union(*(_nouns(given[k]) for k in ("class", "id") if given.get(k)))
-            if nouns - (HEADING_WORDS if self.content or tag in HEADING_TAGS else frozenset()):
-                dropped, marked = max(dropped, _BY_NAME), True
-        if dropped != self.dropped:  # text of an element that is no block
+            nouns -= HEADING_WORDS if self.content or tag in HEADING_TAGS else frozenset()
+            a_comment = role in COMMENT_ROLES or (given.get("itemprop") or "").lower() == "comment" or (given.get("itemtype") or "").lower().rstrip("/").endswith(COMMENT_TYPES)
+            strong = a_comment or not nouns <= LAYOUT_WORDS
+            if (nouns or a_comment) and not any(self.strong[m] for m in names):
+                names = (*names, len(self.strong))
+                self.strong.append(strong)
+        if dropped != self.dropped or names != self.names:  # text of an element that is no block
             self._end_block()
-        self.stack.append((tag, dropped, content, marked, before))
+        self.stack.append((tag, dropped, content, marked, names, before))
         self.open[tag] += 1
-        self.dropped, self.content, self.marked = dropped, content, marked
+        self.dropped, self.content, self.marked, self.names = dropped, content, marked, names
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID_TAGS or tag not in BLOCK_TAGS:
@@ -171,11 +183,12 @@ class _Blocks(HTMLParser):
             self.in_link = False
         for k in range(len(self.stack) - 1 if self.open[tag] else -1, -1, -1):
             if self.stack[k][0] == tag:
-                if self.stack[k][1] != (self.stack[k - 1][1] if k else _READ):
+                around = self.stack[k - 1] if k else ("", _READ, False, False, (), None)
+                if (self.stack[k][1], self.stack[k][4]) != (around[1], around[4]):
                     self._end_block()
-                if self.stack[k][4] is not None:  # it was closed after all, with what articles it has
-                    inside = self.blocks[self.stack[k][4] :]
-                    self.blocks[self.stack[k][4] :] = [] if tag in TEXTLESS_TAGS else [(text, MARKED, links) for text, _, links in inside]
+                if self.stack[k][5] is not None:  # it was closed after all, with what articles it has
+                    inside = self.blocks[self.stack[k][5] :]
+                    self.blocks[self.stack[k][5] :] = [] if tag in TEXTLESS_TAGS else [(text, MARKED, *rest) for text, _, *rest in inside]
                 self._cut(k)
                 return
 
@@ -187,6 +200,26 @@ class _Blocks(HTMLParser):
             self.linked += n if self.in_link else 0
 
 
+def _named(blocks: list[tuple[str, int, bool, tuple[int, ...]]], strong: list[bool]) -> list[tuple[str, int, bool]]:
+    """The blocks with zone ``_NAMED`` where a name around them marks what it says.
+
+    A name of layout says nothing where its element holds half of the page's prose and half of what articles and main hold: then it
+    names the side that a sidebar is on, or where search results would be. Prose is what other names, elements and links leave.
+    """
+    held, words, content, prose, articles = Counter(), Counter(), Counter(), 0, 0
+    for text, zone, links, names in blocks:
+        if zone in (PLAIN, CONTENT) and not links and not any(strong[m] for m in names):
+            size = len(text)
+            prose += size
+            articles += size * (zone == CONTENT)
+            for m in names:
+                held[m] += size
+                words[m] += text.count(" ") + 1
+                content[m] += size * (zone == CONTENT)
+    layout = {m for m in held if words[m] >= LEAST_LAYOUT_WORDS and 2 * held[m] >= prose and 2 * content[m] >= articles}
+    return [(text, _NAMED if zone != MARKED and not layout.issuperset(names) else zone, links) for text, zone, links, names in blocks]
+
+
 def _with_menus_marked(blocks: list[tuple[str, int, bool]]) -> list[tuple[str, int]]:
     """Runs of blocks that are all links are menus, whatever their elements; those inside articles aren't."""
     zones = [zone for _, zone, _ in blocks]
@@ -215,7 +248,7 @@ def page_blocks(html: str | None, marked: bool = False) -> tuple[list[tuple[str,
     parser.feed(html or "")
     parser.close()
     parser._end_block()
-    blocks = _with_menus_marked(parser.blocks)
+    blocks = _with_menus_marked(_named(parser.blocks, parser.strong))
     if not any(zone in (PLAIN, CONTENT) for _, zone in blocks) and sum(len(text.split()) for text, zone in blocks if zone == _NAMED) >= LEAST_WORDS:
         blocks = [(text, PLAIN if zone == _NAMED else zone) for text, zone in blocks]
     size = lambda *zones: sum(len(text) for text, zone in blocks if zone in zones)

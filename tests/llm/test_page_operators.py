@@ -93,6 +93,29 @@ def test_class_names_count_by_their_nouns():
     assert texts("<h1 class='page-header'>title</h1><div class='page-header'>top</div>text <span class='ad'>buy</span> more") == ["title", "text", "more"]
 
 
+def test_names_of_layout_do_not_swallow_the_text():
+    texts = lambda html: [t for t, _ in page_blocks(html)[0]]
+    long, other = (" ".join(f"{w}{k}" for k in range(80)) for w in "wv")
+    wraps = ["<div class='sidebar-right'><article>{}</article></div>", "<div id='page' class='layout sidebar-left'><main>{}</main></div>", "<div id='search-content'><article>{}</article></div>", "<div class='story-promo'><article>{}</article></div>"]
+    wraps += ["<div class='story-promo'><p>{}</p></div>", "<section class='article-notice'><p>{}</p></section>", "<article class='post share'>{}</article>", "<div class='sidebar-left'><div class='sidebar-right'><p>{}</p></div></div>", "<div class='modal'><div class='header'>{}</div></div>"]
+    for wrap in wraps:
+        assert texts(f"<h1>Title</h1>{wrap.format(long)}") == ["Title", long], wrap
+        assert texts(f"{wrap.format(long)}<div id='comments'><p>{other} {other}</p></div>") == [long], wrap
+        assert texts(wrap.format(f"<p>{long}</p><div class='ad'>buy</div><div class='sidebar'>other stories of today</div>")) == [long], wrap
+        # the other way round: the same names on something small, or beside the article, mark it
+        assert texts(f"<div class='text'><p>{long}</p></div>{wrap.format('twenty')}") == [long], wrap
+        assert texts(f"<article>{long}</article>{wrap.format(other).replace('article>', 'div>').replace('main>', 'div>').replace('<article', '<div')}") == [long], wrap
+    assert texts(f"<main><p>{long}</p></main><div class='comments'><p>{other} {other}</p></div>") == [long]
+    assert texts(f"<div class='ad'>{long}</div><p>some text here") == ["some text here"]
+
+
+def test_comments_by_role_and_type():
+    texts = lambda html: [t for t, _ in page_blocks(html)[0]]
+    for mark in ("class='reply'", "class='discussion'", "id='replies'", "role='comment'", "itemprop='comment'", "itemscope itemtype='https://schema.org/Comment'", "class='reader-responses'"):
+        assert texts(f"<article><p>the text itself</p><div {mark}><p>well said</p></div></article>") == ["the text itself"], mark
+    assert texts("<article><p class='reply-free'>the text</p><p itemtype='https://schema.org/CreativeWork'>itself</p></article>") == ["the text", "itself"]
+
+
 def test_end_tags_that_are_left_out():
     texts = lambda html: [t for t, _ in page_blocks(html)[0]]
     assert texts("<p class='ad'>buy<p>one<p class='ad'><b>buy<div>two</div>") == ["one", "two"]
