@@ -129,7 +129,8 @@ def write_archives(pages: DataFrame, directory: str, least_payload: int = 1000,
     )
     copies = given.where((F.col("size") >= least_payload) & F.col("page_id").isNotNull()).groupBy("digest", "size")
     first = copies.agg(F.max("page_id").alias("of"), F.max_by("url", "page_id").alias("of_url"), F.min("page_id").alias("least")).where("least < of").drop("least")
-    placed = given.join(first, ["digest", "size"], "left")
+    # from files rather than from the same shuffle: the join can then split the pages of one payload
+    placed = given.join(materialize(first, "first-pages"), ["digest", "size"], "left")
     revisit = F.col("of").isNotNull() & (F.col("page_id") < F.col("of"))
     rows = placed.select("page_id", "url", "html", "digest", F.when(revisit, F.col("of")).alias("of"), F.when(revisit, F.col("of_url")).alias("of_url"))
 

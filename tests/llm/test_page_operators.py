@@ -230,6 +230,20 @@ def test_boilerplate_counts_over_all_pages_of_a_large_host(spark, monkeypatch):
         assert {r.page_id: r.text for r in extract(table).collect()} == expected
 
 
+def test_pages_with_one_payload_are_archived_by_several_tasks(spark, tmp_path):
+    hot = "<p>" + "the same page of a soft error " * 60
+    rows = spark.createDataFrame([(k, f"u{k}", hot if k % 2 else f"{hot} {k} {'x' * 900}") for k in range(2000)], PAGES).repartition(8)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2"}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        parts = [r.n_records for r in write_archives(rows, str(tmp_path / "w")).collect()]
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+    assert sum(parts) >= 2000 and max(parts) < 800
+
+
 def test_archives_round_trip(spark, tables, tmp_path):
     big = "<p>" + "long payload é " * 100
     rows = odd_pages(spark, [(7, "u7", big), (8, "u8\r\nX: y", big), (9, "u9", big), (None, "n", big), (10, "a", "short"), (11, "b", "short")])
