@@ -226,7 +226,8 @@ def _uncompared(crowd: DataFrame, components: DataFrame, sets: DataFrame, settin
     each = rows.select("record", "node", "component", "size", F.explode("shingles").alias("shingle"))
     often = each.groupBy("shingle").agg(F.count("*").alias("often"), F.min("component").alias("low"), F.max("component").alias("high"))
     often = often.select("shingle", F.when(F.col("low") < F.col("high"), F.col("often")).otherwise(0).alias("often"))
-    ranked = each.join(often, "shingle").groupBy("record", "node", "component", "size").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("ordered"))
+    # from files rather than from the same shuffle: the join can then split a shingle of very many documents
+    ranked = each.join(materialize(often, "often"), "shingle").groupBy("record", "node", "component", "size").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("ordered"))
     share = settings.percent / (100 + settings.percent)
     longest = F.floor(F.col("size") * (1 - settings.percent / 100) + 1e-9) + 1
     firsts = ranked.select("record", "node", "component", "size", F.posexplode(F.slice("ordered", 1, longest.cast("int"))).alias("pos", "item"))
