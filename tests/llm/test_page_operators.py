@@ -233,7 +233,7 @@ def test_boilerplate_counts_over_all_pages_of_a_large_host(spark, monkeypatch):
 def test_pages_with_one_payload_are_archived_by_several_tasks(spark, tmp_path):
     hot = "<p>" + "the same page of a soft error " * 60
     rows = spark.createDataFrame([(k, f"u{k}", hot if k % 2 else f"{hot} {k} {'x' * 900}") for k in range(2000)], PAGES).repartition(8)
-    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2"}
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2"}
     for name, value in settings.items():
         spark.conf.set(name, value)
     try:
