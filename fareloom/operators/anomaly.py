@@ -30,10 +30,11 @@ def running_max_before(df: DataFrame, bucket: str, order: list[str], value: str,
     Two levels: the maxima of whole buckets (one row each) run over all buckets, a window inside each bucket does
     the rest. So no task gets all rows.
     """
-    of_bucket = df.groupBy(bucket).agg(F.max(value).alias("_most"))
-    earlier = of_bucket.select(bucket, F.max("_most").over(Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"))
-    inside = F.max(value).over(Window.partitionBy(bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn("_inside", inside).join(earlier, bucket).withColumn(name, F.greatest("_inside", "_earlier")).drop("_inside", "_earlier")
+    inside, earlier, most = (fresh(c, df) for c in ("_inside", "_earlier", "_most"))
+    of_bucket = df.groupBy(bucket).agg(F.max(value).alias(most))
+    before = of_bucket.select(bucket, F.max(most).over(Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)).alias(earlier))
+    here = F.max(value).over(Window.partitionBy(bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return df.withColumn(inside, here).join(before, bucket).withColumn(name, F.greatest(inside, earlier)).drop(inside, earlier)
 
 
 def batch_lead_days(window: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 
 from fareloom import constants as C
 from fareloom.functions.scoring import fisher
+from fareloom.operators.layout import fresh, in_blocks, written
 
 
 def least_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -13,8 +14,8 @@ def least_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 
     For a filter on the first row number Spark keeps one row a key and task before it shuffles (WindowGroupLimit).
     """
-    at = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rank", F.row_number().over(at)).where("_rank = 1").drop("_rank")
+    rank = fresh("_rank", df)
+    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) == 1).drop(rank)
 
 
 def tukey_bounds(df: DataFrame, keys: list[str], value: str, k: float = 1.5) -> DataFrame:
@@ -38,32 +39,61 @@ def tukey_inside(df: DataFrame, keys: list[str], value: str, k: float = 1.5) ->
     The percentiles come from counts of distinct values, which are added up before the shuffle; rows only meet a row
     a group, so a group may have any number of them.
     """
-    bounds = tukey_bounds(df, keys, value, k).select(*keys, F.col("lower").alias("_lower"), F.col("upper").alias("_upper"))
-    return df.join(bounds, keys).where(F.col(value).between(F.col("_lower"), F.col("_upper"))).drop("_lower", "_upper")
+    lower, upper = fresh("_lower", df), fresh("_upper", df)
+    bounds = tukey_bounds(df, keys, value, k).select(*keys, F.col("lower").alias(lower), F.col("upper").alias(upper))
+    return df.join(bounds, keys).where(F.col(value).between(F.col(lower), F.col(upper))).drop(lower, upper)
 
 
-def leave_one_out_outliers(df: DataFrame, keys: list[str], value: str, order: list[str], k: float = 1.5, least_peers: int = 4) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], order: list[str], rank: str, size: str, rows: int | None = None) -> DataFrame:
+    """``df`` from files with two more columns: ``rank``, the place of a row in its group from 0, and ``size``, the rows of its group.
+
+    Rows are laid out by key and ``order`` in blocks of ``rows``. A row's rank is its place in its block and the group's rows in the
+    blocks before, which a window over one row a block adds up: a group of any size stays spread over tasks. Null keys are a group.
+    """
+    laid, place, block = in_blocks(df, [*keys, *order], "ranked", rows)
+    first, here = fresh("_first", laid), fresh("_here", laid)
+    counts = laid.groupBy(*keys, block).agg(F.min(place).alias(first), F.count("*").alias(here))
+    of_key = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum(here).over(of_key.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(*keys, block, (before - F.col(first)).alias(first), F.sum(here).over(of_key).alias(size))
+    both = with_group(laid, written(starts, "ranked-starts"), [*keys, block])
+    return both.withColumn(rank, F.col(place) + F.col(first)).drop(place, block, first)
+
+
+def with_group(df: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with the other columns of ``groups`` (one row a key, from files, so that Spark can split a hot key of ``df``); null keys meet."""
+    names = {k: fresh(f"_of_{k}", df, groups) for k in keys}
+    renamed = groups.select(*(F.col(k).alias(n) if (n := names.get(k)) else F.col(k) for k in groups.columns))
+    meets = F.lit(True)
+    for k, n in names.items():
+        meets = meets & F.col(k).eqNullSafe(F.col(n))
+    return df.join(renamed, meets).drop(*names.values())
+
+
+def leave_one_out_outliers(df: DataFrame, keys: list[str], value: str, order: list[str], k: float = 1.5, least_peers: int = 4, rows: int | None = None) -> DataFrame:
     """``df`` with ``outlier``: outside the bounds of the other rows of its group, which must be four at least.
 
     The element at 0-based place p of the others is the group's element p, or p + 1 from the left-out one on,
-    so a quartile of the others needs three neighbouring order statistics of the whole group. They are taken
-    over the same window that numbers the rows: one shuffle, no list of a group's values.
+    so a quartile of the others needs three neighbouring order statistics of the whole group: six values a group, found by
+    rank (``ranked``). No task holds a whole group.
     """
-    at = Window.partitionBy(*keys)
-    ranked = df.select("*", (F.row_number().over(at.orderBy(value, *order)) - 1).alias("_r"), (F.count("*").over(at) - 1).alias("_others"))
-    low = {p: F.floor(p * (F.col("_others") - 1)) for p in (0.25, 0.75)}
-    names = {(p, k): f"_a{int(p * 100)}_{k}" for p in low for k in range(3)}
-    picked = ranked.select("*", *(F.max(F.when(F.col("_r") == low[p] + k, F.col(value))).over(at).alias(name) for (p, k), name in names.items()))
+    rank, size, flag = (fresh(c, df) for c in ("_rank", "_size", "outlier"))
+    placed = ranked(df, keys, [value, *order], rank, size, rows)
+    others = F.col(size) - 1
+    low = {p: F.floor(p * (others - 1)) for p in (0.25, 0.75)}
+    names = {(p, j): fresh(f"_at{int(p * 100)}_{j}", df) for p in low for j in range(3)}
+    wanted = [F.max(F.when(F.col(rank) == low[p] + j, F.col(value))).alias(name) for (p, j), name in names.items()]
+    picked = with_group(placed, written(placed.groupBy(*keys).agg(*wanted), "quartile-values"), keys)
 
     def quantile(p: float):
-        place, r = p * (F.col("_others") - 1), F.col("_r")
+        at, r = p * (others - 1), F.col(rank)
         first = F.when(low[p] < r, F.col(names[p, 0])).otherwise(F.col(names[p, 1]))
         second = F.when(low[p] + 1 < r, F.col(names[p, 1])).otherwise(F.col(names[p, 2]))
-        return first + (place - low[p]) * F.when(place > low[p], second - first).otherwise(0.0)
+        return first + (at - low[p]) * F.when(at > low[p], second - first).otherwise(0.0)
 
     q1, q3 = quantile(0.25), quantile(0.75)
     outside = (F.col(value) < q1 - k * (q3 - q1)) | (F.col(value) > q3 + k * (q3 - q1))
-    return picked.select(*df.columns, F.when(F.col("_others") >= least_peers, outside).otherwise(F.lit(False)).alias("outlier"))
+    return picked.select(*(F.col(f"`{c}`") for c in df.columns), F.when(others >= least_peers, outside).otherwise(F.lit(False)).alias(flag))
 
 
 def share_weighted_median(df: DataFrame, keys: list[str], value: str, carrier: str) -> DataFrame:

@@ -135,15 +135,14 @@ def quote_page(spark, sf_dir):
 
 @query(with_quotes(""",
 last AS (SELECT *, row_number() OVER (PARTITION BY route_code, period, carrier, flight_no, portal ORDER BY event_time DESC, seq1 DESC, seq2 DESC, seq3 DESC, seq4 DESC, flight_date DESC, total_fare DESC) AS rn FROM quotes),
-cheap AS (SELECT route_code, period, carrier, flight_no, min(total_fare) FILTER (coalesce(flight_status, '') NOT IN ('cancelled', 'sold_out')) AS fare, count(*) AS n_portals,
-  max(total_fare) FILTER (coalesce(flight_status, '') NOT IN ('cancelled', 'sold_out')) AS most FROM last WHERE rn = 1 GROUP BY ALL)
-SELECT route_code, strftime(period, '%Y-%m-%d') AS period, carrier, flight_no, n_portals, fare, round(most - fare, 4) AS spread FROM cheap"""))
+cheap AS (SELECT route_code, period, carrier, flight_no, min(total_fare) FILTER (coalesce(flight_status, '') NOT IN ('cancelled', 'sold_out')) AS fare, count(*) AS n_portals, max(total_fare) AS most FROM last WHERE rn = 1 GROUP BY ALL)
+SELECT route_code, strftime(period, '%Y-%m-%d') AS period, carrier, flight_no, n_portals, fare, CASE WHEN n_portals > 1 AND fare > 0 THEN round(most - fare, 2) END AS spread FROM cheap"""))
 def portal_latest_min(spark, sf_dir):
     """The batch twin of the stream: each portal's last quote of a flight, the least payable one, the spread."""
     from fareloom.streaming.dedup import resolve_batch
 
     r = resolve_batch(quotes(spark, sf_dir), ["route_code", "period", "carrier", "flight_no"], "portal", "total_fare", "flight_status", ["event_time", *SEQUENCE])
-    return r.select("route_code", F.date_format("period", "yyyy-MM-dd").alias("period"), "carrier", "flight_no", "n_portals", "fare", F.round("spread", 4).alias("spread"))
+    return r.select("route_code", F.date_format("period", "yyyy-MM-dd").alias("period"), "carrier", "flight_no", "n_portals", "fare", "spread")
 
 
 @query(with_quotes("""

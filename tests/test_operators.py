@@ -56,6 +56,38 @@ def test_leave_one_out_flags_what_the_others_exclude(spark):
     assert flagged == {("g", 400.0)}
 
 
+def test_leave_one_out_of_a_hot_group_runs_in_several_tasks(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(rng.choice(["hot", "hot", "hot", "b", None]), float(rng.randrange(60)) if rng.random() < 0.98 else 900.0, k, "x") for k in range(1500)]
+    df = spark.createDataFrame(rows, "g string, v double, k int, _rank string").repartition(5)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1", "spark.sql.files.maxPartitionBytes": "4k", "spark.sql.files.openCostInBytes": "0"}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        flagged = index.leave_one_out_outliers(df, ["g"], "v", ["k"], rows=64)
+        assert flagged.columns == ["g", "v", "k", "_rank", "outlier"]
+        got = {r.k: r.outlier for r in flagged.collect()}
+        plan = flagged._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+    assert plan.count("SortMergeJoin(skew=true)") >= 2 and "Window" not in plan, plan  # the hot group's rows were dealt to several tasks
+
+    def quantile(values, p):
+        at = p * (len(values) - 1)
+        low = int(at)
+        return values[low] + (at - low) * (values[min(low + 1, len(values) - 1)] - values[low])
+
+    for g in ("hot", "b", None):
+        own = sorted((v, k) for h, v, k, _ in rows if h == g)
+        for n, (v, k) in enumerate(own):
+            others = [x for m, (x, _) in enumerate(own) if m != n]
+            q1, q3 = quantile(others, 0.25), quantile(others, 0.75)
+            assert got[k] == (v < q1 - 1.5 * (q3 - q1) or v > q3 + 1.5 * (q3 - q1))
+
+
 def test_exclusion_precedence_and_recomposition(spark):
     df = spark.range(1)
     lit = F.lit
