@@ -12,7 +12,7 @@ from fareloom.operators.topk import page
 from fareloom.plans import daily
 from fareloom.plans.fixtures import SEQUENCE, quotes, with_quotes
 from fareloom.plans.index_queries import BOUNDS_SQL, COMPOSITE_SQL, INSIDE_SQL, MEDIAN_SQL
-from fareloom.sources import parsers
+from fareloom.sources import parsers, payloads
 from fareloom.sources.scratch import new_path
 from fareloom.sources.stored import Store
 
@@ -240,3 +240,32 @@ def daily_runs(spark, sf_dir):
     windows = target.read("windows", daily.WINDOWS).groupBy("day").agg(F.count("*").alias("stored_windows"))
     found = target.read("national", daily.NATIONAL).join(routes, "day").join(windows, "day").join(daily.done(target).select("day"), "day")
     return found.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "n_routes", F.round("index", 4).alias("index"), "n_windows", "stored_windows")
+
+
+#: Ten ways in which sources wrap a list of flights; {} is the flight.
+SHAPES = ['{"flights": [{}]}', '{"journeys": [{}, 7]}', '{"FlightDetails": [{}]}', '{"availability": [{}], "trips": []}', '{"results": [{}], "flights": {}}', '{"data": {"flights": [{}]}}', '{"data": {"journeys": [{}]}}', '{"trips": [{"journeys": [{}]}, 3]}', '{"trips": [{"journeys": [], "journeyList": [{}]}]}', '{"AirSearchResult": {"FlightDetails": [{}]}}']
+
+
+@query(with_quotes("""
+, read AS (SELECT portal, seq2 % 10 AS shape, carrier, flight_no, CASE WHEN seq2 % 7 != 0 THEN total_fare END AS fare, seq4 % 5 AS style, seq4 FROM quotes)
+SELECT portal, shape, carrier, count(*) AS n, count(fare) AS n_priced, CAST(sum(CAST(round(fare * 100) AS BIGINT)) AS BIGINT) AS cents, CAST(sum(CASE WHEN style = 2 THEN CAST(floor(fare) AS BIGINT) * 100 END) AS BIGINT) AS base_cents,
+  max(flight_no) AS last_number, CAST(sum(CASE WHEN style = 3 THEN 1 ELSE 0 END) AS BIGINT) AS stops FROM read GROUP BY ALL"""))
+def payload_shapes(spark, sf_dir):
+    """Quotes wrapped in ten shapes, with prices in five places, parsed back; a missing fare stays null."""
+    style, fare, number = F.col("seq4") % 5, F.when(F.col("seq2") % 7 != 0, F.col("total_fare")), F.col("flight_no").cast("string")
+    plain = F.coalesce(fare.cast("decimal(18,2)").cast("string"), F.lit("null"))
+    shown = F.coalesce(F.concat(F.lit('"INR '), F.format_number(fare, 2), F.lit('"')), F.lit('""'))
+    named = lambda n, c: F.concat(F.lit(f'{{"{n}": "'), number, F.lit(f'", "{c}": "'), F.lower("carrier"), F.lit('", '))
+    base = F.coalesce(F.floor(fare).cast("string"), F.lit("null"))
+    flight = (
+        F.when(style == 0, F.concat(named("flightNumber", "airlineCode"), F.lit('"totalFare": '), plain, F.lit("}")))
+        .when(style == 1, F.concat(named("fn", "ac"), F.lit('"fare": null, "fares": [{"amount": '), shown, F.lit("}]}")))
+        .when(style == 2, F.concat(named("FlightNo", "carrier"), F.lit('"fareDetails": {"base_fare": '), base, F.lit(', "fares": [{"tf": '), plain, F.lit("}]}}")))
+        .when(style == 3, F.concat(F.lit('{"segments": ['), named("flightNo", "carrierCode"), F.lit('"price": '), plain, F.lit('}, {"x": 1}]}')))
+        .otherwise(F.concat(named("flightNumber", "AirlineCode"), F.lit('"price": "on request", "grossFare": '), shown, F.lit("}")))
+    )
+    wrapped = F.col("seq2") % 10
+    payload = F.coalesce(*(F.when(wrapped == k, F.concat(F.lit(s.split("{}", 1)[0]), flight, F.lit(s.split("{}", 1)[1]))) for k, s in enumerate(SHAPES)))
+    f = payloads.flights(quotes(spark, sf_dir).select("portal", wrapped.alias("shape"), payload.alias("payload")), "payload")
+    cents = lambda c: F.sum(F.round(F.col(c) * 100).cast("long"))
+    return f.groupBy("portal", "shape", "carrier").agg(F.count("*").alias("n"), F.count("total_fare").alias("n_priced"), cents("total_fare").alias("cents"), cents("base_fare").alias("base_cents"), F.max(F.col("flight_number").cast("long")).alias("last_number"), F.sum("stops").cast("long").alias("stops"))
