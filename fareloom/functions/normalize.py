@@ -137,6 +137,26 @@ def stored_window(value: Column) -> Column:
     return F.when(value.isNull(), F.lit("T+1")).when(known, F.concat(F.lit("T+"), days)).otherwise(tag)
 
 
+def pipeline_window(value: Column) -> Column:
+    """The window tag of the daily run: T+n for n, Tn and T+n of the known windows, T+7 for nothing, anything else in upper case."""
+    tag = code(value)
+    known = tag.rlike("^(T[+]?)?(1|7|15|30|45)$")
+    return F.when(F.coalesce(value, F.lit("")) == "", F.lit("T+7")).when(known, F.concat(F.lit("T+"), F.regexp_extract(tag, "([0-9]+)", 1))).otherwise(tag)
+
+
+def engine_window(value: Column) -> Column:
+    """The window tag of the index engine: without plus signs, with a T in front of a bare number."""
+    tag = F.regexp_replace(code(value), "[+]", "")
+    return F.when(tag.rlike("^[0-9]+$"), F.concat(F.lit("T"), tag)).otherwise(tag)
+
+
+def series_window(value: Column) -> Column:
+    """The window tag of elasticities: T+ or T- stay, a T gets its plus, anything else T+ in front."""
+    tag = code(value)
+    rest = F.when(F.startswith(tag, F.lit("T")), F.substring(tag, 2, 100)).otherwise(tag)
+    return F.when(tag.rlike("^T[+-]"), tag).otherwise(F.concat(F.lit("T+"), rest))
+
+
 def record_key(carrier: Column, number: Column, origin: Column, destination: Column, departure: Column, window: Column) -> Column:
     """Fingerprint of a stored observation."""
     return fingerprint(F.upper(carrier), F.upper(number), F.upper(origin), F.upper(destination), departure, window)

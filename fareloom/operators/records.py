@@ -57,15 +57,17 @@ def normalized(df: DataFrame, carried: list[str] = ()) -> DataFrame:
     )
 
 
-def failures(origin: Column, destination: Column, carrier: Column, number: Column, fare: Column, departure: Column, arrival: Column, origins: list[str] = (), carriers: list[str] = ()) -> Column:
-    """Names of all checks that a record fails; an empty array is a valid record. Empty lists allow everything."""
+def failures(origin: Column, destination: Column, carrier: Column, number: Column, fare: Column, departure: Column, arrival: Column, origins: list[str] = (), carriers: list[str] = (), destinations: list[str] | None = None) -> Column:
+    """Names of all checks that a record fails; an empty array is a valid record. Empty lists allow everything; ``destinations`` are
+    ``origins`` unless given."""
+    destinations = origins if destinations is None else destinations
     member = lambda value, allowed: value.isin(*allowed) if allowed else F.lit(True)
     return normalize.reasons(
         (fare > 0, "fare"),
         (normalize.iata(origin).isNotNull(), "origin code"),
         (member(origin, origins), "origin"),
         (normalize.iata(destination).isNotNull(), "destination code"),
-        (member(destination, origins), "destination"),
+        (member(destination, destinations), "destination"),
         (origin != destination, "same place"),
         (normalize.carrier_code(carrier).isNotNull(), "carrier code"),
         (member(carrier, carriers), "carrier"),

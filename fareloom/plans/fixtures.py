@@ -86,13 +86,17 @@ def with_quotes(sql: str) -> str:
     return f"WITH {QUOTES_SQL.strip()}{sql}"
 
 
+#: Statuses of runs that failed and of runs that count as successes.
+BAD_RUNS, GOOD_RUNS = ["FAILED", "TIMEOUT", " blocked ", "RATE_LIMITED"], ["SUCCESS", "SUCCESS", "PARTIAL", "FALLBACK_CACHE", ""]
+
+
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     props = F.from_json("props", "k int")
     return table(spark, sf_dir, "events").select(
         F.col("event_id"),
         F.concat(F.lit("crawler"), (F.col("user_id") % 4).cast("string")).alias("crawler"),
         F.concat(F.lit("proxy"), (F.col("user_id") % 12).cast("string")).alias("proxy"),
-        F.when(F.col("event_type") == "error", "FAILED").otherwise("SUCCESS").alias("status"),
+        F.when(F.col("event_type") == "error", pick(BAD_RUNS, F.col("event_id") % 4)).otherwise(pick(GOOD_RUNS, F.col("event_id") % 5)).alias("status"),
         F.col("event_type"),
         F.col("value").alias("response_time_ms"),
         F.col("ts").alias("created_at"),
@@ -103,7 +107,8 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
 TELEMETRY_SQL = """
 telemetry AS (
   SELECT event_id, 'crawler' || (user_id % 4) AS crawler, 'proxy' || (user_id % 12) AS proxy,
-    CASE WHEN event_type = 'error' THEN 'FAILED' ELSE 'SUCCESS' END AS status, event_type, value AS response_time_ms, ts AS created_at,
+    CASE WHEN event_type = 'error' THEN list_extract(['FAILED', 'TIMEOUT', ' blocked ', 'RATE_LIMITED'], CAST(event_id % 4 + 1 AS INT)) ELSE list_extract(['SUCCESS', 'SUCCESS', 'PARTIAL', 'FALLBACK_CACHE', ''], CAST(event_id % 5 + 1 AS INT)) END AS status,
+    event_type != 'error' AS ok, event_type, value AS response_time_ms, ts AS created_at,
     CAST(json_extract(props, '$.k') AS BIGINT) AS records_extracted FROM events)"""
 
 

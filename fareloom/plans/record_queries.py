@@ -15,7 +15,9 @@ from fareloom.plans.fixtures import BENCHMARK_SQL, SEQUENCE, benchmark_months, p
 from fareloom.plans.index_queries import ALL_SQL, AIRPORT_SQL, composites, numbers
 from fareloom.plans.series_queries import LAGS_SQL, MONTHS_SQL, pairs
 from fareloom.plans.store_queries import VOLUMES_SQL, volumes
+from fareloom.operators.layout import written
 from fareloom.sources import parsers, scratch
+from fareloom.sources.stored import Store
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -98,6 +100,19 @@ def window_aliases(spark, sf_dir):
     return orders(spark, sf_dir).groupBy(normalize.window_of_range(variant(RANGES)).alias("of_range"), normalize.stored_window(variant(TAGS)).alias("stored")).agg(F.count("*").alias("n"))
 
 
+SPELLINGS = ["7", " t15 ", "T+30", "T99", "later", None, "T1", "T-7", "", "45"]
+
+
+@query(f"""
+WITH given AS (SELECT {variant_sql(SPELLINGS)} AS raw, upper(trim(coalesce({variant_sql(SPELLINGS)}, ''))) AS w FROM orders)
+SELECT CASE WHEN coalesce(raw, '') = '' THEN 'T+7' WHEN w IN ('T1', 'T+1', '1', 'T7', 'T+7', '7', 'T15', 'T+15', '15', 'T30', 'T+30', '30', 'T45', 'T+45', '45') THEN 'T+' || regexp_extract(w, '[0-9]+') ELSE w END AS pipeline,
+  CASE WHEN regexp_matches(replace(w, '+', ''), '^[0-9]+$') THEN 'T' ELSE '' END || replace(w, '+', '') AS engine, CASE WHEN w LIKE 'T+%' OR w LIKE 'T-%' THEN w WHEN w LIKE 'T%' THEN 'T+' || substr(w, 2) ELSE 'T+' || w END AS series, count(*) AS n FROM given GROUP BY ALL""")
+def window_variants(spark, sf_dir):
+    """Windows as the daily run, the index engine and the series of elasticities spell them."""
+    raw = variant(SPELLINGS)
+    return orders(spark, sf_dir).groupBy(normalize.pipeline_window(raw).alias("pipeline"), normalize.engine_window(raw).alias("engine"), normalize.series_window(raw).alias("series")).agg(F.count("*").alias("n"))
+
+
 PLACES, PRICES, PAIRS = ["del", "DELHI", " bom", None, "b1r"], ["Rs 4,500.50", "0", "abc", "1,00,000", None, "99.999", " 12 "], ["del-bom", "DELBOM", "de-bom", None, " blr-hyd "]
 
 
@@ -222,14 +237,14 @@ def record_normalized(spark, sf_dir):
 , raw AS (SELECT seq1, seq2, seq4, CASE WHEN seq1 % 7 = 0 THEN 'DELHI' ELSE {AIRPORT_SQL.format(c='origin')} END AS o, CASE WHEN seq1 % 5 = 0 THEN 'BOM' ELSE {AIRPORT_SQL.format(c='destination')} END AS d, carrier, CASE WHEN seq2 % 6 = 0 THEN ' ' ELSE 'F1' END AS f,
   CASE WHEN seq2 % 9 = 0 THEN 0 ELSE total_fare END AS fare, event_time AS departure, flight_date AS arrival FROM quotes)
 SELECT seq1, seq2, seq4, concat_ws(';', CASE WHEN fare > 0 THEN NULL ELSE 'fare' END, CASE WHEN length(o) = 3 THEN NULL ELSE 'origin code' END, CASE WHEN o IN ('DEL', 'BOM', 'BLR', 'HYD') THEN NULL ELSE 'origin' END,
-  CASE WHEN d IN ('DEL', 'BOM', 'BLR', 'HYD') THEN NULL ELSE 'destination' END, CASE WHEN o != d THEN NULL ELSE 'same place' END, CASE WHEN carrier IN ('6E', 'AI', 'IX') THEN NULL ELSE 'carrier' END,
+  CASE WHEN d IN ('DEL', 'BOM', 'HYD', 'XXX') THEN NULL ELSE 'destination' END, CASE WHEN o != d THEN NULL ELSE 'same place' END, CASE WHEN carrier IN ('6E', 'AI', 'IX') THEN NULL ELSE 'carrier' END,
   CASE WHEN trim(f) != '' THEN NULL ELSE 'flight number' END, CASE WHEN arrival > departure THEN NULL ELSE 'chronology' END) AS reasons FROM raw"""))
 def record_failures(spark, sf_dir):
     """Every check that a record fails, by name: fare, places and their membership, carrier, number, chronology."""
     known = F.create_map(*(F.lit(x) for pair in {"AFRICA": "DEL", "AMERICA": "BOM", "ASIA": "BLR", "EUROPE": "HYD", "MIDDLE EAST": "XXX"}.items() for x in pair))
     o, d = F.when(F.col("seq1") % 7 == 0, "DELHI").otherwise(known[F.col("origin")]), F.when(F.col("seq1") % 5 == 0, "BOM").otherwise(known[F.col("destination")])
     number, fare = F.when(F.col("seq2") % 6 == 0, " ").otherwise("F1"), F.when(F.col("seq2") % 9 == 0, 0.0).otherwise(F.col("total_fare"))
-    failed = records.failures(o, d, F.col("carrier"), number, fare, F.col("event_time"), F.col("flight_date").cast("timestamp"), ["DEL", "BOM", "BLR", "HYD"], ["6E", "AI", "IX"])
+    failed = records.failures(o, d, F.col("carrier"), number, fare, F.col("event_time"), F.col("flight_date").cast("timestamp"), ["DEL", "BOM", "BLR", "HYD"], ["6E", "AI", "IX"], ["DEL", "BOM", "HYD", "XXX"])
     return quotes(spark, sf_dir).select("seq1", "seq2", "seq4", F.array_join(failed, ";").alias("reasons"))
 
 
@@ -392,18 +407,27 @@ def index_upsert(spark, sf_dir):
 , rated AS (SELECT carrier, booking_window, max(total_fare) AS fare, CASE WHEN min(seq2) % 2 = 0 THEN 0 ELSE median(total_fare) END AS middle FROM quotes GROUP BY ALL)
 SELECT carrier, booking_window, CASE WHEN middle > 0 THEN round(fare / middle * 100) / 100.0::DOUBLE ELSE 1.0 END AS surge_multiple, CASE WHEN carrier = 'AI' THEN 'RESOLVED' ELSE 'OPEN' END AS status FROM rated"""))
 def violation_append(spark, sf_dir):
-    """Violations appended with their multiple (1 without a median), then one carrier's set to resolved."""
+    """Violations appended to a stored table with their multiple (1 without a median), twice, then those of one carrier set to resolved."""
     r = quotes(spark, sf_dir).groupBy("carrier", "booking_window").agg(F.max("total_fare").alias("fare"), F.when(F.min("seq2") % 2 == 0, 0.0).otherwise(F.median("total_fare")).alias("middle"))
     rows = r.select("carrier", "booking_window", F.when(F.col("middle") > 0, scoring.rounded(F.col("fare") / F.col("middle"), 2)).otherwise(1.0).alias("surge_multiple"), F.lit("OPEN").alias("status"))
-    return rows.withColumn("status", F.when(F.col("carrier") == "AI", "RESOLVED").otherwise(F.col("status")))
+    rows, keys = written(rows, "violations"), ["carrier", "booking_window"]
+    target = Store(spark, scratch.new_path(spark, "violations"), "carrier")
+    for _ in range(2):
+        target.upsert("violations", rows, keys, when=F.lit(False))
+    target.upsert("violations", rows.where("carrier = 'AI'").withColumn("status", F.lit("RESOLVED")), keys, when=F.col("status") == "OPEN")
+    return target.read("violations", rows.schema)
 
 
 @query(with_telemetry("""
 SELECT crawler, status, count(*) AS n, CAST(sum(greatest(records_extracted - 50, 0)) AS BIGINT) AS records, count(*) FILTER (response_time_ms - 100 < 0) AS n_clamped FROM telemetry GROUP BY ALL"""))
 def telemetry_append(spark, sf_dir):
-    """Telemetry rows as they are stored: negative counts and times become 0."""
+    """Telemetry appended to a stored table in two batches, the first of them twice: negative counts and times become 0."""
     t = telemetry(spark, sf_dir).withColumns({"records": F.greatest(F.col("records_extracted") - 50, F.lit(0)), "time": F.greatest(F.col("response_time_ms") - 100, F.lit(0.0))})
-    return t.groupBy("crawler", "status").agg(F.count("*").alias("n"), F.sum("records").alias("records"), F.count_if((F.col("time") == 0) & (F.col("response_time_ms") < 100)).alias("n_clamped"))
+    target = Store(spark, scratch.new_path(spark, "telemetry"), "batch")
+    for batch in (0, 1, 0):
+        target.replace("telemetry", t.where(F.col("event_id") % 2 == batch).withColumn("batch", F.lit(batch)), [batch])
+    stored = target.read("telemetry", t.withColumn("batch", F.lit(0)).schema)
+    return stored.groupBy("crawler", "status").agg(F.count("*").alias("n"), F.sum("records").alias("records"), F.count_if((F.col("time") == 0) & (F.col("response_time_ms") < 100)).alias("n_clamped"))
 
 
 @query(with_quotes(VOLUMES_SQL + """,

@@ -12,7 +12,7 @@ ORDER = ["created_at", "event_id"]
 
 
 def _ok():
-    return F.col("status") == "SUCCESS"
+    return succeeded(F.col("status"))
 
 
 def query(sql: str | None = None):
@@ -26,9 +26,9 @@ def query(sql: str | None = None):
 
 
 @query(with_telemetry("""
-SELECT coalesce(crawler, 'ALL') AS crawler, count(*) AS n, count(*) FILTER (status != 'SUCCESS') AS n_failed, round((count(*) - count(*) FILTER (status != 'SUCCESS')) * 100.0::DOUBLE / count(*), 4) AS uptime FROM telemetry GROUP BY ROLLUP (crawler)"""))
+SELECT coalesce(crawler, 'ALL') AS crawler, count(*) AS n, count(*) FILTER (NOT ok) AS n_failed, round((count(*) - count(*) FILTER (NOT ok)) * 100.0::DOUBLE / count(*), 4) AS uptime FROM telemetry GROUP BY ROLLUP (crawler)"""))
 def crawler_uptime(spark, sf_dir):
-    return T.uptime(telemetry(spark, sf_dir), "crawler", succeeded(F.col("status"))).withColumn("uptime", F.round("uptime", 4))
+    return T.uptime(telemetry(spark, sf_dir), "crawler", _ok()).withColumn("uptime", F.round("uptime", 4))
 
 
 @query(with_telemetry("""
@@ -38,12 +38,12 @@ def error_breakdown(spark, sf_dir):
 
 
 @query(with_telemetry("""
-SELECT crawler, event_id, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at FROM (SELECT *, row_number() OVER (PARTITION BY crawler ORDER BY created_at DESC, event_id DESC) AS rn FROM telemetry WHERE status = 'FAILED') WHERE rn <= 5"""))
+SELECT crawler, event_id, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at FROM (SELECT *, row_number() OVER (PARTITION BY crawler ORDER BY created_at DESC, event_id DESC) AS rn FROM telemetry WHERE NOT ok) WHERE rn <= 5"""))
 def recent_errors(spark, sf_dir):
     """The five latest errors of each crawler (a top-k report)."""
     from fareloom.operators.topk import top_by
 
-    latest = top_by(telemetry(spark, sf_dir).where("status = 'FAILED'"), ["crawler"], [F.desc("created_at"), F.desc("event_id")], 5)
+    latest = top_by(telemetry(spark, sf_dir).where(~_ok()), ["crawler"], [F.desc("created_at"), F.desc("event_id")], 5)
     return latest.select("crawler", "event_id", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
 
 
@@ -59,8 +59,8 @@ def latency_p95(spark, sf_dir):
 
 
 RUNS_SQL = """,
-islands AS (SELECT *, sum(CASE WHEN status = 'SUCCESS' THEN 1 ELSE 0 END) OVER (PARTITION BY proxy ORDER BY created_at, event_id ROWS UNBOUNDED PRECEDING) AS island FROM telemetry),
-runs AS (SELECT *, sum(CASE WHEN status != 'SUCCESS' THEN 1 ELSE 0 END) OVER (PARTITION BY proxy, island ORDER BY created_at, event_id ROWS UNBOUNDED PRECEDING) AS run FROM islands)"""
+islands AS (SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY proxy ORDER BY created_at, event_id ROWS UNBOUNDED PRECEDING) AS island FROM telemetry),
+runs AS (SELECT *, sum(CASE WHEN NOT ok THEN 1 ELSE 0 END) OVER (PARTITION BY proxy, island ORDER BY created_at, event_id ROWS UNBOUNDED PRECEDING) AS run FROM islands)"""
 
 
 @query(with_telemetry(RUNS_SQL + " SELECT proxy, CAST(run AS BIGINT) AS run, count(*) AS n FROM runs WHERE run > 0 GROUP BY ALL"))
@@ -69,14 +69,14 @@ def failure_runs(spark, sf_dir):
 
 
 @query(with_telemetry(RUNS_SQL + """
-SELECT proxy, count(*) AS n, count(*) FILTER (status != 'SUCCESS') AS n_failed, CAST(max(run) AS BIGINT) AS longest_run, CAST(arg_max(run, (created_at, event_id)) AS BIGINT) AS run,
+SELECT proxy, count(*) AS n, count(*) FILTER (NOT ok) AS n_failed, CAST(max(run) AS BIGINT) AS longest_run, CAST(arg_max(run, (created_at, event_id)) AS BIGINT) AS run,
   CASE WHEN arg_max(run, (created_at, event_id)) >= 3 THEN 'DEGRADED' ELSE 'HEALTHY' END AS state FROM runs GROUP BY 1"""))
 def proxy_state(spark, sf_dir):
     return T.health(telemetry(spark, sf_dir), "proxy", ORDER, _ok())
 
 
 @query(with_telemetry(""",
-lists AS (SELECT proxy, count(*) AS n, list({'v': response_time_ms, 'ok': status = 'SUCCESS'} ORDER BY created_at, event_id) AS e FROM telemetry GROUP BY 1),
+lists AS (SELECT proxy, count(*) AS n, list({'v': response_time_ms, 'ok': ok} ORDER BY created_at, event_id) AS e FROM telemetry GROUP BY 1),
 folded AS (SELECT proxy, n, list_reduce(list_transform(e, lambda x: x), lambda s, x: {'v': CASE WHEN x.ok THEN 0.3::DOUBLE * x.v + 0.7::DOUBLE * s.v ELSE s.v + 1000 END, 'ok': true}, {'v': e[1].v, 'ok': true}) AS s FROM lists)
 SELECT proxy, n, round(s.v, 4) AS score FROM folded"""))
 def ewma_score(spark, sf_dir):
