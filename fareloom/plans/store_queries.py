@@ -229,7 +229,8 @@ bases AS (SELECT route_code, avg(total_fare) AS base_fare, count(*) AS weight FR
 SELECT strftime(period, '%Y-%m-%d') AS day, count(*) AS n_routes, round(sum(weight * composite / base_fare) / sum(weight) * 100, 4) AS index, CAST(sum(n_windows) AS BIGINT) AS n_windows,
   (SELECT count(*) FROM medians m WHERE m.period = c.period) AS stored_windows FROM composites c JOIN bases USING (route_code) GROUP BY period""")
 def daily_runs(spark, sf_dir):
-    """The national index of two days as it is read back from the stored tables; the second day runs again at the end."""
+    """The national index of two days as it is read back from the stored tables; the second day runs again at the end. A day
+    without quotes of its own is left out."""
     target = Store(spark, new_path(spark, "daily"))
     q = written(quotes(spark, sf_dir).withColumn("captured_at", F.col("flight_date").cast("timestamp")), "daily-quotes")
     base = q.groupBy("route_code").agg(F.avg("total_fare").alias("base_fare"), F.count("*").alias("weight"))
@@ -238,7 +239,7 @@ def daily_runs(spark, sf_dir):
         daily.run_day(target, q, dt.date.fromisoformat(day), SEQUENCE[:4], base)
     routes = target.read("routes", daily.ROUTES).groupBy("day").agg(F.sum("n_windows").alias("n_windows"))
     windows = target.read("windows", daily.WINDOWS).groupBy("day").agg(F.count("*").alias("stored_windows"))
-    found = target.read("national", daily.NATIONAL).join(routes, "day").join(windows, "day").join(daily.done(target).select("day"), "day")
+    found = target.read("national", daily.NATIONAL).join(routes, "day").join(windows, "day").join(daily.done(target).where("not fallback").select("day"), "day")
     return found.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "n_routes", F.round("index", 4).alias("index"), "n_windows", "stored_windows")
 
 
