@@ -79,11 +79,14 @@ _READ, _BY_ELEMENT, _TEXTLESS = 0, 1, 2
 #: Zone of blocks left out by a class name or id alone, until the page is complete.
 _NAMED = 3
 
+#: An entry of the stack: tag, why dropped inside, content inside, dropped for good inside, named elements around, number of blocks in front of
+#: an element dropped by its tag.
+_OUTSIDE = ("", _READ, False, False, (), None)
+
 
 class _Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        # tag, why dropped inside, content inside, dropped for good inside, named elements around, number of blocks in front of an element dropped by its tag
         self.stack: list[tuple[str, int, bool, bool, tuple[int, ...], int | None]] = []
         self.open: Counter[str] = Counter()  # of the stack's tags
         self.dropped, self.content, self.marked = _READ, False, False
@@ -105,7 +108,7 @@ class _Blocks(HTMLParser):
     def _cut(self, k):
         self.open.subtract(tag for tag, *_ in self.stack[k:])
         del self.stack[k:]
-        _, self.dropped, self.content, self.marked, self.names, _ = self.stack[-1] if self.stack else ("", _READ, False, False, (), None)
+        _, self.dropped, self.content, self.marked, self.names, _ = self.stack[-1] if self.stack else _OUTSIDE
 
     def _end_implied(self, tag):
         """Ends what a block's start tag ends without an end tag: a paragraph always, an item, cell or row by the next one."""
@@ -148,17 +151,18 @@ class _Blocks(HTMLParser):
         if tag in DROPPED_TAGS or (tag == "header" and not self.content):
             dropped, marked = _TEXTLESS if tag in TEXTLESS_TAGS else max(dropped, _BY_ELEMENT), marked or tag in SWALLOWING_TAGS
             before = None if tag in WRAPPING_TAGS else len(self.blocks)
-        role = (given.get("role") or "").lower()
-        if role in DROPPED_ROLES or "hidden" in given or (given.get("aria-hidden") or "").lower() == "true":
-            dropped, marked = max(dropped, _BY_ELEMENT), True
-        elif tag not in ("html", "body"):
-            nouns = frozenset().union(*(_nouns(given[k]) for k in ("class", "id") if given.get(k)))
-            nouns -= HEADING_WORDS if self.content or tag in HEADING_TAGS else frozenset()
-            a_comment = role in COMMENT_ROLES or (given.get("itemprop") or "").lower() == "comment" or (given.get("itemtype") or "").lower().rstrip("/").endswith(COMMENT_TYPES)
-            strong = a_comment or not nouns <= LAYOUT_WORDS
-            if (nouns or a_comment) and not any(self.strong[m] for m in names):
-                names = (*names, len(self.strong))
-                self.strong.append(strong)
+        if attrs:
+            role = (given.get("role") or "").lower()
+            if role in DROPPED_ROLES or "hidden" in given or (given.get("aria-hidden") or "").lower() == "true":
+                dropped, marked = max(dropped, _BY_ELEMENT), True
+            elif tag not in ("html", "body"):
+                nouns = frozenset().union(*(_nouns(given[k]) for k in ("class", "id") if given.get(k)))
+                nouns -= HEADING_WORDS if self.content or tag in HEADING_TAGS else frozenset()
+                a_comment = role in COMMENT_ROLES or (given.get("itemprop") or "").lower() == "comment" or (given.get("itemtype") or "").lower().rstrip("/").endswith(COMMENT_TYPES)
+                strong = a_comment or not nouns <= LAYOUT_WORDS
+                if (nouns or a_comment) and not any(self.strong[m] for m in names):
+                    names = (*names, len(self.strong))
+                    self.strong.append(strong)
         if dropped != self.dropped or names != self.names:  # text of an element that is no block
             self._end_block()
         self.stack.append((tag, dropped, content, marked, names, before))
@@ -183,12 +187,12 @@ class _Blocks(HTMLParser):
             self.in_link = False
         for k in range(len(self.stack) - 1 if self.open[tag] else -1, -1, -1):
             if self.stack[k][0] == tag:
-                around = self.stack[k - 1] if k else ("", _READ, False, False, (), None)
-                if (self.stack[k][1], self.stack[k][4]) != (around[1], around[4]):
+                entry, around = self.stack[k], self.stack[k - 1] if k else _OUTSIDE
+                if entry[1] != around[1] or entry[4] != around[4]:
                     self._end_block()
-                if self.stack[k][5] is not None:  # it was closed after all, with what articles it has
-                    inside = self.blocks[self.stack[k][5] :]
-                    self.blocks[self.stack[k][5] :] = [] if tag in TEXTLESS_TAGS else [(text, MARKED, *rest) for text, _, *rest in inside]
+                if entry[5] is not None:  # it was closed after all, with what articles it has
+                    inside = self.blocks[entry[5] :]
+                    self.blocks[entry[5] :] = [] if tag in TEXTLESS_TAGS else [(text, MARKED, *rest) for text, _, *rest in inside]
                 self._cut(k)
                 return
 
@@ -206,6 +210,8 @@ def _named(blocks: list[tuple[str, int, bool, tuple[int, ...]]], strong: list[bo
     A name of layout says nothing where its element holds half of the page's prose and half of what articles and main hold: then it
     names the side that a sidebar is on, or where search results would be. Prose is what other names, elements and links leave.
     """
+    if all(strong):
+        return [(text, _NAMED if names and zone != MARKED else zone, links) for text, zone, links, names in blocks]
     held, words, content, prose, articles = Counter(), Counter(), Counter(), 0, 0
     for text, zone, links, names in blocks:
         if zone in (PLAIN, CONTENT) and not links and not any(strong[m] for m in names):
