@@ -1,5 +1,6 @@
 """New paths for files that a query writes and reads again."""
 
+import atexit
 import tempfile
 import uuid
 
@@ -7,10 +8,23 @@ from pyspark.sql import SparkSession
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """Below ``spark.checkpoint.dir``, which driver and executors share; in local mode a temporary folder will do."""
+    """Below ``spark.checkpoint.dir``, which driver and executors share; in local mode a temporary folder will do.
+
+    What is written there is deleted when the driver's Python ends with its session still running.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="fareloom-files-")
-    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}-{name}"
+    path = f"{base.rstrip('/')}/files-{uuid.uuid4().hex}-{name}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    if context._jsc is None or context._jsc.sc().isStopped():
+        return
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
