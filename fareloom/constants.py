@@ -31,6 +31,9 @@ BASE_RATIO_CLAMP = (0.60, 0.90)
 CARRIER_NAMES = {"6E": "IndiGo", "AI": "Air India", "IX": "Air India Express", "QP": "Akasa Air", "SG": "SpiceJet", "UK": "Vistara"}
 #: Portals that belong to a carrier; every other portal is an agency.
 DIRECT_PORTALS = {"indigo": "6E", "spicejet": "SG", "airindia": "AI"}
+#: Portal names that are a carrier's own whatever the carrier, and the brand in the names of a carrier's own portals.
+DIRECT_SITES = ["indigo", "spicejet", "airindia", "air_india", "akasa", "akasa_air", "vistara", "6e", "sg", "ai", "qp", "uk", "airline_direct", "direct", "carrier_direct"]
+CARRIER_SITES = {"6E": "indigo", "SG": "spicejet", "AI": "air_india", "QP": "akasa", "UK": "vistara"}
 #: Spellings of a flight status (lower case, with underscores) and the canonical one.
 STATUS_ALIASES = {
     "scheduled": "scheduled",

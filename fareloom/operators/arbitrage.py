@@ -1,9 +1,38 @@
 """Price differences between a carrier's own portals and agencies."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fareloom.constants import DIRECT_PORTALS
+from fareloom.constants import CARRIER_SITES, DIRECT_PORTALS, DIRECT_SITES
+
+#: What ``compared`` adds.
+VENUES = ["gap", "percent", "buy_at", "sell_at", "direction"]
+
+
+def is_direct(portal: Column, carrier: Column) -> Column:
+    """Whether a portal is a carrier's own: by its name, else where it has the brand or the code of the quote's carrier in it.
+
+    Portal and carrier go without case and outer blanks. A carrier's two letters match anywhere (those of IX in "ixigo" too, as
+    published); a null portal or one that is neither is an agency's.
+    """
+    name, code = F.lower(F.trim(F.coalesce(portal, F.lit("")))), F.upper(F.trim(F.coalesce(carrier, F.lit(""))))
+    found = name.isin(*DIRECT_SITES) | ((code != "") & name.contains(F.lower(code)))
+    for known, brand in CARRIER_SITES.items():
+        found = found | ((code == known) & name.contains(brand))
+    return found
+
+
+def compared(df: DataFrame) -> DataFrame:
+    """``df`` (direct_fare, direct_portal, agency_fare, agency_portal) with ``VENUES``; null where a side is missing."""
+    gap = F.col("agency_fare") - F.col("direct_fare")
+    known = df.withColumn("gap", gap).withColumn("percent", F.try_divide(gap, F.col("direct_fare")) * 100)
+    cheaper = F.col("gap") > 0
+    return known.select(
+        "*",
+        F.when(cheaper, F.col("direct_portal")).when(~cheaper, F.col("agency_portal")).alias("buy_at"),
+        F.when(cheaper, F.col("agency_portal")).when(~cheaper, F.col("direct_portal")).alias("sell_at"),
+        F.when(F.col("gap") > 1e-4, "agency_premium").when(F.col("gap") < -1e-4, "agency_discount").when(F.col("gap").isNotNull(), "parity").alias("direction"),
+    )
 
 
 def venue_spreads(df: DataFrame, flight: list[str], portal: str, fare: str, order: list[str]) -> DataFrame:

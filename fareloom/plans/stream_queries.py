@@ -3,12 +3,12 @@
 from pyspark.sql import functions as F
 
 from fareloom.functions import normalize
-from fareloom.operators import anomaly
+from fareloom.operators import anomaly, arbitrage
 from fareloom.operators.asof import as_of, period_or_latest
 from fareloom.operators.layout import written
-from fareloom.plans.fixtures import quotes, table, with_quotes
+from fareloom.plans.fixtures import pick, quotes, table, with_quotes
 from fareloom.plans.store_queries import VOLUMES_SQL, volumes
-from fareloom.streaming import counters, dedup
+from fareloom.streaming import counters, dedup, venues
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -108,6 +108,30 @@ def resolved_snapshot(spark, sf_dir):
     return dedup.with_spread(held).select(key.alias("hash_id"), *FLIGHT_KEYS, "least", "n_portals", "spread", "spread_pct")
 
 
+#: Portals under the names that sources give them, and those that are a carrier's own.
+SITES = ["indigo", " IndiGo ", "book-indigo.example", "spicejet.example", "air_india", "my-air_india", "Akasa_Air", "akasa.example", "ixigo", "makemytrip", "yatra", "carrier_direct"]
+SITES_SQL = """
+, sited AS (SELECT *, list_extract(['indigo', ' IndiGo ', 'book-indigo.example', 'spicejet.example', 'air_india', 'my-air_india', 'Akasa_Air', 'akasa.example', 'ixigo', 'makemytrip', 'yatra', 'carrier_direct'], CAST(seq2 % 12 + 1 AS INT)) AS site FROM quotes),
+own AS (SELECT *, lower(trim(site)) IN ('indigo', 'spicejet', 'airindia', 'air_india', 'akasa', 'akasa_air', 'vistara', '6e', 'sg', 'ai', 'qp', 'uk', 'airline_direct', 'direct', 'carrier_direct') OR contains(lower(site), lower(carrier))
+  OR contains(lower(site), CASE carrier WHEN '6E' THEN 'indigo' WHEN 'SG' THEN 'spicejet' WHEN 'AI' THEN 'air_india' WHEN 'QP' THEN 'akasa' ELSE 'no brand' END) AS direct FROM sited),
+last_offer AS (SELECT *, coalesce(flight_status, '') NOT IN ('cancelled', 'sold_out') AS may FROM own QUALIFY row_number() OVER (PARTITION BY route_code, carrier, flight_no, site ORDER BY flight_date DESC, seq1 DESC, seq2 DESC, seq3 DESC, seq4 DESC, total_fare DESC) = 1),
+by_flight AS (SELECT route_code, carrier, flight_no, count(*) AS n_portals, min(total_fare) FILTER (may) AS least, max(total_fare) AS most,
+  min(total_fare) FILTER (may AND direct) AS direct_fare, arg_min(site, (total_fare, site)) FILTER (may AND direct) AS direct_portal, min(total_fare) FILTER (may AND NOT direct) AS agency_fare, arg_min(site, (total_fare, site)) FILTER (may AND NOT direct) AS agency_portal FROM last_offer GROUP BY ALL),
+gaps AS (SELECT *, agency_fare - direct_fare AS gap FROM by_flight)"""
+
+
+@query(with_quotes(SITES_SQL + """
+SELECT route_code, carrier, flight_no, n_portals, least, CASE WHEN n_portals > 1 AND least > 0 THEN round(most - least, 2) END AS spread, direct_fare, agency_fare, round(gap / direct_fare * 100, 4) AS percent,
+  CASE WHEN gap > 0 THEN direct_portal WHEN gap <= 0 THEN agency_portal END AS buy_at, CASE WHEN gap > 0 THEN agency_portal WHEN gap <= 0 THEN direct_portal END AS sell_at,
+  CASE WHEN gap > 1e-4 THEN 'agency_premium' WHEN gap < -1e-4 THEN 'agency_discount' WHEN gap IS NOT NULL THEN 'parity' END AS direction FROM gaps"""))
+def resolved_venues(spark, sf_dir):
+    """Each portal's last offer of a flight, and the best of a carrier's own portals against the best of the agencies: where ``venue_stream`` ends."""
+    q = quotes(spark, sf_dir).withColumn("site", pick(SITES, F.col("seq2") % 12))
+    own = q.withColumn("direct", arbitrage.is_direct(F.col("site"), F.col("carrier")))
+    found = venues.venues_batch(own, FLIGHT_KEYS, "site", "direct", "total_fare", "flight_status", ARRIVAL)
+    return found.select(*FLIGHT_KEYS, "n_portals", "least", "spread", "direct_fare", "agency_fare", F.round("percent", 4).alias("percent"), "buy_at", "sell_at", "direction")
+
+
 DATED_SQL = """
 , dated AS (SELECT route_code, CAST(date_trunc('month', flight_date) + INTERVAL 1 MONTH AS DATE) AS valid_from, seq4 % 2 AS release, count(*) AS weight FROM quotes WHERE month(flight_date) % 4 != 1 GROUP BY ALL),
 newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY route_code, valid_from ORDER BY release DESC) AS rn FROM dated) WHERE rn = 1)"""
