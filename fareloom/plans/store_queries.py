@@ -1,10 +1,12 @@
 """Queries on stored tables, weights, set operations and parsed payloads, each with its DuckDB twin."""
 
 import datetime as dt
+import hashlib
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from fareloom.functions import scoring
 from fareloom.functions.normalize import fingerprint
 from fareloom.operators import store
 from fareloom.operators.layout import written
@@ -13,6 +15,7 @@ from fareloom.plans import daily
 from fareloom.plans.fixtures import SEQUENCE, quotes, with_quotes
 from fareloom.plans.index_queries import BOUNDS_SQL, COMPOSITE_SQL, INSIDE_SQL, MEDIAN_SQL
 from fareloom.sources import parsers, payloads
+from fareloom.sources.lookup import Lookup
 from fareloom.sources.scratch import new_path
 from fareloom.sources.stored import Store
 
@@ -133,6 +136,38 @@ def quote_page(spark, sf_dir):
     return rows.select("route_code", "booking_window", "total_fare", F.date_format("flight_date", "yyyy-MM-dd").alias("flight_date"), "seq1", "seq2", "seq4")
 
 
+SHOWN_SQL = "route_code, carrier, flight_no, total_fare, strftime(flight_date, '%Y-%m-%d') AS flight_date, seq1, seq2, seq3, seq4"
+#: Flights that are looked up by their hash.
+FLIGHTS = ["6E:7:ASIA-EUROPE", "AI:12:AMERICA-ASIA", "SG:31:EUROPE-AFRICA", "XX:0:NOWHERE"]
+
+
+def _stored(spark, sf_dir):
+    """All quotes with their flight's hash, laid out for look-ups."""
+    rows = quotes(spark, sf_dir).withColumn("hash_id", fingerprint(F.col("carrier"), F.col("flight_no"), F.col("route_code")))
+    stored = Lookup(spark, new_path(spark, "lookup"), rows.schema, ("origin", "destination"), "flight_date", "hash_id")
+    stored.write(rows)
+    return stored
+
+
+def _shown(rows):
+    return rows.select("route_code", "carrier", "flight_no", "total_fare", F.date_format("flight_date", "yyyy-MM-dd").alias("flight_date"), "seq1", "seq2", "seq3", "seq4")
+
+
+@query(with_quotes(f"""
+SELECT {SHOWN_SQL} FROM eligible WHERE origin = 'ASIA' AND destination = 'EUROPE' AND booking_window = 'T+7' AND flight_date BETWEEN DATE '1996-11-20' AND DATE '1997-02-10'"""))
+def corridor_lookup(spark, sf_dir):
+    """The payable quotes of a corridor and window between two days, from stored quotes."""
+    found = _stored(spark, sf_dir).in_corridor(("ASIA", "EUROPE"), dt.date(1996, 11, 20), dt.date(1997, 2, 10))
+    return _shown(found.where((F.col("booking_window") == "T+7") & scoring.eligible(F.col("flight_status"))))
+
+
+@query(with_quotes(f"""
+SELECT {SHOWN_SQL} FROM quotes WHERE sha256(carrier || ':' || flight_no || ':' || route_code) IN (sha256('6E:7:ASIA-EUROPE'), sha256('AI:12:AMERICA-ASIA'), sha256('SG:31:EUROPE-AFRICA'), sha256('XX:0:NOWHERE'))"""))
+def hash_lookup(spark, sf_dir):
+    """All quotes of some flights by hash, from stored quotes; one of the hashes is no flight's."""
+    return _shown(_stored(spark, sf_dir).by_key(*(hashlib.sha256(f.encode()).hexdigest() for f in FLIGHTS)))
+
+
 @query(with_quotes(""",
 last AS (SELECT *, row_number() OVER (PARTITION BY route_code, period, carrier, flight_no, portal ORDER BY event_time DESC, seq1 DESC, seq2 DESC, seq3 DESC, seq4 DESC, flight_date DESC, total_fare DESC) AS rn FROM quotes),
 cheap AS (SELECT route_code, period, carrier, flight_no, min(total_fare) FILTER (coalesce(flight_status, '') NOT IN ('cancelled', 'sold_out')) AS fare, count(*) AS n_portals, max(total_fare) AS most FROM last WHERE rn = 1 GROUP BY ALL)
