@@ -14,7 +14,7 @@ from fareloom.operators.topk import page
 from fareloom.plans import daily
 from fareloom.plans.fixtures import SEQUENCE, quotes, with_quotes
 from fareloom.plans.index_queries import BOUNDS_SQL, COMPOSITE_SQL, INSIDE_SQL, MEDIAN_SQL
-from fareloom.sources import parsers, payloads
+from fareloom.sources import deliveries, parsers, payloads
 from fareloom.sources.lookup import Lookup
 from fareloom.sources.scratch import new_path
 from fareloom.sources.stored import Store
@@ -305,3 +305,49 @@ def payload_shapes(spark, sf_dir):
     f = payloads.flights(quotes(spark, sf_dir).select("portal", wrapped.alias("shape"), payload.alias("payload")), "payload")
     cents = lambda c: F.sum(F.round(F.col(c) * 100).cast("long"))
     return f.groupBy("portal", "shape", "carrier").agg(F.count("*").alias("n"), F.count("total_fare").alias("n_priced"), cents("total_fare").alias("cents"), cents("base_fare").alias("base_cents"), F.max(F.col("flight_number").cast("long")).alias("last_number"), F.sum("stops").cast("long").alias("stops"))
+
+
+#: The lines of two deliveries, a file a quarter: some with a field too few, a word for a number or no passengers; a year that the first one lacks.
+LINES_SQL = """
+, lines AS (SELECT period, strftime(period, '%Y-%m') AS m, route_code, pax, CASE WHEN pax % 7 = 0 THEN strftime(period, '%Y-%m') || ',' || route_code WHEN pax % 7 = 1 THEN strftime(period, '%Y-%m') || ',' || route_code || ',n/a'
+  WHEN pax % 7 = 2 THEN strftime(period, '%Y-%m') || ',' || route_code || ',0' ELSE strftime(period, '%Y-%m') || ',' || route_code || ',' || pax END AS line FROM volumes),
+wanted AS (SELECT m, route_code FROM (SELECT DISTINCT m FROM lines) CROSS JOIN (SELECT DISTINCT route_code FROM lines))"""
+VOLUME = "month string, route_code string, pax long"
+
+
+def _deliveries(spark, sf_dir):
+    """The manifest of a first delivery, and the rows of a second one."""
+    v = written(volumes(spark, sf_dir).withColumn("month", F.date_format("period", "yyyy-MM")), "volumes")
+    kind, start = F.col("pax") % 7, F.concat_ws(",", "month", "route_code")
+    line = F.when(kind == 0, start).otherwise(F.concat(start, F.when(kind == 1, ",n/a").when(kind == 2, ",0").otherwise(F.concat(F.lit(","), F.col("pax").cast("string")))))
+    second = v.select("month", line.alias("line"))
+    # the first quarters said otherwise of one corridor
+    first = second.where("month not like '1994%'").withColumn("line", F.when(F.col("month").endswith("-01") & F.col("line").contains("ASIA-EUROPE"), F.concat("line", F.lit("9"))).otherwise(F.col("line")))
+    found = []
+    for name, rows in (("first", first), ("second", second)):
+        path = new_path(spark, f"delivery-{name}")
+        rows.withColumn("folder", F.col("month")).select("folder", "line").repartition("folder").write.partitionBy("folder").text(path)
+        found.append(deliveries.delivered(spark, path, VOLUME, name=F.regexp_extract("path", "folder=([^/]*)", 1)))
+    return v, deliveries.manifest(found[0]), found[1]
+
+
+@query(with_quotes(VOLUMES_SQL + LINES_SQL + """
+SELECT 'bad line' AS problem, m AS file, line AS what FROM lines WHERE pax % 7 < 2
+UNION ALL SELECT 'no volume', m, m || ' ' || route_code FROM lines WHERE pax % 7 = 2
+UNION ALL SELECT 'missing', NULL, m || ' ' || route_code FROM wanted w WHERE NOT EXISTS (SELECT 1 FROM lines l WHERE l.m = w.m AND l.route_code = w.route_code AND pax % 7 > 2)
+UNION ALL SELECT 'pinned', CASE WHEN pax % 7 > 1 THEN m END, m || ' ' || route_code || ': ' || CASE WHEN pax % 7 < 2 THEN 'nothing' WHEN pax % 7 = 2 THEN '0' ELSE '' || pax END || ' for ' || pax FROM lines WHERE month(period) = 7 AND pax % 7 <= 2"""))
+def delivery_faults(spark, sf_dir):
+    """What is wrong with delivered files of volumes: bad lines, no volumes, missing corridors, values other than those published."""
+    v, _, rows = _deliveries(spark, sf_dir)
+    expected = v.select("month").distinct().crossJoin(v.select("route_code").distinct())  # months by corridors
+    return deliveries.faults(rows, "month", "route_code", "pax", expected, v.where(F.col("month").endswith("-07")))
+
+
+@query(with_quotes(VOLUMES_SQL + LINES_SQL + """
+, files AS (SELECT m AS file, count(*) AS n_lines, count(*) FILTER (pax % 7 < 2) AS n_bad, bool_or(route_code = 'ASIA-EUROPE') AS touched FROM lines GROUP BY 1)
+SELECT file, n_lines, n_bad, CASE WHEN file LIKE '1994%' THEN 'added' WHEN file LIKE '%-01' AND touched THEN 'changed' END AS change FROM files"""))
+def delivery_manifest(spark, sf_dir):
+    """The files of a second delivery, and which of them are new or other than in the first."""
+    _, old, rows = _deliveries(spark, sf_dir)
+    new = written(deliveries.manifest(rows), "manifest")
+    return new.join(deliveries.changes(new, old), "file", "left").select("file", "n_lines", "n_bad", "change")
