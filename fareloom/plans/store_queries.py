@@ -322,7 +322,7 @@ def _deliveries(spark, sf_dir):
     line = F.when(kind == 0, start).otherwise(F.concat(start, F.when(kind == 1, ",n/a").when(kind == 2, ",0").otherwise(F.concat(F.lit(","), F.col("pax").cast("string")))))
     second = v.select("month", line.alias("line"))
     # the first quarters said otherwise of one corridor
-    first = second.where("month not like '1994%'").withColumn("line", F.when(F.col("month").endswith("-01") & F.col("line").contains("ASIA-EUROPE"), F.concat("line", F.lit("9"))).otherwise(F.col("line")))
+    first = second.where("month not like '1996%'").withColumn("line", F.when(F.col("month").endswith("-01") & F.col("line").contains("ASIA-EUROPE"), F.concat("line", F.lit("9"))).otherwise(F.col("line")))
     found = []
     for name, rows in (("first", first), ("second", second)):
         path = new_path(spark, f"delivery-{name}")
@@ -345,7 +345,7 @@ def delivery_faults(spark, sf_dir):
 
 @query(with_quotes(VOLUMES_SQL + LINES_SQL + """
 , files AS (SELECT m AS file, count(*) AS n_lines, count(*) FILTER (pax % 7 < 2) AS n_bad, bool_or(route_code = 'ASIA-EUROPE') AS touched FROM lines GROUP BY 1)
-SELECT file, n_lines, n_bad, CASE WHEN file LIKE '1994%' THEN 'added' WHEN file LIKE '%-01' AND touched THEN 'changed' END AS change FROM files"""))
+SELECT file, n_lines, n_bad, CASE WHEN file LIKE '1996%' THEN 'added' WHEN file LIKE '%-01' AND touched THEN 'changed' END AS change FROM files"""))
 def delivery_manifest(spark, sf_dir):
     """The files of a second delivery, and which of them are new or other than in the first."""
     _, old, rows = _deliveries(spark, sf_dir)
