@@ -140,13 +140,19 @@ alerts AS (SELECT *, CASE WHEN z >= 2 OR coalesce(dod, 0) >= 0.40 OR level != 'N
   CASE WHEN violation IS NOT NULL THEN 'DGCA_STATUTORY_VIOLATION' WHEN dod >= 0.40 THEN 'SURGE_PRICING' ELSE 'SPIKE' END AS kind FROM judged)"""
 
 
+#: All days judged: those without a positive mean raise an alert by their daily change alone.
+RAISED_SQL = ALERT_SQL + """,
+raised AS (SELECT route_code, booking_window, flight_date, severity, kind FROM alerts WHERE severity IS NOT NULL
+  UNION ALL SELECT route_code, booking_window, flight_date, 'CRITICAL', 'SURGE_PRICING' FROM baseline WHERE NOT coalesce(mean > 0, false) AND previous > 0 AND (fare - previous) / previous >= 0.40)"""
+
+
 def alerts(spark, sf_dir):
     """Alerts of each route, window and day against the thirty days before."""
     return anomaly.alerts(baselines(spark, sf_dir), "fare", "lead_days")
 
 
-@query(with_quotes(ALERT_SQL + """
-SELECT route_code, booking_window, strftime(flight_date, '%Y-%m-%d') AS flight_date, severity, kind FROM alerts WHERE severity IS NOT NULL"""))
+@query(with_quotes(RAISED_SQL + """
+SELECT route_code, booking_window, strftime(flight_date, '%Y-%m-%d') AS flight_date, severity, kind FROM raised"""))
 def alert_gate(spark, sf_dir):
     """Alerts by Z, daily change or surge, as CRITICAL or HIGH."""
     return alerts(spark, sf_dir).select(*KEYS, F.date_format("flight_date", "yyyy-MM-dd").alias("flight_date"), "severity", "kind")
