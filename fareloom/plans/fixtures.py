@@ -23,17 +23,21 @@ PORTALS = ["indigo", "spicejet", "airindia", "makemytrip", "easemytrip", "yatra"
 
 
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quotes from line items; dimension tables are small and Spark broadcasts them by their size."""
+    """Quotes from line items; dimension tables are small and Spark broadcasts them by their size.
+
+    Orders meet their customers first, so that line items, the widest rows, are shuffled once; names come last.
+    """
     region, nation = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
-    places = nation.join(region, nation.n_regionkey == region.r_regionkey).select("n_nationkey", "r_name")
-    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").join(places, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("r_name").alias("origin"))
-    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey").join(places, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("r_name").alias("destination"))
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    places = nation.join(region, nation.n_regionkey == region.r_regionkey)
+    place = lambda key, name: F.broadcast(places.select(F.col("n_nationkey").alias(key), F.col("r_name").alias(name)))  # noqa: E731 - 25 nations
+    customer, supplier = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate").join(customer, F.col("o_custkey") == F.col("c_custkey"))
     joined = (
         table(spark, sf_dir, "lineitem")
         .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(customer, F.col("o_custkey") == F.col("c_custkey"))
+        .join(place("c_nationkey", "origin"), "c_nationkey")
+        .join(place("s_nationkey", "destination"), "s_nationkey")
         .where("origin != destination")
     )
     index = F.col("l_orderkey") % 5
