@@ -24,13 +24,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def in_blocks(df: DataFrame, order: list, name: str, rows: int | None = None) -> tuple[DataFrame, str, str]:
+def in_blocks(df: DataFrame, order: list, name: str, rows: int | None = None, keep: list[str] | None = None) -> tuple[DataFrame, str, str]:
     """``df`` from files, with the names of two added columns: the place of a row in ``order`` and its block.
 
     ``order``: columns or their names. Ranges of ``order`` are dealt to tasks, so that neither a key's rows nor any others meet in one task;
-    places ascend with the order, and a block has ``rows`` neighbouring rows at most. Equal rows are placed in any order.
+    places ascend with the order, and a block has ``rows`` neighbouring rows at most. Equal rows are placed in any order. ``keep``: the
+    columns that are written (all by default).
     """
     place, block = fresh("_place", df), fresh("_block", df)
     shift = (rows or BLOCK_ROWS).bit_length() - 1
     laid = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(place, F.monotonically_increasing_id())
-    return written(laid.withColumn(block, F.shiftright(place, shift)), name), place, block
+    kept = ["*"] if keep is None else [f"`{c}`" for c in (*keep, place)]
+    return written(laid.select(*kept, F.shiftright(place, shift).alias(block)), name), place, block

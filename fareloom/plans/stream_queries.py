@@ -43,7 +43,8 @@ marked AS (SELECT *, max(event_at) OVER (ORDER BY flight_date, seq1, seq2, seq3,
 SELECT route_code, count(*) AS n, count(*) FILTER (event_at < watermark) AS n_out_of_order, count(*) FILTER (event_at < watermark AND epoch(watermark) - epoch(event_at) > 864000) AS n_stale FROM marked GROUP BY 1"""))
 def stream_order(spark, sf_dir):
     """Quotes behind the newest event time of the whole stream, and those that an opt-in drop of late ones loses."""
-    q = anomaly.running_max_before(arrived(spark, sf_dir), "flight_date", ARRIVAL[1:], "at", "watermark")
+    rows = arrived(spark, sf_dir).select("route_code", "at", *ARRIVAL)
+    q = anomaly.running_max_before(rows, "flight_date", ARRIVAL[1:], "at", "watermark")
     late = F.col("at") < F.col("watermark")
     stale = late & (F.unix_timestamp("watermark") - F.unix_timestamp("at") > 864_000)
     return q.groupBy("route_code").agg(F.count("*").alias("n"), F.count_if(late).alias("n_out_of_order"), F.count_if(stale).alias("n_stale"))
@@ -64,30 +65,33 @@ replayed AS (SELECT l.route_code, l.carrier, l.flight_no, l.portal, l.seq1, l.se
   CASE WHEN s.n_portals > 1 AND least > 0 THEN round(most - least, 2) END AS spread FROM linked l JOIN states s USING (route_code, carrier, flight_no, i))""")
 
 
-def replayed(spark, sf_dir):
-    marked = anomaly.running_max_before(arrived(spark, sf_dir), "flight_date", ARRIVAL[1:], "at", "watermark")
-    return dedup.replay(marked, FLIGHT_KEYS, "portal", "at", "total_fare", "flight_status", ARRIVAL, seen="watermark")
+def replayed(spark, sf_dir, keep, seen="watermark"):
+    """Quotes after their replay with the columns ``keep``; without ``seen``, out_of_order goes by the flight alone."""
+    rows = arrived(spark, sf_dir).select(*FLIGHT_KEYS, "portal", "at", "flight_status", *ARRIVAL)
+    marked = anomaly.running_max_before(rows, "flight_date", ARRIVAL[1:], "at", "watermark") if seen else rows
+    return dedup.replay(marked, FLIGHT_KEYS, "portal", "at", "total_fare", "flight_status", ARRIVAL, seen=seen, keep=keep)
 
 
 @query(REPLAY_SQL + " SELECT *, CAST(new_flight AS INT) AS first, round(spread / least * 100, 4) AS spread_pct FROM replayed")
 def quote_replay(spark, sf_dir):
     """Every quote with its flags and its flight's state after it, in order of arrival."""
     shown = ["new_flight", "new_minimum", "duplicate_price", "out_of_order", "least", "previous_least", "best_portal", "n_portals", "spread", "spread_pct"]
-    found = replayed(spark, sf_dir).select(*FLIGHT_KEYS, "portal", "seq1", "seq2", "seq3", "seq4", "total_fare", *shown)
+    given = [*FLIGHT_KEYS, "portal", "seq1", "seq2", "seq3", "seq4", "total_fare"]
+    found = replayed(spark, sf_dir, given).select(*given, *shown)
     return found.withColumn("first", F.col("new_flight").cast("int"))
 
 
 @query(REPLAY_SQL + " SELECT portal, count(*) AS n, count(*) FILTER (new_minimum) AS n_new_minimum, count(*) FILTER (duplicate_price) AS n_duplicate FROM replayed GROUP BY 1")
 def stream_flags(spark, sf_dir):
     """New minima and repeated prices by portal: against the last payable quote of each portal of the flight."""
-    q = replayed(spark, sf_dir)
+    q = replayed(spark, sf_dir, ["portal"], seen=None)
     return q.groupBy("portal").agg(F.count("*").alias("n"), F.count_if("new_minimum").alias("n_new_minimum"), F.count_if("duplicate_price").alias("n_duplicate"))
 
 
 @query(REPLAY_SQL + " SELECT count(*) AS processed, count(*) FILTER (duplicate_price) AS duplicates, count(*) FILTER (new_minimum) AS minima, count(*) FILTER (out_of_order) AS out_of_order FROM replayed")
 def stream_counters(spark, sf_dir):
     """The counters of the stream over all quotes."""
-    return replayed(spark, sf_dir).agg(*counters.counts())
+    return replayed(spark, sf_dir, []).agg(*counters.counts())
 
 
 @query(with_quotes("""

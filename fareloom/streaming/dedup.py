@@ -114,15 +114,18 @@ def resolve_stream(stream: DataFrame, drop_later_than: str | None = None, retent
     return with_spread(marked.groupBy("flight").transformWithStateInPandas(processor, OUTPUT, "Append", "EventTime"))
 
 
-def replay(df: DataFrame, flight: list[str], portal: str, event_time: str, fare: str, status: str, arrival: list[str], seen: str | None = None, rows: int | None = None) -> DataFrame:
+def replay(df: DataFrame, flight: list[str], portal: str, event_time: str, fare: str, status: str, arrival: list[str], seen: str | None = None, rows: int | None = None, keep: list[str] | None = None) -> DataFrame:
     """``df`` with ``RESULTS``, spread and spread_pct of each quote, as the stream gives them for the order ``arrival`` (without ties).
 
     ``seen``: a column with the newest event time of all quotes before (for ``out_of_order`` against the whole feed, not the flight only).
+    ``keep``: the columns of ``df`` that come back (all by default); others go no further than the layout.
 
     Quotes are laid out in blocks of flight and arrival. A block starts from the last quote of each portal in the flight's blocks before it,
     which an as-of join brings: a flight of any size is spread over tasks, and a block holds ``rows`` quotes and one row a portal.
     """
-    laid, place, block = in_blocks(df, [*flight, *arrival], "replay", rows)
+    given = df.columns if keep is None else keep
+    needed = list(dict.fromkeys([*given, *flight, portal, event_time, fare, status, *([seen] if seen else [])]))
+    laid, place, block = in_blocks(df, [*flight, *arrival], "replay", rows, needed)
     fresh_ = lambda name: fresh(name, laid)
     who, newest, start, last, first = (fresh_(c) for c in ("_portal", "_newest", "_start", "_last", "_first"))
     named = laid.withColumn(who, F.coalesce(F.col(portal), F.lit("unknown")))
@@ -136,40 +139,43 @@ def replay(df: DataFrame, flight: list[str], portal: str, event_time: str, fare:
     wanted = later.join(portals, flight)
     carried = as_of(wanted, ends.select(*flight, who, block, last), [*flight, who], block, block, [last], before=True).where(F.col(last).isNotNull())
 
-    given = [f.name for f in df.schema]
-    kind, extra = fresh_("_kind"), fresh_("_extra")
-    quotes = named.select(*flight, block, F.lit(1).alias(kind), place, who, price.alias(last), F.col(event_time).cast("timestamp").alias(newest), (F.col(seen).cast("timestamp") if seen else F.lit(None).cast("timestamp")).alias(start), F.struct(*(F.col(f"`{c}`") for c in given)).alias(extra))
-    heads = carried.select(*flight, block, F.lit(0).alias(kind), F.col(first).alias(place), who, last, F.col(newest).cast("timestamp").alias(newest), F.lit(None).cast("timestamp").alias(start), F.lit(None).cast(quotes.schema[extra].dataType).alias(extra))
+    # the flight's own columns are beside the others, not among them: a row is shuffled with each value once
+    others = [c for c in given if c not in flight]
+    kind, extra, fare_, status_ = (fresh_(c) for c in ("_kind", "_extra", "_fare", "_status"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    nowhere = F.lit(None).cast("long")
+    quotes = named.select(*flight, block, F.lit(1).alias(kind), place, who, F.col(fare).cast("double").alias(fare_), F.col(status).alias(status_), micros(event_time).alias(newest), (micros(seen) if seen else nowhere).alias(start), F.struct(F.lit(0).alias(kind), *(F.col(f"`{c}`") for c in others)).alias(extra))
+    heads = carried.select(*flight, block, F.lit(0).alias(kind), F.col(first).alias(place), who, F.col(last)["fare"].alias(fare_), F.col(last)["status"].alias(status_), micros(newest).alias(newest), nowhere.alias(start), F.lit(None).cast(quotes.schema[extra].dataType).alias(extra))
     added = [c.split() for c in RESULTS.split(", ")]
     names = {c: fresh(c, df) for c, _ in added}
-    ordered = quotes.unionByName(heads).repartition(*flight, block).sortWithinPartitions(*flight, block, kind, place)
-    key_width = len(flight) + 1
+    ordered = quotes.unionByName(heads).repartition(*flight, block).sortWithinPartitions(block, *flight, kind, place)
+    n_flight, key_width = len(flight), len(flight) + 1
 
     def run(batches):
         now, state = None, None
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns[: key_width + 6]]
+            columns = [c.to_pylist() for c in batch.columns[: key_width + 7]]
             kept, out = [], []
-            for k in range(len(batch)):
-                key = tuple(c[k] for c in columns[:key_width])
-                a_quote, at_place, portal_, price_, at, before = (c[k] for c in columns[key_width:])
+            keys = zip(*columns[:key_width], strict=True)
+            for k, (key, a_quote, at_place, portal_, fare_, status_, at, before) in enumerate(zip(keys, *columns[key_width:], strict=True)):
                 if key != now:
                     now, state = key, Flight()
                 if not a_quote:
-                    state.hold(portal_, price_["fare"], price_["status"], at_place)
+                    state.hold(portal_, fare_, status_, at_place)
                     state.newest = at
                 else:
                     kept.append(k)
-                    out.append(state.quote(portal_, price_["fare"], price_["status"], at, before, at_place))
-            rest = batch.column(key_width + 6).take(pa.array(kept, pa.int64()))
+                    out.append(state.quote(portal_, fare_, status_, at, before, at_place))
+            kept = pa.array(kept, pa.int64())
+            same = [batch.column(k).take(kept) for k in (*range(n_flight), key_width + 7)]
             values = [pa.array(v, t) for v, t in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], t) for t in types]
-            yield pa.RecordBatch.from_arrays([rest, *values], names=[extra, *(c for c, _ in added)])
+            yield pa.RecordBatch.from_arrays([*same, *values], names=[*flight, extra, *(c for c, _ in added)])
 
     types = [{"boolean": pa.bool_(), "double": pa.float64(), "string": pa.string(), "int": pa.int32()}[t] for _, t in added]
-    schema = f"`{extra}` {quotes.schema[extra].dataType.simpleString()}, {RESULTS}"
+    schema = ", ".join([*(f"`{c}` {quotes.schema[c].dataType.simpleString()}" for c in (*flight, extra)), RESULTS])
     found = with_spread(ordered.mapInArrow(run, schema))
     both = [*names.items(), *((c, fresh(c, df)) for c in ("spread", "spread_pct"))]
-    return found.select(*(F.col(extra).getField(c).alias(c) for c in given), *(F.col(c).alias(n) for c, n in both))
+    return found.select(*(F.col(f"`{c}`") if c in flight else F.col(extra).getField(c).alias(c) for c in given), *(F.col(c).alias(n) for c, n in both))
 
 
 def resolved_flights(stream: DataFrame, window: str = "300 seconds") -> DataFrame:
