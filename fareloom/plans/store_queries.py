@@ -12,7 +12,7 @@ from fareloom.operators import store
 from fareloom.operators.layout import written
 from fareloom.operators.topk import page
 from fareloom.plans import daily
-from fareloom.plans.fixtures import SEQUENCE, quotes, with_quotes
+from fareloom.plans.fixtures import SEQUENCE, pick, quotes, with_quotes
 from fareloom.plans.index_queries import BOUNDS_SQL, COMPOSITE_SQL, INSIDE_SQL, MEDIAN_SQL
 from fareloom.sources import deliveries, parsers, payloads
 from fareloom.sources.lookup import Lookup
@@ -301,8 +301,9 @@ def payload_shapes(spark, sf_dir):
         .otherwise(F.concat(named("flightNumber", "AirlineCode"), F.lit('"price": "on request", "grossFare": '), shown, F.lit("}")))
     )
     wrapped = F.col("seq2") % 10
-    payload = F.coalesce(*(F.when(wrapped == k, F.concat(F.lit(s.split("{}", 1)[0]), flight, F.lit(s.split("{}", 1)[1]))) for k, s in enumerate(SHAPES)))
-    f = payloads.flights(quotes(spark, sf_dir).select("portal", wrapped.alias("shape"), payload.alias("payload")), "payload")
+    before, after = (pick([s.split("{}", 1)[k] for s in SHAPES], F.col("shape")) for k in (0, 1))
+    given = quotes(spark, sf_dir).select("portal", wrapped.alias("shape"), flight.alias("flight"))
+    f = payloads.flights(given.select("portal", "shape", F.concat(before, "flight", after).alias("payload")), "payload")
     cents = lambda c: F.sum(F.round(F.col(c) * 100).cast("long"))
     return f.groupBy("portal", "shape", "carrier").agg(F.count("*").alias("n"), F.count("total_fare").alias("n_priced"), cents("total_fare").alias("cents"), cents("base_fare").alias("base_cents"), F.max(F.col("flight_number").cast("long")).alias("last_number"), F.sum("stops").cast("long").alias("stops"))
 
