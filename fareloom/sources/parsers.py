@@ -7,6 +7,8 @@ nowhere is null, never invented.
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fareloom.operators.layout import fresh
+
 #: The places of a flight list and the union of their fields.
 _FLIGHT = "struct<flightNo:string,flight_number:string,carrier:string,airlineCode:string,fare:double,price:double,totalFare:double,fares:array<struct<amount:double,total:double>>,fareDetails:struct<total:double,base:double,tax:double>,departure:string,status:string,stops:int>"
 PAYLOAD = f"flights array<{_FLIGHT}>, data struct<flights:array<{_FLIGHT}>>, results array<{_FLIGHT}>"
@@ -42,12 +44,15 @@ def iso_minutes(text: Column) -> Column:
 
 def offers(df: DataFrame, payload: str) -> DataFrame:
     """``df`` with the first itinerary's ends, minutes and stops, the total and the sum of the taxes."""
-    o = F.from_json(payload, OFFER)
-    trip = F.get(o["itineraries"], F.lit(0))
+    offer, first = fresh("_offer", df), fresh("_trip", df)
+    rest = [F.col(f"`{c}`") for c in df.columns if c != payload]
+    # in steps, so that a payload is parsed once and not for each of its figures
+    rows = df.select(*rest, F.from_json(payload, OFFER).alias(offer)).select(*rest, offer, F.get(F.col(offer)["itineraries"], F.lit(0)).alias(first))
+    o, trip = F.col(offer), F.col(first)
     start, end = F.get(trip["segments"], F.lit(0)), F.try_element_at(trip["segments"], F.lit(-1))
     taxes = F.aggregate(o["price"]["taxes"], F.lit(0.0), lambda s, x: s + F.coalesce(x["amount"].try_cast("double"), F.lit(0.0)))
-    return df.select(
-        *(c for c in df.columns if c != payload),
+    return rows.select(
+        *rest,
         start["carrierCode"].alias("carrier"),
         start["departure"]["iataCode"].alias("origin"),
         end["arrival"]["iataCode"].alias("destination"),
@@ -61,8 +66,9 @@ def offers(df: DataFrame, payload: str) -> DataFrame:
 
 def cheapest_bookable(df: DataFrame, payload: str) -> DataFrame:
     """``df`` with a row for each journey and its cheapest adult fare that has a seat; null if there is none."""
-    p = F.from_json(payload, JOURNEY)
-    rows = df.select(*(c for c in df.columns if c != payload), p["prices"].alias("_prices"), F.explode_outer(p["journeys"]).alias("_j")).where("_j is not null")
+    p = fresh("_payload", df)
+    parsed = df.select(*(c for c in df.columns if c != payload), F.from_json(payload, JOURNEY).alias(p))
+    rows = parsed.select(*(c for c in df.columns if c != payload), F.col(p)["prices"].alias("_prices"), F.explode_outer(F.col(p)["journeys"]).alias("_j")).where("_j is not null")
     open_fares = F.filter(F.map_values("_j.fares"), lambda x: (x["available"] >= 1) & (x["type"] == "ADT"))
     amounts = F.transform(open_fares, lambda x: F.try_element_at(F.col("_prices"), x["key"]))
     return rows.select(*(c for c in df.columns if c != payload), F.col("_j.number").alias("number"), F.array_min(amounts).alias("fare"))
