@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fareloom.operators import series
+from fareloom.operators.layout import written
 from fareloom.plans.anomaly_queries import eligible
 from fareloom.plans.fixtures import BENCHMARK_SQL, benchmark_months, with_quotes
 
@@ -31,8 +32,11 @@ days AS (SELECT flight_date, avg(total_fare) AS fare, count(*) AS n, count(DISTI
 
 
 def months(spark, sf_dir):
-    """Monthly means of days that cover enough routes: at least five and 60 % of the best-covered day."""
-    d = days(spark, sf_dir)
+    """Monthly means of days that cover enough routes: at least five and 60 % of the best-covered day.
+
+    Days come from files, a row each: they are read twice, the quotes behind them once.
+    """
+    d = written(days(spark, sf_dir), "days")
     gate = d.agg(F.greatest(F.lit(5), F.floor(F.max("routes") * 0.6)).alias("gate"))
     return d.crossJoin(gate).where("routes >= gate").groupBy(F.to_date(F.date_trunc("month", "flight_date")).alias("month")).agg(F.avg("fare").alias("fare"), F.count("*").alias("n_days"))
 
@@ -46,7 +50,7 @@ pairs AS (SELECT month, fare / (SELECT arg_min(fare, month) FROM months JOIN ben
 
 def pairs(spark, sf_dir):
     """Months that both series have, ours rebased to 100 in the first of them."""
-    joined = months(spark, sf_dir).join(benchmark_months(spark, sf_dir), "month")
+    joined = written(months(spark, sf_dir).join(benchmark_months(spark, sf_dir), "month"), "month-pairs")
     first = joined.agg(F.min_by("fare", "month").alias("base"))
     return joined.crossJoin(first).select("month", (F.col("fare") / F.col("base") * 100).alias("ours"), "cpi")
 
