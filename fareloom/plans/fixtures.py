@@ -24,8 +24,8 @@ WINDOWS = ["T+1", "T+7", "T+15", "T+30", "T+45"]
 PORTALS = ["indigo", "spicejet", "airindia", "makemytrip", "easemytrip", "yatra", "ixigo"]
 
 
-def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quotes from line items; dimension tables are small and Spark broadcasts them by their size.
+def quote_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What quotes are made of, in few and narrow columns; dimension tables are small and Spark broadcasts them by their size.
 
     Orders meet their customers first, so that line items, the widest rows, are shuffled once; names come last.
     """
@@ -34,16 +34,21 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = lambda key, name: F.broadcast(places.select(F.col("n_nationkey").alias(key), F.col("r_name").alias(name)))  # noqa: E731 - 25 nations
     customer, supplier = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate").join(customer, F.col("o_custkey") == F.col("c_custkey"))
-    joined = (
+    return (
         table(spark, sf_dir, "lineitem")
         .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(place("c_nationkey", "origin"), "c_nationkey")
         .join(place("s_nationkey", "destination"), "s_nationkey")
         .where("origin != destination")
+        .select("origin", "destination", *(f"l_{c}" for c in "orderkey partkey suppkey linenumber extendedprice discount tax returnflag shipdate".split()), "o_orderdate")
     )
+
+
+def quotes_of(facts: DataFrame) -> DataFrame:
+    """The quote of each row of ``quote_facts``, which needs no other row."""
     index = F.col("l_orderkey") % 5
-    return joined.select(
+    return facts.select(
         "origin",
         "destination",
         F.concat_ws("-", "origin", "destination").alias("route_code"),
@@ -66,6 +71,11 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes from line items."""
+    return quotes_of(quote_facts(spark, sf_dir))
+
+
 SEQUENCE = ["seq1", "seq2", "seq3", "seq4", "flight_date", "total_fare"]
 
 QUOTES_SQL = """

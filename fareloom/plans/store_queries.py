@@ -12,7 +12,7 @@ from fareloom.operators import store
 from fareloom.operators.layout import written
 from fareloom.operators.topk import page
 from fareloom.plans import daily
-from fareloom.plans.fixtures import SEQUENCE, pick, quotes, with_quotes
+from fareloom.plans.fixtures import SEQUENCE, pick, quote_facts, quotes, quotes_of, with_quotes
 from fareloom.plans.index_queries import BOUNDS_SQL, COMPOSITE_SQL, INSIDE_SQL, MEDIAN_SQL
 from fareloom.sources import deliveries, parsers, payloads
 from fareloom.sources.lookup import Lookup
@@ -142,10 +142,11 @@ FLIGHTS = ["6E:7:ASIA-EUROPE", "AI:12:AMERICA-ASIA", "SG:31:EUROPE-AFRICA", "XX:
 
 
 def _stored(spark, sf_dir):
-    """All quotes with their flight's hash, laid out for look-ups."""
-    rows = quotes(spark, sf_dir).withColumn("hash_id", fingerprint(F.col("carrier"), F.col("flight_no"), F.col("route_code")))
-    stored = Lookup(spark, new_path(spark, "lookup"), rows.schema, ("origin", "destination"), "flight_date", "hash_id")
-    stored.write(rows)
+    """All quotes with their flight's hash, laid out for look-ups: line items are dealt out, and quotes made of them behind the shuffle."""
+    facts = quote_facts(spark, sf_dir)
+    made = lambda rows: quotes_of(rows).withColumn("hash_id", fingerprint(F.col("carrier"), F.col("flight_no"), F.col("route_code")))
+    stored = Lookup(spark, new_path(spark, "lookup"), made(facts).schema, ("origin", "destination"), "flight_date", "hash_id")
+    stored.write(facts, made=made, dealt=(F.col("origin"), F.col("destination"), F.to_date("l_shipdate"), F.col("l_orderkey")))
     return stored
 
 

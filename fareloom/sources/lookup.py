@@ -7,6 +7,7 @@ new folder.
 """
 
 import datetime as dt
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,18 +30,24 @@ class Lookup:
     day: str
     key: str
 
-    def write(self, rows: DataFrame, file_rows: int = FILE_ROWS) -> None:
+    def laid(self, rows: DataFrame, made: Callable[[DataFrame], DataFrame] | None = None, dealt: tuple[Column, ...] | None = None) -> DataFrame:
+        """``rows`` with their month, in the order of the files. See ``write``."""
+        if MONTH in rows.columns:
+            raise ValueError(f"{MONTH} is the table's own column")
+        names = [f"`{c}`" for c in self.schema.names]
+        *corridor, day, rest = dealt or (F.col(f"`{c}`") for c in (*self.corridor, self.day, self.key))
+        ranges = (rows if made else rows.select(*names)).repartitionByRange(F.trunc(day, "month"), *corridor, day, rest)  # values that aren't shuffled
+        month = F.coalesce(F.date_format(self.day, "yyyy-MM"), F.lit("none"))
+        return (made(ranges) if made else ranges).select(*names).withColumn(MONTH, month).sortWithinPartitions(MONTH, *self.corridor, self.day, self.key)
+
+    def write(self, rows: DataFrame, file_rows: int = FILE_ROWS, made: Callable[[DataFrame], DataFrame] | None = None, dealt: tuple[Column, ...] | None = None) -> None:
         """Makes ``rows`` the months that they are of; other months stay as they are. Rows without a day are a month of their own.
 
         Ranges of month and corridor are dealt to tasks by a sample, so that a month or corridor of any size is spread; a file has ``file_rows`` rows at
-        most. ``rows`` must not come from the table itself.
+        most. ``rows`` must not come from the table itself. Where stored rows follow from narrower ``rows``, one from each, ``made`` makes
+        them behind the shuffle; ``dealt`` is then the corridor, the day and what tells a day's rows apart, in terms of ``rows``.
         """
-        if MONTH in rows.columns:
-            raise ValueError(f"{MONTH} is the table's own column")
-        month = F.coalesce(F.date_format(self.day, "yyyy-MM"), F.lit("none"))
-        order = [MONTH, *self.corridor, self.day, self.key]
-        laid = rows.select(*(f"`{c}`" for c in self.schema.names)).withColumn(MONTH, month).repartitionByRange(*order).sortWithinPartitions(*order)
-        writer = laid.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", file_rows)
+        writer = self.laid(rows, made, dealt).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", file_rows)
         bloom = {f"parquet.bloom.filter.enabled#{self.key}": "true", f"parquet.bloom.filter.expected.ndv#{self.key}": str(file_rows)}
         writer.options(**bloom).partitionBy(MONTH).parquet(self.path)
 

@@ -83,3 +83,31 @@ def test_months_are_replaced_one_by_one(spark, table):
     same(made.read().drop(MONTH).collect(), [r for r in given if r[2] is None or r[2].month != 3] + new)
     with pytest.raises(ValueError, match=MONTH):
         made.write(spark.createDataFrame(new, SCHEMA).withColumn(MONTH, F.lit("")))
+
+
+def test_rows_are_made_behind_the_shuffle(spark, table, tmp_path):
+    made, given = table
+    narrow = made.read().select("origin", "destination", F.col("day").cast("string").alias("d"), "key")
+    wide = lambda rows: rows.select("origin", "destination", F.to_date("d").alias("day"), "key", F.length("key").cast("double").alias("fare"), F.sha2("key", 256).alias("odd"))
+    other = Lookup(spark, str(tmp_path / "others"), SCHEMA, ("origin", "destination"), "day", "key")
+    how = {"made": wide, "dealt": (F.col("origin"), F.col("destination"), F.to_date("d"), F.col("key"))}
+    plan = other.laid(narrow, **how)._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("RepartitionByExpression")
+    assert "sha2" in above and "sha2" not in below
+    other.write(narrow, **how)
+    same(other.read().select(SCHEMA.names[:4]).collect(), [r[:4] for r in given])
+    first, last = dt.date(2024, 2, 10), dt.date(2024, 2, 12)
+    found, read = metrics(other.in_corridor(("DEL", "BOM"), first, last))
+    assert len(found) == sum(r[:2] == ("DEL", "BOM") and r[2] is not None and first <= r[2] <= last for r in given) and read["numPartitions"] == 1
+
+
+@pytest.mark.parametrize("name", ["corridor_lookup", "hash_lookup"])
+def test_stored_quotes_shuffle_line_items(spark, tables, name, monkeypatch):
+    plans = []
+    laid = Lookup.laid
+    monkeypatch.setattr(Lookup, "laid", lambda self, *a: plans.append(df := laid(self, *a)) or df)
+    from fareloom.plans import registry
+
+    registry.queries()[name](spark, tables)
+    above, below = plans[0]._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")
+    assert "sha2" in above and "sha2" not in below and "route_code" not in below
