@@ -61,7 +61,15 @@ def fare(value: Column) -> Column:
 
 def status(value: Column) -> Column:
     """Canonical flight status; unknown ones stay in lower case, empty becomes null."""
-    token = F.translate(F.lower(F.trim(value)), "- ", "__")
+    return status_of(status_token(value))
+
+
+def status_token(value: Column) -> Column:
+    return F.translate(F.lower(F.trim(value)), "- ", "__")
+
+
+def status_of(token: Column) -> Column:
+    """The status of a ``status_token``."""
     known = F.create_map(*(F.lit(x) for pair in STATUS_ALIASES.items() for x in pair))
     return F.when(token != "", F.coalesce(F.try_element_at(known, token), token))
 
@@ -126,15 +134,19 @@ def minutes(value: Column) -> Column:
 
 def amount(value: Column) -> Column:
     """A supplied amount: blank is null, zero stays."""
-    return F.nullif(F.trim(value), F.lit("")).try_cast("double")
+    return F.trim(value).try_cast("double")
 
 
 def stored_window(value: Column) -> Column:
     """The window tag of a stored record: T+n of a bare number or Tn, null is T+1, anything else in upper case."""
-    tag = F.upper(F.trim(value))
+    return window_of(F.upper(F.trim(value)))
+
+
+def window_of(tag: Column) -> Column:
+    """The same of a tag in upper case, without blanks around it."""
     days = F.regexp_extract(tag, "^(?:T[+]?)?([0-9]+)$", 1)
-    known = tag.rlike("^[0-9]+$") | tag.isin(*(f"T{n}" for n in (1, 7, 15, 30, 45)))
-    return F.when(value.isNull(), F.lit("T+1")).when(known, F.concat(F.lit("T+"), days)).otherwise(tag)
+    known = tag.rlike(r"^(?:[0-9]+$|T(?:1|7|15|30|45)\z)")
+    return F.when(tag.isNull(), F.lit("T+1")).when(known, F.concat(F.lit("T+"), days)).otherwise(tag)
 
 
 def pipeline_window(value: Column) -> Column:

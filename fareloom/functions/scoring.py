@@ -27,9 +27,17 @@ def rounded(value: Column, places: int) -> Column:
 
 def base_ratio(carrier: Column, route: Column | None = None) -> Column:
     """Share of the base fare: of the route plus the carrier's offset, else of the carrier; null if neither is known."""
-    carrier = F.upper(F.trim(carrier))
+    return clamped(known_ratio(F.upper(F.trim(carrier)), route))
+
+
+def known_ratio(carrier: Column, route: Column | None = None) -> Column:
+    """The share as tables and offset give it for a carrier's code."""
     of_route = F.lit(None).cast("double") if route is None else _known(C.ROUTE_BASE_RATIO, route) + F.coalesce(_known(C.CARRIER_BASE_OFFSET, carrier), F.lit(0.0))
-    ratio = rounded(F.coalesce(of_route, _known(C.CARRIER_BASE_RATIO, carrier)), 4)
+    return rounded(F.coalesce(of_route, _known(C.CARRIER_BASE_RATIO, carrier)), 4)
+
+
+def clamped(ratio: Column) -> Column:
+    """The share within its bounds; null stays."""
     return F.when(ratio.isNotNull(), F.least(F.greatest(ratio, F.lit(C.BASE_RATIO_CLAMP[0])), F.lit(C.BASE_RATIO_CLAMP[1])))
 
 
@@ -37,14 +45,29 @@ def fare_split(total: Column, base: Column, taxes: Column, carrier: Column, rout
     """Struct of base, taxes and basis: measured (both given), residual (one given), calibrated (by the ratio of the
     route or carrier) or estimated (by the default ratio). Computed parts have two places."""
     ratio = base_ratio(carrier, route)
-    computed = rounded(total * F.coalesce(ratio, F.lit(C.DEFAULT_BASE_RATIO)), 2)
-    basis = F.when(ratio.isNull(), "estimated").otherwise("calibrated")
-    return (
-        F.when(base.isNotNull() & taxes.isNotNull(), F.struct(base.alias("base"), taxes.alias("taxes"), F.lit("measured").alias("basis")))
-        .when(base.isNotNull(), F.struct(base.alias("base"), rounded(total - base, 2).alias("taxes"), F.lit("residual").alias("basis")))
-        .when(taxes.isNotNull(), F.struct(rounded(total - taxes, 2).alias("base"), taxes.alias("taxes"), F.lit("residual").alias("basis")))
-        .otherwise(F.struct(computed.alias("base"), rounded(total - computed, 2).alias("taxes"), basis.alias("basis")))
-    )
+    whole = base_part(total, base, taxes, base_by(ratio, total))
+    return F.struct(whole.alias("base"), tax_part(total, whole, taxes).alias("taxes"), split_basis(base, taxes, ratio).alias("basis"))
+
+
+def base_by(ratio: Column, total: Column) -> Column:
+    """The base fare that a ratio makes of a total; the default ratio where it is null."""
+    return rounded(total * F.coalesce(ratio, F.lit(C.DEFAULT_BASE_RATIO)), 2)
+
+
+def base_part(total: Column, base: Column, taxes: Column, computed: Column) -> Column:
+    """The given base fare, else what the given taxes leave, else the computed one."""
+    return F.coalesce(base, rounded(total - taxes, 2), computed)
+
+
+def tax_part(total: Column, base: Column, taxes: Column) -> Column:
+    """The given taxes, else what ``base_part`` leaves."""
+    return F.coalesce(taxes, rounded(total - base, 2))
+
+
+def split_basis(base: Column, taxes: Column, ratio: Column) -> Column:
+    """The basis of a split by its given parts and the ratio for what is computed."""
+    given = F.when(base.isNotNull() & taxes.isNotNull(), "measured").when(base.isNotNull() | taxes.isNotNull(), "residual")
+    return given.when(ratio.isNull(), "estimated").otherwise("calibrated")
 
 
 def recomposes(total: Column, base: Column, taxes: Column, absolute: float = 1.0, relative: float = 0.005) -> Column:

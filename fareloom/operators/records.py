@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from fareloom.constants import NOT_PAYABLE
 from fareloom.functions import normalize, scoring
+from fareloom.operators.layout import fresh
 
 STATUSES = ("scheduled", *NOT_PAYABLE)
 #: The names under which payloads report a status, a sold-out and a cancelled flight.
@@ -19,41 +20,47 @@ def normalized(df: DataFrame, carried: list[str] = ()) -> DataFrame:
     """Stored records of raw rows, in one pass: the columns ``RAW`` (text, as given) and ``carried`` along.
 
     A split that is marked calibrated or estimated but doesn't add up is made anew; missing classes, sources and
-    stops have their defaults; the fingerprint is that of the normalised fields.
+    stops have their defaults; the fingerprint is that of the normalised fields. Fields are made in steps, each once: what a step reads twice is
+    not worked out again, and the code that Spark makes of a step stays short enough to be compiled.
     """
     c = {k: F.col(k) for k in RAW}
-    total, base, taxes = (normalize.amount(c[k]) for k in ("total_fare", "base_fare", "taxes_and_fees"))
-    total = F.coalesce(total, F.lit(0.0))
-    obsolete = F.coalesce(c["fare_split_basis"].isin("calibrated", "estimated") & (F.abs(total - (base + taxes)) > 1.0), F.lit(False))
-    base, taxes = F.when(~obsolete, base), F.when(~obsolete, taxes)
-    carrier, origin, destination = (normalize.code(c[k]) for k in ("airline_code", "origin", "destination"))
-    departure = F.try_to_timestamp(c["departure_time"])
-    day = F.coalesce(F.left(c["flight_date"], F.lit(10)).try_cast("date"), F.to_date(departure))
-    window = normalize.stored_window(c["booking_window"])
-    split = scoring.fare_split(total, base, taxes, carrier, F.concat_ws("-", origin, destination))
+    fields = "carrier number origin destination total base taxes obsolete ratio computed departure day tag window token whole basis".split()
+    name = {k: fresh(f"_{k}", df) for k in fields}
+    v = {k: F.col(n) for k, n in name.items()}
+    step = lambda rows, **made: rows.withColumns({name[k]: value for k, value in made.items()})
+    rows = step(df, total=F.coalesce(normalize.amount(c["total_fare"]), F.lit(0.0)), base=normalize.amount(c["base_fare"]), taxes=normalize.amount(c["taxes_and_fees"]))
+    marked = c["fare_split_basis"].isin("calibrated", "estimated")
+    rows = step(rows, obsolete=F.when(marked & (F.abs(v["total"] - (v["base"] + v["taxes"])) > 1.0), True).otherwise(False))
+    rows = step(rows, base=F.when(~v["obsolete"], v["base"]), taxes=F.when(~v["obsolete"], v["taxes"]))
+    rows = step(rows, carrier=normalize.code(c["airline_code"]), number=normalize.code(c["flight_number"]), origin=normalize.code(c["origin"]), destination=normalize.code(c["destination"]))
+    rows = step(rows, departure=F.try_to_timestamp(c["departure_time"]), tag=F.upper(F.trim(c["booking_window"])), token=normalize.status_token(c["flight_status"]))
+    rows = step(rows, window=normalize.window_of(v["tag"]), day=F.coalesce(F.left(c["flight_date"], F.lit(10)).try_cast("date"), F.to_date(v["departure"])))
+    rows = step(rows, ratio=F.when(v["base"].isNull() & v["taxes"].isNull(), scoring.known_ratio(v["carrier"], F.concat_ws("-", v["origin"], v["destination"]))))
+    rows = step(rows, ratio=scoring.clamped(v["ratio"]))
+    rows = step(rows, computed=scoring.base_by(v["ratio"], v["total"]))
+    rows = step(rows, whole=scoring.base_part(v["total"], v["base"], v["taxes"], v["computed"]), basis=scoring.split_basis(v["base"], v["taxes"], v["ratio"]))
     known_basis = c["fare_split_basis"].isin("measured", "residual", "calibrated", "estimated")
     source = F.coalesce(F.nullif(F.trim(c["source_platform"]), F.lit("")), F.lit("synthetic"))
-    stamp = F.coalesce(F.date_format(departure, "yyyy-MM-dd'T'HH:mm:ss"), F.nullif(c["departure_time"], F.lit("")), F.date_format(day, "yyyy-MM-dd"))
-    number = normalize.code(c["flight_number"])
-    return df.select(
+    stamp = F.coalesce(F.date_format(v["departure"], "yyyy-MM-dd'T'HH:mm:ss"), F.nullif(c["departure_time"], F.lit("")), F.date_format(v["day"], "yyyy-MM-dd"))
+    return rows.select(
         *carried,
-        origin.alias("origin"),
-        destination.alias("destination"),
-        carrier.alias("airline_code"),
-        number.alias("flight_number"),
-        window.alias("booking_window"),
-        departure.alias("departure_time"),
-        day.alias("flight_date"),
-        total.alias("total_fare"),
-        split["base"].alias("base_fare"),
-        split["taxes"].alias("taxes_and_fees"),
-        F.when((split["basis"] == "measured") & known_basis, c["fare_split_basis"]).otherwise(split["basis"]).alias("fare_split_basis"),
+        v["origin"].alias("origin"),
+        v["destination"].alias("destination"),
+        v["carrier"].alias("airline_code"),
+        v["number"].alias("flight_number"),
+        v["window"].alias("booking_window"),
+        v["departure"].alias("departure_time"),
+        v["day"].alias("flight_date"),
+        v["total"].alias("total_fare"),
+        v["whole"].alias("base_fare"),
+        scoring.tax_part(v["total"], v["whole"], v["taxes"]).alias("taxes_and_fees"),
+        F.when((v["basis"] == "measured") & known_basis, c["fare_split_basis"]).otherwise(v["basis"]).alias("fare_split_basis"),
         normalize.booking_class(c["booking_class"]).alias("booking_class"),
-        normalize.status(c["flight_status"]).alias("flight_status"),
+        normalize.status_of(v["token"]).alias("flight_status"),
         F.coalesce(c["stops"].try_cast("int"), F.lit(0)).alias("stops"),
         F.coalesce(F.nullif(F.trim(c["fare_class"]), F.lit("")), F.lit("Economy")).alias("fare_class"),
         source.alias("source_platform"),
-        normalize.record_key(carrier, number, origin, destination, stamp, window).alias("hash_id"),
+        normalize.fingerprint(v["carrier"], v["number"], v["origin"], v["destination"], stamp, v["window"]).alias("hash_id"),
     )
 
 

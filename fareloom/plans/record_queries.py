@@ -205,15 +205,15 @@ SELECT seq1, seq2, seq4, o AS origin, d AS destination, c AS airline_code, upper
   sha256(c || ':' || upper(f) || ':' || o || ':' || d || ':' || strftime(event_time, '%Y-%m-%dT%H:%M:%S') || ':' || win) AS hash_id FROM named WHERE seq2 % 3 != 2"""))
 def record_normalized(spark, sf_dir):
     """Raw rows as stored records: codes, window, times, split, classes, defaults and fingerprint in one pass."""
-    known = F.create_map(*(F.lit(x) for pair in {"AFRICA": "DEL", "AMERICA": "BOM", "ASIA": "BLR", "EUROPE": "HYD", "MIDDLE EAST": "XXX"}.items() for x in pair))
+    known = F.create_map(*(F.lit(x) for pair in {"AFRICA": "del", "AMERICA": "bom", "ASIA": "blr", "EUROPE": "hyd", "MIDDLE EAST": "xxx"}.items() for x in pair))
     text = lambda c: c.cast("string")
     third = F.col("seq2") % 3
     raw = quotes(spark, sf_dir).where(third != 2).select(
         "seq1",
         "seq2",
         "seq4",
-        F.concat(F.lit(" "), F.lower(known[F.col("origin")])).alias("origin"),
-        F.lower(known[F.col("destination")]).alias("destination"),
+        F.concat(F.lit(" "), known[F.col("origin")]).alias("origin"),
+        known[F.col("destination")].alias("destination"),
         F.lower("carrier").alias("airline_code"),
         F.concat(F.lit("f"), text(F.col("flight_no")), F.lit(" ")).alias("flight_number"),
         variant(TAGS, "seq1").alias("booking_window"),
