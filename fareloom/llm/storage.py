@@ -39,10 +39,20 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: With it Spark deletes the shuffle files of a query when that query ends, and not when the driver next collects garbage.
+FREES_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it again: later plans start from the files."""
+    """Writes ``df`` to the shared folder and reads it again: later plans start from the files, and what was shuffled for them is deleted."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(FREES_SHUFFLES, None)
+    conf.set(FREES_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(FREES_SHUFFLES) if before is None else conf.set(FREES_SHUFFLES, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -263,11 +263,13 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     """
     body = F.col(text).cast("string")
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(body).alias("tag"), body.alias("text"))
-    positions = repeated_ranges(narrow, width)
+    # few rows, from files: the windows that were shuffled for them are gone before the texts are
+    positions = materialize(repeated_ranges(narrow, width), "repeated-ranges")
     others = [c for c in docs.columns if c != text]
     rest = F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(body).alias("tag"), body.alias("text"), rest.alias("rest"))
-    joined = rows.join(positions, ["doc_id", "tag"], "left").select("rest", "text", "ranges")
+    # never broadcast: lists of ranges are small in files and far larger in memory, and grow with the documents
+    joined = rows.join(positions.hint("merge"), ["doc_id", "tag"], "left").select("rest", "text", "ranges")
 
     def cut(batches):
         for batch in batches:
