@@ -195,20 +195,23 @@ def fingerprint_keys(spark, sf_dir):
 @query(with_quotes(f"""
 , raw AS (SELECT seq1, seq2, seq4, {AIRPORT_SQL.format(c='origin')} AS o, {AIRPORT_SQL.format(c='destination')} AS d, carrier AS c, 'f' || flight_no AS f, {variant_sql(TAGS, 'seq1')} AS w, event_time, flight_date, total_fare AS t,
   round(total_fare * 0.7 * 100) / 100.0::DOUBLE AS b, round(total_fare * 0.2 * 100) / 100.0::DOUBLE AS x FROM quotes),
-tagged AS (SELECT *, upper(trim(w)) AS u, round((total - computed) * 100) / 100.0::DOUBLE AS rest FROM (SELECT *, t AS total, round(t * 0.78 * 100) / 100.0::DOUBLE AS computed FROM raw)),
+rated AS (SELECT *, round(coalesce(CASE o || '-' || d WHEN 'DEL-BOM' THEN 0.78 WHEN 'BOM-DEL' THEN 0.78 WHEN 'DEL-BLR' THEN 0.81 WHEN 'BLR-DEL' THEN 0.81 WHEN 'BOM-BLR' THEN 0.74 WHEN 'BLR-BOM' THEN 0.74
+    WHEN 'DEL-HYD' THEN 0.77 WHEN 'HYD-DEL' THEN 0.77 WHEN 'BLR-HYD' THEN 0.72 WHEN 'HYD-BLR' THEN 0.72 END::DOUBLE + CASE c WHEN 'AI' THEN 0.03 WHEN 'IX' THEN -0.02 WHEN 'QP' THEN -0.02 WHEN 'SG' THEN -0.04 ELSE 0.0 END::DOUBLE,
+  CASE c WHEN '6E' THEN 0.78 WHEN 'AI' THEN 0.81 WHEN 'IX' THEN 0.76 WHEN 'QP' THEN 0.76 WHEN 'SG' THEN 0.74 END::DOUBLE) * 10000) / 10000.0::DOUBLE AS ratio FROM raw),
+tagged AS (SELECT *, upper(trim(w)) AS u, round((t - computed) * 100) / 100.0::DOUBLE AS rest FROM (SELECT *, round(t * least(greatest(ratio, 0.60::DOUBLE), 0.90::DOUBLE) * 100) / 100.0::DOUBLE AS computed FROM rated)),
 named AS (SELECT *, CASE WHEN u IS NULL THEN 'T+1' WHEN regexp_matches(u, '^[0-9]+$') THEN 'T+' || u WHEN u IN ('T1', 'T7', 'T15', 'T30', 'T45') THEN 'T+' || substr(u, 2) ELSE u END AS win,
-  CASE seq2 % 3 WHEN 0 THEN 'measured' WHEN 1 THEN 'residual' END AS basis FROM tagged)
+  CASE seq2 % 3 WHEN 0 THEN 'measured' WHEN 1 THEN 'residual' ELSE 'calibrated' END AS basis FROM tagged)
 SELECT seq1, seq2, seq4, o AS origin, d AS destination, c AS airline_code, upper(f) AS flight_number, win AS booking_window, strftime(flight_date, '%Y-%m-%d') AS flight_date, t AS total_fare,
-  CASE seq2 % 3 WHEN 0 THEN b WHEN 1 THEN b END AS base_fare, CASE seq2 % 3 WHEN 0 THEN x WHEN 1 THEN round((t - b) * 100) / 100.0::DOUBLE END AS taxes_and_fees, basis AS fare_split_basis,
+  CASE seq2 % 3 WHEN 0 THEN b WHEN 1 THEN b ELSE computed END AS base_fare, CASE seq2 % 3 WHEN 0 THEN x WHEN 1 THEN round((t - b) * 100) / 100.0::DOUBLE ELSE rest END AS taxes_and_fees, basis AS fare_split_basis,
   CASE seq1 % 4 WHEN 0 THEN 'Y' WHEN 1 THEN 'B' END AS booking_class, CASE WHEN seq2 % 2 = 0 THEN 'cancelled' END AS flight_status, CASE WHEN seq4 % 2 = 0 THEN 1 ELSE 0 END AS stops,
   CASE WHEN seq4 % 3 = 0 THEN 'Business' ELSE 'Economy' END AS fare_class, CASE WHEN seq4 % 2 = 0 THEN 'portal' ELSE 'synthetic' END AS source_platform,
-  sha256(c || ':' || upper(f) || ':' || o || ':' || d || ':' || strftime(event_time, '%Y-%m-%dT%H:%M:%S') || ':' || win) AS hash_id FROM named WHERE seq2 % 3 != 2"""))
+  sha256(c || ':' || upper(f) || ':' || o || ':' || d || ':' || strftime(event_time, '%Y-%m-%dT%H:%M:%S') || ':' || win) AS hash_id FROM named"""))
 def record_normalized(spark, sf_dir):
-    """Raw rows as stored records: codes, window, times, split, classes, defaults and fingerprint in one pass."""
+    """Raw rows as stored records: codes, window, times, split (of both parts, one or neither), classes, defaults and fingerprint in one pass."""
     known = F.create_map(*(F.lit(x) for pair in {"AFRICA": "del", "AMERICA": "bom", "ASIA": "blr", "EUROPE": "hyd", "MIDDLE EAST": "xxx"}.items() for x in pair))
     text = lambda c: c.cast("string")
     third = F.col("seq2") % 3
-    raw = quotes(spark, sf_dir).where(third != 2).select(
+    raw = quotes(spark, sf_dir).select(
         "seq1",
         "seq2",
         "seq4",
@@ -220,7 +223,7 @@ def record_normalized(spark, sf_dir):
         F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss").alias("departure_time"),
         F.date_format("flight_date", "yyyy-MM-dd'T00:00'").alias("flight_date"),
         text(F.col("total_fare")).alias("total_fare"),
-        text(scoring.rounded(F.col("total_fare") * 0.7, 2)).alias("base_fare"),
+        F.when(third.isin(0, 1), text(scoring.rounded(F.col("total_fare") * 0.7, 2))).alias("base_fare"),
         F.when(third == 0, text(scoring.rounded(F.col("total_fare") * 0.2, 2))).alias("taxes_and_fees"),
         F.lit(None).cast("string").alias("fare_split_basis"),
         variant([" y", "b", "", None], "seq1").alias("booking_class"),
