@@ -63,7 +63,12 @@ def judged_quotes(quotes: DataFrame, baselines: DataFrame, keys: list[str], wind
 
 
 def alerts(baselined: DataFrame, fare: str, lead_days: str, hhi: float = C.DAILY_HHI) -> DataFrame:
-    """The rows of ``baselined`` (mean, deviation and previous beside each fare) that raise an alert, with z, dod, surge, severity and kind.
+    """The rows of ``gated`` that raise an alert."""
+    return gated(baselined, fare, lead_days, hhi).where("severity is not null")
+
+
+def gated(baselined: DataFrame, fare: str, lead_days: str, hhi: float = C.DAILY_HHI) -> DataFrame:
+    """``baselined`` (mean, deviation and previous beside each fare) with z, dod, surge, severity and kind; the last two are null without an alert.
 
     Without a positive mean only a daily change of 40 % and more from a positive previous fare does (CRITICAL, SURGE_PRICING). The daily
     change is unknown where the previous fare is not positive. Peers are not looked at.
@@ -75,4 +80,17 @@ def alerts(baselined: DataFrame, fare: str, lead_days: str, hhi: float = C.DAILY
     severity, kind = scoring.alert(F.col("z"), F.col("dod"), F.col("surge"))
     jump = ~based & (F.col("dod") >= C.DOD_CRITICAL)
     raised = {"severity": F.when(based, severity).when(jump, "CRITICAL"), "kind": F.when(based, kind).when(jump, "SURGE_PRICING")}
-    return rows.withColumns(raised).where("severity is not null")
+    return rows.withColumns(raised)
+
+
+def alerts_by_inputs(known: DataFrame, fare: str, lead_days: str) -> DataFrame:
+    """The alerts of ``known``, a row each, with inputs, severity and kind: ``published`` are those of ``alerts``; ``measured`` ones are judged by
+    the columns route_median, n_peers, q1, q3 and hhi of ``known``, and a day without a history is its own baseline there."""
+    rows = gated(known, fare, lead_days)
+    f, own = F.col(fare), fresh("_surge", rows)
+    mean, deviation = F.coalesce("mean", f), F.coalesce("deviation", F.lit(0.0))
+    rows = rows.withColumn(own, scoring.surge(f, mean, deviation, F.col(lead_days), F.col("previous"), *map(F.col, ("route_median", "n_peers", "q1", "q3", "hhi"))))
+    severity, kind = scoring.alert(scoring.z_score(f, mean, deviation), F.col("dod"), F.col(own))
+    judged = {"published": (F.col("severity"), F.col("kind")), "measured": (severity, kind)}
+    each = F.array(*(F.struct(F.lit(name).alias("inputs"), s.alias("severity"), k.alias("kind")) for name, (s, k) in judged.items()))
+    return rows.select(*known.columns, F.inline(each)).where("severity is not null")

@@ -146,16 +146,29 @@ raised AS (SELECT route_code, booking_window, flight_date, severity, kind FROM a
   UNION ALL SELECT route_code, booking_window, flight_date, 'CRITICAL', 'SURGE_PRICING' FROM baseline WHERE NOT coalesce(mean > 0, false) AND previous > 0 AND (fare - previous) / previous >= 0.40)"""
 
 
+#: The same days judged by their route's own concentration, median and quartiles as well, those without a history too.
+GATED_SQL = RAISED_SQL + f""",
+measured AS (WITH {RATED_SQL.lstrip(", \n")}
+  SELECT route_code, booking_window, flight_date, CASE WHEN z >= 2 OR coalesce(rise, 0) >= 0.40 OR level != 'NORMAL' THEN CASE WHEN violation IS NOT NULL OR z >= 3 OR coalesce(rise, 0) >= 0.40 THEN 'CRITICAL' ELSE 'HIGH' END END AS severity,
+    CASE WHEN violation IS NOT NULL THEN 'DGCA_STATUTORY_VIOLATION' WHEN rise >= 0.40 THEN 'SURGE_PRICING' ELSE 'SPIKE' END AS kind FROM (SELECT *, CASE WHEN previous > 0 THEN (fare - previous) / previous END AS rise FROM judged)),
+gated AS (SELECT 'published' AS inputs, * FROM raised UNION ALL SELECT 'measured', * FROM measured WHERE severity IS NOT NULL)"""
+
+
 def alerts(spark, sf_dir):
     """Alerts of each route, window and day against the thirty days before."""
     return anomaly.alerts(baselines(spark, sf_dir), "fare", "lead_days")
 
 
-@query(with_quotes(RAISED_SQL + """
-SELECT route_code, booking_window, strftime(flight_date, '%Y-%m-%d') AS flight_date, severity, kind FROM raised"""))
+def alerts_by_inputs(spark, sf_dir):
+    """The same by the published inputs, and by what is measured of the day's route."""
+    return anomaly.alerts_by_inputs(with_routes(baselines(spark, sf_dir), eligible(spark, sf_dir)), "fare", "lead_days")
+
+
+@query(with_quotes(GATED_SQL + """
+SELECT route_code, booking_window, strftime(flight_date, '%Y-%m-%d') AS flight_date, inputs, severity, kind FROM gated"""))
 def alert_gate(spark, sf_dir):
-    """Alerts by Z, daily change or surge, as CRITICAL or HIGH."""
-    return alerts(spark, sf_dir).select(*KEYS, F.date_format("flight_date", "yyyy-MM-dd").alias("flight_date"), "severity", "kind")
+    """Alerts by Z, daily change or surge, as CRITICAL or HIGH: by the published inputs, and by the route's measured concentration, median and quartiles."""
+    return alerts_by_inputs(spark, sf_dir).select(*KEYS, F.date_format("flight_date", "yyyy-MM-dd").alias("flight_date"), "inputs", "severity", "kind")
 
 
 @query(with_quotes("""
