@@ -56,10 +56,32 @@ def judged_quotes(quotes: DataFrame, baselines: DataFrame, keys: list[str], wind
 
     A key without a baseline has the default one, previous fare included.
     """
-    names = {c: fresh(f"_{c}", quotes) for c in ("mean", "deviation", "previous")}
+    known, names = _with_baselines(quotes, baselines, keys, dict(zip(("mean", "deviation", "previous"), C.DEFAULT_BASELINE, strict=True)))
+    mean, deviation, previous = map(F.col, names)
+    return known.withColumn("surge", _surge_alone(F.col(fare).cast("double"), mean, deviation, batch_lead_days(F.col(window)), previous, hhi)).drop(*names)
+
+
+def _with_baselines(quotes: DataFrame, baselines: DataFrame, keys: list[str], default: dict[str, float]) -> tuple[DataFrame, list[str]]:
+    """``quotes`` with the columns ``default`` of their key in ``baselines``, or their defaults, and the names that these columns have there."""
+    names = {c: fresh(f"_{c}", quotes) for c in default}
     known = quotes.join(baselines.select(*keys, *(F.col(c).alias(n) for c, n in names.items())), keys, "left")
-    mean, deviation, previous = (F.coalesce(F.col(n), F.lit(v)) for n, v in zip(names.values(), C.DEFAULT_BASELINE, strict=True))
-    return known.withColumn("surge", _surge_alone(F.col(fare).cast("double"), mean, deviation, batch_lead_days(F.col(window)), previous, hhi)).drop(*names.values())
+    return known.withColumns({n: F.coalesce(F.col(n), F.lit(default[c])) for c, n in names.items()}), list(names.values())
+
+
+def judged_by_inputs(quotes: DataFrame, baselines: DataFrame, keys: list[str], window: str, fare: str, lead_days: str) -> DataFrame:
+    """``quotes`` judged twice, a row each, with inputs and surge: ``published`` as in ``judged_quotes``; ``measured`` by the column median of
+    ``baselines`` and the columns n_peers, q1, q3, hhi and ``lead_days`` of ``quotes``."""
+    default = dict(zip(("mean", "deviation", "previous", "median"), (*C.DEFAULT_BASELINE, C.DEFAULT_BASELINE[0]), strict=True))
+    known, names = _with_baselines(quotes, baselines, keys, default)
+    mean, deviation, previous, median = map(F.col, names)
+    none, taken = F.lit(None).cast("double"), "inputs lead median n q1 q3 hhi".split()
+    published = (F.lit("published"), batch_lead_days(F.col(window)), mean, F.lit(0).cast("long"), none, none, F.lit(C.SHARES_HHI))
+    measured = (F.lit("measured"), F.col(lead_days).cast("int"), median, F.col("n_peers").cast("long"), F.col("q1"), F.col("q3"), F.col("hhi"))
+    made = {c: c if c == "inputs" else fresh(f"_own_{c}", known) for c in taken}
+    each = F.array(*(F.struct(*(v.alias(made[c]) for c, v in zip(taken, values, strict=True))) for values in (published, measured)))
+    v = {c: F.col(n) for c, n in made.items()}
+    surge = scoring.surge(F.col(fare).cast("double"), mean, deviation, v["lead"], previous, v["median"], v["n"], v["q1"], v["q3"], v["hhi"])
+    return known.select("*", F.inline(each)).withColumn("surge", surge).select(*quotes.columns, "inputs", "surge")
 
 
 def alerts(baselined: DataFrame, fare: str, lead_days: str, hhi: float = C.DAILY_HHI) -> DataFrame:

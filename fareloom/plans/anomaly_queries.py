@@ -111,11 +111,11 @@ given AS (SELECT s.* EXCLUDE (dz), dz AS raw_dz, round(hhi * 10000) / 10000.0::D
 
 
 def with_routes(rows, e):
-    """``rows`` with their route's concentration, median and quartiles."""
+    """``rows`` with their route's concentration, median and quartiles, a row a route."""
     p = F.percentile("total_fare", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     routes = e.groupBy("route_code").agg(F.count("*").alias("n_peers"), p.alias("p")).select("route_code", "n_peers", *(F.get("p", F.lit(k)).alias(n) for k, n in enumerate(("q1", "route_median", "q3"))))
     hhis = index.concentration(e, ["route_code"], "carrier").select("route_code", scoring.rounded(F.col("hhi"), 4).alias("hhi"))
-    return rows.join(routes.join(hhis, "route_code"), "route_code")
+    return rows.join(F.broadcast(routes.join(hhis, "route_code")), "route_code")
 
 
 def judged(spark, sf_dir):
@@ -171,21 +171,28 @@ def alert_gate(spark, sf_dir):
     return alerts_by_inputs(spark, sf_dir).select(*KEYS, F.date_format("flight_date", "yyyy-MM-dd").alias("flight_date"), "inputs", "severity", "kind")
 
 
-@query(with_quotes("""
-, early AS (SELECT route_code, booking_window, avg(total_fare) AS mean, stddev_samp(total_fare) AS deviation, arg_max(total_fare, (flight_date, seq1, seq2, seq3, seq4, total_fare)) AS previous
+@query(with_quotes(HHI_SQL + """
+, early AS (SELECT route_code, booking_window, avg(total_fare) AS mean, stddev_samp(total_fare) AS deviation, median(total_fare) AS median, arg_max(total_fare, (flight_date, seq1, seq2, seq3, seq4, total_fare)) AS previous
   FROM eligible WHERE flight_date < DATE '1999-01-01' AND origin != 'ASIA' GROUP BY ALL),
-late AS (SELECT e.route_code, e.booking_window, total_fare AS fare, coalesce(b.mean, 5000.0) AS mean, coalesce(b.deviation, 500.0) AS deviation, coalesce(b.mean, 5000.0) AS route_median, coalesce(b.previous, 5000.0) AS previous,
-  0 AS n_peers, NULL::DOUBLE AS q1, NULL::DOUBLE AS q3, 0.405::DOUBLE AS hhi, CASE e.booking_window WHEN 'T+7' THEN 7 WHEN 'T+1' THEN 1 WHEN 'T+15' THEN 1 WHEN 'T+30' THEN 30 ELSE 7 END AS lead_days
-  FROM eligible e LEFT JOIN early b ON e.route_code = b.route_code AND e.booking_window = b.booking_window WHERE flight_date >= DATE '2001-01-01'),
+known AS (SELECT e.route_code, e.booking_window, total_fare AS fare, coalesce(b.mean, 5000.0) AS mean, coalesce(b.deviation, 500.0) AS deviation, coalesce(b.median, 5000.0) AS median, coalesce(b.previous, 5000.0) AS previous,
+  n_peers, q1, q3, round(hhi * 10000) / 10000.0::DOUBLE AS hhi, lead_days
+  FROM eligible e LEFT JOIN early b ON e.route_code = b.route_code AND e.booking_window = b.booking_window JOIN hhis h ON e.route_code = h.route_code JOIN routes r ON e.route_code = r.route_code WHERE flight_date >= DATE '2001-01-01'),
+late AS (SELECT 'published' AS inputs, route_code, booking_window, fare, mean, deviation, mean AS route_median, previous, 0 AS n_peers, NULL::DOUBLE AS q1, NULL::DOUBLE AS q3, 0.405::DOUBLE AS hhi,
+    CASE booking_window WHEN 'T+7' THEN 7 WHEN 'T+1' THEN 1 WHEN 'T+15' THEN 1 WHEN 'T+30' THEN 30 ELSE 7 END AS lead_days FROM known
+  UNION ALL SELECT 'measured', route_code, booking_window, fare, mean, deviation, median, previous, n_peers, q1, q3, hhi, lead_days FROM known),
 scored AS (SELECT *, """ + Z_SQL.format(d="(deviation * (1 + 0.35 * exp(-greatest(lead_days, 1) / 10.0::DOUBLE)))") + """ AS raw_dz FROM late)""" + judgement_sql("scored") + """
-SELECT route_code, booking_window, level, coalesce(violation, 'NONE') AS violation, count(*) AS n, CAST(sum(round(score * 10000)) AS BIGINT) AS score_points FROM judged GROUP BY ALL"""))
+SELECT route_code, booking_window, inputs, level, coalesce(violation, 'NONE') AS violation, count(*) AS n, CAST(sum(round(score * 10000)) AS BIGINT) AS score_points FROM judged GROUP BY ALL"""))
 def surge_batch(spark, sf_dir):
-    """Late quotes against the mean, deviation and last fare of their route and window in earlier years; without one against the default baseline."""
+    """Late quotes against the mean, deviation and last fare of their route and window in earlier years; without one against the default baseline.
+
+    Each is judged by the published inputs, and by the median of those years, the route's peers and concentration and its own lead days.
+    """
     e = eligible(spark, sf_dir)
     last = F.max_by("total_fare", F.struct("flight_date", *SEQUENCE[:4], "total_fare"))
-    early = e.where("flight_date < date'1999-01-01' and origin != 'ASIA'").groupBy(*KEYS).agg(F.avg("total_fare").alias("mean"), F.stddev_samp("total_fare").alias("deviation"), last.alias("previous"))
-    late = anomaly.judged_quotes(e.where("flight_date >= date'2001-01-01'"), early, KEYS, "booking_window", "total_fare")
-    return late.groupBy(*KEYS, F.col("surge.level").alias("level"), F.coalesce("surge.violation", F.lit("NONE")).alias("violation")).agg(F.count("*").alias("n"), F.sum(F.round(F.col("surge.score") * 10000).cast("long")).alias("score_points"))
+    early = e.where("flight_date < date'1999-01-01' and origin != 'ASIA'").groupBy(*KEYS).agg(F.avg("total_fare").alias("mean"), F.stddev_samp("total_fare").alias("deviation"), F.median("total_fare").alias("median"), last.alias("previous"))
+    late = with_routes(e.where("flight_date >= date'2001-01-01'"), e)
+    judged_late = anomaly.judged_by_inputs(late, F.broadcast(early), KEYS, "booking_window", "total_fare", "lead_days")
+    return judged_late.groupBy(*KEYS, "inputs", F.col("surge.level").alias("level"), F.coalesce("surge.violation", F.lit("NONE")).alias("violation")).agg(F.count("*").alias("n"), F.sum(F.round(F.col("surge.score") * 10000).cast("long")).alias("score_points"))
 
 
 @query(with_quotes(HHI_SQL + " SELECT route_code, round(hhi, 4) AS hhi, n_carriers FROM hhis"))
