@@ -34,6 +34,16 @@ def unsound_references(df: DataFrame, month: str, source: str, withdrawn: dict[s
     return df.withColumn("reason", reason).where("reason is not null")
 
 
+def unsupported_references(df: DataFrame, source: str, value: str, placeholders: list[float] = ()) -> DataFrame:
+    """Reference rows, whatever their month, without a citation, without a value, or with one of ``placeholders`` as value; ``reason`` names the first.
+
+    Stricter than ``unsound_references``, which alone makes a table unfit.
+    """
+    known = F.col(value).isin(*placeholders) if placeholders else F.lit(False)
+    reason = F.when(~cites_source(F.col(source)), "no citation").when(F.col(value).isNull(), "no value").when(known, "placeholder")
+    return df.withColumn("reason", reason).where("reason is not null")
+
+
 def latest_cited(df: DataFrame, month: str, source: str) -> DataFrame:
     """The latest row, if it has a citation; otherwise none, rather than an older one."""
     latest = df.agg(F.max(month).alias(month))

@@ -366,15 +366,23 @@ SOURCES = ["https://example.org/note", "MOSPI", " official ", None, "press note"
 @query(f"""
 WITH given AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, {variant_sql(SOURCES)} AS source, CASE o_orderkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 100.0 ELSE o_orderkey END::DOUBLE AS value FROM orders),
 cited AS (SELECT *, coalesce((contains(source, 'http://') OR contains(source, 'https://')) AND lower(trim(source)) NOT IN ('mospi', 'mospi_official', 'nso', 'official'), false) AS ok FROM given),
-reasoned AS (SELECT CASE WHEN lower(trim(source)) IN ('mospi', 'mospi_official', 'nso', 'official') THEN 'bare label' WHEN month = '1995-03' AND value = 100.0 THEN 'withdrawn value of 1995-03' WHEN month = '1996-07' AND value = 100.0 THEN 'withdrawn value of 1996-07' END AS reason FROM cited)
-SELECT reason, count(*) AS n FROM reasoned WHERE reason IS NOT NULL GROUP BY 1
-UNION ALL SELECT 'latest cited', count(*) FROM cited WHERE month = (SELECT max(month) FROM cited) AND ok""")
+reasoned AS (SELECT CASE WHEN lower(trim(source)) IN ('mospi', 'mospi_official', 'nso', 'official') THEN 'bare label' WHEN month = '1995-03' AND value = 100.0 THEN 'withdrawn value of 1995-03' WHEN month = '1996-07' AND value = 100.0 THEN 'withdrawn value of 1996-07' END AS reason,
+  CASE WHEN NOT ok THEN 'no citation' WHEN value IS NULL THEN 'no value' WHEN value = 100.0 THEN 'placeholder' END AS lack FROM cited)
+SELECT 'published' AS rule, reason, count(*) AS n FROM reasoned WHERE reason IS NOT NULL GROUP BY ALL
+UNION ALL SELECT 'strict', lack, count(*) FROM reasoned WHERE lack IS NOT NULL GROUP BY ALL
+UNION ALL SELECT 'latest', 'latest cited', count(*) FROM cited WHERE month = (SELECT max(month) FROM cited) AND ok""")
 def citation_gate(spark, sf_dir):
-    """Reference rows that can't be relied on, by reason, and how many of the latest month are cited."""
+    """Reference rows that can't be relied on, by reason, and how many of the latest month are cited.
+
+    The published rule refuses bare labels, and withdrawn values in their month; the strict one tells all rows without a citation or a real value.
+    """
     value = F.when(F.col("o_orderkey") % 7 == 0, F.lit(None)).when(F.col("o_orderkey") % 7 == 1, 100.0).otherwise(F.col("o_orderkey").cast("double"))
     rows = orders(spark, sf_dir).select(F.date_format("o_orderdate", "yyyy-MM").alias("month"), variant(SOURCES).alias("source"), value.alias("value"))
     unsound = checks.unsound_references(rows, "month", "source", {"value": {"1995-03": 100.0, "1996-07": 100.0}}).groupBy("reason").agg(F.count("*").alias("n"))
-    return unsound.unionByName(checks.latest_cited(rows, "month", "source").agg(F.count("*").alias("n")).withColumn("reason", F.lit("latest cited")))
+    lacking = checks.unsupported_references(rows, "source", "value", [100.0]).groupBy("reason").agg(F.count("*").alias("n"))
+    latest = checks.latest_cited(rows, "month", "source").agg(F.count("*").alias("n")).withColumn("reason", F.lit("latest cited"))
+    named = lambda found, rule: found.select(F.lit(rule).alias("rule"), "reason", "n")
+    return named(unsound, "published").unionByName(named(lacking, "strict")).unionByName(named(latest, "latest"))
 
 
 # -- writes -----------------------------------------------------------------------------------------
