@@ -154,13 +154,8 @@ measured AS (WITH {RATED_SQL.lstrip(", \n")}
 gated AS (SELECT 'published' AS inputs, * FROM raised UNION ALL SELECT 'measured', * FROM measured WHERE severity IS NOT NULL)"""
 
 
-def alerts(spark, sf_dir):
-    """Alerts of each route, window and day against the thirty days before."""
-    return anomaly.alerts(baselines(spark, sf_dir), "fare", "lead_days")
-
-
 def alerts_by_inputs(spark, sf_dir):
-    """The same by the published inputs, and by what is measured of the day's route."""
+    """Alerts of each route, window and day against the thirty days before: by the published inputs, and by what is measured of the route."""
     return anomaly.alerts_by_inputs(with_routes(baselines(spark, sf_dir), eligible(spark, sf_dir)), "fare", "lead_days")
 
 

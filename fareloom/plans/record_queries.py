@@ -10,7 +10,7 @@ from fareloom import constants as C
 from fareloom.functions import normalize, scoring
 from fareloom.operators import anomaly, checks, index, records, series, store
 from fareloom.operators.topk import page
-from fareloom.plans.anomaly_queries import ALERT_SQL, RAISED_SQL, alerts
+from fareloom.plans.anomaly_queries import ALERT_SQL, GATED_SQL, alerts_by_inputs
 from fareloom.plans.fixtures import BENCHMARK_SQL, SEQUENCE, benchmark_months, pick, quotes, table, telemetry, with_quotes, with_telemetry
 from fareloom.plans.index_queries import ALL_SQL, AIRPORT_SQL, composites, numbers
 from fareloom.plans.series_queries import LAGS_SQL, MONTHS_SQL, pairs
@@ -527,7 +527,7 @@ def backtest_run(spark, sf_dir):
     return both.select("n", *(F.round(c, 4).alias(c) for c in ("correlation", "rmse", "agreement_pct")))
 
 
-@query(with_quotes(RAISED_SQL + " SELECT severity, kind, count(*) AS n FROM raised GROUP BY ALL"))
+@query(with_quotes(GATED_SQL + " SELECT inputs, severity, kind, count(*) AS n FROM gated GROUP BY ALL"))
 def alert_summary(spark, sf_dir):
-    """Alerts by severity and kind."""
-    return alerts(spark, sf_dir).groupBy("severity", "kind").agg(F.count("*").alias("n"))
+    """Alerts by inputs (published and measured ones), severity and kind."""
+    return alerts_by_inputs(spark, sf_dir).groupBy("inputs", "severity", "kind").agg(F.count("*").alias("n"))
